@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op9_decontamination
+from . import op1_sentencepiece, op3_secrets, op6_token_counts, op9_decontamination, op10_html
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.op1_sentencepiece,
+    "op3_secrets": op3_secrets.op3_secrets,
+    "op6_token_counts": op6_token_counts.op6_token_counts,
     "op9_decontamination": op9_decontamination.op9_decontamination,
+    "op10_html": op10_html.op10_html,
 }
-ORACLES = {"op9_decontamination": op9_decontamination.ORACLE}
+ORACLES = {"op3_secrets": op3_secrets.ORACLE, "op9_decontamination": op9_decontamination.ORACLE}
