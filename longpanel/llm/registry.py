@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op3_secrets, op6_token_counts, op9_decontamination, op10_html
+from . import op1_sentencepiece, op2_toxicity, op3_secrets, op6_token_counts, op8_lm_scoring, op9_decontamination, op10_html
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.op1_sentencepiece,
+    "op2_toxicity": op2_toxicity.op2_toxicity,
     "op3_secrets": op3_secrets.op3_secrets,
     "op6_token_counts": op6_token_counts.op6_token_counts,
+    "op8_lm_scoring": op8_lm_scoring.op8_lm_scoring,
     "op9_decontamination": op9_decontamination.op9_decontamination,
     "op10_html": op10_html.op10_html,
 }
