@@ -119,7 +119,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, bos: b
                 cols += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=names + [x for x, _ in added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(text, *[n for n in names if n != text]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | None = None) -> DataFrame:
