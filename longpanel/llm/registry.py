@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op2_toxicity, op3_secrets, op4_near_dedup, op6_token_counts, op7_substring_dedup, op8_lm_scoring, op9_decontamination, op10_html
+from . import op1_sentencepiece, op2_toxicity, op3_secrets, op4_near_dedup, op5_ann, op6_token_counts, op7_substring_dedup, op8_lm_scoring, op9_decontamination, op10_html
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.op1_sentencepiece,
     "op2_toxicity": op2_toxicity.op2_toxicity,
     "op3_secrets": op3_secrets.op3_secrets,
     "op4_near_dedup": op4_near_dedup.op4_near_dedup,
+    "op5_ann": op5_ann.op5_ann,
     "op6_token_counts": op6_token_counts.op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup.op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring.op8_lm_scoring,
