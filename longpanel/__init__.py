@@ -1,0 +1 @@
+"""Panel analytics on PySpark: history features, balanced errors, slopes, resampling and null models."""
