@@ -48,12 +48,13 @@ def _texts(batch):
             yield first + i, h[at[i] : at[i + 1]]
 
 
-def originals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, copy for each distinct pair of id and text; copy: a smaller id has the same text."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    least = keyed.groupBy("text_key", "digest").agg(F.min("doc_id").alias("rep"))
-    met = keyed.join(least, ["text_key", "digest"])
-    return met.select("doc_id", "text_key", (F.col("doc_id") > F.col("rep")).alias("copy")).distinct()
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, copies: the text keys of the id's texts that a smaller id has too; all ids of docs."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(7), "text").alias("second"))
+    least = keyed.groupBy("text_key", "second").agg(F.min("doc_id").alias("rep"))
+    met = keyed.join(least, ["text_key", "second"])
+    is_copy = F.col("doc_id") > F.col("rep")
+    return met.groupBy("doc_id").agg(F.collect_set(F.when(is_copy, F.col("text_key"))).alias("copies"), F.min(is_copy).alias("only_copies"))
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -73,68 +74,65 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"seed bigint, doc_id {dict(docs.dtypes)['doc_id']}")
 
 
+def _windows(h: np.ndarray) -> np.ndarray:
+    return gram_hashes(h, LEAST).view(np.int64)
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, window: the windows whose seed is among the row's seeds."""
+    """Distinct (doc_id, window): each shared seed of the row extended to the full windows for which it stands."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("seeds")
             values, bounds = np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]
-            rows, at, found = [], [], []
+            rows, found = [], []
             for i, h in _texts(batch):
                 own = np.sort(values[bounds[i] : bounds[i + 1]])
                 if len(h) < LEAST or not len(own):
                     continue
                 d = _designated(gram_hashes(h, SEED), LEAST - SEED + 1).view(np.int64)
-                w = np.flatnonzero(own[np.minimum(np.searchsorted(own, d), len(own) - 1)] == d)
-                found.append(gram_hashes(h, LEAST)[w].view(np.int64))
-                at.append(w.astype(np.int32))
-                rows.append(np.full(len(w), i))
+                extended = np.unique(_windows(h)[own[np.minimum(np.searchsorted(own, d), len(own) - 1)] == d])
+                found.append(extended)
+                rows.append(np.full(len(extended), i))
             if found:
-                rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(np.concatenate(at)), pa.array(np.concatenate(found))], names=["doc_id", "text_key", "at", "window"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found))], names=["doc_id", "window"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "seeds").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, at int, window bigint")
+    return docs.select("doc_id", "text", "seeds").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, window bigint")
 
 
-def repeats(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """doc_id, text_key, starts: where in each text a window begins that a smaller document holds.
+def repeats(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, windows: the windows of each document that a smaller document holds.
 
-    unique has the ids whose windows are extended.  The texts are dealt by doc_id here as in
-    deduplicate(), so that one exchange serves both.
+    own is copies(docs); only ids with a text of their own are extended.  The texts are dealt by doc_id
+    here as in deduplicate(), so that one exchange serves both.  Rows that cross a shuffle hold a hash
+    and an id: positions are found again where the text is.
     """
     seeded = seeds(docs)
-    shared = seeded.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
+    shared = seeded.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     # a document's list is no longer than its text
-    mine = seeded.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")).join(unique, "doc_id", "left_semi")
+    mine = seeded.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")).join(own.where("NOT only_copies").select("doc_id"), "doc_id")
     extended = windows(docs.join(mine, "doc_id"))
-    first = extended.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low")
+    first = extended.groupBy("window").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("window", "low")
     again = extended.join(first, "window").where(F.col("doc_id") > F.col("low"))
-    return again.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts"))
+    return again.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, text, starts (first words of repeated windows) and copy of each row of docs."""
+    """doc_id, text, windows (hashes of repeated windows) and copy (a smaller id has the same text) of each row of docs."""
     known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    own = originals(known)
-    starts = repeats(known, own.where("NOT copy").select("doc_id").distinct())
-    none = F.array().cast("array<int>")
-    marks = starts.withColumn("copy", F.lit(False)).unionByName(own.where("copy").withColumn("starts", none))
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "starts", "copy")).alias("marks"))  # one for each text of an id
-    met = known.join(marks, "doc_id", "left").withColumn("mine", F.filter("marks", lambda m: m["text_key"] == F.xxhash64("text")))
-    met = met.select("doc_id", "text", F.flatten(F.transform("mine", lambda m: m["starts"])).alias("starts"), F.coalesce(F.exists("mine", lambda m: m["copy"]), F.lit(False)).alias("copy"))
-    rest = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("starts"), F.lit(False).alias("copy"))
+    own = copies(known)
+    marks = repeats(known, own).join(own.where(F.size("copies") > 0).select("doc_id", "copies"), "doc_id", "full")
+    met = known.join(marks, "doc_id", "left")
+    met = met.select("doc_id", "text", "windows", F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False)).alias("copy"))
+    rest = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("windows"), F.lit(False).alias("copy"))
     return met.unionByName(rest)
 
 
-def kept_words(words: list[bytes], starts, copy: bool) -> list[bytes]:
-    if copy and len(words) >= LEAST:
-        return []
-    if starts is None or not len(starts):
-        return words
+def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    """The words outside every window that begins at one of starts."""
     gone = np.zeros(len(words) + 1, np.int64)
-    np.add.at(gone, np.asarray(starts), 1)
-    np.add.at(gone, np.asarray(starts) + LEAST, -1)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, starts + LEAST, -1)
     return [w for w, c in zip(words, np.cumsum(gone).tolist(), strict=False) if not c]
 
 
@@ -145,9 +143,14 @@ def cleaned(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, starts, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "copy")), strict=True):
-                words = (text or "").encode().split()
-                rest = kept_words(words, starts, copy)
+            texts, lists = batch.column("text"), batch.column("windows")
+            for (i, h), copy in zip(_texts(batch), batch.column("copy").to_pylist(), strict=True):
+                words = (texts[i].as_py() or "").encode().split()
+                rest = words
+                if copy and len(words) >= LEAST:
+                    rest = []
+                elif not copy and lists[i].is_valid:
+                    rest = kept_words(words, np.flatnonzero(np.isin(_windows(h), np.asarray(lists[i].values))))
                 n.append(len(words))
                 gone.append(len(words) - len(rest))
                 kept.append(b" ".join(rest))
