@@ -3,13 +3,16 @@
 A document is the set of its distinct 5-word shingles.  Its signature has ``VALUES`` min-hashes; the
 forest's trees are sorted orders of the signatures, each rotated to begin elsewhere.  Documents that
 share the first ``DEPTH`` values of an order are a region of that tree.  Depth adapts: a region of
-more than ``REGION`` documents is cut at its next values, up to ``DEEPEST``.
+more than ``REGION`` documents is cut at its next values, up to ``DEEPEST``.  A region that is still
+larger is dealt out in blocks.
 
 1. Equal sets are one node, known by its smallest id.
-2. In a few trees every node is compared with the next one of its region in sorted order, which has
-   the longest common prefix with it.  Links that hold join the nodes into first components.
+2. In a few trees every node is compared with the next one of its region (or block) in sorted order,
+   which has the longest common prefix with it.  Links that hold join the nodes into first components.
 3. In all trees every pair of a region's nodes from different components is compared by short
-   sketches inside the region's task, and only pairs that may reach the threshold come out.
+   sketches inside the region's task, and only pairs that may reach the threshold come out.  In a
+   region of several blocks, blocks of nodes outside its largest component meet all other blocks, one
+   pair of blocks a task, so no pair is lost and nothing is done within the component.
 4. Those pairs are confirmed on full sets (64-bit shingle hashes), and components are closed.
 
 So a group of thousands of near copies costs a few comparisons a node, not its square.  A pair at
@@ -68,24 +71,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (two hashes of the set), signature of each row."""
+    """doc_id, n_shingles, k1 and k2 (hashes of the set), signature, sketch (a byte of each value) of each row."""
 
     def run(batches):
         for batch in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, sketch = [], [], [], [], []
             for _, s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 k1.append(int(mix(s).sum()) if len(s) else 0)
                 k2.append(int(mix(s ^ np.uint64(0x5DEECE66D)).sum()) if len(s) else 0)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                values = signature(s) if len(s) else None
+                sig.append(None if values is None else values.tobytes())
+                sketch.append(None if values is None else values.astype(np.uint8).tobytes())
             keys = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *keys, pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *keys, pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, k1 bigint, k2 bigint, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, k1 bigint, k2 bigint, signature binary, sketch binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree, p4..p8 (hashes of prefixes of growing depth) for every node and tree."""
+    """doc_id, tree, p4..p8 (hashes of prefixes of growing depth), place (16 bits of each value from DEPTH on, in order) for every node and tree."""
     depths = range(DEPTH, DEEPEST + 1)
 
     def run(batches):
@@ -95,33 +100,34 @@ def forest(nodes: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
             for t in range(TREES):
-                h = np.full(len(sig), t + 1, np.uint64)
+                h, place = np.full(len(sig), t + 1, np.uint64), np.zeros(len(sig), np.uint64)
                 cols = []
                 for d in range(DEEPEST):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, (t * step + d) % VALUES])
+                    value = sig[:, (t * step + d) % VALUES]
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + value)
+                    place = place << np.uint64(16) | value & np.uint64(0xFFFF)
                     if d + 1 in depths:
                         cols.append(pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(sig), t, np.int32)), *cols], names=["doc_id", "tree", *[f"p{d}" for d in depths]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(sig), t, np.int32)), *cols, pa.array(place.view(np.int64))], names=["doc_id", "tree", *[f"p{d}" for d in depths], "place"])
 
-    return nodes.select("doc_id", "signature").mapInArrow(run, f"doc_id {dict(nodes.dtypes)['doc_id']}, tree int, " + ", ".join(f"p{d} bigint" for d in depths))
+    return nodes.select("doc_id", "signature").mapInArrow(run, f"doc_id {dict(nodes.dtypes)['doc_id']}, tree int, " + ", ".join(f"p{d} bigint" for d in depths) + ", place bigint")
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree, region, p8: the forest's rows that have company, each at its region's depth."""
+    """doc_id, tree, region, place, blocks (of a region at the last depth, else 1): the forest's rows that have company."""
     rows = forest(nodes)
     # prefixes that several nodes share; counts are pre-aggregated, and deeper ones are few
     shared = rows.groupBy("p4").agg(F.count("*").alias("c4")).where("c4 > 1")
     rows = rows.join(shared, "p4").withColumn("region", F.col("p4"))
     small, large = rows.where(F.col("c4") <= REGION), rows.where(F.col("c4") > REGION)
-    keep = ["doc_id", "tree", "region", "p8"]
-    out = small.select(keep)
+    keep = ["doc_id", "tree", "region", "place", "blocks"]
+    out = small.withColumn("blocks", F.lit(1)).select(keep)
     for d in range(DEPTH + 1, DEEPEST + 1):
         counted = large.groupBy(f"p{d}").agg(F.count("*").alias(f"c{d}"))
         large = large.join(counted, f"p{d}").where(F.col(f"c{d}") > 1).withColumn("region", F.col(f"p{d}"))
         last = d == DEEPEST
-        if last:  # nodes that agree this far: dealt out in regions of about the same size
-            large = large.withColumn("region", F.xxhash64("p8", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c8") / REGION))))
-        out = out.unionByName((large if last else large.where(F.col(f"c{d}") <= REGION)).select(keep))
+        fits = (large if last else large.where(F.col(f"c{d}") <= REGION)).withColumn("blocks", F.ceil(F.col(f"c{d}") / REGION).cast("int"))
+        out = out.unionByName(fits.select(keep))
         large = large.where(F.col(f"c{d}") > REGION)
     return out
 
@@ -157,24 +163,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """u, v: each node and the next of its region in sorted order, in the first trees."""
-    w = Window.partitionBy("region").orderBy("p8", "doc_id")
-    near = rows.where(F.col("tree") < FIRST_TREES).withColumn("v", F.lead("doc_id").over(w)).where("v IS NOT NULL")
+    """u, v: each node and the next of its region or block in sorted order, in the first trees."""
+    # blocks are dealt anew in each tree, so links lead from every block to others
+    few = rows.where(F.col("tree") < FIRST_TREES).withColumn("block", F.pmod(F.xxhash64("region", "doc_id"), "blocks"))
+    w = Window.partitionBy("region", "block").orderBy("place", "doc_id")
+    near = few.withColumn("v", F.lead("doc_id").over(w)).where("v IS NOT NULL")
     return near.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct()
 
 
+def cells(labelled: DataFrame) -> DataFrame:
+    """doc_id, root, cell: nodes of which some pairs may link, so dealt that two nodes of a region with different roots share a cell.
+
+    A region of one block is one cell.  In a larger one, with its largest component cut into inner blocks
+    and its other nodes into outer ones, a cell is a pair of an outer and any other block.
+    """
+    mixed = labelled.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+    open_ = labelled.join(mixed, "region", "left_semi")
+    small = open_.where("blocks = 1").select("doc_id", "root", F.col("region").alias("cell"))
+    large = open_.where("blocks > 1")
+    held = large.groupBy("region", "root").agg(F.count("*").alias("n"))
+    main = held.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    main = main.select("region", "main", F.ceil(F.col("most") / REGION).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("most")) / REGION).cast("int").alias("outer"))
+    at = large.join(main, "region")
+    h = F.xxhash64("doc_id", "region")
+    i, o = F.pmod(h, "inner").cast("int"), F.pmod(h, "outer").cast("int")
+
+    def each(n, cell):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.xxhash64("region", *cell(x)))
+
+    own = F.when(F.col("root") == F.col("main"), each("outer", lambda x: (F.lit(0), x, i)))
+    own = own.otherwise(F.concat(each("inner", lambda x: (F.lit(0), o, x)), each("outer", lambda x: (F.lit(1), F.least(o, x), F.greatest(o, x)))))
+    return small.unionByName(at.select("doc_id", "root", F.explode(own).alias("cell")))
+
+
 def plausible(rows: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
     """u, v: pairs of a region from different components whose sketches agree enough."""
-    labelled = rows.select("doc_id", "region").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = labelled.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+    labelled = rows.select("doc_id", "region", "blocks").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     # a byte of each value is enough to tell values apart here
-    sketched = labelled.join(mixed, "region", "left_semi").join(nodes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    sketched = cells(labelled).join(nodes.select("doc_id", "n_shingles", "sketch"), "doc_id")
 
     def run(key, table):
         ids = np.asarray(table.column("doc_id"))
         roots = np.asarray(table.column("root"))
         n = np.asarray(table.column("n_shingles"))
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint8)
+        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
         order = np.argsort(n, kind="stable")
         ids, roots, n, s = ids[order], roots[order], n[order], s[order]
         out = []
@@ -188,7 +220,7 @@ def plausible(rows: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
         return pa.table({"u": u, "v": v})
 
     kind = dict(nodes.dtypes)["doc_id"]
-    return sketched.select("region", "doc_id", "root", "n_shingles", "signature").groupBy("region").applyInArrow(run, f"u {kind}, v {kind}").distinct()
+    return sketched.groupBy("cell").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
