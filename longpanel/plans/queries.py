@@ -188,10 +188,11 @@ def normalised_mae(spark, d):
 
 
 @query(
-    f"WITH {_METHODS}, i AS (SELECT method, user_id, abs(round_even(greatest(least(p, 500), 0), 0) - round_even(y, 0)) AS e FROM e), u AS (SELECT method, user_id, avg(CASE WHEN e = 0 THEN 1e0 ELSE 0 END) AS a, avg(CASE WHEN e <= 1 THEN 1e0 ELSE 0 END) AS b, avg(CASE WHEN e <= 2 THEN 1e0 ELSE 0 END) AS c, avg(e) AS m FROM i GROUP BY ALL) SELECT method, {r('avg(a)')} AS exact, {r('avg(b)')} AS within1, {r('avg(c)')} AS within2, {r('avg(m)')} AS ordinal_mae FROM u GROUP BY method"
+    f"WITH {_METHODS}, i AS (SELECT method, user_id, abs(round_even(round(greatest(least(p, 500), 0), 9), 0) - round_even(y, 0)) AS e FROM e), u AS (SELECT method, user_id, avg(CASE WHEN e = 0 THEN 1e0 ELSE 0 END) AS a, avg(CASE WHEN e <= 1 THEN 1e0 ELSE 0 END) AS b, avg(CASE WHEN e <= 2 THEN 1e0 ELSE 0 END) AS c, avg(e) AS m FROM i GROUP BY ALL) SELECT method, {r('avg(a)')} AS exact, {r('avg(b)')} AS within1, {r('avg(c)')} AS within2, {r('avg(m)')} AS ordinal_mae FROM u GROUP BY method"
 )
 def ordinal_accuracy(spark, d):
-    e = F.abs(F.rint(clip(F.col("prediction"), 0.0, 500.0)) - F.rint("actual"))
+    # a mean that is a half but for its last digits is a half
+    e = F.abs(F.rint(F.round(clip(F.col("prediction"), 0.0, 500.0), 9)) - F.rint("actual"))
     p = _methods(spark, d).withColumn("e", e).groupBy("method", "user_id").agg(*[F.avg((F.col("e") <= k).cast("double")).alias(f"w{k}") for k in (0, 1, 2)], F.avg("e").alias("m"))
     g = p.groupBy("method").agg(F.avg("w0").alias("w0"), F.avg("w1").alias("w1"), F.avg("w2").alias("w2"), F.avg("m").alias("m"))
     return out(g, "method", exact="w0", within1="w1", within2="w2", ordinal_mae="m")
