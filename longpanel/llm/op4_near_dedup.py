@@ -90,8 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree, p4..p8 (hashes of prefixes of growing depth), place (16 bits of each value from DEPTH on, in order) for every node and tree."""
-    depths = range(DEPTH, DEEPEST + 1)
+    """doc_id, prefix (hash of DEPTH values, the tree in its lowest bits), place (16 bits of each further value, in order) for every node and tree."""
 
     def run(batches):
         step = VALUES // TREES
@@ -100,35 +99,34 @@ def forest(nodes: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
             for t in range(TREES):
+                values = [sig[:, (t * step + d) % VALUES] for d in range(DEEPEST)]
                 h, place = np.full(len(sig), t + 1, np.uint64), np.zeros(len(sig), np.uint64)
-                cols = []
-                for d in range(DEEPEST):
-                    value = sig[:, (t * step + d) % VALUES]
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + value)
-                    place = place << np.uint64(16) | value & np.uint64(0xFFFF)
-                    if d + 1 in depths:
-                        cols.append(pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(sig), t, np.int32)), *cols, pa.array(place.view(np.int64))], names=["doc_id", "tree", *[f"p{d}" for d in depths], "place"])
+                for v in values[:DEPTH]:
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + v)
+                for v in values[DEPTH:]:
+                    place = place << np.uint64(16) | v & np.uint64(0xFFFF)
+                h = h & np.uint64(-TREES & (1 << 64) - 1) | np.uint64(t)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h.view(np.int64)), pa.array(place.view(np.int64))], names=["doc_id", "prefix", "place"])
 
-    return nodes.select("doc_id", "signature").mapInArrow(run, f"doc_id {dict(nodes.dtypes)['doc_id']}, tree int, " + ", ".join(f"p{d} bigint" for d in depths) + ", place bigint")
+    return nodes.select("doc_id", "signature").mapInArrow(run, f"doc_id {dict(nodes.dtypes)['doc_id']}, prefix bigint, place bigint")
 
 
 def regions(nodes: DataFrame) -> DataFrame:
     """doc_id, tree, region, place, blocks (of a region at the last depth, else 1): the forest's rows that have company."""
     rows = forest(nodes)
-    # prefixes that several nodes share; counts are pre-aggregated, and deeper ones are few
-    shared = rows.groupBy("p4").agg(F.count("*").alias("c4")).where("c4 > 1")
-    rows = rows.join(shared, "p4").withColumn("region", F.col("p4"))
-    small, large = rows.where(F.col("c4") <= REGION), rows.where(F.col("c4") > REGION)
+    # prefixes that several nodes share; counts are pre-aggregated, and what stays is written once
+    shared = rows.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1")
+    rows = stored(rows.join(shared, "prefix")).withColumn("tree", F.col("prefix").bitwiseAND(F.lit(TREES - 1)).cast("int"))
+    small, large = rows.where(F.col("c") <= REGION), rows.where(F.col("c") > REGION).drop("c")
     keep = ["doc_id", "tree", "region", "place", "blocks"]
-    out = small.withColumn("blocks", F.lit(1)).select(keep)
+    out = small.select("doc_id", "tree", F.col("prefix").alias("region"), "place", F.lit(1).alias("blocks"))
     for d in range(DEPTH + 1, DEEPEST + 1):
-        counted = large.groupBy(f"p{d}").agg(F.count("*").alias(f"c{d}"))
-        large = large.join(counted, f"p{d}").where(F.col(f"c{d}") > 1).withColumn("region", F.col(f"p{d}"))
-        last = d == DEEPEST
-        fits = (large if last else large.where(F.col(f"c{d}") <= REGION)).withColumn("blocks", F.ceil(F.col(f"c{d}") / REGION).cast("int"))
-        out = out.unionByName(fits.select(keep))
-        large = large.where(F.col(f"c{d}") > REGION)
+        deeper = large.withColumn("region", F.xxhash64("prefix", F.shiftright("place", 16 * (DEEPEST - d))))
+        counted = deeper.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+        deeper = deeper.join(counted, "region")
+        fits = deeper if d == DEEPEST else deeper.where(F.col("c") <= REGION)
+        out = out.unionByName(fits.withColumn("blocks", F.ceil(F.col("c") / REGION).cast("int")).select(keep))
+        large = deeper.where(F.col("c") > REGION).drop("c", "region")
     return out
 
 
@@ -162,13 +160,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """u, v: each node and the next of its region or block in sorted order, in the first trees."""
+def agreeing(pairs: DataFrame) -> DataFrame:
+    """u, v of the pairs u, v, a, b whose sketches a and b agree enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in "ab")
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+
+    kind = dict(pairs.dtypes)["u"]
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def neighbours(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: each node and the next of its region or block in sorted order, in the first trees, if their sketches agree enough."""
     # blocks are dealt anew in each tree, so links lead from every block to others
     few = rows.where(F.col("tree") < FIRST_TREES).withColumn("block", F.pmod(F.xxhash64("region", "doc_id"), "blocks"))
+    few = few.join(nodes.select("doc_id", "sketch"), "doc_id")
     w = Window.partitionBy("region", "block").orderBy("place", "doc_id")
-    near = few.withColumn("v", F.lead("doc_id").over(w)).where("v IS NOT NULL")
-    return near.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct()
+    near = few.select(F.col("doc_id").alias("u"), F.lead("doc_id").over(w).alias("v"), F.col("sketch").alias("a"), F.lead("sketch").over(w).alias("b")).where("v IS NOT NULL")
+    return agreeing(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def cells(labelled: DataFrame) -> DataFrame:
@@ -230,10 +241,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     copies = known.select("doc_id", "k1", "k2", "n_shingles").join(groups, ["k1", "k2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # an id with several texts has several nodes of that id here, which share its links
-    nodes = known.join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi")
+    nodes = stored(known.join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi").drop("k1", "k2"))
     rows = stored(regions(nodes))
     sets = stored(set_table(docs.where("doc_id IS NOT NULL"), rows.select("doc_id").distinct()))
-    near = stored(confirmed(neighbours(rows), sets))
+    near = stored(confirmed(neighbours(rows, nodes), sets))
     more = confirmed(plausible(rows, nodes, components(near)), sets)
     roots = components(near.unionByName(more).unionByName(copies))
     met = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
