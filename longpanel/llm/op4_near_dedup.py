@@ -10,10 +10,11 @@ larger is dealt out in blocks.
 2. In a few trees every node is compared with the next one of its region (or block) in sorted order,
    which has the longest common prefix with it.  Links that hold join the nodes into first components.
 3. In all trees every pair of a region's nodes from different components is compared by short
-   sketches inside the region's task, and only pairs that may reach the threshold come out.  In a
+   sketches inside the region's task; pairs that may reach the threshold are confirmed there on full
+   sets (64-bit shingle hashes), and links that join what was still apart come out.  In a
    region of several blocks, blocks of nodes outside its largest component meet all other blocks, one
    pair of blocks a task, so no pair is lost and nothing is done within the component.
-4. Those pairs are confirmed on full sets (64-bit shingle hashes), and components are closed.
+4. Components are closed over the links of steps 1 to 3.
 
 So a group of thousands of near copies costs a few comparisons a node, not its square.  A pair at
 the threshold shares a region in some tree with probability 1 - (1 - 0.75^4)^32 > 0.99999, and more
@@ -142,6 +143,16 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles binary")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= PERCENT * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs u, v whose full sets reach the threshold."""
     met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
@@ -149,11 +160,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y)) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) else 0
-                good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            good = [linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in ab)) for ab in zip(batch.column("a"), batch.column("b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     kind = dict(pairs.dtypes)["u"]
@@ -207,31 +214,40 @@ def cells(labelled: DataFrame) -> DataFrame:
     return small.unionByName(at.select("doc_id", "root", F.explode(own).alias("cell")))
 
 
-def plausible(rows: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
-    """u, v: pairs of a region from different components whose sketches agree enough."""
+def bridges(rows: DataFrame, nodes: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
+    """u, v: links of a region between components, confirmed on full sets; of a cell only those that join what was apart."""
     labelled = rows.select("doc_id", "region", "blocks").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     # a byte of each value is enough to tell values apart here
-    sketched = cells(labelled).join(nodes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-
-    def run(key, table):
-        ids = np.asarray(table.column("doc_id"))
-        roots = np.asarray(table.column("root"))
-        n = np.asarray(table.column("n_shingles"))
-        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-        order = np.argsort(n, kind="stable")
-        ids, roots, n, s = ids[order], roots[order], n[order], s[order]
+    filled = cells(labelled).join(nodes.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
+
+    def run(table):
+        ids, roots = (table.column(c).to_pylist() for c in ("doc_id", "root"))
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        order = sorted(range(len(ids)), key=lambda k: len(full[k]))
+        ids, roots, full = ([x[k] for k in order] for x in (ids, roots, full))
+        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)[order]
+        n, label = np.array([len(x) for x in full]), np.unique(roots, return_inverse=True)[1]
+        above = list(range(label.max() + 1))
+
+        def top(k):
+            while above[k] != k:
+                above[k] = k = above[above[k]]
+            return k
+
         out = []
         for i in range(len(ids) - 1):
             # sets more unequal in size than the threshold cannot link
             j = int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
-            if j > i + 1:
-                ok = ((s[i + 1 : j] == s[i]).sum(axis=1) >= AGREE) & (roots[i + 1 : j] != roots[i])
-                out += [(ids[i], x) for x in ids[i + 1 : j][ok]]
-        u, v = np.array([max(p) for p in out], np.int64), np.array([min(p) for p in out], np.int64)
-        return pa.table({"u": u, "v": v})
+            near = np.flatnonzero((label[i + 1 : j] != label[i]) & ((s[i + 1 : j] == s[i]).sum(axis=1) >= AGREE))
+            for k in (near + i + 1).tolist():
+                a, b = top(label[i]), top(label[k])
+                if a != b and linked(full[i], full[k]):
+                    above[b] = a
+                    out.append((ids[i], ids[k]))
+        return pa.table({"u": pa.array([max(x) for x in out], table.schema.field("doc_id").type), "v": pa.array([min(x) for x in out], table.schema.field("doc_id").type)})
 
     kind = dict(nodes.dtypes)["doc_id"]
-    return sketched.groupBy("cell").applyInArrow(run, f"u {kind}, v {kind}").distinct()
+    return filled.groupBy("cell").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(regions(nodes))
     sets = stored(set_table(docs.where("doc_id IS NOT NULL"), rows.select("doc_id").distinct()))
     near = stored(confirmed(neighbours(rows, nodes), sets))
-    more = confirmed(plausible(rows, nodes, components(near)), sets)
+    more = bridges(rows, nodes, sets, components(near))
     roots = components(near.unionByName(more).unionByName(copies))
     met = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return met.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
