@@ -1,0 +1,83 @@
+"""Main-text extraction on worked pages, and the pipeline's stages against plain versions."""
+
+import random
+
+import corpus_pipeline
+from longpanel.llm import op2_toxicity, op3_secrets, op4_near_dedup, op9_decontamination, op10_html
+
+
+def page(body, title="t"):
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{x}}</style></head><body>{body}</body></html>"
+
+
+def test_marked_articles():
+    html = page(
+        "<nav><ul><li>menu</li></ul></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1><p>One\n two<b> three</b><p>four&nbsp;five<br>six<script>var t='</p>'</script></article>"
+        "<section class='comments'><article class='comment'>me too</article></section><footer>&copy; x</footer>"
+    )
+    assert op10_html.extract(html) == "Head & line One two three four\xa0five six"
+
+
+def test_empty_and_broken_pages():
+    assert [op10_html.extract(x) for x in (None, "", "<", "<!-- open", "<script>x")][:2] == ["", ""]
+    assert op10_html.extract("<article><p>open <i>tags") == "open tags"
+    assert op10_html.extract("<p>" + "<b>" * 5000 + "deep" + "</b>" * 5000) == "deep"
+
+
+def test_merge_is_the_template():
+    trees = [op10_html.skeleton(op10_html.parse(f"<div id=top>Site</div><div id=text><p>{t}</p><p>b{t}</p></div><div id=end>Imprint</div>")) for t in "xyz"]
+    wrapper = op10_html.merge(op10_html.merge(trees[0], trees[1]), trees[2])
+    assert {t for _, t in op10_html.template_texts(wrapper)} == {"Site", "Imprint"}
+    # matching keeps labels and order: three blocks, the root, and the folded paragraphs
+    assert op10_html.match_size(trees[0], trees[1], {}) == 5
+
+
+def test_template_of_a_host_is_left_out(spark):
+    rng = random.Random(1)
+    words = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    texts = {i: words() for i in range(12)}
+    rows = [(i, f"https://Site.example/{i}", page(f"<div id=top>Welcome to the site</div><div id=text><p>{t}</p></div><div id=end>Imprint</div>"), "x") for i, t in texts.items()]
+    rows += [(50, "https://other.example/", page("<div>Lone page</div>"), "x"), (51, None, None, "x"), (52, None, "", "x"), (0, "https://site.example/0", rows[0][2], "x")]
+    found = op10_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string")).collect()
+    assert len(found) == len(rows)
+    got = {(r["page_id"], r["url"]): r["text"] for r in found}
+    assert all(got[i, f"https://Site.example/{i}"] == t for i, t in texts.items())
+    assert (got[50, "https://other.example/"], got[51, None], got[52, None]) == ("Lone page", "", "")
+
+
+def test_stages_take_effect(spark, sf_dir):
+    """Each stage on its own input, against the operator's report on that input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "benchmark", "secrets", "tokens"]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(df):
+        return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    kept = stages["toxicity"](spark, docs, sf_dir).cache()
+    assert kept.columns == docs.columns
+    scored = op2_toxicity.score(docs, op2_toxicity.fit(docs, labels))
+    assert ids(kept) == ids(scored.where("score < 0.5")) and 0 < kept.count() < docs.count()
+
+    unique = stages["near_duplicates"](spark, kept, sf_dir).cache()
+    assert unique.columns == docs.columns
+    assert ids(unique) == ids(op4_near_dedup.near_duplicates(kept).where("doc_id = component_id"))
+    assert unique.count() < kept.count()
+
+    clean = stages["benchmark"](spark, unique, sf_dir).cache()
+    assert clean.columns == docs.columns
+    assert ids(clean) == ids(op9_decontamination.report(unique, bench).where("n_hit = 0"))
+
+    hidden = stages["secrets"](spark, clean, sf_dir).cache()
+    assert hidden.columns == docs.columns and ids(hidden) == ids(clean)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in hidden.select("text", "n_chars").collect() if r["n_chars"] is not None)
+    spans = {r["doc_id"]: len(r["spans"]) for r in op3_secrets.scan(clean.select("doc_id", "text")).collect()}
+    before = {r["doc_id"]: r["text"] for r in clean.collect()}
+    for r in hidden.collect():
+        assert (r["text"] != before[r["doc_id"]]) == (spans[r["doc_id"]] > 0)
+
+    last = stages["tokens"](spark, hidden, sf_dir)
+    assert ids(last) == ids(hidden)
+    assert ids(corpus_pipeline.run(spark, sf_dir)) == ids(hidden)
