@@ -40,8 +40,8 @@ def _open(model: str) -> tuple:
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [processor.id_to_piece(i) for i in range(processor.vocab_size())]
-        if any(MARK in p.lstrip(MARK) for p in pieces) or processor.encode(" a ") == processor.encode("a"):
-            raise ValueError("chunk tables need a model whose pieces hold the marker in front only and that keeps white space")
+        if any(MARK in p.lstrip(MARK) for p in pieces) or MARK not in pieces or processor.encode(" a ") == processor.encode("a"):
+            raise ValueError("chunk tables need a model whose pieces hold the marker in front only, with the marker itself, and that keeps white space")
         _tables[model] = processor, {}
     return _tables[model]
 
@@ -60,6 +60,8 @@ def encode_texts(texts: list[str], model: str) -> list[bytes]:
     processor, table = _open(model)
     if len(table) > TABLE_ENTRIES:
         table.clear()
+    # a lone marker, which ends a text, cannot be asked for: the library adds none to an empty text
+    table[""] = np.array([processor.piece_to_id(MARK)], "<u4").tobytes()
     words = [marked_words(t) for t in texts]
     new = list({w for ws in words for w in ws if w not in table})
     for i in range(0, len(new), 20_000):

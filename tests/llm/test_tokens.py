@@ -97,7 +97,8 @@ def test_base_scores(spark, sf_dir):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, t in rows if not held(i) for w in [*WORDS.findall(lower(t)), None])
     total, kinds = sum(c.values()), len(c)
-    found = {r["doc_id"]: r for r in op8_lm_scoring.score(d := spark.createDataFrame(rows, docs.schema), *op8_lm_scoring.learn(d)).collect()}
+    every = spark.createDataFrame(rows, docs.schema)
+    found = {r["doc_id"]: r for r in op8_lm_scoring.score(every, *op8_lm_scoring.learn(every)).collect()}
     assert len(found) == len(rows)
     for i, t in rows:
         words = [*WORDS.findall(lower(t)), None]
