@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id
+from .common import crc32_of_id, stored
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -49,7 +49,7 @@ def segments(scores: np.ndarray, at: np.ndarray | None = None) -> list[tuple[int
 
     at gives the positions of scores when zero or constant stretches between them were summed up.
     """
-    found: list[list] = []  # first, end, sum before first, sum at end
+    found: list[list] = []  # first, end, sum before first, sum at end, nearest earlier one with a smaller sum before
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
@@ -59,19 +59,33 @@ def segments(scores: np.ndarray, at: np.ndarray | None = None) -> list[tuple[int
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]  # all between have no smaller sum either
             if j < 0 or found[j][3] >= new[3]:
                 break
             # everything from candidate j on is one better segment
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
-        found.append(new)
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+        found.append([*new, j])
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
+
+
+class Weights(dict):
+    """The weight of each word asked for, kept for the next time; TOKENS words at most."""
+
+    def __init__(self, weights: dict):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str):
+        if len(self) >= TOKENS:
+            self.clear()
+        v = self[word] = _weight(word, self.weights)
+        return v
 
 
 def token_segments(words: list[str], weights: dict, background: float) -> list[tuple[int, int, float]]:
     """Segments in token positions.  Runs of tokens without evidence are summed up before the scan."""
-    values = [_weight(w, weights) for w in words]
+    values = list(map((weights if isinstance(weights, Weights) else Weights(weights)).__getitem__, words))
     hit = [i for i, v in enumerate(values) if v is not None]
     if not hit:
         return []
@@ -106,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: weights, background, lambda, K and the logistic's coefficients."""
-    rows = training_rows(docs, labels, sample)
+    rows = stored(training_rows(docs, labels, sample))  # read several times
 
     def count(batches):
         for pdf in batches:
@@ -155,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     model |= {"weights": weights, "background": background}
 
     def features(batches):
+        known = Weights(weights)
         for pdf in batches:
-            out = [(y, *_measure(tokens(t), weights, background)[:1], len(tokens(t))) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
+            out = [(y, _measure(ws, known, background)[0], len(ws)) for ws, y in zip(map(tokens, pdf["text"]), pdf["toxic"], strict=True)]
             yield pd.DataFrame(out, columns=["y", "best", "n"])
 
     # extreme values from the clean rows: token score distribution for lambda, best segments for K
@@ -166,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     model["K"] = float(best[1]) / max(float(best[0] or 0), 1e-9)
 
     def evidence(batches):
+        known = model | {"weights": Weights(weights)}
         for pdf in batches:
-            out = [(int(y), *_features(tokens(t), model)) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
+            out = [(int(y), *_features(tokens(t), known)) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
             yield pd.DataFrame(out, columns=["y", "x0", "x1"])
 
     data = rows.mapInPandas(evidence, "y int, x0 double, x1 double").toPandas()  # 2 * sample rows at most
@@ -208,9 +224,9 @@ def _measure(words: list[str], weights: dict, background: float) -> tuple[float,
     return max((s for _, _, s in found), default=0.0), found
 
 
-def _features(words: list[str], model: dict) -> tuple[float, float]:
+def _features(words: list[str], model: dict, measured: tuple | None = None) -> tuple[float, float]:
     """Minus the log E of the best segment, and the log of one plus the significant passages' sum, both bounded."""
-    best, found = _measure(words, model["weights"], model["background"])
+    best, found = measured or _measure(words, model["weights"], model["background"])
     if best <= 0:
         return 0.0, 0.0
     log_e = np.log(model["K"] * len(words)) - model["lam"] * best
@@ -218,31 +234,35 @@ def _features(words: list[str], model: dict) -> tuple[float, float]:
     return float(np.clip(-log_e, -20, 40)), float(np.log1p(sum(s for _, _, s in found if s >= cut)))
 
 
-def passages(words: list[str], model: dict) -> list[tuple[int, int, float, float]]:
+def passages(words: list[str], model: dict, measured: tuple | None = None) -> list[tuple[int, int, float, float]]:
     """Significant passages: first and end token, score, E."""
-    found = _measure(words, model["weights"], model["background"])[1]
+    found = (measured or _measure(words, model["weights"], model["background"]))[1]
     with_e = [(a, b, s, float(model["K"] * len(words) * np.exp(-model["lam"] * s))) for a, b, s in found]
     return [x for x in with_e if x[3] <= SIGNIFICANT]
 
 
-def probability(words: list[str], model: dict) -> float:
+def probability(words: list[str], model: dict, measured: tuple | None = None) -> float:
     if model["coef"] is None:
         return float(model["share"])
-    z = float(np.dot(model["coef"], (1.0, *_features(words, model))))
+    z = float(np.dot(model["coef"], (1.0, *_features(words, model, measured))))
     return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with score (double) and passages (array of first, end, score, e)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TOKENS weights
+    known: dict = {}  # a task's own, filled there
     kind = "score double, passages array<struct<first:int,end:int,score:double,e:double>>"
 
     @F.pandas_udf(f"struct<{kind.replace(' double', ':double').replace(' array', ':array').replace(', ', ',')}>")
     def run(column: pd.Series) -> pd.DataFrame:
+        if not known:
+            known.update(shared.value | {"weights": Weights(shared.value["weights"])})
         out = []
         for t in column:
             words = tokens(t)
-            out.append((probability(words, shared.value), [dict(zip(("first", "end", "score", "e"), p, strict=True)) for p in passages(words, shared.value)]))
+            measured = _measure(words, known["weights"], known["background"])
+            out.append((probability(words, known, measured), [dict(zip(("first", "end", "score", "e"), p, strict=True)) for p in passages(words, known, measured)]))
         return pd.DataFrame(out, columns=["score", "passages"])
 
     return docs.withColumn("_tox", run(F.col(text))).select(*docs.columns, "_tox.score", "_tox.passages")
