@@ -2,24 +2,23 @@
 
 A document is the set of its distinct 5-word shingles.  Its signature has ``VALUES`` min-hashes; the
 forest's trees are sorted orders of the signatures, each rotated to begin elsewhere.  Documents that
-share the first ``DEPTH`` values of an order are a region of that tree.  Depth adapts: a region of
-more than ``REGION`` documents is cut at its next values, up to ``DEEPEST``.  A region that is still
-larger is dealt out in blocks.
+share the first ``DEPTH`` values of an order are a region of that tree.  A region is never cut: one of
+more than ``REGION`` documents is dealt out in blocks, and the further values, up to ``DEEPEST``, only order it.
 
 1. Equal sets are one node, known by its smallest id.
-2. In a few trees every node is compared with the next one of its region (or block) in sorted order,
-   which has the longest common prefix with it.  Links that hold join the nodes into first components.
-3. In all trees every pair of a region's nodes from different components is compared by short
-   sketches inside the region's task; pairs that may reach the threshold are confirmed there on full
-   sets (64-bit shingle hashes), and links that join what was still apart come out.  In a
-   region of several blocks, blocks of nodes outside its largest component meet all other blocks, one
-   pair of blocks a task, so no pair is lost and nothing is done within the component.
-4. Components are closed over the links of steps 1 to 3.
+2. In a few trees every node is compared with the next one of its region in sorted order, which has
+   the longest common prefix with it.  Links that hold join the nodes into first components.
+3. In all trees every pair of a block's nodes from different components is compared by short
+   sketches inside the block's task; pairs that may reach the threshold are confirmed there on full
+   sets (64-bit shingle hashes), and links that join what was still apart come out.
+4. In regions of several blocks, blocks of the nodes that are still outside the region's largest component
+   meet all other blocks, one pair of blocks a task, and are compared likewise.  So no pair of a region is
+   lost, and nothing is done within the component.
+5. Components are closed over the links of steps 1 to 4.
 
 So a group of thousands of near copies costs a few comparisons a node, not its square.  A pair at
 the threshold shares a region in some tree with probability 1 - (1 - 0.75^4)^32 > 0.99999, and more
-above it.  Where all its regions are cut to ``DEEPEST`` it is 1 - (1 - 0.75^8)^32 = 0.966 for one
-pair at the threshold, and 0.99998 at a similarity of 0.86; such groups have other links besides.
+above it, however large its regions are.
 
 Edge cases: null texts and texts without words have empty sets and link with nothing; a text of
 fewer than five words is one shingle.  Rows with equal doc_id are one node whose links are those of
@@ -31,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, slices, stored, word_hashes
@@ -114,22 +113,12 @@ def forest(nodes: DataFrame) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree, region, place, blocks (of a region at the last depth, else 1): the forest's rows that have company."""
+    """doc_id, tree, region, place, blocks (of REGION nodes, that the region is dealt out in): the forest's rows that have company."""
     rows = forest(nodes)
     # prefixes that several nodes share; counts are pre-aggregated, and what stays is written once
     shared = rows.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1")
-    rows = stored(rows.join(shared, "prefix")).withColumn("tree", F.col("prefix").bitwiseAND(F.lit(TREES - 1)).cast("int"))
-    small, large = rows.where(F.col("c") <= REGION), rows.where(F.col("c") > REGION).drop("c")
-    keep = ["doc_id", "tree", "region", "place", "blocks"]
-    out = small.select("doc_id", "tree", F.col("prefix").alias("region"), "place", F.lit(1).alias("blocks"))
-    for d in range(DEPTH + 1, DEEPEST + 1):
-        deeper = large.withColumn("region", F.xxhash64("prefix", F.shiftright("place", 16 * (DEEPEST - d))))
-        counted = deeper.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-        deeper = deeper.join(counted, "region")
-        fits = deeper if d == DEEPEST else deeper.where(F.col("c") <= REGION)
-        out = out.unionByName(fits.withColumn("blocks", F.ceil(F.col("c") / REGION).cast("int")).select(keep))
-        large = deeper.where(F.col("c") > REGION).drop("c", "region")
-    return out
+    tree = F.col("prefix").bitwiseAND(F.lit(TREES - 1)).cast("int")
+    return rows.join(shared, "prefix").select("doc_id", tree.alias("tree"), F.col("prefix").alias("region"), "place", F.ceil(F.col("c") / REGION).cast("int").alias("blocks"))
 
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,38 +157,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def agreeing(pairs: DataFrame) -> DataFrame:
-    """u, v of the pairs u, v, a, b whose sketches a and b agree enough."""
+def neighbours(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: each node and the next of its region in sorted order, in the first trees, if their sketches agree enough."""
+    # ranges of the sorted order, so that no region is one task; the few pairs across two ranges are left to the later steps
+    few = rows.where(F.col("tree") < FIRST_TREES).join(nodes.select("doc_id", "sketch"), "doc_id")
+    # nodes of one place are ordered anew in each tree, so links lead from each to others
+    few = few.select("doc_id", "region", "place", "sketch", F.xxhash64("region", "doc_id").alias("turn"))
+    order = ["region", "place", "turn", "doc_id"]
 
     def run(batches):
+        last = None
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, VALUES) for c in "ab")
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.concat_batches([last, batch])
+            last = batch.slice(batch.num_rows - 1)
+            region = batch.column("region").to_numpy()
+            s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
+            good = (region[1:] == region[:-1]) & ((s[1:] == s[:-1]).sum(axis=1) >= AGREE)
+            ids = batch.column("doc_id")
+            yield pa.RecordBatch.from_arrays([ids.slice(0, len(ids) - 1), ids.slice(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["u"]
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    kind = dict(nodes.dtypes)["doc_id"]
+    near = few.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"u {kind}, v {kind}").where("u <> v")
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def neighbours(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, v: each node and the next of its region or block in sorted order, in the first trees, if their sketches agree enough."""
-    # blocks are dealt anew in each tree, so links lead from every block to others
-    few = rows.where(F.col("tree") < FIRST_TREES).withColumn("block", F.pmod(F.xxhash64("region", "doc_id"), "blocks"))
-    few = few.join(nodes.select("doc_id", "sketch"), "doc_id")
-    w = Window.partitionBy("region", "block").orderBy("place", "doc_id")
-    near = few.select(F.col("doc_id").alias("u"), F.lead("doc_id").over(w).alias("v"), F.col("sketch").alias("a"), F.lead("sketch").over(w).alias("b")).where("v IS NOT NULL")
-    return agreeing(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, region, blocks, root of the rows."""
+    return rows.select("doc_id", "region", "blocks").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys that hold several components."""
+    held = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(key)
+    return rows.join(held, key, "left_semi")
+
+
+def block_cells(rows: DataFrame) -> DataFrame:
+    """doc_id, root, cell: each region's blocks."""
+    block = F.pmod(F.xxhash64("doc_id", "region"), "blocks")
+    return mixed(rows.select("doc_id", "root", F.xxhash64("region", block).alias("cell")), "cell")
 
 
-def cells(labelled: DataFrame) -> DataFrame:
-    """doc_id, root, cell: nodes of which some pairs may link, so dealt that two nodes of a region with different roots share a cell.
+def pair_cells(rows: DataFrame) -> DataFrame:
+    """doc_id, root, cell: nodes of regions of several blocks, so dealt that two nodes of a region with different roots share a cell.
 
-    A region of one block is one cell.  In a larger one, with its largest component cut into inner blocks
-    and its other nodes into outer ones, a cell is a pair of an outer and any other block.
+    With a region's largest component cut into inner blocks and its other nodes into outer ones, a cell is
+    a pair of an outer and any other block.
     """
-    mixed = labelled.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
-    open_ = labelled.join(mixed, "region", "left_semi")
-    small = open_.where("blocks = 1").select("doc_id", "root", F.col("region").alias("cell"))
-    large = open_.where("blocks > 1")
+    large = mixed(rows.where("blocks > 1"), "region")
     held = large.groupBy("region", "root").agg(F.count("*").alias("n"))
     main = held.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     main = main.select("region", "main", F.ceil(F.col("most") / REGION).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("most")) / REGION).cast("int").alias("outer"))
@@ -212,14 +220,13 @@ def cells(labelled: DataFrame) -> DataFrame:
 
     own = F.when(F.col("root") == F.col("main"), each("outer", lambda x: (F.lit(0), x, i)))
     own = own.otherwise(F.concat(each("inner", lambda x: (F.lit(0), o, x)), each("outer", lambda x: (F.lit(1), F.least(o, x), F.greatest(o, x)))))
-    return small.unionByName(at.select("doc_id", "root", F.explode(own).alias("cell")))
+    return at.select("doc_id", "root", F.explode(own).alias("cell"))
 
 
-def bridges(rows: DataFrame, nodes: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-    """u, v: links of a region between components, confirmed on full sets; of a cell only those that join what was apart."""
-    labelled = rows.select("doc_id", "region", "blocks").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+def bridges(cells: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: links of a cell between components, confirmed on full sets; of a cell only those that join what was apart."""
     # a byte of each value is enough to tell values apart here
-    filled = cells(labelled).join(nodes.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
+    filled = cells.join(nodes.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
 
     def run(table):
         ids, roots = (table.column(c).to_pylist() for c in ("doc_id", "root"))
@@ -261,9 +268,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(known.join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi").drop("k1", "k2"))
     rows = stored(regions(nodes))
     sets = stored(set_table(docs.where("doc_id IS NOT NULL"), rows.select("doc_id").distinct()))
-    near = stored(confirmed(neighbours(rows, nodes), sets))
-    more = bridges(rows, nodes, sets, components(near))
-    roots = components(near.unionByName(more).unionByName(copies))
+    links = stored(confirmed(neighbours(rows, nodes), sets))
+    more = bridges(block_cells(labelled(rows, components(links))), nodes, sets)
+    if not rows.where("blocks > 1").isEmpty():
+        links = links.unionByName(stored(more))
+        more = bridges(pair_cells(labelled(rows, components(links))), nodes, sets)
+    roots = components(links.unionByName(more).unionByName(copies))
     met = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return met.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

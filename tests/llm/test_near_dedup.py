@@ -70,3 +70,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "u long, v long")
     roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert roots == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
+
+
+def test_a_hot_groups_region_keeps_links_at_the_threshold(spark, monkeypatch):
+    """Members of a hot group that link with one other member only, at 0.75."""
+    monkeypatch.setattr(op4_near_dedup, "REGION", 8)
+    base = [f"w{i}" for i in range(200)]
+    members = [[*base[: i % 150], *(f"m{i}x{j}" for j in range(3)), *base[i % 150 + 3 :]] for i in range(240)]
+    remote = [[*m[:170], *(f"r{i}x{j}" for j in range(24)), *m[194:]] for i, m in enumerate(members[:120])]
+    rows = [(i, " ".join(words)) for i, words in enumerate(members + remote)]
+    wanted = brute(rows)
+    assert {root for _, root in wanted.values()} == {0}
+    found = op4_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == wanted
