@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import lcg
 
 SEED = 20260918
+#: Values of simulated series held at once.
+PATH_VALUES = 4_000_000
 
 
 def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -117,8 +119,14 @@ def simulated_null(rows: DataFrame, entity: str, draws: int, kind: str = "ar1",
         pdf = pdf.sort_values("rn")
         y = pdf["y"].to_numpy(float)
         rng = np.random.default_rng([seed, abs(hash(int(pdf[entity].iloc[0])))])
-        paths = ar1_paths(y, float(pdf["phi"].iloc[0]), draws, rng, bounds) if kind == "ar1" else block_paths(y, mean_length, draws, rng)
-        benefit, slope = _benefit_slope(paths, k)
+        parts = []
+        # a long series takes its draws some at a time
+        step = max(1, PATH_VALUES // len(y))
+        for first in range(0, draws, step):
+            some = min(step, draws - first)
+            paths = ar1_paths(y, float(pdf["phi"].iloc[0]), some, rng, bounds) if kind == "ar1" else block_paths(y, mean_length, some, rng)
+            parts.append(_benefit_slope(paths, k))
+        benefit, slope = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pd.DataFrame({"draw": np.arange(draws), "benefit": benefit, "slope": slope})
 
     columns = [entity, "rn", "y"] + ["phi"] * (kind == "ar1")

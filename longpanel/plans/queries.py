@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -597,7 +598,12 @@ def _lcg_sql(*parts: str) -> str:
     return f"(({h} * 48271) % 2147483647)"
 
 
-_DRAWS = 200
+# the reference's numbers of draws
+_DRAWS = 2000
+_REARRANGED = 500  # permutations and shifts
+_AR1_DRAWS = 5000
+_BLOCK_DRAWS = 1000
+_BLOCKS = (8, 16, 32)
 
 
 def _bootstrap(spark, d, draws=_DRAWS):
@@ -626,25 +632,25 @@ def _null_benefit(rows):
     return t.groupBy("draw", "user_id").agg(F.avg(g).alias("g")).groupBy("draw").agg(F.avg("g").alias("benefit"))
 
 
-_PERM = _null_sql(f"v AS (SELECT draw, user_id, y, row_number() OVER (PARTITION BY draw, user_id ORDER BY {_lcg_sql('20260918', 'draw', 'user_id', 'rn')}, rn) AS rn FROM e)", 20)
-_SHIFT = _null_sql(f"v AS (SELECT draw, user_id, y, (rn - 1 + 1 + {_lcg_sql('20260918', 'draw', 'user_id')} % (n - 1)) % n + 1 AS rn FROM e WHERE n > 1)", 20)
+_PERM = _null_sql(f"v AS (SELECT draw, user_id, y, row_number() OVER (PARTITION BY draw, user_id ORDER BY {_lcg_sql('20260918', 'draw', 'user_id', 'rn')}, rn) AS rn FROM e)", _REARRANGED)
+_SHIFT = _null_sql(f"v AS (SELECT draw, user_id, y, (rn - 1 + 1 + {_lcg_sql('20260918', 'draw', 'user_id')} % (n - 1)) % n + 1 AS rn FROM e WHERE n > 1)", _REARRANGED)
 
 
 @query(f"WITH {_PERM} SELECT CAST(draw AS INTEGER) AS draw, {r('benefit')} AS benefit FROM q")
 def permutation_null_portable(spark, d):
-    return out(_null_benefit(resample.permuted(reports(spark, d), ENTITY, "user_id", 20)), "draw", benefit="benefit")
+    return out(_null_benefit(resample.permuted(reports(spark, d), ENTITY, "user_id", _REARRANGED)), "draw", benefit="benefit")
 
 
 @query(f"WITH {_SHIFT} SELECT CAST(draw AS INTEGER) AS draw, {r('benefit')} AS benefit FROM q")
 def circular_shift_portable(spark, d):
-    return out(_null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", 20)), "draw", benefit="benefit")
+    return out(_null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", _REARRANGED)), "draw", benefit="benefit")
 
 
 _NULL = f"{_SHIFT}, o AS (SELECT avg(g) AS observed FROM (SELECT avg(g) AS g FROM (SELECT user_id, abs(y - b) - abs(y - l) AS g FROM (SELECT *, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY user_id) AS b, avg(y) OVER ({_W} 8 PRECEDING AND 1 PRECEDING) AS l FROM s) WHERE rn > 8) GROUP BY user_id))"
 
 
 def _null(spark, d):
-    null = _null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", 20))
+    null = _null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", _REARRANGED))
     seen = rows_after_eight(spark, d).groupBy("user_id").agg(F.avg("benefit").alias("g")).agg(F.avg("g").alias("observed"))
     return resample.null_summary(null.crossJoin(F.broadcast(seen)), "benefit", F.col("observed"))
 
@@ -657,12 +663,13 @@ def null_summary(spark, d):
 @query()
 def ar1_null(spark, d):
     rows = reports(spark, d).join(_shrunk(spark, d), "user_id")
-    return resample.simulated_null(rows, "user_id", 100)
+    return resample.simulated_null(rows, "user_id", _AR1_DRAWS)
 
 
 @query()
 def block_null(spark, d):
-    return resample.simulated_null(reports(spark, d), "user_id", 100, kind="block")
+    null = [resample.simulated_null(reports(spark, d), "user_id", _BLOCK_DRAWS, kind="block", mean_length=k).select(F.lit(k).alias("block"), "*") for k in _BLOCKS]
+    return reduce(DataFrame.unionByName, null)
 
 
 @query()

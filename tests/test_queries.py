@@ -43,3 +43,12 @@ import longpanel.operators.models, longpanel.sources.tables, longpanel.streaming
 assert not any(m.startswith("longpanel.llm.") for m in sys.modules)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__.__file__.rsplit("/", 1)[0])
+
+
+def test_resampling_takes_the_references_draws(spark, sf_dir):
+    """2,000 bootstraps, 500 shifts, 5,000 AR(1) series and 1,000 of each block length, so p can go below 0.0125."""
+    assert QUERIES["bootstrap_ci_portable"](spark, sf_dir).first()["draws"] == 2000
+    assert 1 / (1 + QUERIES["circular_shift_portable"](spark, sf_dir).count()) == 1 / 501 < 0.0125
+    assert QUERIES["ar1_null"](spark, sf_dir).count() == 5000
+    blocks = {r["block"]: r["count"] for r in QUERIES["block_null"](spark, sf_dir).groupBy("block").count().collect()}
+    assert blocks == {8: 1000, 16: 1000, 32: 1000}
