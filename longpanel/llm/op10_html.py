@@ -1,342 +1,358 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages of one host come from one template.  Each page becomes a small DOM tree; trees of a host are
-aligned by simple tree matching, which keeps the order of children and maximises matching nodes.
-Aligned nodes whose text is the same on all pages are template, the others are slots.  Trees are
-folded in any order and grouping, so a host is never gathered: each task folds its own pages into one
-partial wrapper a host, partial wrappers are folded in two salted rounds, and a wrapper's size
-follows the template (repeated siblings share one node), not the number of pages.
-
-Extraction leaves out what markup names as something else (navigation, headers, footers, sidebars,
-adverts, notices, forms, scripts, styles, reader comments).  If the page marks its article, the
-article is the text; otherwise the wrapper's varying slots are.  Wrapper texts count as template
-only with ``LEAST_PAGES`` different pages behind them.
+Each page becomes a tree of its block elements; a block holds its lines of text, inline elements and
+their text included.  Siblings with one label (tag and class words without digits) share a node, as the
+entries of a list do, so the children of a node have distinct labels.  Simple tree matching of two such
+trees pairs the nodes that have equal labels under paired parents, without search; all pages of a host
+are aligned at once by grouping their nodes by the path of labels.
+
+A text is template if all pages that have its node, ``LEAST_PAGES`` different ones at least, have it
+there; everything else is a slot.  The alignment is two aggregations over (host, node, text) hashes,
+summed up before each shuffle, so no task holds a host.  Pages that differ only in what markup names as
+something else are one page here, since copies of an article prove nothing about a template.
+
+A page's text is that of its slots.  Markup is evidence beside the alignment: navigation, headers,
+footers, sidebars, adverts, notices, forms, scripts, styles and reader comments are left out, by tag, by
+role or by whole words of class and id; where a page marks its articles, those are the text, in page
+order, constant lines of theirs included (an article is not template because three pages carry it).
+On a page that marks none, list entries that are nothing but a link are a menu.  Class words never
+hide a heading, nor anything in preformatted text, nor the only articles of a page.
 
 Edge cases: null or empty html gives an empty text.  A null url is a host of its own without name.
-Repeated pages count once for a wrapper, since equal texts prove nothing about a template.
-Unclosed and misnested tags are closed as their parents end.  Only page_id, url and html are read.
+Repeated pages count once for a template and keep a result row each.  Unclosed and misnested tags are
+closed as their parents end; pages of any length and nesting depth take time in proportion to their
+length.  Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_lib
-import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Different pages a host needs before its constant texts count as template.
+from .common import stored
+
+#: Different pages that must agree before a text counts as template.
 LEAST_PAGES = 3
-#: Wrappers up to this many bytes in all are broadcast; more are joined by host.
+#: Template tables up to this many bytes are broadcast; larger ones are joined by host.
 BROADCAST_BYTES = 32 << 20
-SALTS = 16
 
-# Fixed names of HTML: elements without end tag, with raw text, that end a paragraph, and that never hold main text.
+# Fixed names of HTML: elements without end tag, with raw text, that are blocks, and that never hold main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
-BLOCK = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul br".split())
-CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "li"}
-OUT = set("script style textarea title noscript iframe xmp noembed noframes template head nav header footer aside form button select option input svg canvas object audio video dialog menu".split())
-OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-# Words of class and id values that name something other than the article.
-OUT_WORDS = set("ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside cookie cookies consent notice notices popup modal newsletter subscribe signup share sharing social related recommended comments comment reply replies discussion respond disqus pagination pager toolbar widget skip".split())
+RAW = set("script style textarea title noscript iframe noembed noframes".split())
+BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre search section summary table tbody td template tfoot th thead tr ul".split())
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
+OUT = set("script style textarea title noscript iframe noembed noframes template head nav header footer aside form button select option input svg canvas object audio video dialog menu search".split())
+OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+# Words of class and id values that name something other than the article, and words that only place it.
+OUT_WORDS = set("ad ads advert advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies respond disqus pagination pager toolbar widget".split())
+PLACE_WORDS = set("site page main top bottom left right global primary secondary list container wrapper wrap inner outer box bar section area block slot banner unit panel item link links sticky fixed thread form".split())
+# Words that tell a comment or an advert made as an article from an article.
+ARTICLE_OUT = set("ad ads advert advertisement advertising sponsor sponsored promo related recommended comment comments reply replies respond".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Elements whose start ends an open one: what it ends, and where the search for it stops.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
 SPACE = " \t\n\x0b\x0c\r"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+# A quote opens a value only after an equals sign; a tag ends at the first > outside such a value.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""(?<![^\s/"'])(class|id|role|hidden|aria-hidden|itemprop)(?![^\s=/>])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _GAPS = re.compile(r"[ \t\n\x0b\x0c\r]+")
+_DIGITS = re.compile(r"\d+")
+_named_cache: dict[str, tuple] = {}
+
+
+_paths: dict[tuple, int] = {}
+
+
+def _path(above: int, label: str) -> int:
+    """Hash of a node's path of labels."""
+    if (above, label) not in _paths:
+        if len(_paths) > 100_000:
+            _paths.clear()
+        _paths[above, label] = int.from_bytes(hashlib.blake2b(f"{above}/{label}".encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return _paths[above, label]
+
+
+class Block:
+    """A block element: the hash of its path of labels, its lines and child blocks in order, and the inline elements open in it."""
+
+    __slots__ = ("tag", "path", "out", "soft", "kind", "items", "open", "code")
+
+    def __init__(self, tag: str, path: int, out: bool, soft: bool, kind: str, code: bool):
+        self.tag, self.path, self.out, self.soft, self.kind, self.code = tag, path, out, soft, kind, code
+        self.items: list = []  # Blocks and (text, is a link)
+        self.open: list = []  # inline (tag, hides its text)
+
+
+def _names_other(word: str) -> bool:
+    """Whether a class or id word names something other than main text: all its parts do, or only place it."""
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    return any(p in OUT_WORDS for p in parts) and all(p in OUT_WORDS or p in PLACE_WORDS or p.isdigit() for p in parts)
 
 
-class Node:
-    __slots__ = ("tag", "names", "out", "kids")
-
-    def __init__(self, tag: str, names: str = "", out: bool = False):
-        self.tag, self.names, self.out, self.kids = tag, names, out, []
-
-
-def _named(attrs: str) -> tuple[str, bool]:
-    """What of the attributes tells elements apart, and whether they name something other than text."""
-    if not attrs or not attrs.strip(" /"):
-        return "", False
-    names, out = [], False
-    for key, *values in _ATTR.findall(attrs):
-        key, value = key.lower(), next(filter(None, values), "").lower()
-        if key in ("class", "id"):
-            out |= any(w in OUT_WORDS for w in _WORD.findall(value))
-            names.append(re.sub(r"\d+", "", value))
-        elif key == "role":
-            out |= value in OUT_ROLES
-        elif key == "hidden":
-            out = True
-        elif key == "aria-hidden":
-            out |= value == "true"
-        elif key == "itemprop" and value == "articlebody":
-            names.append("articlebody")
-    return " ".join(names), out
-
-
-def parse(page: str) -> Node:
-    """A tree of Nodes and strings; strings are raw text with references."""
-    root = Node("#root")
-    stack = [root]
+def _named(attrs: str) -> tuple[str, bool, bool, str]:
+    """Of the attributes: the words for the label, whether they hide the element, whether they name something else, its kind."""
+    if attrs not in _named_cache:
+        if len(_named_cache) > 10_000:
+            _named_cache.clear()
+        words, out, soft, kind = [], False, False, ""
+        for key, *values in _ATTR.findall(attrs):
+            key, value = key.lower(), html_lib.unescape(next(filter(None, values), "")).lower()
+            if key in ("class", "id"):
+                soft |= any(map(_names_other, value.split()))
+                words += _DIGITS.sub("", value).split()
+            elif key == "role":
+                soft |= value in OUT_ROLES
+                kind = {"article": "article", "main": "main"}.get(value, kind)
+            elif key == "hidden":
+                out = True
+            elif key == "aria-hidden":
+                out |= value == "true"
+            elif value == "articlebody":
+                kind = "body"
+        _named_cache[attrs] = " ".join(words), out, soft, kind
+    return _named_cache[attrs]
+
+
+def clean(raw: str) -> str:
+    return _GAPS.sub(" ", html_lib.unescape(raw)).strip(SPACE) if raw else ""
+
+
+def parse(page: str) -> Block:
+    """The tree of a page's blocks.  Every step is paid for by a tag or an element that it closes."""
+    root = Block("#root", 0, False, False, "", False)
+    stack, count = [root], {}
+    line: list[str] = []  # raw text of the current line
+    linked, links, hidden = True, 0, 0  # whether the line is all link; open links and hiding inline elements
+
+    def flush():
+        nonlocal linked
+        if line:
+            text = clean("".join(line))
+            if text:
+                stack[-1].items.append((text, linked))
+            line.clear()
+        linked = True
+
+    def add(raw):
+        nonlocal linked
+        if not hidden:
+            line.append(raw)
+            if not links and not raw.isspace():
+                linked = False
+
+    def close_inline(upto=0):
+        nonlocal links, hidden
+        inline = stack[-1].open
+        while len(inline) > upto:
+            tag, hides = inline.pop()
+            count[tag, stack[-1]] -= 1
+            links -= tag == "a"
+            hidden -= hides
+
+    def close_block():
+        flush()
+        close_inline()
+        count[stack.pop().tag] -= 1
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            stack[-1].kids.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[2]:
             continue
-        tag = tag.lower()
+        tag, attrs = m[2].lower(), m[3]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if tag in BLOCK:
+                if count.get(tag):
+                    while stack[-1].tag != tag:
+                        close_block()
+                    close_block()
+            elif count.get((tag, stack[-1])):
                 # an inline end tag does not end the block around it
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+                inline = stack[-1].open
+                i = len(inline) - 1
+                while inline[i][0] != tag:
+                    i -= 1
+                close_inline(i)
+            continue
+        if tag in ("br", "hr"):
+            flush()
+        if count.get("head") and tag not in IN_HEAD:
+            while stack[-1].tag != "head":
+                close_block()
+            close_block()
+        if tag in VOID:
             continue
-        if tag in CLOSES_P or tag in ("li", "dd", "dt", "td", "th", "tr"):
-            close = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, ("p",))
-            until = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}.get(tag, ("#root", "article", "div", "td", "th", "section", "main", "li", "blockquote", "body"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in close:
-                    del stack[i:]
-                    break
-                if stack[i].tag in until:
-                    break
-        names, out = _named(m[3])
-        node = Node(tag, names, out or tag in OUT)
-        stack[-1].kids.append(node)
+        words, out, soft, kind = _named(attrs) if attrs and not attrs.isspace() else ("", False, False, "")
+        code = stack[-1].code or tag in ("pre", "code")
+        soft = soft and not code and tag not in HEADING
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        elif tag in BLOCK:
+            flush()
+            if stack[-1].tag == "p":
+                close_block()
+            for ends, stops in [ENDS[tag]] if tag in ENDS else []:
+                if any(count.get(t) for t in ends):
+                    i = len(stack) - 1
+                    while i and stack[i].tag not in ends and stack[i].tag not in stops:
+                        i -= 1
+                    if i and stack[i].tag in ends:
+                        while len(stack) > i:
+                            close_block()
+            kind = kind or (tag if tag in ("article", "main") else "")
+            soft = soft and tag not in ("html", "body") and (kind != "article" or bool(ARTICLE_OUT.intersection(re.split(r"[ _-]+", words))))
+            # a block inside a hiding inline element stays hidden
+            block = Block(tag, _path(stack[-1].path, f"{tag}.{words}"), out or tag in OUT or hidden > 0, soft, kind, code)
+            stack[-1].items.append(block)
+            stack.append(block)
+            count[tag] = count.get(tag, 0) + 1
+        elif not (tag in ("svg", "math") and attrs.rstrip().endswith("/")):
+            hides = out or soft or tag in OUT
+            stack[-1].open.append((tag, hides))
+            count[tag, stack[-1]] = count.get((tag, stack[-1]), 0) + 1
+            links += tag == "a"
+            hidden += hides
+    while len(stack) > 1:
+        close_block()
+    flush()
     return root
 
 
-def clean(raw: str) -> str:
-    return _GAPS.sub(" ", html_lib.unescape(raw)).strip(SPACE) if raw else ""
+def _walk(root: Block, without: set = frozenset()) -> Iterator[tuple[Block, tuple]]:
+    """(block, line) in page order outside what is left out and the blocks whose id() is in without."""
+    todo = [(root, iter(root.items))]
+    while todo:
+        block, items = todo[-1]
+        item = next(items, None)
+        if item is None:
+            todo.pop()
+        elif isinstance(item, tuple):
+            yield block, item
+        elif not item.out and not item.soft and id(item) not in without:
+            todo.append((item, iter(item.items)))
+
+
+def articles(root: Block) -> list[Block]:
+    """The outermost articles in page order, or else the marked article bodies.
+
+    Class words hide an article only as long as another one is left.
+    """
+    for soft in (True, False):
+        found: dict[str, list[Block]] = {"article": [], "body": [], "main": []}  # main elements count below
+        todo = [(root, False)]
+        while todo:
+            block, inside = todo.pop()
+            if block.kind and not (inside and block.kind == "article"):
+                found[block.kind].append(block)
+            inside |= block.kind == "article"
+            todo += [(k, inside) for k in reversed(block.items) if isinstance(k, Block) and (not k.out or (k.tag == "form" and not soft)) and not (soft and k.soft)]
+        for kind in ("article", "body"):
+            if found[kind]:
+                return found[kind]
+    return []
+
+
+def mains(root: Block) -> list[Block]:
+    """The main elements, in page order."""
+    found, todo = [], [root]
+    while todo:
+        block = todo.pop()
+        if block.kind == "main":
+            found.append(block)
+        else:
+            todo += [k for k in reversed(block.items) if isinstance(k, Block) and not k.out]
+    return found
 
 
-def _blocks(node: Node, out: list[str], skip=None, path: tuple = ()) -> None:
-    """Texts of the node's blocks, in order; skip(path, text) leaves out template texts."""
-    line: list[str] = []
+def _digest(*parts) -> bytes:
+    return hashlib.blake2b("\x1f".join(map(str, parts)).encode(errors="surrogatepass"), digest_size=16).digest()
 
-    def flush(p):
-        text = clean("".join(line))
-        line.clear()
-        if text and not (skip and skip(p, text)):
-            out.append(text)
 
-    # an explicit stack: nesting can be as deep as the page is long
-    todo: list = [(node, iter(node.kids), path)]
-    while todo:
-        at, kids, p = todo[-1]
-        kid = next(kids, None)
-        if kid is None:
-            todo.pop()
-            if at.tag in BLOCK or not todo:
-                flush(p)
-        elif isinstance(kid, str):
-            line.append(kid)
-        elif not kid.out:
-            q = (*p, _label(kid))
-            if kid.tag in BLOCK:
-                flush(p)
-            todo.append((kid, iter(kid.kids), q))
+def _slots(root: Block, template: frozenset = frozenset()) -> Iterator[tuple[Block, str]]:
+    """(block, text) of the lines of a page without marked articles, in page order."""
+    for top in mains(root) or [root]:
+        for block, line in _walk(top):
+            if not (line[1] and block.tag == "li") and not (template and _digest(block.path, line[0]) in template):
+                yield block, line[0]
 
 
-def _label(node: Node) -> str:
-    return f"{node.tag}.{node.names}" if node.names else node.tag
+def _text(root: Block, marked: list[Block], template: frozenset = frozenset()) -> str:
+    if marked:
+        return " ".join(line[0] for a in marked for _, line in _walk(a))
+    return " ".join(text for _, text in _slots(root, template))
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost article bodies, or else the main elements, outside what is left out."""
-    found: dict[str, list[Node]] = {"body": [], "article": [], "main": []}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        for kid in reversed(node.kids) if not node.out else []:
-            if isinstance(kid, str) or kid.out:
-                continue
-            kind = "body" if "articlebody" in kid.names else kid.tag if kid.tag in ("article", "main") else None
-            if kind:
-                found[kind].append(kid)
-            if kind != "article":
-                todo.append(kid)
-    return found["article"] or found["body"] or found["main"]
-
-
-# -- wrappers: nested lists [label, text or None, children]; text None is a slot ------------------
-
-
-def skeleton(node: Node, deep: int = 40) -> list:
-    """A page's tree for alignment: labels, block texts, children; equal neighbours share a node."""
-    own = clean("".join(k for k in node.kids if isinstance(k, str)))
-    kids: list[list] = []
-    for k in node.kids if deep else []:
-        if isinstance(k, str) or k.out:
-            continue
-        s = skeleton(k, deep - 1)
-        if kids and kids[-1][0] == s[0]:
-            kids[-1] = merge(kids[-1], s)
-        else:
-            kids.append(s)
-    return [_label(node), own, kids]
-
-
-def match_size(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: the most node pairs that keep labels, levels and order."""
-    if a[0] != b[0]:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        rows = [0] * (len(b[2]) + 1)
-        for x in a[2]:
-            last = 0
-            for j, y in enumerate(b[2]):
-                up = rows[j + 1]
-                rows[j + 1] = max(up, rows[j], last + match_size(x, y, memo))
-                last = up
-        memo[key] = rows[-1] + 1
-    return memo[key]
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of two trees: aligned nodes keep their text where it agrees; lone nodes stay as they are."""
-    memo: dict = {}
-
-    def join(a, b):
-        xs, ys = a[2], b[2]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i in range(len(xs) - 1, -1, -1):
-            for j in range(len(ys) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + match_size(xs[i], ys[j], memo))
-        kids, i, j = [], 0, 0
-        while i < len(xs) or j < len(ys):
-            if i < len(xs) and j < len(ys) and xs[i][0] == ys[j][0] and best[i][j] == best[i + 1][j + 1] + match_size(xs[i], ys[j], memo):
-                kids.append(join(xs[i], ys[j]))
-                i, j = i + 1, j + 1
-            elif j >= len(ys) or (i < len(xs) and best[i][j] == best[i + 1][j]):
-                kids.append(_slots(xs[i]))
-                i += 1
-            else:
-                kids.append(_slots(ys[j]))
-                j += 1
-        folded: list[list] = []
-        for k in kids:
-            if folded and folded[-1][0] == k[0]:
-                folded[-1] = join(folded[-1], k)
-            else:
-                folded.append(k)
-        return [a[0], a[1] if a[1] == b[1] else None, folded]
-
-    return join(a, b)
-
-
-def _slots(a: list) -> list:
-    """A node that some page lacks: optional, so its texts are no template."""
-    return [a[0], None, [_slots(k) for k in a[2]]]
-
-
-def template_texts(wrapper: list) -> set:
-    """(path, text) of the wrapper's constant nodes."""
-    found, todo = set(), [(wrapper, ())]
-    while todo:
-        (label, text, kids), path = todo.pop()
-        if text:
-            found.add((path, text))
-        todo += [(k, (*path, k[0])) for k in kids]
-    return found
+def extract(page: str | None, template: frozenset = frozenset()) -> str:
+    """The main text of a page; template holds the digests of its host's template texts."""
+    root = parse(page or "")
+    return _text(root, articles(root), template)
 
 
-def extract(page: str | None, wrapper: list | None = None) -> str:
-    """The main text of a page; wrapper is its host's, if that has enough pages."""
-    root = parse(page or "")
-    articles = _articles(root)
-    out: list[str] = []
-    if articles:
-        for a in articles:
-            _blocks(a, out)
-    else:
-        constant = template_texts(wrapper) if wrapper else set()
-        _blocks(root, out, (lambda p, text: (p, text) in constant) if constant else None)
-    return " ".join(out)
+def node_texts(page: str) -> tuple[bytes, set[tuple[int, bytes | None]]]:
+    """A digest of the page's text by markup alone, and (path, digest of a text) of its nodes outside marked articles.
 
+    A node itself has the pair (path, None).
+    """
+    root = parse(page)
+    marked = articles(root)
+    found: set = set()
+    inside = {id(a) for a in marked}
+    for block, line in _walk(root, inside):
+        found |= {(block.path, None), (block.path, _digest(block.path, line[0]))}
+    return _digest(_text(root, marked)), found
 
-# -- the Spark side --------------------------------------------------------------------------------
 
-_PARTIAL = "host string, salt int, pages array<string>, wrapper string"
+# -- the Spark side --------------------------------------------------------------------------------
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _fold(parts):
-    """Partial wrappers of one host as one: up to LEAST_PAGES page digests, and the wrapper."""
-    pages, wrapper = set(), None
-    for digests, w in parts:
-        pages.update(digests)
-        if w is not None:
-            wrapper = w if wrapper is None else merge(wrapper, w)
-    return sorted(pages)[:LEAST_PAGES], wrapper
-
-
-def partial_wrappers(pages: DataFrame) -> DataFrame:
-    """One partial wrapper for each host and batch."""
+def nodes(pages: DataFrame) -> DataFrame:
+    """host, page, path, text: the nodes of each page and their texts, as digests; text is null for the node itself."""
 
     def run(batches):
         for batch in batches:
-            of: dict[str, tuple[set, list]] = {}
+            rows: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if not page:
-                    continue
-                tree = parse(page)
-                # a marked article is the text whatever its template; only other pages need a wrapper's texts
-                tree = skeleton(tree)
-                digest = hashlib.md5(json.dumps(tree).encode()).hexdigest()
-                seen, folded = of.get(host, (set(), None))
-                if digest not in seen:
-                    of[host] = (seen | {digest} if len(seen) < LEAST_PAGES else seen, tree if folded is None else merge(folded, tree))
-            rows = [(h, int(hashlib.md5(f"{h}/{min(d)}".encode()).hexdigest()[:6], 16) % SALTS, sorted(d)[:LEAST_PAGES], json.dumps(w)) for h, (d, w) in of.items()]
+                if page:
+                    digest, found = node_texts(page)
+                    rows += [(host, digest, path, text) for path, text in found]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.string())], names=["host", "salt", "pages", "wrapper"])
-
-    return pages.mapInArrow(run, _PARTIAL)
-
+            kinds = [pa.string(), pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "path", "text"])
 
-def _folded(parts: DataFrame, *keys: str) -> DataFrame:
-    def fold(pdf):
-        pages, wrapper = _fold((p, json.loads(w)) for p, w in zip(pdf["pages"], pdf["wrapper"], strict=True))
-        return pdf.head(1).assign(pages=[pages], wrapper=json.dumps(wrapper))
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page binary, path bigint, text binary")
 
-    return parts.groupBy(*keys).applyInPandas(fold, _PARTIAL)
 
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host with LEAST_PAGES different pages."""
-    named = pages.select(host_of(F.col("url")).alias("host"), "html")
-    parts = _folded(_folded(partial_wrappers(named), "host", "salt"), "host")
-    return parts.where(F.size("pages") >= LEAST_PAGES).select("host", "wrapper")
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template (digests of the texts that all pages with their node have there) of the hosts that have any."""
+    each = nodes(pages).distinct().groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    each = stored(each)
+    held = each.where("text IS NULL").select("host", "path", "n")
+    # a text on all pages of its node is on each of them, so a host's list is no longer than its pages' own nodes
+    return each.where("text IS NOT NULL").join(held, ["host", "path", "n"]).groupBy("host").agg(F.collect_list("text").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages."""
-    from .common import stored
-
-    found = stored(wrappers(pages))
-    size = found.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
+    found = stored(templates(pages))
+    size = found.agg(F.coalesce(F.sum(F.size("template") * 16 + 64), F.lit(0))).first()[0]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     met = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
@@ -344,16 +360,16 @@ def main_text(pages: DataFrame) -> DataFrame:
         ready: dict = {}
         for batch in batches:
             texts = []
-            for page, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if w is not None and w not in ready:
+            for page, host, template in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("template"), strict=True):
+                if host not in ready:
                     if len(ready) > 1000:
                         ready.clear()
-                    ready[w] = json.loads(w)
-                texts.append(extract(page, ready.get(w)))
+                    ready[host] = frozenset(template.as_py() or ())
+                texts.append(extract(page, ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     types = dict(pages.dtypes)
-    return met.select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
+    return met.select("page_id", "url", "html", "host", "template").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
