@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's smallest node) of every node with an edge; edges: u, v integers.
 
     Minima are pre-aggregated and met again by joins, so a node with many edges is no single task's;
-    rounds are written to the shared folder, and their number follows the logarithm of the longest path.
+    rounds are written to the shared folder, the last one stays there, and their number follows the logarithm of the longest path.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = stored(edges), None
     state = _state(now)
     while state != before:
         before = state
-        now = stored(_small(_large(now)).where("u <> v").distinct())
+        last, now = now, stored(_small(_large(now)).where("u <> v").distinct())
+        release(last)
         state = _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -7,24 +7,30 @@ them: an account name is reported with a secret near it, an opaque string with a
 endpoint near it, an endpoint with both an identifier and a secret near it.  A weak part that
 overlaps a base span is the base span's and is not reported again.
 
-All of it happens inside the row: patterns give pieces and matches, whose lengths give positions;
-the join looks at the neighbours in order of start.  Parts of one kind do not overlap and have a
-least length, so no more than ``NEIGHBOURS`` parts can start within a scope on either side: looking
-at that many is exact and linear.
+All of it happens inside the row: patterns give pieces and matches, whose running lengths are
+positions.  Whether a base span reaches into a weak part is told by the running maximum of base ends
+from the left and of base starts from the right.  Parts of one kind do not overlap and have a least
+length, so no more than ``NEIGHBOURS`` parts can start within a scope on either side: the interval
+join looks at that many, which loses none.  Running values are made chunk by chunk, so a text of very
+many spans costs little more than its length.
 
 Edge cases: null and empty texts have no spans.  Repeated rows give repeated results.  Positions
-are code points, end exclusive.  Input columns other than doc_id and text are not read.
+are code points, end exclusive.  Of the input only doc_id and text are read; redact() carries all other
+columns along, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SCOPE = 256
 NEIGHBOURS = 128
+#: Array elements that a running value is carried over at once.
+CHUNK = 256
+_FAR = 2**31 - 1
 
 # Fixed patterns of the three base kinds; runs too short to count are left out by the repeat counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -49,20 +55,49 @@ def _accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _chunks(xs: Column) -> Column:
+    last = F.floor((F.size(xs) - 1) / CHUNK).cast("int")
+    return F.when(F.size(xs) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _running(xs: Column, combine) -> Column:
+    """The sums or maxima of an array of non-negative integers up to and with each element."""
+
+    def scan(part, first):
+        def step(s, x):
+            v = combine(s["last"], x)
+            return F.struct(v.alias("last"), F.array_append(s["out"], v).alias("out"))
+
+        return F.aggregate(part, F.struct(first.alias("last"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def chunked(xs):
+        part = lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK))
+        totals = F.transform(_chunks(xs), lambda c: F.aggregate(part(c), F.lit(0), combine))
+        firsts = F.concat(F.array(F.lit(0)), scan(totals, F.lit(0)))
+        return _let(firsts, lambda f: F.flatten(F.transform(_chunks(xs), lambda c: scan(part(c), F.get(f, c)))))
+
+    return _let(xs, chunked)
+
+
 def matches(text: Column, kind: str) -> Column:
     """Spans of one kind in order: array of start, kind_no, end."""
     pattern, number = KINDS[kind][0], list(KINDS).index(kind)
-    none = F.array().cast(_SPANS)
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & _accepted(kind, x["hit"]), F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+    def found(hits):
+        lengths = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.length(gap) + F.coalesce(F.length(hit), F.lit(0)))
+        spans = F.zip_with(hits, _running(lengths, lambda a, b: a + b), lambda hit, end: F.when(hit.isNotNull() & _accepted(kind, hit), F.struct((end - F.length(hit)).alias("start"), F.lit(number).alias("kind_no"), end.alias("end"))))
+        return F.filter(spans, lambda s: s.isNotNull()).cast(_SPANS)  # the last piece has no match after it
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)).otherwise(F.array().cast(_SPANS))
 
 
 def _part(span: Column) -> Column:
@@ -71,36 +106,44 @@ def _part(span: Column) -> Column:
 
 def linked(base: Column, weak: Column) -> Column:
     """The weak spans that have complementary parts in their scope and overlap no base span."""
-    parts = F.array_sort(F.concat(base, weak))
 
-    def near(i, span, *wanted):
-        first = F.greatest(i + 1 - NEIGHBOURS, F.lit(1))
-        others = F.slice(parts, first, F.lit(2 * NEIGHBOURS + 1))
-        return F.exists(others, lambda o: _part(o).isin(*wanted) & (F.abs(o["start"] - span["start"]) <= SCOPE) & (o != span))
+    def join(parts, ends, starts):
+        def keep(span, i):
+            others = F.slice(parts, F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), F.lit(2 * NEIGHBOURS + 1))
+
+            def near(*wanted):
+                return F.exists(others, lambda o: _part(o).isin(*wanted) & (F.abs(o["start"] - span["start"]) <= SCOPE) & (o != span))
+
+            covered = (F.get(ends, i) > span["start"]) | (_FAR - F.get(starts, F.size(parts) - 1 - i) < span["end"])
+            rule = F.when(_part(span) == "id", near("secret")).when(_part(span) == "secret", near("id", "endpoint")).otherwise(near("id") & near("secret"))
+            return (span["kind_no"] >= BASE) & ~covered & rule
+
+        return F.filter(parts, keep)
+
+    def of_base(value):
+        return lambda s: F.when(s["kind_no"] < BASE, value(s)).otherwise(0)
+
+    def sides(parts):
+        ends = _running(F.transform(parts, of_base(lambda s: s["end"])), _largest)
+        starts = _running(F.transform(F.reverse(parts), of_base(lambda s: _FAR - s["start"])), _largest)
+        return _let(ends, lambda e: _let(starts, lambda s: join(parts, e, s)))
 
-    def keep(span, i):
-        first = F.greatest(i + 1 - NEIGHBOURS, F.lit(1))
-        covered = F.exists(F.slice(parts, first, F.lit(2 * NEIGHBOURS + 1)), lambda o: (o["kind_no"] < BASE) & (o["start"] < span["end"]) & (span["start"] < o["end"]))
-        rule = (
-            F.when(_part(span) == "id", near(i, span, "secret"))
-            .when(_part(span) == "secret", near(i, span, "id", "endpoint"))
-            .otherwise(near(i, span, "id") & near(i, span, "secret"))
-        )
-        return (span["kind_no"] >= BASE) & ~covered & rule
+    return F.when(F.size(weak) > 0, _let(F.array_sort(F.concat(base, weak)), sides)).otherwise(F.array().cast(_SPANS))
 
-    return F.when(F.size(weak) > 0, F.filter(parts, keep)).otherwise(F.array().cast(_SPANS))
+
+def _scanned(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with a struct of base (base spans in order) and spans (with the linked weak ones, in order)."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    base = F.array_sort(F.concat(*[matches(t, k) for k in list(KINDS)[:BASE]]))
+    weak = F.concat(*[matches(t, k) for k in list(KINDS)[BASE:]])
+    found = docs.withColumn(name, F.struct(base.alias("base"), weak.alias("weak")))
+    every = F.array_sort(F.concat(F.col(name)["base"], linked(F.col(name)["base"], F.col(name)["weak"])))
+    return found.withColumn(name, F.struct(F.col(name)["base"].alias("base"), every.alias("spans")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (base spans in order) and spans (with the linked weak ones, in order)."""
-    named = docs
-    for kind in KINDS:
-        named = named.withColumn(f"_{kind}", matches(F.coalesce(F.col(text), F.lit("")), kind))
-    kinds = list(KINDS)
-    named = named.withColumn("base", F.array_sort(F.concat(*[f"_{k}" for k in kinds[:BASE]])))
-    named = named.withColumn("weak", F.concat(*[f"_{k}" for k in kinds[BASE:]]))
-    named = named.withColumn("spans", F.array_sort(F.concat("base", linked(F.col("base"), F.col("weak")))))
-    return named.drop("weak", *[f"_{k}" for k in kinds])
+    """doc_id, base (base spans in order) and spans (with the linked weak ones, in order) of each row."""
+    return _scanned(docs.select("doc_id", text), text, "_found").select("doc_id", "_found.base", "_found.spans")
 
 
 def written(spans: Column) -> Column:
@@ -111,18 +154,29 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by a mark; overlapping spans share one mark."""
-    found = scan(docs, text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        gap = F.col(text).substr(s["at"] + 1, x["start"] - s["at"])
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when((x["start"] >= s["at"]), F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"),
-        )
-
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.col(text).substr(s["at"] + 1, F.length(text))))
-    found = found.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
+    name = fresh(docs, "_found")
+    found, whole = _scanned(docs, text, name), F.col(text)
+    spans = F.col(name)["spans"]
+
+    def joined(cuts):
+        """The gaps before the marks, each cut out of the stretch of text that its chunk covers."""
+
+        def chunk(c):
+            own = F.slice(cuts, c * CHUNK + 1, F.lit(CHUNK))
+            stretch = lambda xs: whole.substr(F.get(xs, F.lit(0))["at"] + 1, F.element_at(xs, -1)["start"] - F.get(xs, F.lit(0))["at"])
+            gaps = lambda xs, t: F.transform(xs, lambda x: F.concat(t.substr(x["at"] - F.get(xs, F.lit(0))["at"] + 1, x["start"] - x["at"]), F.lit(mark)))
+            return _let(own, lambda xs: _let(stretch(xs), lambda t: F.array_join(gaps(xs, t), "")))
+
+        return F.array_join(F.transform(_chunks(cuts), chunk), "")
+
+    def cut(ends):
+        # a mark begins where no earlier span reaches
+        before = F.concat(F.array(F.lit(0)), ends)
+        cuts = F.filter(F.zip_with(spans, before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"))), lambda x: x["start"] >= x["at"])
+        return F.concat(_let(cuts, joined), whole.substr(F.element_at(ends, -1) + 1, F.length(whole)))
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), _largest)
+    found = found.withColumn(text, F.when(F.size(spans) > 0, _let(ends, cut)).otherwise(whole))
     return found.select(*docs.columns)
 
 

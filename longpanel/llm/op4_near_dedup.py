@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, slices, stored, word_hashes
+from .common import gram_hashes, mix, release, slices, stored, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -286,7 +286,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 ORACLE = r"""
@@ -298,6 +298,6 @@ e AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc
 b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 r(u, root) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.u WHERE r.root < b.v),
 c AS (SELECT u, min(root) AS root FROM r GROUP BY u)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id
 """
