@@ -10,13 +10,15 @@ from the clean documents' best segments, ``E = K n exp(-lambda S)``; significant
 of the significant passages' total, fitted on the same training rows.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows a class, the smallest hashes of
-doc_id; the training fold is crc32(doc_id) mod 5 <> 0.  At most ``TOKENS`` token weights, those
-furthest from zero, are kept.  Scoring covers every document whole.
+doc_id; the training fold is crc32(doc_id) mod 5 <> 0.  All weights that the sample supports are kept,
+so it bounds them too.  Scoring covers every document whole, a very long text in one pass.
 
 Edge cases: null and empty texts have no tokens and get the score of no evidence.  Labels that
 contradict each other for an id count as toxic.  Without training rows of both classes every score
-is the share of toxic labels (0 without any).  Repeated rows give repeated results; only the named
-columns are read.
+is the share of toxic labels (0 without any).  A null doc_id is in no fold: it is neither learnt from nor
+held out.  Of segments with equal sums the shortest counts, then the first.  Repeated rows give repeated
+results.  score() reads doc_id and text alone; unmarked() carries all other columns along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, stored
+from .common import crc32_of_id, fresh, release, stored
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 20_000
-#: Token and prefix weights that are kept, at most.
-TOKENS = 200_000
+#: Words whose weights a worker remembers.
+REMEMBERED = 200_000
 PRIOR = 4.0
 SIGNIFICANT = 1e-3
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -70,14 +72,14 @@ def segments(scores: np.ndarray, at: np.ndarray | None = None) -> list[tuple[int
 
 
 class Weights(dict):
-    """The weight of each word asked for, kept for the next time; TOKENS words at most."""
+    """The weight of each word asked for, kept for the next time."""
 
     def __init__(self, weights: dict):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str):
-        if len(self) >= TOKENS:
+        if len(self) >= REMEMBERED:
             self.clear()
         v = self[word] = _weight(word, self.weights)
         return v
@@ -133,13 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             yield pd.DataFrame({"token": list(out), "clean": [c[0] for c in out.values()], "toxic": [c[1] for c in out.values()]})
 
     sums = {"clean": F.sum("clean").alias("clean"), "toxic": F.sum("toxic").alias("toxic")}
-    counted = rows.mapInPandas(count, "token string, clean bigint, toxic bigint").groupBy("token").agg(*sums.values())
+    # read for totals, prefixes and each kind of weight
+    counted = stored(rows.mapInPandas(count, "token string, clean bigint, toxic bigint").groupBy("token").agg(*sums.values()))
     four, five = (counted.groupBy(F.substring("token", 1, k).alias(f"p{k}")).agg(F.sum("clean").alias(f"c{k}"), F.sum("toxic").alias(f"t{k}")) for k in (4, 5))
     total = counted.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     docs_of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(total[0]), float(total[1])
     model = {"weights": {}, "background": 0.0, "lam": 1.0, "K": 1.0, "coef": None, "share": docs_of.get(1, 0) / max(1, sum(docs_of.values()))}
     if not n0 or not n1:
+        release(rows, counted)
         return model
     share1 = n1 / (n0 + n1)
 
@@ -153,14 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     both = counted.select("*", F.substring("token", 1, 4).alias("p4"), F.substring("token", 1, 5).alias("p5")).join(four, "p4").join(five, "p5")
     r4 = rate(F.col("c4"), F.col("t4"), F.lit(share1))
     r5 = rate(F.col("c5"), F.col("t5"), r4)
-    scored = both.select("token", "p4", "p5", "clean", "toxic", odds(F.col("clean"), F.col("toxic"), r5).alias("w"), odds(F.col("c5"), F.col("t5"), r4).alias("w5"), odds(F.col("c4"), F.col("t4"), F.lit(share1)).alias("w4"), (F.col("c4") + F.col("t4")).alias("n4"), (F.col("c5") + F.col("t5")).alias("n5"))
+    scored = stored(both.select("token", "p4", "p5", "clean", "toxic", odds(F.col("clean"), F.col("toxic"), r5).alias("w"), odds(F.col("c5"), F.col("t5"), r4).alias("w5"), odds(F.col("c4"), F.col("t4"), F.lit(share1)).alias("w4"), (F.col("c4") + F.col("t4")).alias("n4"), (F.col("c5") + F.col("t5")).alias("n5")))
     strong = lambda w, n: (F.abs(w) > 1.0) & (n >= 3)
     names = (
         scored.select(F.lit("").alias("kind"), F.col("token").alias("key"), F.col("w"), (F.col("clean") + F.col("toxic")).alias("n"))
         .unionByName(scored.select(F.lit("5").alias("kind"), F.col("p5").alias("key"), F.col("w5").alias("w"), F.col("n5").alias("n")).distinct())
         .unionByName(scored.select(F.lit("4").alias("kind"), F.col("p4").alias("key"), F.col("w4").alias("w"), F.col("n4").alias("n")).distinct())
     )
-    kept = names.where(strong(F.col("w"), F.col("n")) & ((F.col("kind") == "") | (F.length("key") >= F.col("kind").try_cast("int")))).orderBy(F.desc(F.abs("w") * F.sqrt("n")), "kind", "key").limit(TOKENS).toPandas()
+    kept = names.where(strong(F.col("w"), F.col("n")) & ((F.col("kind") == "") | (F.length("key") >= F.col("kind").try_cast("int")))).select("kind", "key", "w").toPandas()  # no more than the sample's tokens
     weights = {(k if not kind else (kind, k)): float(w) for kind, k, w in zip(kept["kind"], kept["key"], kept["w"], strict=True)}
     # tokens without a weight of their own share what is left, as one class
     own = scored.where(strong(F.col("w"), F.col("clean") + F.col("toxic"))).agg(F.sum("clean"), F.sum("toxic")).first()
@@ -187,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             yield pd.DataFrame(out, columns=["y", "x0", "x1"])
 
     data = rows.mapInPandas(evidence, "y int, x0 double, x1 double").toPandas()  # 2 * sample rows at most
+    release(rows, counted, scored)
     x = np.c_[np.ones(len(data)), data[["x0", "x1"]].to_numpy(float)]
     model["coef"] = logistic(x, data["y"].to_numpy(float))
     return model
@@ -248,13 +253,12 @@ def probability(words: list[str], model: dict, measured: tuple | None = None) ->
     return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with score (double) and passages (array of first, end, score, e)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TOKENS weights
+def _scored(docs: DataFrame, model: dict, text: str, name: str) -> DataFrame:
+    """docs with a struct of score (double) and passages (array of first, end, score, e)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     known: dict = {}  # a task's own, filled there
-    kind = "score double, passages array<struct<first:int,end:int,score:double,e:double>>"
 
-    @F.pandas_udf(f"struct<{kind.replace(' double', ':double').replace(' array', ':array').replace(', ', ',')}>")
+    @F.pandas_udf("struct<score:double,passages:array<struct<first:int,end:int,score:double,e:double>>>")
     def run(column: pd.Series) -> pd.DataFrame:
         if not known:
             known.update(shared.value | {"weights": Weights(shared.value["weights"])})
@@ -265,11 +269,23 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             out.append((probability(words, known, measured), [dict(zip(("first", "end", "score", "e"), p, strict=True)) for p in passages(words, known, measured)]))
         return pd.DataFrame(out, columns=["score", "passages"])
 
-    return docs.withColumn("_tox", run(F.col(text))).select(*docs.columns, "_tox.score", "_tox.passages")
+    return docs.withColumn(name, run(F.col(text)))
+
+
+def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """doc_id, score and passages of each row of docs."""
+    return _scored(docs.select("doc_id", text), model, text, "_tox").select("doc_id", "_tox.score", "_tox.passages")
+
+
+def unmarked(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under 0.5."""
+    name = fresh(docs, "_tox")
+    return _scored(docs, model, text, name).where(F.col(name)["score"] < 0.5).select(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

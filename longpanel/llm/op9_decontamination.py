@@ -55,8 +55,7 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     test = windows(bench, n)
     lengths = [(r["len"], r["c"]) for r in test.groupBy("len").agg(F.count("*").alias("c")).orderBy("len").collect()]  # n rows at most
     test = test.select("len", _key(F.col("w"), F.lit(0), n, F.col("len")).alias("key"), F.col("w").alias("test_w"), "items")
-    if sum(c for _, c in lengths) <= BROADCAST_WINDOWS:
-        test = F.broadcast(test)
+    small = sum(c for _, c in lengths) <= BROADCAST_WINDOWS
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_append(words(F.col("text")), F.lit(None).cast("string")).alias("ws"))
     # outer: for an inner one the optimizer would put a filter below that cuts the text once more
     at = rows.select("*", F.posexplode_outer("ws").alias("at", "word")).withColumn("n_words", F.size("ws") - 1)
@@ -66,12 +65,26 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     else:
         at = at.withColumn("len", F.lit(sizes[0]))
     at = at.withColumn("key", F.when(F.col("at") + F.col("len") <= F.col("n_words"), _key(F.col("ws"), F.col("at"), n, F.col("len"))))
-    met = at.join(test, ["len", "key"], "left")
+    if not small:
+        return _by_shuffle(rows, at, test)
+    met = at.join(F.broadcast(test), ["len", "key"], "left")
     end = (F.col("at") == F.col("n_words")) & (F.col("len") == sizes[0])
     met = met.where(end | (F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("test_w")))
     return met.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.when(~end, F.col("at")).alias("at"), "len", "items")
 
 
+def _by_shuffle(rows: DataFrame, at: DataFrame, test: DataFrame) -> DataFrame:
+    """scan() for a large hash set: only keys cross the shuffle, and words are fetched for rows with hits alone."""
+    probes = at.where(F.col("key").isNotNull()).select("doc_id", "text_key", "at", "len", "key")
+    met = probes.join(test, ["len", "key"]).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "at", "len", "test_w", "items")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
+    n_words = (F.size("ws") - 1).cast("long").alias("n_words")
+    texts = rows.join(met.select("hit_id", "hit_key").distinct(), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    found = met.join(texts, same).where(F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("test_w"))
+    ends = rows.select("doc_id", "text_key", n_words, F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(test.schema["items"].dataType).alias("items"))
+    return found.select("doc_id", "text_key", n_words, "at", "len", "items").unionByName(ends)
+
+
 def hits(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     """Verified hits: doc_id, text_key, at (0-based word position), len, items."""
     return scan(docs, bench, n).where(F.col("at").isNotNull()).drop("n_words")

@@ -43,6 +43,32 @@ def test_segments_against_definition():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in maximal_segments(scores)])
 
 
+def test_extreme_values_against_their_formulas():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        s, c = rng.uniform(-3, 2, 12), rng.integers(1, 50, 12)
+        s[0], p = 1.0, c / c.sum()
+        s -= max(0.0, float(p @ s)) + 0.05
+        lam = op2_toxicity._lambda(s, c)
+        if (s > 0).any():
+            assert float(p @ np.exp(lam * s)) == pytest.approx(1, abs=1e-6)
+        else:
+            assert lam == 1.0
+    model = {"weights": {"bad": 2.0, "good": -3.0}, "background": -0.1, "lam": 0.7, "K": 0.05, "coef": np.array([-1.0, 0.5, 0.25])}
+    words = "x bad bad bad x good good good bad bad bad bad bad".split()
+    found = op2_toxicity.token_segments(words, model["weights"], -0.1)
+    assert found == [(1, 4, 6.0), (8, 13, 10.0)]
+    e = [0.05 * 13 * np.exp(-0.7 * s) for *_, s in found]
+    assert [p[3] for p in op2_toxicity.passages(words, model)] == pytest.approx([x for x in e if x <= 1e-3])
+    z = -1 + 0.5 * -np.log(e[1]) + 0.25 * np.log1p(sum(s for (*_, s), x in zip(found, e, strict=True) if x <= 1e-3))
+    assert op2_toxicity.probability(words, model) == pytest.approx(1 / (1 + np.exp(-z)))
+    # Newton's logistic has a zero gradient
+    x = np.c_[np.ones(80), rng.normal(size=(80, 2))]
+    y = (x[:, 1] + rng.normal(size=80) > 0).astype(float)
+    b = op2_toxicity.logistic(x, y)
+    assert x.T @ (y - 1 / (1 + np.exp(-x @ b))) - np.diag([1e-6, 1, 1]) @ b == pytest.approx(np.zeros(3), abs=1e-6)
+
+
 def test_toxicity_generalises(spark):
     """Held-out accuracy on the labelled rows of the larger test table."""
     folder = "/root/testdata/sf0.01"
@@ -57,7 +83,7 @@ def test_toxicity_folds_and_edges(spark):
     docs = spark.createDataFrame([(i, "vile vile stuff" if i % 2 else "plain calm talk", 5.0) for i in range(60)] + [(900, None, None), (901, "", None), (None, "plain", None)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = op2_toxicity.fit(docs, labels)
-    got = {r["doc_id"]: r for r in op2_toxicity.score(docs.drop("score"), model).collect()}
+    got = {r["doc_id"]: r for r in op2_toxicity.score(docs, model).collect()}
     assert len(got) == 63
     assert all((got[i]["score"] >= 0.5) == bool(i % 2) for i in range(60))
     assert got[900]["score"] == got[901]["score"] < 0.5
@@ -66,9 +92,13 @@ def test_toxicity_folds_and_edges(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
     other = labels.withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert op2_toxicity.fit(docs, other)["weights"] == model["weights"]
+    # columns of the operator's own names are carried along
+    kept = op2_toxicity.unmarked(docs, model)
+    assert kept.columns == docs.columns
+    assert {r["score"] for r in kept.collect()} == {5.0, None} and kept.count() == 33
     # without labels there is nothing to tell texts apart
     nothing = op2_toxicity.fit(docs, labels.where("doc_id < 0"))
-    assert {r["score"] for r in op2_toxicity.score(docs.drop("score"), nothing).collect()} == {0.0}
+    assert {r["score"] for r in op2_toxicity.score(docs, nothing).collect()} == {0.0}
 
 
 # -- secrets -----------------------------------------------------------------------------------------
