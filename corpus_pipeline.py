@@ -21,8 +21,7 @@ from longpanel.llm.common import stored
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = op2_toxicity.score(docs, op2_toxicity.fit(docs, labels))
-    return scored.where("score < 0.5").select(docs.columns)
+    return op2_toxicity.unmarked(docs, op2_toxicity.fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
