@@ -1,21 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-All counts come from every training document.  Words whose share of all training tokens is at least
-``FREQUENT`` (so at most 1 / FREQUENT of them) form the automaton's alphabet; n-grams of them whose
-share is at least ``KEPT`` (so at most 1 / KEPT of each order) become states and arcs with absolute
-discounting.  A state is a context; an arc carries a log-probability and leads to the longest known
-suffix; a failure arc carries a backoff weight to the next shorter context.  Any other word is
-emitted by the empty context, with the smoothed unigram probability (c + 0.5) / (N + 0.5 (V + 1)),
-so the model is a proper distribution over texts.  One left-to-right traversal of a document carries
-the state and sums log-probabilities.
-
-The bounds above make the automaton a broadcast of proven size, alike at every corpus size.  Counts of
-the other words are not bounded, so the documents' rare words meet them in a join by word hash; such
-a word holds under FREQUENT of all tokens, so no key is hot.  Words are known by 64-bit hashes.
+States are contexts: two words, one word, none.  An arc of a context c is an n-gram with count n(c w); it
+carries log10 P(w | c) and leads to the longest context known of the text so far.  A failure arc leads
+from a context to the next shorter one and carries log10 (m / (n(c) + m)).  Probabilities are smoothed
+by a Dirichlet prior from the shorter context,
+
+    P(w | c) = (n(c w) + m P(w | shorter c)) / (n(c) + m),    P(w) = (n(w) + 0.5) / (N + 0.5 (V + 1)),
+
+so those of all words, with one class for unseen ones, sum to one in every state, and no n-gram of the
+training documents is left out at any size.  As a state is known by the last two words, one pass from
+left to right over a text's words gives its states, arcs and failures, as array operations.
+
+The automaton is never in one place.  Documents are dealt out in chunks of about ``CHUNK_BYTES``.  A chunk
+sends the sorted hashes of its distinct n-grams, with their training counts, to shards of the hash
+range, packed by the shard; a shard adds the counts up and answers each chunk with the totals of its own
+n-grams in their order, which are the arcs that the chunk's texts can take.  Shards grow in number as
+chunks do, so their size stays, and a frequent n-gram is one entry a chunk.  N-grams are known by 63-bit hashes.
 
 Edge cases: null and empty texts have the end token alone.  A null doc_id is in training (its
 remainder is not 1) and keeps its null.  Without training tokens N = V = 0.  Repeated rows are rows
-of their own.  Only doc_id and text are read.
+of their own.  A very long text is in one chunk.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,213 +28,154 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, mix, slices, stored, word_hashes
 
-FREQUENT = 1e-5
-KEPT = 2e-6
-DISCOUNT = 0.6
-#: The hash that stands for the end token.
-END = -1
-_LOG10 = math.log(10)
+#: Weights of the shorter context's distribution in a one-word and in a two-word context.
+PRIORS = 200.0, 20.0
+CHUNK_BYTES = 8 << 20
+#: The hashes that stand for the end token and for the text's begin.
+END, START = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFE)
+_SEEDS = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
 
 
 def in_training(doc_id):
     return F.coalesce(crc32_of_id(doc_id) % 5 != 1, F.lit(True))
 
 
-def _documents(batch):
-    """Row number and signed word hashes, the end token last, of each row of a batch."""
-    for first, end, raw, off in slices(batch.column("text")):
+def chunks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, train and chunk of each row, and the number of chunks."""
+    # row numbers are written down, so a task that runs again deals its rows as before
+    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    parts = max(1, math.ceil(size / CHUNK_BYTES))
+    return rows.select("doc_id", "text", in_training(F.col("doc_id")).alias("train"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("chunk")), parts
+
+
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows, each row's end token included, and the first position of each row and of an extra one."""
+    found, first = [], [np.zeros(1, np.int64)]
+    for _, _, raw, off in slices(column):
         h, at = word_hashes(raw, off, lower=True)
-        h = h.view(np.int64)
-        h[h == END] = END - 1
-        for i in range(end - first):
-            yield first + i, np.append(h[at[i] : at[i + 1]], END)
-
-
-def _summed(batches, keys_of):
-    """Distinct keys and their counts, a few million positions at a time."""
-
-    def flush(parts):
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["key", "n"])
-
-    parts, size = [], 0
-    for batch in batches:
-        for _, h in _documents(batch):
-            k = keys_of(h)
-            parts.append(k)
-            size += len(k)
-            if size > 3_000_000:
-                yield flush(parts)
-                parts, size = [], 0
-    if parts:
-        yield flush(parts)
-
-
-def _table(docs: DataFrame, keys_of) -> DataFrame:
-    counted = docs.select("text").mapInArrow(lambda batches: _summed(batches, keys_of), "key bigint, n bigint")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States, arcs and failure arcs of the backoff model.  Word ids: 0 rare, 1 start, then the alphabet."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, pairs: dict, triples: dict):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.total, self.distinct = total, distinct
-        self.denominator = total + 0.5 * (distinct + 1)
-        self.unigram = [0.0, 0.0, *np.log((self.counts + 0.5) / self.denominator).tolist()]
-        count_of = [0, starts, *self.counts.tolist()]
-        # states: 0 empty context, 1.. one-word contexts in id order, then two-word contexts
-        words = len(count_of)
-        followers: dict[int, list] = {}
-        for (u, w), c in pairs.items():
-            followers.setdefault(u, []).append((w, c))
-        self.arcs: dict[int, tuple] = {}  # state * words + word -> next state, log-probability
-        self.fail, self.backoff = [0] * words, [0.0] * words  # one-word context u is state u
-        self.words = words
-        state_of = {}
-        for u, v in {k[:2] for k in triples}:
-            if (u, v) in pairs:
-                state_of[u, v] = len(self.fail)
-                self.fail.append(v)
-                self.backoff.append(0.0)
-        p1 = np.exp(self.unigram)
-        p2 = {}
-        for u, fs in followers.items():
-            c_u = max(count_of[u], sum(c for _, c in fs))
-            kept = sum((c - DISCOUNT) / c_u for _, c in fs)
-            rest = 1 - sum(p1[w] for w, _ in fs)
-            self.backoff[u] = math.log(max(1 - kept, 1e-9) / max(rest, 1e-9))
-            for w, c in fs:
-                p2[u, w] = (c - DISCOUNT) / c_u
-        for (u, w), p in p2.items():
-            self.arcs[u * words + w] = state_of.get((u, w), w), math.log(p)
-        third: dict[tuple, list] = {}
-        for (u, v, w), c in triples.items():
-            if (u, v) in state_of:
-                third.setdefault((u, v), []).append((w, c))
-        back2 = lambda v, w: p2.get((v, w)) or math.exp(self.backoff[v]) * p1[w]
-        for (u, v), fs in third.items():
-            c_uv = max(pairs[u, v], sum(c for _, c in fs))
-            kept = sum((c - DISCOUNT) / c_uv for _, c in fs)
-            rest = 1 - sum(back2(v, w) for w, _ in fs)
-            s = state_of[u, v]
-            self.backoff[s] = math.log(max(1 - kept, 1e-9) / max(rest, 1e-9))
-            for w, c in fs:
-                self.arcs[s * words + w] = state_of.get((v, w), w), math.log((c - DISCOUNT) / c_uv)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 2, 0)
-
-    def walk(self, ids: list[int]) -> float:
-        """Log-probability without the unigram terms of rare words, by one traversal from the start state."""
-        arcs, fail, backoff, unigram, words = self.arcs, self.fail, self.backoff, self.unigram, self.words
-        state, total = 1, 0.0
-        for w in ids:
-            while True:
-                arc = arcs.get(state * words + w)
-                if arc is not None:
-                    state, p = arc
-                    total += p
-                    break
-                if not state:
-                    total += unigram[w]
-                    state = w
-                    break
-                total += backoff[state]
-                state = fail[state]
-        return total
-
-
-def learn(docs: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (key, n) of all training words."""
-    train = docs.where(in_training(F.col("doc_id")))
-    counts = stored(_table(train, lambda h: h))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("n") >= max(1.0, FREQUENT * total)).toPandas()  # at most 1 / FREQUENT rows
-    hashes, n = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    starts = train.count()
-    order = np.argsort(hashes)
-    known = docs.sparkSession.sparkContext.broadcast(hashes[order])
-    size = len(hashes) + 2
-
-    def grams(h: np.ndarray, k: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known.value, h), max(len(known.value) - 1, 0))
-        ids = np.where(known.value[at] == h, at + 2, 0) if len(known.value) else np.zeros(len(h), np.int64)
-        ids = np.r_[1, ids]
-        if len(ids) < k:
-            return np.zeros(0, np.int64)
-        code, good = np.zeros(len(ids) - k + 1, np.int64), np.ones(len(ids) - k + 1, bool)
-        for j in range(k):
-            part = ids[j : len(ids) - k + 1 + j]
-            code, good = code * size + part, good & (part > 0)
-        return code[good]
-
-    least = max(2.0, KEPT * total)
-    frequent = [_table(train, lambda h, k=k: grams(h, k)).where(F.col("n") >= least).toPandas() for k in (2, 3)]  # at most 1 / KEPT rows each
-    pairs = {(c // size, c % size): m for c, m in zip(frequent[0]["key"].tolist(), frequent[0]["n"].tolist(), strict=True)}
-    triples = {(c // size // size, c // size % size, c % size): m for c, m in zip(frequent[1]["key"].tolist(), frequent[1]["n"].tolist(), strict=True)}
-    return Automaton(hashes, n, int(total), int(distinct), starts, pairs, triples), counts
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+        h[h >= START] = START - np.uint64(1)
+        found.append(np.insert(h, at[1:], END))
+        first.append(first[-1][-1] + at[1:] + np.arange(1, len(at)))
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate(first)
+
+
+def _keys(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes, of even numbers, of the word, the pair and the triple that end at each token; a text's first token has no triple."""
+    last = np.r_[START, h[:-1]]
+    last[first[:-1]] = START
+    before = np.r_[START, last[:-1]]
+    before[first[:-1]] = START
+    grams = [h * _SEEDS[0], (last * _SEEDS[1] + h) * _SEEDS[0], ((before * _SEEDS[2] + last) * _SEEDS[1] + h) * _SEEDS[2]]
+    return [mix(g + np.uint64(k)) & ~np.uint64(1) for k, g in enumerate(grams)]
+
+
+def _kinds(keys: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    """The words' keys, and those of longer n-grams."""
+    return [keys[0], np.concatenate([keys[1], np.delete(keys[2], first[:-1])])]
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted keys are cut into the shards of the hash range."""
+    bounds = np.array([(1 << 64) * k // parts for k in range(1, parts)], np.uint64)
+    return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes; high planes of small numbers compress to nothing."""
+    return a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(b) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _count(parts: int):
+    def run(table):
+        h, first = _tokens(table.column("text"))
+        train = np.repeat(np.asarray(table.column("train")), np.diff(first))
+        keys = _keys(h, first)
+        rows: list[tuple] = []
+        for kind, (found, own) in enumerate(zip(_kinds(keys, first), (train, np.concatenate([train, np.delete(train, first[:-1])])), strict=True)):
+            s = np.sort(found | ~own)  # training tokens have even codes
+            opens = np.flatnonzero(np.r_[True, s[1:] >> np.uint64(1) != s[:-1] >> np.uint64(1)]) if len(s) else np.zeros(0, np.int64)
+            n = np.add.reduceat((s & np.uint64(1)) ^ np.uint64(1), opens) if len(s) else s
+            s = s[opens] >> np.uint64(1) << np.uint64(1)
+            at = _cuts(s, parts)
+            rows += [(kind, k, pack(np.diff(s[a:b], prepend=np.uint64(0))), pack(n[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        chunk = pa.array([table.column("chunk")[0].as_py()] * len(rows), pa.int64())
+        return pa.table([chunk, *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["chunk", "kind", "shard", "keys", "counts"])
+
+    return run
+
+
+def _add_up(table):
+    keys, counts = ([unpack(x.as_buffer()) for x in table.column(c)] for c in ("keys", "counts"))
+    keys = [np.cumsum(k, dtype=np.uint64) for k in keys]
+    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(where, np.concatenate(counts).astype(float), len(every)).astype(np.uint64)  # exact up to 2 ** 53
+    cut = np.split(totals[where], np.cumsum([len(k) for k in keys])[:-1])
+    once = np.zeros(len(keys), np.int64)
+    words, tokens = once.copy(), once
+    if table.column("kind")[0].as_py() == 0:
+        words[0], tokens[0] = np.count_nonzero(totals), totals.sum()
+    return pa.table([table.column("chunk"), table.column("kind"), table.column("shard"), pa.array(list(map(pack, cut)), pa.binary()), pa.array(tokens), pa.array(words)], names=["chunk", "kind", "shard", "totals", "tokens", "words"])
+
+
+def learn(rows: DataFrame, parts: int) -> tuple[DataFrame, dict]:
+    """The totals of each chunk's n-grams, shard by shard, and the model's numbers; rows as chunks() gives them."""
+    sent = rows.groupBy("chunk").applyInArrow(_count(parts), "chunk bigint, kind int, shard bigint, keys binary, counts binary")
+    added = stored(sent.groupBy("kind", "shard").applyInArrow(_add_up, "chunk bigint, kind int, shard bigint, totals binary, tokens bigint, words bigint"))
+    total, distinct = added.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    return added.select("chunk", "kind", "shard", "totals"), {"tokens": int(total), "words": int(distinct), "texts": rows.where("train").count()}
+
+
+def probabilities(n: list[np.ndarray], first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """P(w) and P(w | state) of each token, from the counts of the word, pair and triple that end there."""
+    words, pairs, triples = n
+    p1 = (words + 0.5) / (model["tokens"] + 0.5 * (model["words"] + 1))
+    held = np.r_[0.0, words[:-1]]
+    held[first[:-1]] = model["texts"]
+    p2 = (pairs + PRIORS[0] * p1) / (held + PRIORS[0])
+    p3 = (triples + PRIORS[1] * p2) / (np.r_[0.0, pairs[:-1]] + PRIORS[1])
+    p3[first[:-1]] = p2[first[:-1]]
+    return p1, p3
+
+
+def _score(model: dict):
+    def run(table, answers):
+        h, first = _tokens(table.column("text"))
+        keys = _keys(h, first)
+        order = np.lexsort([np.asarray(answers.column("shard")), np.asarray(answers.column("kind"))])
+        kind = np.asarray(answers.column("kind"))[order]
+        totals = [unpack(answers.column("totals")[int(i)].as_buffer()) for i in order]
+        n = []
+        for k, (found, own) in enumerate(zip(_kinds(keys, first), (keys[:1], keys[1:]), strict=True)):
+            every = np.unique(found)
+            t = np.concatenate([x for x, y in zip(totals, kind, strict=True) if y == k] or [np.zeros(0, np.uint64)]).astype(float)
+            # a text's first token has no triple: the place it gets is not used
+            n += [t[np.minimum(np.searchsorted(every, x), len(every) - 1)] for x in own]
+        p1, p3 = probabilities(n, first, model)
+        sums = [np.add.reduceat(x, first[:-1]) for x in ((n[0] > 0).astype(np.int64), np.log10(p1), np.log10(p3))]
+        return pa.table([table.column("doc_id"), table.column("train"), pa.array(np.diff(first)), *map(pa.array, sums)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
-    base = model.denominator
-
-    def run(batches):
-        a = shared.value
-        row = TaskContext.get().partitionId() << 36
-        logs = np.log((a.counts + 0.5) / a.denominator)
-        for batch in batches:
-            at, keys, tf, whole = [], [], [], []
-            for i, h in _documents(batch):
-                ids = a.ids(h)
-                own = ids[ids > 0] - 2
-                rare, c = np.unique(h[ids == 0], return_counts=True)
-                # the document's own row counts no word; its key only spreads such rows over the join
-                at.append(np.full(len(rare) + 1, i))
-                keys.append(np.r_[mix(np.array([row + i], np.uint64)).view(np.int64), rare])
-                tf.append(np.r_[0, c])
-                whole.append((len(h), len(own), float(logs[own].sum()), a.walk(ids.tolist())))
-                if len(whole) >= 500:
-                    yield pack(batch.column("doc_id"), row, at, keys, tf, whole)
-                    at, keys, tf, whole = [], [], [], []
-            if whole:
-                yield pack(batch.column("doc_id"), row, at, keys, tf, whole)
-            row += batch.num_rows
-
-    def pack(ids, row, at, keys, tf, whole):
-        sizes = np.array([len(k) for k in keys])
-        first = np.cumsum(sizes) - sizes
-        sums = []
-        for values, kind in zip(zip(*whole, strict=True), (np.int64, np.int64, float, float), strict=True):
-            column = np.zeros(sizes.sum(), kind)
-            column[first] = values
-            sums.append(pa.array(column))
-        at = np.concatenate(at)
-        cols = [ids.take(pa.array(at)), pa.array(at + row), pa.array(np.concatenate(keys)), pa.array(np.concatenate(tf)), *sums]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "key", "tf", "n_tokens", "n_known", "s0", "s1"])
-
-    parts = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row bigint, key bigint, tf bigint, n_tokens bigint, n_known bigint, s0 double, s1 double")
-    met = parts.join(counts.where(F.col("n") < max(1.0, FREQUENT * model.total)), "key", "left")
-    rare = F.col("tf") * F.ln((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(base)))
-    each = met.select("doc_id", "row", "n_tokens", (F.col("n_known") + F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"), (F.col("s0") + rare).alias("s0"), (F.col("s1") + rare).alias("s1"))
-    found = each.groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "s0", "s1")])
-    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("s0") / _LOG10).alias("base_score"), (F.col("s1") / _LOG10).alias("score"))
+    rows, parts = chunks(docs)
+    answers, model = learn(rows, parts)
+    found = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, *learn(docs))
+    return score(docs)

@@ -91,50 +91,75 @@ def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_base_scores(spark, sf_dir):
+def automaton(rows, train):
+    """A plain backoff automaton of the training texts: counts, states, arcs and failure arcs."""
+    n, texts = Counter(), 0
+    for i, t in rows:
+        if train(i):
+            ws = [*WORDS.findall(lower(t)), None]
+            texts += 1
+            for k in range(len(ws)):
+                n[ws[k],] += 1
+                n[ws[k - 1] if k else "<s>", ws[k]] += 1
+                if k:
+                    n[ws[k - 2] if k > 1 else "<s>", ws[k - 1], ws[k]] += 1
+    n["<s>",] = texts
+    total, kinds = sum(c for g, c in n.items() if len(g) == 1) - texts, sum(len(g) == 1 for g in n) - (texts > 0)
+
+    def arc(state, w):
+        shorter = (n[w,] + 0.5) / (total + 0.5 * (kinds + 1)) if not state else None
+        if shorter is not None:
+            return shorter
+        m = op8_lm_scoring.PRIORS[len(state) - 1]
+        return (n[*state, w] + m * arc(state[1:], w)) / (n[state] + m)
+
+    def walk(ws):
+        state, score = ("<s>",), 0.0
+        for w in ws:
+            here = state
+            while here and not n[*here, w]:  # failure arcs
+                m = op8_lm_scoring.PRIORS[len(here) - 1]
+                score += math.log10(m / (n[here] + m))
+                here = here[1:]
+            score += math.log10(arc(here, w))
+            state = (*state, w)[-2:]
+            while state and not n[state]:
+                state = state[1:]
+        return score
+
+    return n, total, kinds, walk, arc
+
+
+@pytest.mark.parametrize("chunk_bytes", [8 << 20, 20_000])
+def test_scores_against_a_plain_automaton(spark, sf_dir, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(op8_lm_scoring, "CHUNK_BYTES", chunk_bytes)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()] + [(90_001, None), (90_002, "a A a")]
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    c = Counter(w for i, t in rows if not held(i) for w in [*WORDS.findall(lower(t)), None])
-    total, kinds = sum(c.values()), len(c)
-    every = spark.createDataFrame(rows, docs.schema)
-    found = {r["doc_id"]: r for r in op8_lm_scoring.score(every, *op8_lm_scoring.learn(every)).collect()}
-    assert len(found) == len(rows)
+    rows = [tuple(r) for r in docs.collect()] + [(90_001, None), (90_002, "a A a"), (90_003, ""), (None, "unheard of"), (90_002, "a A a"), (90_004, "word " * 30_000)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    n, total, kinds, walk, _ = automaton(rows, lambda i: not held(i))
+    every = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, chunk int, row string")
+    found = op8_lm_scoring.score(every).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found) == sorted((i or 0, len(WORDS.findall(t or "")) + 1) for i, t in rows)
+    got = {r["doc_id"]: r for r in found}
     for i, t in rows:
-        words = [*WORDS.findall(lower(t)), None]
-        r = found[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(words), sum(c[w] > 0 for w in words), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words), rel=1e-9)
-        assert r["score"] < 0
+        ws, r = [*WORDS.findall(lower(t)), None], got[i]
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held(i), sum(n[w,] > 0 for w in ws), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((n[w,] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws), rel=1e-9)
+        assert r["score"] == pytest.approx(walk(ws), rel=1e-9)
     # the model's longer contexts help on texts it has not learnt from
-    out = [r for r in found.values() if r["held_out"]]
+    out = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_model_is_a_distribution(spark):
+def test_model_is_a_distribution():
     """From every state the probabilities of all words, known or not, sum to one."""
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(12))) for i in range(60)]
-    model, _ = op8_lm_scoring.learn(spark.createDataFrame(rows, "doc_id long, text string"))
-    words = range(2, model.words)
-    unseen = 0.5 / model.denominator
-    for state in range(len(model.fail)):
-        total, skipped = 0.0, 0.0
-        for w in words:
-            s, p = state, 0.0
-            while (arc := model.arcs.get(s * model.words + w)) is None and s:
-                p, s = p + model.backoff[s], model.fail[s]
-            total += math.exp(p + (arc[1] if arc else model.unigram[w]))
-        s, p = state, 0.0
-        while s:
-            p, s = p + model.backoff[s], model.fail[s]
-        skipped = math.exp(p) * unseen
-        assert total + skipped == pytest.approx(1, abs=1e-6), state
-
-
-def test_walk_follows_the_longest_context(spark):
-    rows = [(i, "x y z") for i in range(40)] + [(100 + i, "y q") for i in range(40)]
-    model, counts = op8_lm_scoring.learn(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r["doc_id"]: r["score"] for r in op8_lm_scoring.score(spark.createDataFrame([(1, "x y z"), (2, "x y q")], "doc_id long, text string"), model, counts).collect()}
-    assert got[1] > got[2]
-    assert counts.agg(F.sum("n")).first()[0] == model.total
+    n, total, kinds, _, arc = automaton([(i, " ".join(rng.choice("abcdef") for _ in range(12))) for i in range(60)], lambda i: True)
+    words = [g[0] for g in n if len(g) == 1 and g[0] != "<s>"]
+    for state in {g[:-1] for g in n} | {()}:
+        assert sum(arc(state, w) for w in [*words, "unseen"]) == pytest.approx(1)
+
+
+def test_packed_numbers():
+    a = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
+    assert (op8_lm_scoring.unpack(op8_lm_scoring.pack(a)) == a).all() and not len(op8_lm_scoring.unpack(op8_lm_scoring.pack(a[:0])))
