@@ -15,27 +15,31 @@ The automaton is never in one place.  Documents are dealt out in chunks of about
 sends the sorted hashes of its distinct n-grams, with their training counts, to shards of the hash
 range, packed by the shard; a shard adds the counts up and answers each chunk with the totals of its own
 n-grams in their order, which are the arcs that the chunk's texts can take.  Shards grow in number as
-chunks do, so their size stays, and a frequent n-gram is one entry a chunk.  N-grams are known by 63-bit hashes.
+chunks do, so their size stays, and a frequent n-gram is one entry a chunk.  N-grams are known by hashes of
+``BITS`` bits, which even among 1e13 of them differ for all but some thousandths.
 
 Edge cases: null and empty texts have the end token alone.  A null doc_id is in training (its
 remainder is not 1) and keeps its null.  Without training tokens N = V = 0.  Repeated rows are rows
-of their own.  A very long text is in one chunk.  Only doc_id and text are read.
+of their own.  A very long text is in one chunk.  Only doc_id and text are read.  The rows are numbered as they are read: docs is a
+table, or stored() first, so that a task that runs again deals its rows out as before.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, mix, slices, stored, word_hashes
+from .common import crc32_of_id, mix, slices, word_hashes
 
 #: Weights of the shorter context's distribution in a one-word and in a two-word context.
 PRIORS = 200.0, 20.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+BITS = 51
 #: The hashes that stand for the end token and for the text's begin.
 END, START = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFE)
 _SEEDS = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
@@ -47,11 +51,10 @@ def in_training(doc_id):
 
 def chunks(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, text, train and chunk of each row, and the number of chunks."""
-    # row numbers are written down, so a task that runs again deals its rows as before
-    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     parts = max(1, math.ceil(size / CHUNK_BYTES))
-    return rows.select("doc_id", "text", in_training(F.col("doc_id")).alias("train"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("chunk")), parts
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    return docs.select("doc_id", "text", in_training(F.col("doc_id")).alias("train"), chunk.alias("chunk")), parts
 
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +69,13 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Hashes, of even numbers, of the word, the pair and the triple that end at each token; a text's first token has no triple."""
+    """Hashes, even numbers of BITS + 1 bits, of the word, the pair and the triple that end at each token; a text's first token has no triple."""
     last = np.r_[START, h[:-1]]
     last[first[:-1]] = START
     before = np.r_[START, last[:-1]]
     before[first[:-1]] = START
     grams = [h * _SEEDS[0], (last * _SEEDS[1] + h) * _SEEDS[0], ((before * _SEEDS[2] + last) * _SEEDS[1] + h) * _SEEDS[2]]
-    return [mix(g + np.uint64(k)) & ~np.uint64(1) for k, g in enumerate(grams)]
+    return [mix(g + np.uint64(k)) >> np.uint64(64 - BITS) << np.uint64(1) for k, g in enumerate(grams)]
 
 
 def _kinds(keys: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
@@ -82,17 +85,23 @@ def _kinds(keys: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where sorted keys are cut into the shards of the hash range."""
-    bounds = np.array([(1 << 64) * k // parts for k in range(1, parts)], np.uint64)
+    bounds = np.array([(2 << BITS) * k // parts for k in range(1, parts)], np.uint64)
     return np.r_[0, np.searchsorted(keys, bounds), len(keys)]
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes; high planes of small numbers compress to nothing."""
-    return a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+def pack(a: np.ndarray, squeeze: bool = False) -> bytes:
+    """Numbers as the planes of their bytes that hold anything, after the number of planes."""
+    planes = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    data = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    return bytes([planes]) + (zlib.compress(data, 1) if squeeze else data)
 
 
-def unpack(b) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def unpack(b, squeezed: bool = False) -> np.ndarray:
+    b = bytes(b)
+    data = np.frombuffer(zlib.decompress(b[1:]) if squeezed else b[1:], np.uint8).reshape(b[0], -1)
+    out = np.zeros((data.shape[1], 8), np.uint8)
+    out[:, : b[0]] = data.T
+    return out.view("<u8").ravel()
 
 
 def _count(parts: int):
@@ -107,7 +116,7 @@ def _count(parts: int):
             n = np.add.reduceat((s & np.uint64(1)) ^ np.uint64(1), opens) if len(s) else s
             s = s[opens] >> np.uint64(1) << np.uint64(1)
             at = _cuts(s, parts)
-            rows += [(kind, k, pack(np.diff(s[a:b], prepend=np.uint64(0))), pack(n[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            rows += [(kind, k, pack(np.diff(s[a:b], prepend=np.uint64(0))), pack(n[a:b], True)) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         chunk = pa.array([table.column("chunk")[0].as_py()] * len(rows), pa.int64())
         return pa.table([chunk, *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["chunk", "kind", "shard", "keys", "counts"])
@@ -116,24 +125,44 @@ def _count(parts: int):
 
 
 def _add_up(table):
-    keys, counts = ([unpack(x.as_buffer()) for x in table.column(c)] for c in ("keys", "counts"))
+    keys, counts = ([unpack(x.as_buffer(), c == "counts") for x in table.column(c)] for c in ("keys", "counts"))
     keys = [np.cumsum(k, dtype=np.uint64) for k in keys]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(where, np.concatenate(counts).astype(float), len(every)).astype(np.uint64)  # exact up to 2 ** 53
     cut = np.split(totals[where], np.cumsum([len(k) for k in keys])[:-1])
-    once = np.zeros(len(keys), np.int64)
-    words, tokens = once.copy(), once
-    if table.column("kind")[0].as_py() == 0:
-        words[0], tokens[0] = np.count_nonzero(totals), totals.sum()
-    return pa.table([table.column("chunk"), table.column("kind"), table.column("shard"), pa.array(list(map(pack, cut)), pa.binary()), pa.array(tokens), pa.array(words)], names=["chunk", "kind", "shard", "totals", "tokens", "words"])
+    return pa.table([table.column("chunk"), table.column("kind"), table.column("shard"), pa.array([pack(c, True) for c in cut], pa.binary())], names=["chunk", "kind", "shard", "totals"])
+
+
+def _vocabulary(parts: int):
+    """Per run of training texts of about CHUNK_BYTES: its distinct words, shard by shard, and how many tokens it has."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, _, _ in slices(batch.column("text"), CHUNK_BYTES):
+                h, first = _tokens(batch.column("text").slice(i, j - i))
+                keys = np.unique(_keys(h, first)[0])
+                at = _cuts(keys, parts)
+                rows = [(k, pack(np.diff(keys[a:b], prepend=np.uint64(0)))) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                tokens = [len(h)] + [0] * (len(rows) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()), pa.array(tokens[: len(rows)], pa.int64())], names=["shard", "keys", "tokens"])
+
+    return run
+
+
+def _distinct(table):
+    keys = [np.cumsum(unpack(x.as_buffer()), dtype=np.uint64) for x in table.column("keys")]
+    return pa.table([pa.array([len(np.unique(np.concatenate(keys)))]), pa.array([sum(table.column("tokens").to_pylist())], pa.int64())], names=["words", "tokens"])
 
 
 def learn(rows: DataFrame, parts: int) -> tuple[DataFrame, dict]:
     """The totals of each chunk's n-grams, shard by shard, and the model's numbers; rows as chunks() gives them."""
+    train = rows.where("train")
+    met = train.select("text").mapInArrow(_vocabulary(parts), "shard bigint, keys binary, tokens bigint").groupBy("shard").applyInArrow(_distinct, "words bigint, tokens bigint")
+    distinct, total = met.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    # the chunks' exchange is the one that score() reads
     sent = rows.groupBy("chunk").applyInArrow(_count(parts), "chunk bigint, kind int, shard bigint, keys binary, counts binary")
-    added = stored(sent.groupBy("kind", "shard").applyInArrow(_add_up, "chunk bigint, kind int, shard bigint, totals binary, tokens bigint, words bigint"))
-    total, distinct = added.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    return added.select("chunk", "kind", "shard", "totals"), {"tokens": int(total), "words": int(distinct), "texts": rows.where("train").count()}
+    added = sent.groupBy("kind", "shard").applyInArrow(_add_up, "chunk bigint, kind int, shard bigint, totals binary")
+    return added, {"tokens": int(total), "words": int(distinct), "texts": train.count()}
 
 
 def probabilities(n: list[np.ndarray], first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +183,7 @@ def _score(model: dict):
         keys = _keys(h, first)
         order = np.lexsort([np.asarray(answers.column("shard")), np.asarray(answers.column("kind"))])
         kind = np.asarray(answers.column("kind"))[order]
-        totals = [unpack(answers.column("totals")[int(i)].as_buffer()) for i in order]
+        totals = [unpack(answers.column("totals")[int(i)].as_buffer(), True) for i in order]
         n = []
         for k, (found, own) in enumerate(zip(_kinds(keys, first), (keys[:1], keys[1:]), strict=True)):
             every = np.unique(found)

@@ -160,6 +160,8 @@ def test_model_is_a_distribution():
         assert sum(arc(state, w) for w in [*words, "unseen"]) == pytest.approx(1)
 
 
-def test_packed_numbers():
-    a = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
-    assert (op8_lm_scoring.unpack(op8_lm_scoring.pack(a)) == a).all() and not len(op8_lm_scoring.unpack(op8_lm_scoring.pack(a[:0])))
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_packed_numbers(squeeze):
+    for a in ([0, 1, 255, 256, 2**63, 2**64 - 1], [0, 0], [7], []):
+        a = np.array(a, np.uint64)
+        assert (op8_lm_scoring.unpack(op8_lm_scoring.pack(a, squeeze), squeeze) == a).all()
