@@ -16,7 +16,7 @@ sends the sorted hashes of its distinct n-grams, with their training counts, to
 range, packed by the shard; a shard adds the counts up and answers each chunk with the totals of its own
 n-grams in their order, which are the arcs that the chunk's texts can take.  Shards grow in number as
 chunks do, so their size stays, and a frequent n-gram is one entry a chunk.  N-grams are known by hashes of
-``BITS`` bits, which even among 1e13 of them differ for all but some thousandths.
+``BITS`` bits, which even among 1e13 of them differ for all but some hundredths.
 
 Edge cases: null and empty texts have the end token alone.  A null doc_id is in training (its
 remainder is not 1) and keeps its null.  Without training tokens N = V = 0.  Repeated rows are rows
@@ -38,8 +38,8 @@ from .common import crc32_of_id, mix, slices, word_hashes
 
 #: Weights of the shorter context's distribution in a one-word and in a two-word context.
 PRIORS = 200.0, 20.0
-CHUNK_BYTES = 4 << 20
-BITS = 51
+CHUNK_BYTES = 6 << 20
+BITS = 49
 #: The hashes that stand for the end token and for the text's begin.
 END, START = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFE)
 _SEEDS = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
