@@ -58,8 +58,14 @@ def safe_ratio(x: Column, y: Column) -> Column:
 
 
 def lcg(*parts: Column) -> Column:
-    """A portable pseudo-random integer in [0, 2**31) from integers: the same in any SQL engine."""
+    """A portable pseudo-random integer in [0, 2**31 - 1) from integers: the same in any SQL engine.
+
+    Each part is taken in by a linear step and a square modulo a prime; without the square the orders of one
+    key's values would be turns of each other.
+    """
+    prime = F.lit(2147483647).cast("long")
     h = F.lit(17).cast("long")
     for p in parts:
-        h = F.pmod(h * 1103515 + p.cast("long") * 12345 + 1013904, F.lit(2147483647).cast("long"))
-    return F.pmod(h * 48271, F.lit(2147483647).cast("long"))
+        h = F.pmod(h * 1103515 + F.pmod(p.cast("long"), prime) * 12345 + 1013904, prime)
+        h = F.pmod(h * h + 12345, prime)
+    return F.pmod(h * 48271, prime)

@@ -67,11 +67,29 @@ def weighted_slopes(rows: DataFrame, entity: Sequence[str], y: str, x: str, w: s
     return g.where((F.col("rows") >= least) & (F.col("_d") >= 2)).drop("_d")
 
 
+def cumulative(steps: DataFrame, order: str, value: str, by: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """_upto and _all: the sum of value up to and with each row in order of a number, and over the group.
+
+    The order is dealt out in ranges between quantiles; sums run inside a range and take over those of the
+    ranges before it, so no group is ordered in one task.  Rows with equal order share a range.
+    """
+    cuts = F.percentile_approx(F.col(order), [i / parts for i in range(1, parts)]).alias("_cuts")
+    bounds = steps.groupBy(*by).agg(cuts)  # parts - 1 numbers a group
+    at = steps.join(F.broadcast(bounds), list(by)) if by else steps.crossJoin(F.broadcast(bounds))
+    at = at.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sums = at.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
+    w = Window.partitionBy(*by)
+    ranges = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_s").over(w).alias("_all"))
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    out = at.withColumn("_in", F.sum(value).over(inside)).join(F.broadcast(ranges), [*by, "_part"])
+    return out.withColumn("_upto", F.col("_before") + F.col("_in")).drop("_part", "_before", "_in")
+
+
 def average_rank(df: DataFrame, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Ranks with ties averaged."""
-    w = Window.partitionBy(*by).orderBy(column) if by else Window.orderBy(column)
-    ties = Window.partitionBy(*by, column)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+    counts = df.groupBy(*by, column).agg(F.count("*").cast("double").alias("_c"))
+    ranks = cumulative(counts, column, "_c", by).select(*by, column, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    return df.join(ranks, [*by, column])
 
 
 def variance_decomposition(rows: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -104,11 +122,8 @@ def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, by: Se
 
     Values are summed first, so equal values are one step and the ordered part is small.
     """
-    steps = rows.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy()
-    up = part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("_c", F.sum("_w").over(up) / F.sum("_w").over(part))
-    hit = steps.where(F.col("_c") >= q - 1e-12)
+    steps = cumulative(rows.groupBy(*by, value).agg(F.sum(weight).alias("_w")), value, "_w", by)
+    hit = steps.where(F.col("_upto") / F.col("_all") >= q - 1e-12)
     return hit.groupBy(*by).agg(F.min(value).alias("threshold")) if by else hit.agg(F.min(value).alias("threshold"))
 
 
@@ -123,3 +138,26 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
     """Counts and percents; missing values are a class of their own."""
     g = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("Missing")).alias("level")).agg(F.count("*").alias("n"))
     return g.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def marginals(rows: DataFrame, entity: Sequence[str], low: float, high: float) -> DataFrame:
+    """Per entity mean, sd, floor, ceiling, lag1, outside (share out of the scale) and grid (share of whole numbers)."""
+    share = lambda c: F.avg(c.cast("double"))
+    y = F.col("y")
+    pairs = rows.withColumn("_p", F.lag("y").over(Window.partitionBy(*entity).orderBy("rn")))
+    return pairs.groupBy(*entity).agg(
+        F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), share(y == low).alias("floor"), share(y == high).alias("ceiling"), correlation(y, F.col("_p")).alias("lag1"),
+        share((y < low) | (y > high)).alias("outside"), share(F.abs(y - F.rint(y)) <= 1e-10).alias("grid"),
+    )
+
+
+def correlation_phi(rows: DataFrame, entity: Sequence[str], least: int = 9, shrink: float = 10.0) -> DataFrame:
+    """phi of entities with enough reports: the correlation of successive values, drawn to that of all pairs by max(n - 3, 0)."""
+    w = Window.partitionBy(*entity).orderBy("rn")
+    pairs = rows.where(F.col("n") >= least).withColumn("_p", F.lag("y").over(w))
+    pooled = pairs.agg(correlation(F.col("_p"), F.col("y")).alias("phi_pooled"))
+    sd = F.sqrt(F.greatest(F.var_samp("y"), F.lit(1e-8)))
+    own = pairs.groupBy(*entity).agg(F.first("n").alias("n"), F.avg("y").alias("mean"), sd.alias("sd"), F.coalesce(correlation(F.col("_p"), F.col("y")), F.lit(0.0)).alias("phi_raw"))
+    more = F.greatest(F.col("n") - 3, F.lit(0))
+    share = more / (more + shrink)
+    return own.crossJoin(F.broadcast(pooled)).withColumn("phi", clip(share * F.col("phi_raw") + (1 - share) * F.col("phi_pooled"), -0.95, 0.95))

@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, logit
+from ..functions.stats import clip, correlation, lcg, logit
+from .balance import cumulative
+from .resample import SEED, indexed
 
 
 def held_out_folds(rows: DataFrame, k: int) -> DataFrame:
@@ -29,12 +32,12 @@ def standardised(rows: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return out
 
 
-def recency_weight(rows: DataFrame, entity: str, mean: str, last: str, k: int, y: str = "y") -> DataFrame:
-    """weight per test_fold: the entity-balanced least-squares blend mean + w (last - mean), within [0, 1]."""
+def recency_weight(rows: DataFrame, entity: str, mean: str, last: str, k: int, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """weight per test_fold (and draw or other group): the entity-balanced least-squares blend mean + w (last - mean), within [0, 1]."""
     d, r = F.col(last) - F.col(mean), F.col(y) - F.col(mean)
-    per = rows.groupBy("fold", entity).agg(F.avg(d * r).alias("num"), F.avg(d * d).alias("den"))
-    fitted = held_out_folds(per, k).groupBy("test_fold").agg(F.avg("num").alias("num"), F.avg("den").alias("den"))
-    return fitted.select("test_fold", clip(F.coalesce(F.try_divide("num", "den"), F.lit(0.0)), 0.0, 1.0).alias("weight"))
+    per = rows.groupBy(*by, "fold", entity).agg(F.avg(d * r).alias("num"), F.avg(d * d).alias("den"))
+    fitted = held_out_folds(per, k).groupBy(*by, "test_fold").agg(F.avg("num").alias("num"), F.avg("den").alias("den"))
+    return fitted.select(*by, "test_fold", clip(F.coalesce(F.try_divide("num", "den"), F.lit(0.0)), 0.0, 1.0).alias("weight"))
 
 
 def recency_weight_grid(rows: DataFrame, entity: str, mean: str, last: str, k: int, steps: int = 40, y: str = "y") -> DataFrame:
@@ -50,12 +53,35 @@ def recency_weight_grid(rows: DataFrame, entity: str, mean: str, last: str, k: i
     return fitted.select("test_fold", best["weight"].alias("weight"), best["loss"].alias("loss"))
 
 
-def crossfit(rows: DataFrame, weights: DataFrame, mean: str, last: str) -> DataFrame:
+def crossfit(rows: DataFrame, weights: DataFrame, mean: str, last: str, by: Sequence[str] = ()) -> DataFrame:
     """prediction of each row with the weight of its own fold, which its entity did not help to fit."""
-    met = rows.join(F.broadcast(weights.select(F.col("test_fold").alias("fold"), "weight")), "fold")
+    met = rows.join(F.broadcast(weights.select(*by, F.col("test_fold").alias("fold"), "weight")), [*by, "fold"])  # k rows a group
     return met.withColumn("prediction", F.col(mean) + F.col("weight") * (F.col(last) - F.col(mean)))
 
 
+def budget_errors(rows: DataFrame, entity: str, mean: str, last: str, k: int, steps: int = 40, y: str = "y") -> DataFrame:
+    """budget, entity, mae of blends whose weight is chosen from the grid for each budget and fold, without the fold's entities."""
+    grid = [i / steps for i in range(steps + 1)]
+    error = lambda w: F.abs(F.col(y) - F.col(mean) - w * (F.col(last) - F.col(mean)))
+    per = rows.groupBy("budget", "fold", entity).agg(*[F.avg(error(w)).alias(f"l{i}") for i, w in enumerate(grid)])
+    fitted = held_out_folds(per, k).groupBy("budget", "test_fold").agg(*[F.avg(f"l{i}").alias(f"l{i}") for i in range(steps + 1)])
+    best = F.array_min(F.array(*[F.struct(F.round(F.col(f"l{i}"), 12).alias("loss"), F.lit(i).alias("i")) for i in range(steps + 1)]))
+    chosen = fitted.select("budget", F.col("test_fold").alias("fold"), best["i"].alias("i"))
+    # the entity's error under the chosen weight is one of those that it was tuned on
+    losses = F.array(*[F.col(f"l{i}") for i in range(steps + 1)])
+    return per.join(F.broadcast(chosen), ["budget", "fold"]).select("budget", entity, F.get(losses, F.col("i")).alias("mae"))
+
+
+def fold_audit(rows: DataFrame, entity: str, k: int) -> DataFrame:
+    """Per fold: entities and rows inside, entities outside, and entities on both sides."""
+    own = rows.groupBy("fold", entity).agg(F.count("*").alias("c"))
+    sides = own.withColumn("test_fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    inside = F.col("fold") == F.col("test_fold")
+    each = sides.groupBy("test_fold", entity).agg(F.sum(F.when(inside, F.col("c")).otherwise(0)).alias("rows"), F.max(inside).alias("test"), F.max(~inside).alias("train"))
+    g = each.groupBy(F.col("test_fold").alias("fold")).agg(F.count_if("test").alias("test_people"), F.sum("rows").alias("test_rows"), F.count_if("train").alias("train_people"), F.count_if(F.col("test") & F.col("train")).alias("shared_people"))
+    return g.where("test_rows > 0")
+
+
 def blocked_split(rows: DataFrame, entity: Sequence[str], time: str, share: float = 0.7, purge_days: float = 14.0) -> DataFrame:
     """part: train or test by order within the entity; training rows near the first test row are purged."""
     part = Window.partitionBy(*entity)
@@ -66,17 +92,34 @@ def blocked_split(rows: DataFrame, entity: Sequence[str], time: str, share: floa
     return out.where(keep).withColumn("part", F.when(F.col("rn") > F.col("_cut"), "test").otherwise("train")).drop("_cut", "_first")
 
 
-def gram(rows: DataFrame, features: Sequence[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """X'WX and X'Wy with an intercept in front, as one aggregate row."""
+def _gram_columns(features: Sequence[str], ys: Sequence[str], weight: Column | None) -> list[Column]:
     w = F.lit(1.0) if weight is None else weight
     x = [F.lit(1.0), *map(F.col, features)]
     p = len(x)
-    sums = rows.agg(*[F.sum(w * x[i] * x[j]) for i in range(p) for j in range(i, p)], *[F.sum(w * x[i] * F.col(y)) for i in range(p)]).first()
+    return [F.sum(w * x[i] * x[j]) for i in range(p) for j in range(i, p)] + [F.sum(w * x[i] * F.col(y)) for y in ys for i in range(p)] + [F.sum(w * F.col(y) * F.col(y)) for y in ys]
+
+
+def _unpacked(sums: Sequence, p: int, ys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, it = np.zeros((p, p)), iter(sums)
     for i in range(p):
         for j in range(i, p):
             a[i, j] = a[j, i] = next(it) or 0.0
-    return a, np.array([v or 0.0 for v in it], float)
+    rest = np.array([v or 0.0 for v in it], float)
+    return a, rest[: p * ys].reshape(ys, p).T, rest[p * ys :]
+
+
+def gram(rows: DataFrame, features: Sequence[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'Wy with an intercept in front, as one aggregate row."""
+    a, b, _ = _unpacked(rows.agg(*_gram_columns(features, [y], weight)).first(), len(features) + 1, 1)
+    return a, b[:, 0]
+
+
+def fold_grams(rows: DataFrame, features: Sequence[str], ys: Sequence[str], k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """X'X, X'Y and the sums of squares of every y for each fold, from one pass over the rows."""
+    p = len(features) + 1
+    zero = np.zeros((p, p)), np.zeros((p, len(ys))), np.zeros(len(ys))
+    found = {r[0]: _unpacked(r[1:], p, len(ys)) for r in rows.groupBy("fold").agg(*_gram_columns(features, ys, None)).collect()}  # k rows
+    return {f: found.get(f, zero) for f in range(1, k + 1)}
 
 
 def ridge(rows: DataFrame, features: Sequence[str], y: str, alpha: float, weight: Column | None = None) -> np.ndarray:
@@ -117,8 +160,11 @@ def logistic(rows: DataFrame, features: Sequence[str], y: str, c: float = 1.0, w
 def first_component(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Loadings of the first principal component of standardised columns, with a positive sum."""
     p = len(columns)
-    sums = rows.agg(*[F.corr(columns[i], columns[j]) for i in range(p) for j in range(i + 1, p)]).first()
-    r, it = np.eye(p), iter(sums)
+    return _component(p, rows.agg(*[F.corr(columns[i], columns[j]) for i in range(p) for j in range(i + 1, p)]).first())
+
+
+def _component(p: int, correlations: Sequence) -> np.ndarray:
+    r, it = np.eye(p), iter(correlations)
     for i in range(p):
         for j in range(i + 1, p):
             r[i, j] = r[j, i] = next(it) or 0.0
@@ -131,13 +177,33 @@ def congruence(a: np.ndarray, b: np.ndarray) -> float:
     return float(abs(a @ b) / np.sqrt((a @ a) * (b @ b)))
 
 
-def auc(rows: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve with ties at half, from sums per distinct score."""
+def _steps(rows: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
+    """Sums of label 1 and 0 for each distinct score, and of both up to and with it."""
     w = F.col(weight) if weight else F.lit(1.0)
     steps = rows.groupBy(score).agg(F.sum(w * F.col(label)).alias("_p"), F.sum(w * (1 - F.col(label))).alias("_n"))
-    up = Window.partitionBy().orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("_below", F.coalesce(F.sum("_n").over(up), F.lit(0.0)))
-    return steps.agg(F.try_divide(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"))
+    first = cumulative(steps, score, "_n").withColumnsRenamed({"_upto": "_n_upto", "_all": "_n_all"})
+    return cumulative(first, score, "_p").withColumnsRenamed({"_upto": "_p_upto", "_all": "_p_all"})
+
+
+def auc(rows: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """Area under the ROC curve with ties at half, from sums per distinct score."""
+    return _steps(rows, score, label, weight).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_n_upto") - F.col("_n") / 2)), F.sum("_p") * F.sum("_n")).alias("auc"))
+
+
+def pr_auc(rows: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
+    """Average precision: precision at each distinct score, weighted by the recall that it adds."""
+    s = _steps(rows, score, label, weight)
+    above_p, above_n = F.col("_p_all") - F.col("_p_upto") + F.col("_p"), F.col("_n_all") - F.col("_n_upto") + F.col("_n")
+    return s.agg(F.try_divide(F.sum(F.col("_p") * above_p / (above_p + above_n)), F.sum("_p")).alias("pr_auc"))
+
+
+def pooled_metrics(rows: DataFrame, prediction: str, actual: str) -> DataFrame:
+    """rows, rmse, mae, r2 (one less the share of squared error, not the squared correlation) and r of predictions."""
+    e = F.col(actual) - F.col(prediction)
+    return rows.agg(
+        F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        (1 - F.try_divide(F.avg(e * e), F.var_pop(actual))).alias("r2"), correlation(F.col(prediction), F.col(actual)).alias("r"),
+    )
 
 
 def brier(rows: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
@@ -145,9 +211,188 @@ def brier(rows: DataFrame, score: str, label: str, weight: str | None = None) ->
     return rows.agg(F.try_divide(F.sum(w * F.pow(F.col(score) - F.col(label), 2)), F.sum(w)).alias("brier"))
 
 
-def calibration(rows: DataFrame, score: str, label: str) -> np.ndarray:
+def calibration(rows: DataFrame, score: str, label: str, weight: str | None = None) -> np.ndarray:
     """Intercept and slope of the label on the score's logit."""
-    return logistic(rows.withColumn("_z", logit(F.col(score))), ["_z"], label, c=1e6)
+    return logistic(rows.withColumn("_z", logit(F.col(score))), ["_z"], label, c=1e6, weight=F.col(weight) if weight else None)
+
+
+def logistic_family(rows: DataFrame, features: Sequence[str], y: str, fits: Sequence[tuple[int, int, float]], weight: str | None = None, steps: int = 25, tolerance: float = 1e-8) -> dict:
+    """Coefficients of L2 logistic regressions (left-out fold, another left-out fold or 0, C), all of them a Newton step a job."""
+    spark, p = rows.sparkSession, len(features) + 1
+    x = [F.lit(1.0), *map(F.col, features)]
+    w = F.col(weight) if weight else F.lit(1.0)
+    b = {fit: np.zeros(p) for fit in fits}
+    still = list(fits)
+    for _ in range(steps):
+        table = spark.createDataFrame([(i, f, g, b[f, g, c].tolist()) for i, (f, g, c) in enumerate(still)], "model int, f int, g int, _coef array<double>")
+        at = rows.crossJoin(F.broadcast(table)).where("fold <> f AND fold <> g")  # one row a fit
+        z = sum((F.col("_coef")[i] * x[i] for i in range(1, p)), F.col("_coef")[0])
+        at = at.withColumn("_q", 1 / (1 + F.exp(-z)))
+        s = w * F.col("_q") * (1 - F.col("_q"))
+        sums = at.groupBy("model").agg(*[F.sum(s * x[i] * x[j]) for i in range(p) for j in range(i, p)], *[F.sum(w * x[i] * (F.col(y) - F.col("_q"))) for i in range(p)]).collect()
+        moved = []
+        for row in sums:
+            fit = still[row[0]]
+            h, gradient, _ = _unpacked([*row[1:], 0.0], p, 1)
+            penalty = np.diag([0.0] + [1 / fit[2]] * (p - 1))
+            step = np.linalg.solve(h + penalty + 1e-12 * np.eye(p), gradient[:, 0] - penalty @ b[fit])
+            b[fit] = b[fit] + step
+            if np.abs(step).max() >= tolerance:
+                moved.append(fit)
+        still = moved
+        if not still:
+            break
+    return b
+
+
+def crossfit_logistic(rows: DataFrame, features: Sequence[str], y: str, k: int, cs: Sequence[float], weight: str | None = None) -> DataFrame:
+    """probability of each row by a model of the other folds, whose C has the least inner log-loss, the smaller on ties."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    spark, folds = rows.sparkSession, range(1, k + 1)
+    inner = logistic_family(rows, features, y, [(f, g, c) for f in folds for g in folds if g != f for c in cs], weight)
+    table = spark.createDataFrame([(f, g, float(c), v.tolist()) for (f, g, c), v in inner.items()], "f int, g int, c double, _coef array<double>")
+    prob = lambda: 1 / (1 + F.exp(-sum((F.col("_coef")[i + 1] * F.col(n) for i, n in enumerate(features)), F.col("_coef")[0])))
+    at = rows.join(F.broadcast(table), F.col("fold") == F.col("g")).withColumn("_q", clip(prob(), 1e-12, 1 - 1e-12))
+    loss = -(F.col(y) * F.ln("_q") + (1 - F.col(y)) * F.ln(1 - F.col("_q")))
+    found = at.groupBy("f", "c").agg((F.sum(w * loss) / F.sum(w)).alias("loss")).collect()  # k times the grid
+    best = {f: min((round(r["loss"], 12), r["c"]) for r in found if r["f"] == f)[1] for f in {r["f"] for r in found}}
+    outer = logistic_family(rows, features, y, [(f, 0, c) for f, c in best.items()], weight)
+    table = spark.createDataFrame([(f, float(c), v.tolist()) for (f, _, c), v in outer.items()], "fold int, c double, _coef array<double>")
+    return rows.join(F.broadcast(table), "fold").withColumn("probability", prob()).drop("_coef")
+
+
+def label_permutation(people: DataFrame, key: str, features: Sequence[str], y: str, alphas: Sequence[float], k: int, draws: int, seed: int = SEED) -> DataFrame:
+    """draw, r, rmse_percent of out-of-fold predictions by the nested ridge, with y permuted over people; draw -1 has the real order.
+
+    Permuted labels meet their persons by rank; every draw's folds are sums, and its models are solved from those alone.
+    """
+    numbered = indexed(people.where(" AND ".join(f"{c} IS NOT NULL" for c in [*features, y])), key)
+    spread = numbered.select("idx", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
+    parts, h = F.shiftright("_h", 21), lcg(F.lit(seed), F.col("draw"), F.col("idx"))
+    # ranks by ranges of the hash within the draw
+    at = spread.withColumn("_h", h).withColumn("_p", parts)
+    sizes = at.groupBy("draw", "_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("draw").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = at.join(sizes.select("draw", "_p", before.alias("_b")), ["draw", "_p"])
+    rank = F.col("_b") + F.row_number().over(Window.partitionBy("draw", "_p").orderBy("_h", "idx")) - 1
+    source = ranked.select("draw", "idx", F.when(F.col("draw") < 0, F.col("idx")).otherwise(rank).alias("_from"))
+    labels = numbered.select(F.col("idx").alias("_from"), F.col(y).alias("_y"))
+    rows = source.join(labels, "_from").join(numbered.select("idx", "fold", *features), "idx")
+    p = len(features) + 1
+    sums = rows.groupBy("draw", "fold").agg(*[c.alias(f"s{i}") for i, c in enumerate(_gram_columns(features, ["_y"], None))])
+    names = [f"s{i}" for i in range(p * (p + 1) // 2 + p + 1)]
+
+    def solve(pdf):
+        folds = {int(r["fold"]): _unpacked([r[n] for n in names], p, 1) for _, r in pdf.iterrows()}
+        r, rmse = nested_statistics({f: (a, b[:, 0], float(c[0])) for f, (a, b, c) in folds.items()}, alphas)
+        return pd.DataFrame({"draw": [pdf["draw"].iloc[0]], "r": [r], "rmse_percent": [rmse]})
+
+    return sums.groupBy("draw").applyInPandas(solve, "draw int, r double, rmse_percent double")
+
+
+def _solved(parts: dict, used: Sequence[int], alpha: float) -> np.ndarray:
+    a = sum(parts[f][0] for f in used)
+    return np.linalg.solve(a + np.diag([0.0] + [alpha] * (len(a) - 1)) + 1e-12 * np.eye(len(a)), sum(parts[f][1] for f in used))
+
+
+def nested_choice(parts: dict, test: int, alphas: Sequence[float]) -> float:
+    """The penalty with least inner cross-validated error among the folds other than test, the larger on ties."""
+    outer = [f for f in parts if f != test]
+    losses = []
+    for alpha in alphas:
+        loss = 0.0
+        for inner in outer:
+            b = _solved(parts, [f for f in outer if f != inner], alpha)
+            loss += parts[inner][2] - 2 * b @ parts[inner][1] + b @ parts[inner][0] @ b
+        losses.append((round(loss, 9), -alpha))
+    return -min(losses)[1]
+
+
+def nested_statistics(parts: dict, alphas: Sequence[float]) -> tuple[float, float]:
+    """Correlation of out-of-fold predictions, and percent by which their error differs from the mean's, from sums of the folds."""
+    n = sy = syy = sp = spp = spy = base = 0.0
+    for test, (a, b, yy) in parts.items():
+        outer = [f for f in parts if f != test]
+        c = _solved(parts, outer, nested_choice(parts, test, alphas))
+        mean = sum(parts[f][1][0] for f in outer) / max(sum(parts[f][0][0, 0] for f in outer), 1.0)
+        n, sy, syy = n + a[0, 0], sy + b[0], syy + yy
+        sp, spp, spy = sp + c @ a[0], spp + c @ a @ c, spy + c @ b
+        base += yy - 2 * mean * b[0] + mean * mean * a[0, 0]
+    spread = max(spp - sp * sp / n, 0.0) * max(syy - sy * sy / n, 0.0)
+    r = float((spy - sp * sy / n) / np.sqrt(spread)) if spread > 0 else float("nan")
+    return r, float(100 * (np.sqrt(max(syy - 2 * spy + spp, 0.0) / base) - 1)) if base > 0 else float("nan")
+
+
+def loading_stability(rows: DataFrame, group: str, columns: Sequence[str], least: int) -> DataFrame:
+    """Per group of at least `least` rows: rows, loadings of the first component, and their congruence with those of all rows."""
+    whole = first_component(rows, columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    found = rows.groupBy(group).agg(F.count("*").alias("n"), *[F.corr(columns[i], columns[j]) for i, j in pairs]).where(F.col("n") >= least).collect()  # a row a group
+    out = []
+    for row in found:
+        v = _component(len(columns), row[2:])
+        out.append((row[0], row[1], [float(x) for x in v], congruence(v, whole)))
+    return rows.sparkSession.createDataFrame(out, f"{group} {dict(rows.dtypes)[group]}, rows long, loadings array<double>, congruence double")
+
+
+def component_scores(rows: DataFrame, columns: Sequence[str], by: str = "score") -> DataFrame:
+    """rows with the first component's score, scaled to a sample SD of 1."""
+    v = first_component(rows, columns)
+    stats = rows.agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = sum((float(v[i]) * F.try_divide(F.col(c) - F.col(f"_m{i}"), F.col(f"_s{i}")) for i, c in enumerate(columns)), F.lit(0.0))
+    raw = rows.crossJoin(F.broadcast(stats)).withColumn(by, z).select(*rows.columns, by)
+    sd = raw.agg(F.stddev_samp(by).alias("_sd"))
+    return raw.crossJoin(F.broadcast(sd)).withColumn(by, F.try_divide(by, F.col("_sd"))).drop("_sd")
+
+
+def benchmark(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validations: dict[str, str], k: int, alpha: float = 1.0) -> DataFrame:
+    """validation, model and pooled out-of-fold metrics of ridge models on standardised columns.
+
+    Missing numbers get the training folds' median and an indicator; text columns become an indicator for each
+    level that the training folds have, so unknown levels are zeros.  One aggregate a validation gives the sums of
+    all columns; every model is solved from its part of them.
+    """
+    spark, types = rows.sparkSession, dict(rows.dtypes)
+    columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    texts = [c for c in columns if types[c] == "string"]
+    numbers = [c for c in columns if c not in texts]
+    levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().collect()) for c in texts}  # categories are few
+    design = {c: [f"{c}", f"{c}_missing"] for c in numbers} | {c: [f"{c}_{i}" for i in range(len(v))] for c, v in levels.items()}
+    every = [x for c in columns for x in design[c]]
+    out = None
+    for name, fold in validations.items():
+        folded = rows.withColumn("fold", F.col(fold))
+        medians = held_out_folds(folded, k).groupBy("test_fold").agg(*[F.percentile(c, 0.5).alias(f"_med_{c}") for c in numbers])
+
+        def designed(df, medians=medians):
+            met = df.join(F.broadcast(medians), "test_fold")
+            made = [(F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}"), F.lit(0.0)).alias(c), F.col(c).isNull().cast("double").alias(f"{c}_missing")) for c in numbers]
+            hot = [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{i}") for c, vs in levels.items() for i, v in enumerate(vs)]
+            return met.select("test_fold", F.col(y).alias("_y"), *[x for pair in made for x in pair], *hot)
+
+        train = designed(held_out_folds(folded, k))
+        p = len(every) + 1
+        sums = {r[0]: _unpacked(r[1:], p, 1) for r in train.groupBy("test_fold").agg(*_gram_columns(every, ["_y"], None)).collect()}  # k rows
+        fitted = []
+        for f, (a, b, _) in sums.items():
+            for model, cs in sets.items():
+                used = [0, *[every.index(x) + 1 for c in cs for x in design[c]]]
+                sub = a[np.ix_(used, used)]
+                # penalising standardised columns: the penalty of a raw one grows with its variance
+                variance = np.diag(sub) / sub[0, 0] - (sub[0] / sub[0, 0]) ** 2
+                c = np.zeros(p)
+                c[used] = np.linalg.solve(sub + alpha * np.diag([0.0, *variance[1:]]) + 1e-9 * np.eye(len(used)), b[used, 0])
+                fitted.append((f, model, c.tolist()))
+        table = spark.createDataFrame(fitted, "test_fold int, model string, _coef array<double>")
+        test = designed(folded.withColumn("test_fold", F.col("fold"))).join(F.broadcast(table), "test_fold")  # a row a fold and model
+        prediction = sum((F.col("_coef")[i + 1] * F.col(x) for i, x in enumerate(every)), F.col("_coef")[0])
+        scored = test.select("model", F.col("_y"), prediction.alias("_p"))
+        e = F.col("_y") - F.col("_p")
+        g = scored.groupBy("model").agg(
+            F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop("_y"))).alias("r2"), correlation(F.col("_p"), F.col("_y")).alias("r"),
+        ).select(F.lit(name).alias("validation"), "*")
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def nested_ridge(rows: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float], k: int) -> DataFrame:
@@ -156,23 +401,9 @@ def nested_ridge(rows: DataFrame, features: Sequence[str], y: str, alphas: Seque
     Every inner training set's sums are sums of fold sums, so the rows are read once: the sums of the
     k folds (k small matrices) are all that is solved from.
     """
-    parts = {f: gram(rows.where(F.col("fold") == f), features, y) for f in range(1, k + 1)}
-    yy = {r["fold"]: r["s"] for r in rows.groupBy("fold").agg(F.sum(F.col(y) * F.col(y)).alias("s")).collect()}  # k rows
-    penalty = np.diag([0.0] + [1.0] * len(features))
-
-    def fit(folds_used, alpha):
-        return np.linalg.solve(sum(parts[f][0] for f in folds_used) + alpha * penalty + 1e-12 * np.eye(len(features) + 1), sum(parts[f][1] for f in folds_used))
-
+    parts = {f: (a, b[:, 0], float(c[0])) for f, (a, b, c) in fold_grams(rows, features, [y], k).items()}
     out = []
-    for test in range(1, k + 1):
-        outer = [f for f in parts if f != test]
-        losses = []
-        for alpha in alphas:
-            loss = 0.0
-            for inner in outer:
-                b = fit([f for f in outer if f != inner], alpha)
-                loss += yy.get(inner, 0.0) - 2 * b @ parts[inner][1] + b @ parts[inner][0] @ b
-            losses.append((round(loss, 9), -alpha))
-        alpha = -min(losses)[1]
-        out.append((test, float(alpha), [float(v) for v in fit(outer, alpha)]))
+    for test in parts:
+        alpha = nested_choice(parts, test, alphas)
+        out.append((test, float(alpha), [float(v) for v in _solved(parts, [f for f in parts if f != test], alpha)]))
     return rows.sparkSession.createDataFrame(out, "test_fold int, alpha double, coefficients array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,53 @@ def varying_features(df: DataFrame, entity: Sequence[str], columns: Sequence[str
     return g.where(" OR ".join(f"`{c}` > 1" for c in columns))
 
 
+def reverse_scored(item: Column, low: float, high: float) -> Column:
+    return low + high - item
+
+
+def scale_total(df: DataFrame, keys: Sequence[str], items: Sequence[str], low: float, high: float, most: float) -> DataFrame:
+    """keys, items and score (their sum) of rows whose items are all within low..high; keys whose rows differ are left out.
+
+    A score beyond most raises when the result is computed.
+    """
+    valid = df
+    for i in items:
+        valid = valid.where(F.col(i).between(low, high))
+    kept = without_conflicts(valid.select(*keys, *items), keys, items)
+    score = sum((F.col(i) for i in items[1:]), F.col(items[0]))
+    ok = F.assert_true((score >= 0) & (score <= most), F.lit("a total is outside the scale"))
+    return kept.withColumn("score", score).withColumn("_ok", ok).where("_ok IS NULL").drop("_ok")
+
+
+def domain_rank(value: Column, order: Sequence[str]) -> Column:
+    """Place of a value in an explicit order, from 0; null for other values."""
+    place = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(place > 0, place - 1).cast("int")
+
+
+def suffixed_join(a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
+    """Left join by keys; columns of both sides get suffixes."""
+    both = set(a.columns) & set(b.columns) - set(keys)
+    x, y = (df.select(*[F.col(c).alias(c + end) if c in both else F.col(c) for c in df.columns]) for df, end in ((a, suffixes[0]), (b, suffixes[1])))
+    return x.join(y, list(keys), "left")
+
+
+def set_relations(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """shared, left_only, right_only: numbers of different keys."""
+    sides = a.select(*keys).distinct().withColumn("_a", F.lit(1)).join(b.select(*keys).distinct().withColumn("_b", F.lit(1)), list(keys), "full")
+    left, right = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return sides.agg(F.count_if(left & right).alias("shared"), F.count_if(left & ~right).alias("left_only"), F.count_if(~left & right).alias("right_only"))
+
+
+def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side and the rows that one side has more often than the other."""
+    left, right = a.exceptAll(b), b.exceptAll(a)
+    return left.select(F.lit("left").alias("side"), "*").unionByName(right.select(F.lit("right").alias("side"), "*"))
+
+
 #: Column names that must not leave with a release, and endings that show identifiers.
-FORBIDDEN = ("participant", "participant_id", "uid", "user_id", "id", "email", "phone", "name", "date_of_birth")
-FORBIDDEN_ENDINGS = ("_uid", "_userid", "_email")
+FORBIDDEN = ("participant", "participant_id", "uid", "user_id", "id", "email", "phone", "name", "date_of_birth", "device_id", "deviceid", "imei", "advertising_id", "latitude", "longitude", "lat", "lon", "gps", "address", "ip_address", "timestamp", "collected_at", "assessment_date", "birthdate")
+FORBIDDEN_ENDINGS = ("_uid", "_userid", "_email", "_device_id", "_lat", "_lon", "_timestamp")
 
 
 def private_columns(df: DataFrame) -> list[str]:

@@ -6,6 +6,7 @@ Draw tables are small: draws times entities, on per-entity aggregates.  Sequenti
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import lcg
 
-SEED = 20260918
+SEED = 31415926
 #: Values of simulated series held at once.
 PATH_VALUES = 4_000_000
 
@@ -33,15 +34,42 @@ def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFr
 
 def bootstrap_weights(people: DataFrame, index: str, n: int, draws: int, seed: int = SEED) -> DataFrame:
     """draw, index (0..n-1 of a person), weight: how often a draw of n persons picks each."""
-    spark = people.sparkSession
-    grid = spark.range(draws).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    picked = grid.withColumn(index, F.pmod(lcg(F.lit(seed), F.col("draw"), F.col("slot")), F.lit(n)))
+    slots = people.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod("id", F.lit(max(n, 1))).alias("slot"))
+    picked = slots.select("draw", F.pmod(lcg(F.lit(seed), F.col("draw"), F.col("slot")), F.lit(n)).alias(index))
     return picked.groupBy("draw", index).agg(F.count("*").alias("weight"))
 
 
+def number(key: Column, kind: str) -> Column:
+    """A key of any type as an integer, by its hash if it is none."""
+    return key.cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.pmod(F.xxhash64(key), F.lit(1 << 31))
+
+
 def indexed(people: DataFrame, key: str, index: str = "idx") -> DataFrame:
-    """people with a dense 0-based index in order of key (per-person tables only)."""
-    return people.withColumn(index, (F.row_number().over(Window.partitionBy().orderBy(key)) - 1).cast("long"))
+    """people with a dense 0-based index, in an order of hashes of key that ranges of the hash share out."""
+    h = lcg(number(F.col(key), dict(people.dtypes)[key]))
+    at = people.withColumn("_h", h).withColumn("_p", F.shiftright("_h", 21))
+    sizes = at.groupBy("_p").agg(F.count("*").alias("_c"))  # 1024 rows at most
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = at.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    return met.withColumn(index, (F.col("_before") + rank - 1).cast("long")).drop("_h", "_p", "_before")
+
+
+def bootstrap(people: DataFrame, key: str, draws: int, seed: int = SEED, **statistics: Column) -> DataFrame:
+    """A row for each draw of as many persons as there are: statistics, aggregates in which weight says how often a person is drawn."""
+    numbered = indexed(people, key)
+    return bootstrap_weights(numbered, "idx", people.count(), draws, seed).join(numbered, "idx").groupBy("draw").agg(*[v.alias(k) for k, v in statistics.items()])
+
+
+def weighted_correlation(x: str, y: str, w: str = "weight") -> Column:
+    """Pearson correlation of weighted rows; null where a side does not vary."""
+    def mean(c):
+        return F.sum(F.col(w) * c) / F.sum(w)
+
+    a, b = F.col(x), F.col(y)
+    cov, va, vb = mean(a * b) - mean(a) * mean(b), mean(a * a) - mean(a) * mean(a), mean(b * b) - mean(b) * mean(b)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(cov, F.sqrt(va * vb)))
 
 
 def percentile_interval(draws: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -50,20 +78,26 @@ def percentile_interval(draws: DataFrame, column: str, by: Sequence[str] = ()) -
 
 
 def permuted(rows: DataFrame, entity: Sequence[str], key: str, draws: int, seed: int = SEED) -> DataFrame:
-    """Per draw the values of each entity in a new order; positions and all else stay."""
+    """Per draw the values of each entity in a new order (y_new); positions and all else stay."""
     spread = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = lcg(F.lit(seed), F.col("draw"), F.col(key), F.col("rn"))
-    w = Window.partitionBy("draw", *entity)
-    values = spread.select("draw", *entity, F.col("y").alias("y_new"), F.row_number().over(w.orderBy(order, "rn")).cast("long").alias("rn"))
-    return spread.join(values, ["draw", *entity, "rn"])
+    order = lcg(F.lit(seed), F.col("draw"), number(F.col(key), dict(rows.dtypes)[key]), F.col("rn"))
+    whole = Window.partitionBy("draw", *entity)
+    spread = spread.withColumn("_to", F.row_number().over(whole.orderBy(order, "rn")).cast("long"))
+    return _rearranged(spread, ["draw", *entity])
 
 
 def shifted(rows: DataFrame, entity: Sequence[str], key: str, draws: int, seed: int = SEED) -> DataFrame:
     """Per draw the series of each entity turned by 1..n-1 places, so neighbours stay neighbours."""
     spread = rows.where("n > 1").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    shift = 1 + F.pmod(lcg(F.lit(seed), F.col("draw"), F.col(key)), F.col("n") - 1)
-    values = spread.select("draw", *entity, F.col("y").alias("y_new"), (F.pmod(F.col("rn") - 1 + shift, F.col("n")) + 1).alias("rn"))
-    return spread.join(values, ["draw", *entity, "rn"])
+    shift = 1 + F.pmod(lcg(F.lit(seed), F.col("draw"), number(F.col(key), dict(rows.dtypes)[key])), F.col("n") - 1)
+    return _rearranged(spread.withColumn("_to", F.pmod(F.col("rn") - 1 + shift, F.col("n")) + 1), ["draw", *entity])
+
+
+def _rearranged(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """y_new: the value of the row of the group whose _to is this row's rn, 1..n both."""
+    # one shuffle: the values in order of _to and the rows in order of rn meet in the same partitioning
+    values = rows.select(*by, F.col("_to").alias("rn"), F.col("y").alias("y_new"))
+    return rows.drop("_to").join(values, [*by, "rn"])
 
 
 def null_summary(draws: DataFrame, statistic: str, observed: Column) -> DataFrame:
@@ -89,9 +123,9 @@ def _benefit_slope(y: np.ndarray, k: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return benefit.mean(axis=1), benefit @ x / max(float(x @ x), 1e-300)
 
 
-def ar1_paths(y: np.ndarray, phi: float, draws: int, rng: np.random.Generator, bounds: tuple[float, float] | None = None) -> np.ndarray:
-    """Stationary Gaussian AR(1) series with the mean, SD and length of y."""
-    sd, out = y.std(), np.empty((draws, len(y)))
+def ar1_paths(y: np.ndarray, phi: float, draws: int, rng: np.random.Generator, bounds: tuple[float, float] | None = None, sd: float | None = None) -> np.ndarray:
+    """Stationary Gaussian AR(1) series with the mean, SD (or the one given) and length of y."""
+    sd, out = y.std() if sd is None else sd, np.empty((draws, len(y)))
     out[:, 0] = rng.normal(0, sd, draws)
     for t in range(1, len(y)):
         out[:, t] = phi * out[:, t - 1] + rng.normal(0, sd * np.sqrt(1 - phi * phi), draws)
@@ -109,26 +143,72 @@ def block_paths(y: np.ndarray, mean_length: float, draws: int, rng: np.random.Ge
     return y[at]
 
 
-def simulated_null(rows: DataFrame, entity: str, draws: int, kind: str = "ar1", seed: int = SEED, mean_length: float = 16.0, bounds: tuple[float, float] | None = None, k: int = 8) -> DataFrame:
-    """Per draw: mean over entities of benefit and slope.  rows has y, rn and (for ar1) phi.
+def drawn_fold(draw: Column, key: Column, k: int, seed: int = SEED) -> Column:
+    """fold 1..k of an entity, dealt anew in each draw."""
+    return (F.pmod(lcg(F.lit(seed), draw, key), F.lit(k)) + 1).cast("int")
+
+
+def cyclic_pairs(rows: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """entity, z, y: each value and the next one, the first again after the last."""
+    w = Window.partitionBy(*entity).orderBy("rn")
+    first = F.first("y").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select(*entity, F.coalesce(F.lead("y").over(w), first).alias("z"), "y")
+
 
-    Each entity has a generator of its own, so draws do not depend on how entities are dealt out.
-    """
+def _generator(seed: int, entity) -> np.random.Generator:
+    """An entity's own generator, so that draws do not depend on how entities are dealt out; ids of any type."""
+    return np.random.default_rng([seed, *hashlib.md5(str(entity).encode()).digest()])
+
+
+def simulated_null(rows: DataFrame, entity: str, draws: int, kind: str = "ar1", seed: int = SEED, mean_length: float = 16.0, bounds: tuple[float, float] | None = None, own_sd: bool = False, k: int = 8) -> DataFrame:
+    """Per draw: mean over entities of benefit and slope.  rows has y, rn, for ar1 phi, and sd if own_sd."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
         y = pdf["y"].to_numpy(float)
-        rng = np.random.default_rng([seed, abs(hash(int(pdf[entity].iloc[0])))])
+        rng = _generator(seed, pdf[entity].iloc[0])
         parts = []
         # a long series takes its draws some at a time
         step = max(1, PATH_VALUES // len(y))
         for first in range(0, draws, step):
             some = min(step, draws - first)
-            paths = ar1_paths(y, float(pdf["phi"].iloc[0]), some, rng, bounds) if kind == "ar1" else block_paths(y, mean_length, some, rng)
+            if kind == "ar1":
+                paths = ar1_paths(y, float(pdf["phi"].iloc[0]), some, rng, bounds, float(pdf["sd"].iloc[0]) if own_sd else None)
+            else:
+                paths = block_paths(y, mean_length, some, rng)
             parts.append(_benefit_slope(paths, k))
         benefit, slope = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pd.DataFrame({"draw": np.arange(draws), "benefit": benefit, "slope": slope})
 
-    columns = [entity, "rn", "y"] + ["phi"] * (kind == "ar1")
+    columns = [entity, "rn", "y"] + ["phi"] * (kind == "ar1") + ["sd"] * own_sd
     per = rows.where(F.col("n") >= k + 5).select(*columns).groupBy(entity).applyInPandas(run, "draw long, benefit double, slope double")
     return per.groupBy("draw").agg(F.avg("benefit").alias("benefit"), F.avg("slope").alias("slope"))
+
+
+def path_marginals(paths: np.ndarray, low: float, high: float) -> np.ndarray:
+    """mean, sd, floor, ceiling, lag1, outside and grid of each row of a draws x time array; lag1 is missing for constant rows."""
+    x, y = (z - z.mean(axis=1, keepdims=True) for z in (paths[:, :-1], paths[:, 1:]))
+    spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        lag1 = np.where(spread > 0, (x * y).sum(axis=1) / spread, np.nan)
+    shares = [(paths == low), (paths == high), (paths < low) | (paths > high), np.abs(paths - np.rint(paths)) <= 1e-10]
+    floor, ceiling, outside, grid = (s.mean(axis=1) for s in shares)
+    return np.stack([paths.mean(axis=1), paths.std(axis=1), floor, ceiling, lag1, outside, grid], axis=1)
+
+
+MARGINALS = ("mean", "sd", "floor", "ceiling", "lag1", "outside", "grid")
+
+
+def simulated_marginals(rows: DataFrame, entity: str, draws: int, low: float, high: float, bounds: tuple[float, float] | None = None, seed: int = SEED) -> DataFrame:
+    """Means over entities of the diagnostics' means over each entity's simulated series.  rows has y, rn, phi."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        paths = ar1_paths(pdf["y"].to_numpy(float), float(pdf["phi"].iloc[0]), draws, _generator(seed, pdf[entity].iloc[0]), bounds)
+        m = path_marginals(paths, low, high)
+        known = ~np.isnan(m)
+        means = np.where(known, m, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+        return pd.DataFrame([[None if not k else v for v, k in zip(means, known.any(axis=0), strict=True)]], columns=MARGINALS, dtype=float)
+
+    per = rows.where("n >= 2").select(entity, "rn", "y", "phi").groupBy(entity).applyInPandas(run, ", ".join(f"{m} double" for m in MARGINALS))
+    return per.agg(F.count("*").alias("people"), *[F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in MARGINALS])

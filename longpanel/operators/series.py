@@ -6,6 +6,7 @@ rows alone.  All windows share one partitioning and order, so a panel of feature
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,8 +70,12 @@ class History:
         return F.get(last, best["i"])
 
     def ewm(self, k: int = 8, alpha: float = 2 / 9) -> Column:
-        """Mean of the first k reports, then moved by alpha towards each later one."""
-        later = F.collect_list(F.when(self.rn > k, self.y)).over(self.before)
+        """Mean of the first k reports, then moved by alpha towards each later one.
+
+        The frame ends where a report's weight falls below 1e-18, so the work a row is the same in any series.
+        """
+        reach = math.ceil(math.log(1e-18) / math.log(1 - alpha))
+        later = F.collect_list(F.when(self.rn > k, self.y)).over(self.last(reach))
         return F.aggregate(later, self.frozen_mean(k), lambda m, x: m * (1 - alpha) + x * alpha)
 
     def online_ar1(self, shrink: float = 10.0, bound: float = 0.95) -> Column:
@@ -94,6 +99,12 @@ def with_lag(df: DataFrame, entity: Sequence[str]) -> DataFrame:
     return df.withColumn("_lag", F.lag("y").over(Window.partitionBy(*entity).orderBy("rn")))
 
 
+def steps_back(rows: DataFrame, entity: Sequence[str], time: str) -> DataFrame:
+    """Rows that are earlier in time than the row before them."""
+    w = Window.partitionBy(*entity).orderBy("rn")
+    return rows.withColumn("_before", F.lag(time).over(w)).where(F.col(time) < F.col("_before")).drop("_before")
+
+
 def targets(rows: DataFrame, entity: Sequence[str], order_col: str, k: int = 8) -> DataFrame:
     """Rows after the k-th with bk, lk, age (elapsed days, or distance of an integer order), benefit."""
     h = History(entity)

@@ -1,4 +1,7 @@
-"""Semi-synthetic change: a ramp to a plateau is added to a series, and baselines are judged by what they keep."""
+"""Semi-synthetic change: a ramp to a plateau is added to a series of targets, and baselines are judged by what they keep.
+
+Rows hold pos (0-based place among the entity's targets), m (targets of the entity), y, bk and lk.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .balance import weighted_quantile
+
+SCENARIO = ["fraction", "ramp", "magnitude"]
+#: How much of the last-k baseline each method holds; the rest is the frozen one.
+METHODS = {"B8": 0.0, "A50": 0.5, "L8": 1.0}
+
 
 def scenarios(rows: DataFrame, fractions: Sequence[float], ramps: Sequence[int], magnitudes: Sequence[float], k: int = 8) -> DataFrame:
-    """Each row in each scenario in which its series is long enough: fraction, ramp, magnitude, onset (0-based)."""
+    """Each row in each scenario in which its series is long enough: fraction, ramp, magnitude (in SD), onset (0-based)."""
     grid = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.lit(float(m)).alias("magnitude")) for f in fractions for r in ramps for m in magnitudes])
     out = rows.withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
-    out = out.withColumn("onset", F.greatest(F.lit(2 * k), F.floor(F.col("n") * F.col("fraction"))).cast("long"))
-    return out.where(F.col("onset") + F.col("ramp") + k <= F.col("n"))
+    out = out.withColumn("onset", F.greatest(F.lit(2 * k), F.floor(F.col("m") * F.col("fraction"))).cast("long"))
+    return out.where(F.col("onset") + F.col("ramp") + k <= F.col("m"))
 
 
 def offset(position: Column, onset: Column, ramp: Column, magnitude: Column) -> Column:
@@ -23,34 +32,42 @@ def offset(position: Column, onset: Column, ramp: Column, magnitude: Column) ->
 
 
 def injected(rows: DataFrame, entity: Sequence[str], k: int = 8) -> DataFrame:
-    """off (added change), adapt (how much of it the last-k baseline took in), phase."""
-    pos = F.col("rn") - 1
+    """off (added change), adapt (how much of it the last-k baseline took in) and phase, in SD."""
+    pos, ramp_end = F.col("pos"), F.col("onset") + F.col("ramp")
     out = rows.withColumn("off", offset(pos, F.col("onset"), F.col("ramp"), F.col("magnitude")))
-    w = Window.partitionBy(*entity, "fraction", "ramp", "magnitude").orderBy("rn").rowsBetween(-k, -1)
+    w = Window.partitionBy(*entity, *SCENARIO).orderBy("pos").rowsBetween(-k, -1)
     out = out.withColumn("adapt", F.coalesce(F.sum("off").over(w), F.lit(0.0)) / k)
-    phase = F.when(pos < F.col("onset"), "before").when(pos < F.col("onset") + F.col("ramp"), "ramp").otherwise("plateau")
+    phase = F.when(pos < F.col("onset"), "pre").when(pos < ramp_end, "ramp").when(pos < ramp_end + k, "plateau").otherwise("after")
     return out.withColumn("phase", phase)
 
 
-def retention(rows: DataFrame, by: Sequence[str], k: int = 8) -> DataFrame:
-    """Share of the change that stays visible against frozen, blended and last-k baselines, over the first k plateau rows."""
-    pos = F.col("rn") - 1
-    end = F.col("onset") + F.col("ramp")
-    window = rows.where((pos >= F.col("onset")) & (pos < end))
-    left = F.try_divide(F.col("off") - F.col("adapt"), F.col("off"))
-    return window.groupBy(*by).agg(F.avg(F.lit(1.0)).alias("B8"), F.avg(0.5 * left + 0.5).alias("A50"), F.avg(left).alias("L8"))
+def scored(rows: DataFrame, direction: Column, sd: Column) -> DataFrame:
+    """A row for each method: score (signed error in SD) and injected_score, both to six digits."""
+    out = rows.withColumn("_m", F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.lit(s).alias("share")) for n, s in METHODS.items()])))
+    share = F.col("_m.share")
+    score = direction * (F.col("y") - ((1 - share) * F.col("bk") + share * F.col("lk"))) / sd
+    # the change is added in the direction that counts, so it comes into the signed score as it is
+    gained = F.col("off") - share * F.col("adapt")
+    return out.select("*", F.col("_m.method").alias("method"), F.round(score, 6).alias("score"), F.round(score + gained, 6).alias("injected_score"), gained.alias("increment")).drop("_m")
+
+
+def thresholds(rows: DataFrame, entity: str, q: float = 0.95) -> DataFrame:
+    """threshold of each scenario and method: the q-quantile of the scores before the onset, each entity with the same weight."""
+    pre = rows.where("phase = 'pre'")
+    own = pre.groupBy(*SCENARIO, "method", entity, "score").agg(F.count("*").alias("c"))
+    weight = F.col("c") / F.sum("c").over(Window.partitionBy(*SCENARIO, "method", entity))
+    return weighted_quantile(own.withColumn("weight", weight), "score", "weight", q, [*SCENARIO, "method"])
 
 
-def alarm_metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group of rows with score, threshold, phase, rn, onset, n: false alarms, detection, delay.
+def responses(rows: DataFrame, entity: str) -> DataFrame:
+    """Per entity, scenario and method: retention on the plateau, and alarms of original and injected scores from the onset to its end.
 
-    An alarm is score > threshold.  The delay runs from the onset to the first alarm at or after it,
-    and is censored at the end of the series.
+    The delay is the place of the first alarm of the injected scores in that window, censored at its length.
     """
-    alarm = F.col("score") > F.col("threshold")
-    late = F.col("phase") != "before"
-    first = F.min(F.when(alarm & late, F.col("rn") - 1))
-    return rows.groupBy(*by).agg(
-        F.avg(F.when(~late, alarm.cast("double"))).alias("false_alarm"), F.avg(F.when(F.col("phase") == "plateau", alarm.cast("double"))).alias("detection"),
-        first.isNotNull().alias("detected"), (F.coalesce(first, F.max("n")) - F.max("onset")).alias("delay"),
-    ).withColumn("excess", F.col("detection") - F.col("false_alarm"))
+    met = rows.where("phase IN ('ramp', 'plateau')").join(F.broadcast(thresholds(rows, entity)), [*SCENARIO, "method"])  # a row for each scenario and method
+    before, after = F.col("score") > F.col("threshold"), F.col("injected_score") > F.col("threshold")
+    g = met.groupBy(entity, *SCENARIO, "method").agg(
+        F.count("*").alias("targets"), (F.avg(F.when(F.col("phase") == "plateau", F.col("increment"))) / F.first("magnitude")).alias("retention"),
+        F.avg(before.cast("double")).alias("false_alarm"), F.avg(after.cast("double")).alias("detection"), F.min(F.when(after, F.col("pos") - F.col("onset"))).alias("first"),
+    )
+    return g.select("*", (F.col("detection") - F.col("false_alarm")).alias("excess"), F.col("first").isNotNull().cast("double").alias("detected"), F.coalesce("first", "targets").cast("double").alias("delay"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, relative_change, spearman_brown, weighted_mean
-from ..operators import balance, models, quality, resample, stress, verdicts
+from ..operators import balance, models, quality, resample
 from ..operators import series as ops
 from .base import ENTITY, S, T, out, r, reports, rows_after_eight, table
 
@@ -497,41 +497,6 @@ def weighted_quantile_threshold(spark, d):
     return out(balance.weighted_quantile(t, "v", "w", 0.9, ["event_type"]), "event_type", threshold="threshold")
 
 
-# -- semi-synthetic change -------------------------------------------------------------------------
-
-_SC = f"""{S}, c AS (SELECT s.*, ramp, magnitude, fraction, greatest(16, CAST(floor(n * fraction) AS BIGINT)) AS onset FROM s, (SELECT unnest([4, 8, 16]) AS ramp), (SELECT unnest([0.5e0, 1e0, 1.5e0]) AS magnitude), (SELECT unnest([0.33e0, 0.5e0]) AS fraction)),
-e AS (SELECT *, CASE WHEN rn - 1 < onset THEN 0e0 ELSE magnitude * least((rn - onset) / CAST(ramp AS DOUBLE), 1e0) END AS off FROM c WHERE onset + ramp + 8 <= n),
-i AS (SELECT *, coalesce(sum(off) OVER (PARTITION BY user_id, fraction, ramp, magnitude ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) / 8 AS adapt FROM e)"""
-
-
-def _changed(spark, d):
-    return stress.injected(stress.scenarios(reports(spark, d), (0.33, 0.5), (4, 8, 16), (0.5, 1.0, 1.5)), ENTITY)
-
-
-@query(f"WITH {_SC} SELECT ramp, magnitude, fraction, count(DISTINCT user_id) AS people, {r('sum(off - adapt) FILTER (rn - 1 >= onset + ramp AND rn - 1 < onset + ramp + 8) / sum(off) FILTER (rn - 1 >= onset + ramp AND rn - 1 < onset + ramp + 8)')} AS l8, 1e0 AS b8 FROM i GROUP BY ALL")
-def deterioration_retention(spark, d):
-    i = _changed(spark, d)
-    pos = F.col("rn") - 1
-    plateau = (pos >= F.col("onset") + F.col("ramp")) & (pos < F.col("onset") + F.col("ramp") + 8)
-    g = i.groupBy("ramp", "magnitude", "fraction").agg(F.count_distinct("user_id").alias("people"), F.try_divide(F.sum(F.when(plateau, F.col("off") - F.col("adapt"))), F.sum(F.when(plateau, F.col("off")))).alias("l8"))
-    return out(g.withColumn("b8", F.lit(1.0)), "ramp", "magnitude", "fraction", "people", "b8", l8="l8")
-
-
-_AL = f"""{_SC}, q AS (SELECT *, avg(y) OVER (PARTITION BY user_id, fraction, ramp, magnitude ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l8 FROM i),
-a AS (SELECT *, y + off - (l8 + adapt) > 60 AS alarm, rn - 1 < onset AS before, rn - 1 >= onset + ramp AS plateau FROM q WHERE rn > 8),
-u AS (SELECT user_id, fraction, ramp, magnitude, avg(CASE WHEN before THEN CAST(alarm AS DOUBLE) END) AS fa, avg(CASE WHEN plateau THEN CAST(alarm AS DOUBLE) END) AS de, min(CASE WHEN alarm AND NOT before THEN rn - 1 END) AS first, max(n) AS n, max(onset) AS onset FROM a GROUP BY ALL)"""
-
-
-@query(f"WITH {_AL} SELECT fraction, ramp, magnitude, count(*) AS people, {r('avg(fa)')} AS false_alarm, {r('avg(de)')} AS detection, {r('avg(de - fa)')} AS excess, {r('avg(CASE WHEN first IS NULL THEN 0e0 ELSE 1e0 END)')} AS detected, {r('avg(coalesce(first, n) - onset)')} AS delay FROM u GROUP BY ALL")
-def alarm_metrics(spark, d):
-    w = Window.partitionBy("user_id", "fraction", "ramp", "magnitude").orderBy("rn").rowsBetween(-8, -1)
-    rows = _changed(spark, d).withColumn("l8", F.avg("y").over(w)).where("rn > 8")
-    rows = rows.withColumn("score", F.col("y") + F.col("off") - (F.col("l8") + F.col("adapt"))).withColumn("threshold", F.lit(60.0))
-    u = stress.alarm_metrics(rows, ["user_id", "fraction", "ramp", "magnitude"])
-    g = u.groupBy("fraction", "ramp", "magnitude").agg(F.count("*").alias("people"), *[F.avg(c).alias(c) for c in ("false_alarm", "detection", "excess", "delay")], F.avg(F.col("detected").cast("double")).alias("detected"))
-    return out(g, "fraction", "ramp", "magnitude", "people", false_alarm="false_alarm", detection="detection", excess="excess", detected="detected", delay="delay")
-
-
 @query(f"WITH {_PEOPLE}, a AS (SELECT user_id, avg(abs(y - (bk + lk) / 2)) AS mae FROM t GROUP BY user_id), m AS (SELECT 'B8' AS method, avg(mae_b) AS mae FROM p UNION ALL SELECT 'L8', avg(mae_l) FROM p UNION ALL SELECT 'A50', avg(mae) FROM a) SELECT method, {r('mae')} AS mae, {r('''-100 * (mae / (SELECT mae FROM m WHERE method = 'B8') - 1)''')} AS improvement_percent FROM m")
 def accuracy_retention_tradeoff(spark, d):
     t = rows_after_eight(spark, d).withColumn("a50", (F.col("bk") + F.col("lk")) / 2)
@@ -574,27 +539,13 @@ def crossfit_predictions(spark, d):
     return out(models.crossfit(t, models.recency_weight(t, "user_id", "bk", "lk", 5), "bk", "lk"), "user_id", "rn", prediction="prediction")
 
 
-_BK = (2, 3, 4, 6, 8)
-
-
-@query(
-    " UNION ALL ".join(f"(WITH {S}, h AS (SELECT *, avg(CASE WHEN rn <= {k} THEN y END) OVER (PARTITION BY user_id) AS b, avg(y) OVER ({_W} UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM s), p AS (SELECT user_id, avg(abs(y - b)) AS b, avg(abs(y - o)) AS o FROM h WHERE rn > 8 GROUP BY user_id) SELECT CAST({k} AS INTEGER) AS budget, count(*) AS people, {r('avg(b)')} AS mae, {r('100 * (avg(o) / avg(b) - 1)')} AS online_percent FROM p)" for k in _BK)
-)
-def budget_curve(spark, d):
-    h = ops.History(ENTITY)
-    rows = reports(spark, d).select("user_id", "rn", "y", h.running_mean().alias("o"), *[h.frozen_mean(k).alias(f"b{k}") for k in _BK]).where("rn > 8")
-    one = balance.balanced(balance.person_errors(rows, ENTITY, {"o": "o", **{f"b{k}": f"b{k}" for k in _BK}}), ["o", *[f"b{k}" for k in _BK]])
-    long = one.select("people", "mae_o", F.explode(F.array(*[F.struct(F.lit(k).alias("budget"), F.col(f"mae_b{k}").alias("mae")) for k in _BK])).alias("x")).select("people", "mae_o", "x.*")
-    return out(long.withColumn("c", relative_change(F.col("mae_o"), F.col("mae"))), "budget", "people", mae="mae", online_percent="c")
-
-
 # -- resampling ------------------------------------------------------------------------------------
 
 
 def _lcg_sql(*parts: str) -> str:
     h = "17"
     for p in parts:
-        h = f"(({h} * 1103515 + CAST({p} AS BIGINT) * 12345 + 1013904) % 2147483647)"
+        h = f"list_transform([({h} * 1103515 + CAST({p} AS BIGINT) % 2147483647 * 12345 + 1013904) % 2147483647], lambda v: (v * v + 12345) % 2147483647)[1]"
     return f"(({h} * 48271) % 2147483647)"
 
 
@@ -607,15 +558,12 @@ _BLOCKS = (8, 16, 32)
 
 
 def _bootstrap(spark, d, draws=_DRAWS):
-    people = resample.indexed(_people(spark, d), "user_id")
-    w = resample.bootstrap_weights(people, "idx", people.count(), draws)
-    met = w.join(people, "idx")
-    g = met.groupBy("draw").agg(weighted_mean(F.col("mae_b"), F.col("weight")).alias("b"), weighted_mean(F.col("mae_l"), F.col("weight")).alias("l"))
-    return g.withColumn("percent", relative_change(F.col("l"), F.col("b")))
+    mean = lambda c: weighted_mean(F.col(c), F.col("weight"))
+    return resample.bootstrap(_people(spark, d), "user_id", draws, percent=relative_change(mean("mae_l"), mean("mae_b")))
 
 
 @query(
-    f"WITH {_PEOPLE}, i AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS idx, count(*) OVER () AS m FROM p), g AS (SELECT draw, {_lcg_sql('20260918', 'draw', 'slot')} % (SELECT count(*) FROM p) AS idx FROM (SELECT unnest(range(0, {_DRAWS})) AS draw), (SELECT unnest(range(0, (SELECT count(*) FROM p))) AS slot)), q AS (SELECT draw, 100 * (avg(mae_l) / avg(mae_b) - 1) AS percent FROM g JOIN i USING (idx) GROUP BY draw) SELECT count(*) AS draws, {r('avg(percent)')} AS mean, {r('quantile_cont(percent, 0.025)')} AS low, {r('quantile_cont(percent, 0.975)')} AS high FROM q"
+    f"WITH {_PEOPLE}, i AS (SELECT *, row_number() OVER (ORDER BY {_lcg_sql('user_id')}, user_id) - 1 AS idx FROM p), g AS (SELECT draw, {_lcg_sql('31415926', 'draw', 'slot')} % (SELECT count(*) FROM p) AS idx FROM (SELECT unnest(range(0, {_DRAWS})) AS draw), (SELECT unnest(range(0, (SELECT count(*) FROM p))) AS slot)), q AS (SELECT draw, 100 * (avg(mae_l) / avg(mae_b) - 1) AS percent FROM g JOIN i USING (idx) GROUP BY draw) SELECT count(*) AS draws, {r('avg(percent)')} AS mean, {r('quantile_cont(percent, 0.025)')} AS low, {r('quantile_cont(percent, 0.975)')} AS high FROM q"
 )
 def bootstrap_ci_portable(spark, d):
     return out(resample.percentile_interval(_bootstrap(spark, d), "percent"), "draws", mean="mean", low="low", high="high")
@@ -632,8 +580,8 @@ def _null_benefit(rows):
     return t.groupBy("draw", "user_id").agg(F.avg(g).alias("g")).groupBy("draw").agg(F.avg("g").alias("benefit"))
 
 
-_PERM = _null_sql(f"v AS (SELECT draw, user_id, y, row_number() OVER (PARTITION BY draw, user_id ORDER BY {_lcg_sql('20260918', 'draw', 'user_id', 'rn')}, rn) AS rn FROM e)", _REARRANGED)
-_SHIFT = _null_sql(f"v AS (SELECT draw, user_id, y, (rn - 1 + 1 + {_lcg_sql('20260918', 'draw', 'user_id')} % (n - 1)) % n + 1 AS rn FROM e WHERE n > 1)", _REARRANGED)
+_PERM = _null_sql(f"v AS (SELECT draw, user_id, y, row_number() OVER (PARTITION BY draw, user_id ORDER BY {_lcg_sql('31415926', 'draw', 'user_id', 'rn')}, rn) AS rn FROM e)", _REARRANGED)
+_SHIFT = _null_sql(f"v AS (SELECT draw, user_id, y, (rn - 1 + 1 + {_lcg_sql('31415926', 'draw', 'user_id')} % (n - 1)) % n + 1 AS rn FROM e WHERE n > 1)", _REARRANGED)
 
 
 @query(f"WITH {_PERM} SELECT CAST(draw AS INTEGER) AS draw, {r('benefit')} AS benefit FROM q")
@@ -691,14 +639,6 @@ def nested_ridge(spark, d):
     return models.nested_ridge(_first_features_and_gain(spark, d), ["mean", "sd", "step", "trend"], "gain", [0.1, 1.0, 10.0, 100.0], 5)
 
 
-@query()
-def response_model(spark, d):
-    o = ops.opportunities(_prompts(spark, d), ENTITY, "counter", F.col("done")).withColumn("y", F.col("done").cast("double"))
-    b = models.logistic(o, ["completion_rate", "streak"], "y")
-    scored = o.withColumn("score", 1 / (1 + F.exp(-models.linear(b, ["completion_rate", "streak"]))))
-    return models.auc(scored, "score", "y").crossJoin(models.brier(scored, "score", "y"))
-
-
 @query()
 def first_component(spark, d):
     v = models.first_component(_first_features_and_gain(spark, d), ["mean", "sd", "step"])
@@ -715,17 +655,18 @@ def union_sources(spark, d):
     return e.select(F.lit("events").alias("dataset"), "participant", "rows").unionByName(o.select(F.lit("orders").alias("dataset"), "participant", "rows"))
 
 
-_A = "a AS (SELECT user_id, count(*) AS v FROM events WHERE event_type <> 'error' GROUP BY user_id), b AS (SELECT user_id, count(*) AS v FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)"
+_A = "a AS (SELECT o_custkey, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), b AS (SELECT o_custkey, count(*) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)"
 
 
 def _two(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_type")
-    return e.where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("v")), e.where("user_id % 3 <> 0").groupBy("user_id").agg(F.count("*").alias("v"))
+    """Orders a customer, two states of theirs."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
+    return tuple(o.where(F.col("o_orderstatus") == x).groupBy("o_custkey").agg(F.count("*").alias("v")) for x in "FP")
 
 
-@query(f"WITH {_A} SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS v_left, b.v AS v_right, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left' ELSE 'right' END AS presence, coalesce(a.v = b.v, false) AS agree FROM a FULL JOIN b ON a.user_id = b.user_id")
+@query(f"WITH {_A} SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.v AS v_left, b.v AS v_right, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left' ELSE 'right' END AS presence, coalesce(a.v = b.v, false) AS agree FROM a FULL JOIN b ON a.o_custkey = b.o_custkey")
 def full_outer_reconcile(spark, d):
-    return quality.reconcile(*_two(spark, d), ["user_id"], ["v"]).select("user_id", "v_left", "v_right", "presence", "agree")
+    return quality.reconcile(*_two(spark, d), ["o_custkey"], ["v"]).select("o_custkey", "v_left", "v_right", "presence", "agree")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'ordered' ELSE 'never' END AS kind FROM customer")
@@ -741,15 +682,9 @@ def duplicate_keys(spark, d):
     return quality.duplicate_keys(o, ["o_custkey", "day"])
 
 
-@query(f"WITH {_A} SELECT user_id, 'left' AS side FROM a WHERE user_id NOT IN (SELECT user_id FROM b) UNION ALL SELECT user_id, 'right' FROM b WHERE user_id NOT IN (SELECT user_id FROM a)")
+@query(f"WITH {_A} SELECT o_custkey, 'left' AS side FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b) UNION ALL SELECT o_custkey, 'right' FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a)")
 def key_set_equality(spark, d):
-    return quality.key_difference(*_two(spark, d), ["user_id"])
-
-
-@query(f"WITH {_NULL}, {_PEOPLE.replace(S + ', ', '')}, z AS (SELECT (1 + count(*) FILTER (benefit >= observed)) / (count(*) + 1e0) AS p FROM q, o) SELECT CASE WHEN z.p <= 0.0125 THEN 'beyond the null' ELSE 'within the null' END AS against_null, CASE WHEN rel < 0 THEN 'direction only' ELSE 'not supported' END AS improvement FROM z, (SELECT 100 * (avg(mae_l) / avg(mae_b) - 1) AS rel FROM p)".replace(", f AS (SELECT *, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY user_id) AS bk", ", ff AS (SELECT *, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY user_id) AS bk").replace("AS benefit FROM f WHERE", "AS benefit FROM ff WHERE"))
-def verdict_rules(spark, d):
-    rel = _balanced(spark, d).select(relative_change(F.col("mae_l"), F.col("mae_b")).alias("rel"))
-    both = _null(spark, d).crossJoin(rel)
-    return both.select(verdicts.against_null(F.col("p")).alias("against_null"), verdicts.improvement(F.col("rel"), F.lit(1.0)).alias("improvement"))
+    return quality.key_difference(*_two(spark, d), ["o_custkey"])
 
 
+from . import studies  # noqa: E402,F401  registers its queries here

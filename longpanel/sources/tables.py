@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+from importlib.metadata import version
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,9 +78,39 @@ def write_all(tables: dict[str, DataFrame], folder: str, seed: int | None = None
             df.write.mode("overwrite").option("header", True).csv(target)
         else:
             raise ValueError(f"no writer for {name}")
-    made = {"written": datetime.datetime.now(datetime.UTC).isoformat(), "spark": spark.version, "seed": seed, "checks": checks or {}, "outputs": {}}
+    made = {"written": datetime.datetime.now(datetime.UTC).isoformat(), "versions": {m: version(m) for m in ("pyspark", "pandas", "numpy", "pyarrow")}, "seed": seed, "checks": checks or {}, "outputs": {}}
     for name in tables:
         files = file_hashes(spark, f"{folder}/{name}").where(F.col("path").rlike(r"part-[^/]*$")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ",").cast("binary"), 256)).first()[0]
         made["outputs"][name] = files
     spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest.json")
     return made
+
+
+#: Registered cohorts: a loader of (spark, folder) for each name.
+COHORTS: dict = {}
+
+
+def register(name: str):
+    """Registers a loader of a cohort's long table under a name."""
+
+    def add(load):
+        COHORTS[name] = load
+        return load
+
+    return add
+
+
+def cohort(spark: SparkSession, folder: str, name: str, only_complete: str | None = None) -> DataFrame:
+    """The registered cohort's rows, those alone where the only_complete column is true, if it is given."""
+    if name not in COHORTS:
+        raise KeyError(f"no cohort {name}; there are {sorted(COHORTS)}")
+    rows = COHORTS[name](spark, folder)
+    return rows.where(F.col(only_complete)) if only_complete else rows
+
+
+def require_files(spark: SparkSession, *paths: str) -> None:
+    """Raises unless every path, such as a protocol that must exist before results, can be listed by Spark."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            raise FileNotFoundError(path)
