@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Vectors are scaled to unit length (for unequal lengths an extra coordinate keeps the order of inner
-products), turned by pseudo-random rotations (three rounds of random signs and a fast Hadamard
-transform) and hashed to the nearest signed axis.  Each of ``TABLES`` tables holds every vector
-once; a query probes its best axes in each, ``PROBES`` at least and so many that a table's probes
-reach ``REACH`` entries or all (near neighbours in a small table are far in angle).  Candidates are ranked by the exact inner product
-of the original vectors, in double precision.
-
-Equal vectors are one entry with their smallest ids, ``NEAREST`` + 1 at most, since no more of them can
-be in a result.  A bucket is dealt out in blocks of about ``BLOCK`` entries, and so are its queries,
-so no task holds a whole bucket, and a block of queries meets a block of entries in one matrix product
-that returns the best of each query only.
+products) and hashed by two pseudo-random rotations (three rounds of random signs and a fast Hadamard
+transform each): the nearest signed axis of the first, and of the second's first ``FINE`` coordinates.  Each
+of ``TABLES`` tables deals all vectors into such buckets.  A query probes the buckets of all tables in the
+order of what its coordinates fall short of the nearest axes, until they hold ``REACH * N ** POWER`` of the N
+vectors, counted once a table: one rule for all sizes, by the buckets' real sizes, so a query
+between clusters looks as far as any other.  Candidates are ranked by the exact inner product of the original
+vectors, in double precision and one order of summing.
+
+Bucket sizes are at most ``TABLES * 4 * d * FINE`` numbers, whatever N is.  By them, neighbouring buckets are packed
+into blocks of about ``BLOCK`` vectors and larger ones are cut; a vector goes to its block in each table,
+a query to the blocks that it probes, and a block of queries meets a block of vectors in one matrix product that
+returns the best of each query only.  Equal vectors are one entry with their smallest ids, ``NEAREST`` + 1 at
+most, since no more of them can be in a result.
 
 Edge cases: null, empty and zero vectors and those with null or non-finite components take no part,
 nor do vectors whose length differs from the commonest one.  A null vec_id takes no part.  Repeated
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 NEAREST = 20
-TABLES = 16
-PROBES = 4
-REACH = 1000
-BLOCK = 2000
+TABLES = 4
+FINE = 64
+REACH, POWER = 7.0, 0.72
+BLOCK = 2048
 ROUNDS = 3
 
 
@@ -49,11 +52,58 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first: axis, or axis + d for the negative one."""
-    y = rotate(x, table)
-    both = np.hstack([y, -y])
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def nearness(x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of each row along all signed axes of the table's two rotations."""
+    first, second = rotate(x, 2 * table), rotate(x, 2 * table + 1)[:, :FINE]
+    return np.hstack([first, -first]), np.hstack([second, -second])
+
+
+def codes(x: np.ndarray) -> np.ndarray:
+    """The bucket of each row in each table."""
+    out = []
+    for t in range(TABLES):
+        a, b = nearness(x, t)
+        out.append((t * a.shape[1] + a.argmax(axis=1)) * b.shape[1] + b.argmax(axis=1))
+    return np.stack(out, axis=1)
+
+
+def probes(x: np.ndarray, sizes: np.ndarray, reach: float) -> list[np.ndarray]:
+    """The buckets that each row probes: the nearest ones that hold reach vectors, or all."""
+    short = []
+    for t in range(TABLES):
+        gaps = [(z.max(axis=1, keepdims=True) - z) ** 2 for z in nearness(x, t)]
+        short.append((gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(len(x), -1))
+    held = np.flatnonzero(sizes)
+    short, filled = np.hstack(short)[:, held], sizes[held]
+    out = []
+    for row in short:
+        # sorting a part is enough if it holds as many; the part grows until it does
+        k = min(len(held), int(2 * reach * len(held) / filled.sum()) + 64)
+        while True:
+            at = np.argpartition(row, k - 1)[:k] if k < len(held) else np.arange(len(held))
+            at = at[np.lexsort([at, row[at]])]
+            total = np.cumsum(filled[at])
+            if total[-1] >= reach or k == len(held):
+                break
+            k = min(len(held), 2 * k)
+        out.append(held[at[: int(np.searchsorted(total, reach)) + 1]])
+    return out
+
+
+def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each bucket and the number of blocks that it is cut into; a block holds buckets of one table, so no vector twice."""
+    cuts = np.maximum(1, -(-sizes // BLOCK))
+    first, block, room = np.zeros(len(sizes), np.int64), 0, BLOCK
+    table, span = 0, len(sizes) // TABLES
+    for i in np.flatnonzero(sizes):
+        if sizes[i] > room or i // span > table:
+            block, room, table = block + 1, BLOCK, i // span
+        first[i] = block
+        if cuts[i] > 1:
+            block, room = block + int(cuts[i]), BLOCK
+        else:
+            room -= sizes[i]
+    return first, cuts
 
 
 def _unit(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
@@ -86,21 +136,25 @@ def entries(x: DataFrame) -> DataFrame:
     return few.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("entry", F.element_at("ids", 1))
 
 
-def _hashed(x: DataFrame, key: str, longest: float, query: bool, entries: int = 0) -> DataFrame:
-    """key, embedding, bucket: a row for each table (and probe)."""
+def _vectors(batch, longest: float, query: bool) -> np.ndarray:
+    return _unit(np.asarray(batch.column("embedding").flatten(), float).reshape(batch.num_rows, -1), longest, query)
+
+
+def bucket_sizes(base: DataFrame, longest: float) -> np.ndarray:
+    """The number of entries of every bucket."""
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.asarray(batch.column("embedding").flatten(), float).reshape(batch.num_rows, -1)
-            u = _unit(v, longest, query)
-            signed = 2 * u.shape[1]
-            probes = min(signed, max(PROBES, -(-signed * REACH // max(1, entries)))) if query else 1
-            for t in range(TABLES):
-                for p in axes(u, t, probes).T:
-                    yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("embedding"), pa.array((p + t * 4 * u.shape[1]).astype(np.int32))], names=[key, "embedding", "bucket"])
+            if batch.num_rows:
+                code, n = np.unique(codes(_vectors(batch, longest, False)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    return x.select(key, "embedding").mapInArrow(run, f"{key} bigint, embedding {dict(x.dtypes)['embedding']}, bucket int")
+    found = base.select("embedding").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # TABLES * 4 * d * FINE rows at most
+    one = base.first()
+    d = _unit(np.array([one["embedding"]], float), longest, False).shape[1] if one else 1
+    sizes = np.zeros(TABLES * 2 * d * 2 * min(d, FINE), np.int64)
+    sizes[found["code"].to_numpy(np.int64)] = found["n"]
+    return sizes
 
 
 def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
@@ -112,19 +166,50 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
     base = stored(entries(x))
     # a query is the entry of its vector
     asked = x.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    queries = base.join(asked.select("embedding").distinct(), "embedding", "left_semi")
-    held, probed = _hashed(base, "entry", longest, False), _hashed(queries.withColumnRenamed("entry", "query"), "query", longest, True, base.count())
-    # blocks: TABLES * 2 d bucket sizes at most
-    sizes = held.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asks = probed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
-    plan = F.broadcast(sizes.join(asks, "bucket"))
-
-    def dealt(side, key, own, other):
-        at = side.join(plan, "bucket").withColumn(f"no_{own}", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
-        return at.withColumn(f"no_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "no_parts", "no_asks", key, "embedding")
-
-    blocks = dealt(held, "entry", "parts", "asks").groupBy("bucket", "no_parts", "no_asks")
-    others = dealt(probed, "query", "asks", "parts").groupBy("bucket", "no_parts", "no_asks")
+    queries = base.join(asked.select("embedding").distinct(), "embedding", "left_semi").withColumnRenamed("entry", "query")
+    sizes = bucket_sizes(base, longest)
+    n = int(sizes.sum()) // TABLES
+    # every table holds all, so this many entries hold nearest + 1 different ones
+    reach = max(REACH * n**POWER, TABLES * (nearest + 1))
+    first, cuts = packed(sizes)
+    plan = base.sparkSession.sparkContext.broadcast((sizes, first, cuts))
+    vector = dict(x.dtypes)["embedding"]
+
+    def deal(batches):
+        _, first, cuts = plan.value
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.asarray(batch.column("entry"))
+                for code in codes(_vectors(batch, longest, False)).T:
+                    yield pa.RecordBatch.from_arrays([pa.array(first[code] + ids % cuts[code]), batch.column("entry"), batch.column("embedding"), pa.array(code)], names=["block", "entry", "embedding", "code"])
+
+    def ask(batches):
+        sizes, first, cuts = plan.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 32):
+                batch = whole.slice(at, 32)
+                rows, blocks, wanted = [], [], []
+                for i, code in enumerate(probes(_vectors(batch, longest, True), sizes, reach)):
+                    code = np.sort(code)
+                    each = np.repeat(code, cuts[code])
+                    block = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(cuts[code]) - cuts[code], cuts[code])
+                    opens = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                    rows.append(np.full(len(opens), i))
+                    blocks.append(block[opens])
+                    wanted += np.split(each, opens[1:])
+                if rows:
+                    at_rows = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), batch.column("query").take(at_rows), batch.column("embedding").take(at_rows), pa.array(wanted, pa.list_(pa.int64()))], names=["block", "query", "embedding", "codes"])
+
+    held = base.select("entry", "embedding").mapInArrow(deal, f"block bigint, entry bigint, embedding {vector}, code bigint")
+    probed = queries.select("query", "embedding").mapInArrow(ask, f"block bigint, query bigint, embedding {vector}, codes array<bigint>")
+    # a block that many queries probe is taken by several tasks, each with some of the queries
+    probed = stored(probed)
+    asks = probed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
+    several = asks.where("asks > 1")
+    met = held.join(asks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks")
+    turn = F.pmod(F.xxhash64("query"), F.coalesce("asks", F.lit(1))).cast("int")
+    probed_parts = probed.join(several, "block", "left").withColumn("part", turn).drop("asks")
 
     def rank(entry_table, query_table):
         if not entry_table.num_rows or not query_table.num_rows:
@@ -132,17 +217,27 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
         ids, asks = np.asarray(entry_table.column("entry")), np.asarray(query_table.column("query"))
         b = np.asarray(entry_table.column("embedding").combine_chunks().flatten(), float).reshape(len(ids), -1)
         q = np.asarray(query_table.column("embedding").combine_chunks().flatten(), float).reshape(len(asks), -1)
-        scores = q @ b.T
-        # one entry more than asked for, as a query's own vector may be it alone; all that tie with the last stay
+        kinds, own = np.unique(np.asarray(entry_table.column("code")), return_inverse=True)
+        lists = query_table.column("codes").combine_chunks()
+        rows = np.repeat(np.arange(len(asks)), np.asarray(lists.value_lengths()))
+        codes_asked = np.asarray(lists.flatten())
+        place = np.minimum(np.searchsorted(kinds, codes_asked), len(kinds) - 1)
+        hit = kinds[place] == codes_asked
+        probed = np.zeros((len(asks), len(kinds)), bool)
+        probed[rows[hit], place[hit]] = True
+        scores = np.where(probed[:, own], q @ b.T, -np.inf)
+        # one entry more than asked for, as a query's own vector may be it alone; all that may tie with the last stay
         k = min(nearest + 1, len(ids))
         last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        at, to = np.nonzero(scores >= last[:, None])
-        return pa.table({"query": asks[at], "entry": ids[to], "score": scores[at, to]})
+        at, to = np.nonzero((scores >= (last - 1e-9 * (1 + np.abs(np.where(np.isfinite(last), last, 0.0))))[:, None]) & (scores > -np.inf))
+        # summed anew, a row in one order, so that a pair has the same score wherever it is met
+        return pa.table({"query": asks[at], "entry": ids[to], "score": (q[at] * b[to]).sum(axis=1)})
 
-    near = blocks.cogroup(others).applyInArrow(rank, "query bigint, entry bigint, score double")
+    near = met.groupBy("block", "part").cogroup(probed_parts.groupBy("block", "part")).applyInArrow(rank, "query bigint, entry bigint, score double")
     near = near.groupBy("query", "entry").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest + 1).select("query", "entry", "score")
+    near = stored(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest + 1).select("query", "entry", "score"))
+    release(probed)
     # back to ids: each query id of the vector gets the list, without itself
     listed = near.join(base.select("entry", "ids"), "entry").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     each = asked.join(base.select(F.col("entry").alias("query"), "embedding"), "embedding").select("query_id", "query").join(listed, "query")

@@ -26,13 +26,50 @@ def run(spark, rows):
     return out
 
 
-def test_recall_on_the_test_table(spark):
+def compared(x, queries, longest=0.0):
+    """Recall of the nearest 20 and share of rows that are candidates, from the operator's own buckets."""
+    u = op5_ann._unit(x, longest, False)
+    code = op5_ann.codes(u)
+    sizes = np.bincount(code.ravel())
+    recall, share = [], []
+    for q, probed in zip(queries, op5_ann.probes(op5_ann._unit(x[queries], longest, True), sizes, op5_ann.REACH * len(x) ** op5_ann.POWER), strict=True):
+        found = np.isin(code, probed).any(axis=1)
+        scores = x @ x[q]
+        scores[q], found[q] = -np.inf, False
+        recall.append(found[np.argsort(-scores)[:20]].mean())
+        share.append(found.mean())
+    return np.mean(recall), np.mean(share)
+
+
+def test_recall_and_share_by_size():
+    """Directions without clusters, the hardest: recall stays as the share of rows compared falls."""
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (2_000, 10_000, 50_000):
+        recall, share = compared(rng.normal(size=(n, 64)), np.arange(0, n, n // 25))
+        assert recall >= 0.9, n
+        shares.append(share)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.35
+
+
+def test_recall_beside_a_hot_cone():
+    """99 % of the rows in one narrow cone: the few others find most of their neighbours too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32))
+    x[200:] = x[0] + 0.05 * x[200:]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert compared(x, np.arange(1, 200, 8))[0] >= 0.8
+    assert compared(x, np.arange(200, 20_000, 900))[0] >= 0.9
+
+
+def test_recall_on_the_test_table(spark, monkeypatch):
+    monkeypatch.setattr(op5_ann, "BLOCK", 64)  # cut and packed buckets, and blocks that several tasks take
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     wanted = brute(ids, x, [i for i in ids if i % 20 == 0])
     found = {}
-    for r in op5_ann.search(table, "vec_id % 20 = 0").collect():
+    for r in op5_ann.search(table.selectExpr("*", "1 AS code", "'x' AS block"), "vec_id % 20 = 0").collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(found) == set(wanted)
     hits = sum(len({i for i, _ in wanted[q]} & {i for _, i, _ in found[q]}) for q in wanted)
@@ -41,7 +78,7 @@ def test_recall_on_the_test_table(spark):
     for q, hits in found.items():
         hits.sort()
         assert [(-s, i) for _, i, s in hits] == sorted((-s, i) for _, i, s in hits)
-        assert all(s == pytest.approx(float(x[at[q]] @ x[at[i]]), abs=1e-12) for _, i, s in hits)
+        assert all(s == float((x[at[q]] * x[at[i]]).sum()) for _, i, s in hits)
 
 
 def test_small_tables_are_searched_whole(spark):
