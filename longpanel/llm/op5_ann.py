@@ -12,7 +12,9 @@ vectors, in double precision and one order of summing.
 Bucket sizes are at most ``TABLES * 4 * d * FINE`` numbers, whatever N is.  By them, neighbouring buckets are packed
 into blocks of about ``BLOCK`` vectors and larger ones are cut; a vector goes to its block in each table,
 a query to the blocks that it probes, and a block of queries meets a block of vectors in one matrix product that
-returns the best of each query only.  Equal vectors are one entry with their smallest ids, ``NEAREST`` + 1 at
+returns the best of each query only.  A query meets its blocks nearest first, in waves that are ``GROWTH`` times as long each:
+the worst of the ``NEAREST`` + 1 best so far goes along, and a block returns what can still be among them, so that a
+query's rows grow with the number of waves, not of blocks.  Equal vectors are one entry with their smallest ids, ``NEAREST`` + 1 at
 most, since no more of them can be in a result.
 
 Edge cases: null, empty and zero vectors and those with null or non-finite components take no part,
@@ -35,6 +37,7 @@ FINE = 64
 REACH, POWER = 7.0, 0.72
 BLOCK = 2048
 ROUNDS = 3
+FIRST, GROWTH = 4, 8
 
 
 def rotate(x: np.ndarray, table: int) -> np.ndarray:
@@ -106,6 +109,14 @@ def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, cuts
 
 
+def wave_ends(blocks: int) -> np.ndarray:
+    """The ranks, among the blocks that a query probes, at which waves end; the last one takes the rest."""
+    ends = [FIRST]
+    while ends[-1] < blocks:
+        ends.append(ends[-1] * GROWTH)
+    return np.array(ends[:-1], np.int64)
+
+
 def _unit(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
     """Rows of unit length, padded to a power of 2; longest is 0 where all lengths are the same."""
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -172,6 +183,7 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
     # every table holds all, so this many entries hold nearest + 1 different ones
     reach = max(REACH * n**POWER, TABLES * (nearest + 1))
     first, cuts = packed(sizes)
+    ends = wave_ends(int((first + cuts).max()))
     plan = base.sparkSession.sparkContext.broadcast((sizes, first, cuts))
     vector = dict(x.dtypes)["embedding"]
 
@@ -188,28 +200,28 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 32):
                 batch = whole.slice(at, 32)
-                rows, blocks, wanted = [], [], []
+                rows, blocks, waves, wanted = [], [], [], []
                 for i, code in enumerate(probes(_vectors(batch, longest, True), sizes, reach)):
-                    code = np.sort(code)
                     each = np.repeat(code, cuts[code])
                     block = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(cuts[code]) - cuts[code], cuts[code])
-                    opens = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                    rows.append(np.full(len(opens), i))
-                    blocks.append(block[opens])
-                    wanted += np.split(each, opens[1:])
+                    found, opens = np.unique(block, return_index=True)
+                    # the block of the nearest bucket has rank 0
+                    rank = np.empty(len(found), np.int64)
+                    rank[np.argsort(opens)] = np.arange(len(found))
+                    order = np.argsort(block, kind="stable")
+                    rows.append(np.full(len(found), i))
+                    blocks.append(found)
+                    waves.append(np.searchsorted(ends, rank, side="right"))
+                    wanted += np.split(each[order], np.flatnonzero(np.diff(block[order])) + 1)
                 if rows:
                     at_rows = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), batch.column("query").take(at_rows), batch.column("embedding").take(at_rows), pa.array(wanted, pa.list_(pa.int64()))], names=["block", "query", "embedding", "codes"])
+                    columns = [np.concatenate(blocks), batch.column("query").take(at_rows), batch.column("embedding").take(at_rows), pa.array(wanted, pa.list_(pa.int64())), np.concatenate(waves).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["block", "query", "embedding", "codes", "wave"])
 
     held = base.select("entry", "embedding").mapInArrow(deal, f"block bigint, entry bigint, embedding {vector}, code bigint")
-    probed = queries.select("query", "embedding").mapInArrow(ask, f"block bigint, query bigint, embedding {vector}, codes array<bigint>")
-    # a block that many queries probe is taken by several tasks, each with some of the queries
-    probed = stored(probed)
-    asks = probed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
-    several = asks.where("asks > 1")
-    met = held.join(asks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks")
-    turn = F.pmod(F.xxhash64("query"), F.coalesce("asks", F.lit(1))).cast("int")
-    probed_parts = probed.join(several, "block", "left").withColumn("part", turn).drop("asks")
+    held = stored(held)
+    probed = queries.select("query", "embedding").mapInArrow(ask, f"block bigint, query bigint, embedding {vector}, codes array<bigint>, wave int")
+    probed = stored(probed, "wave")
 
     def rank(entry_table, query_table):
         if not entry_table.num_rows or not query_table.num_rows:
@@ -229,15 +241,33 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
         # one entry more than asked for, as a query's own vector may be it alone; all that may tie with the last stay
         k = min(nearest + 1, len(ids))
         last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        # and so does what may tie with the worst of the earlier waves' best
+        last = np.maximum(last, np.asarray(query_table.column("bound")))
         at, to = np.nonzero((scores >= (last - 1e-9 * (1 + np.abs(np.where(np.isfinite(last), last, 0.0))))[:, None]) & (scores > -np.inf))
         # summed anew, a row in one order, so that a pair has the same score wherever it is met
         return pa.table({"query": asks[at], "entry": ids[to], "score": (q[at] * b[to]).sum(axis=1)})
 
-    near = met.groupBy("block", "part").cogroup(probed_parts.groupBy("block", "part")).applyInArrow(rank, "query bigint, entry bigint, score double")
-    near = near.groupBy("query", "entry").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
-    near = stored(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest + 1).select("query", "entry", "score"))
-    release(probed)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    near = None
+    for wave in range(len(ends) + 1):
+        asking = probed.where(F.col("wave") == wave).drop("wave")
+        # a block that many queries probe is taken by several tasks, each with some of the queries
+        asks = asking.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
+        met = held.join(asks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks")
+        turn = F.pmod(F.xxhash64("query"), F.coalesce("asks", F.lit(1))).cast("int")
+        asking = asking.join(asks.where("asks > 1"), "block", "left").withColumn("part", turn).drop("asks")
+        if near is None:
+            asking = asking.withColumn("bound", F.lit(float("-inf")))
+        else:
+            full = near.groupBy("query").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == nearest + 1).drop("n")
+            asking = asking.join(full, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = met.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInArrow(rank, "query bigint, entry bigint, score double")
+        before, found = near, found if near is None else found.unionByName(near)
+        found = found.groupBy("query", "entry").agg(F.max("score").alias("score"))
+        near = stored(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest + 1).select("query", "entry", "score"))
+        if before is not None:
+            release(before)
+    release(probed, held)
     # back to ids: each query id of the vector gets the list, without itself
     listed = near.join(base.select("entry", "ids"), "entry").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     each = asked.join(base.select(F.col("entry").alias("query"), "embedding"), "embedding").select("query_id", "query").join(listed, "query")

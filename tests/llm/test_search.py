@@ -99,3 +99,23 @@ def test_copies_ties_and_bad_vectors(spark):
     assert [i for i, _ in found[20]] == list(range(0, 20))
     assert found[40][0] == (41, 0.5)
     assert [i for i, _ in found[40][1:]] == list(range(0, 19))
+
+
+def test_waves_find_what_one_wave_finds(spark, monkeypatch):
+    """The bound of earlier waves loses nothing, with ties and repeated vectors at it."""
+    monkeypatch.setattr(op5_ann, "BLOCK", 16)
+    monkeypatch.setattr(op5_ann, "REACH", 2.0)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(900, 8)), 1)
+    x[700:] = x[rng.integers(0, 300, 200)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert len(op5_ann.wave_ends(900 // 4)) >= 2
+    found = run(spark, rows)
+    monkeypatch.setattr(op5_ann, "FIRST", 10**6)
+    assert len(op5_ann.wave_ends(900 // 4)) == 0
+    assert found == run(spark, rows)
+    assert len(found) == 45
+
+
+def test_wave_ends():
+    assert [op5_ann.wave_ends(n).tolist() for n in (1, 4, 5, 32, 33)] == [[], [], [4], [4], [4, 32]]
