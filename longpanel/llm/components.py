@@ -40,3 +40,17 @@ def components(edges: DataFrame) -> DataFrame:
         release(last)
         state = _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root of the components that roots (of components()) and further edges make together.
+
+    Edges are taken between roots and closed on their own, so rounds carry the further edges alone;
+    then each node follows its root.
+    """
+    for end in ("u", "v"):
+        to = roots.select(F.col("node").alias(end), "root")
+        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    moved = components(edges)
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(old.unionByName(moved.join(roots, "node", "left_anti")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, release, slices, stored, word_hashes
-from .components import components
+from .components import components, extended
 
 SHINGLE = 5
 VALUES = 128
@@ -269,11 +269,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(regions(nodes))
     sets = stored(set_table(docs.where("doc_id IS NOT NULL"), rows.select("doc_id").distinct()))
     links = stored(confirmed(neighbours(rows, nodes), sets))
-    more = bridges(block_cells(labelled(rows, components(links))), nodes, sets)
+    roots = components(links)
+    more = bridges(block_cells(labelled(rows, roots)), nodes, sets)
     if not rows.where("blocks > 1").isEmpty():
-        links = links.unionByName(stored(more))
-        more = bridges(pair_cells(labelled(rows, components(links))), nodes, sets)
-    roots = components(links.unionByName(more).unionByName(copies))
+        roots = extended(roots, more)
+        more = bridges(pair_cells(labelled(rows, roots)), nodes, sets)
+    roots = extended(roots, more.unionByName(copies))
     met = signed.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return met.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -83,3 +83,15 @@ def test_a_hot_groups_region_keeps_links_at_the_threshold(spark, monkeypatch):
     assert {root for _, root in wanted.values()} == {0}
     found = op4_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == wanted
+
+
+def test_components_extended_by_further_edges(spark):
+    rng = random.Random(5)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(60)]
+    # between components, inside one, to nodes without edges so far, a loop and a repeated edge
+    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)] + [(7, 7), (290, 291), (290, 291), first[0]]
+    table = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    found = components.extended(components.components(table(first)), table(more)).collect()
+    whole = components.components(table(first + more)).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole))
+    assert components.extended(components.components(table([])), table([])).isEmpty()
