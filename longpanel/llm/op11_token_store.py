@@ -49,6 +49,12 @@ _SCHEMA = "shard int, segment int, within bigint, first_doc bigint, last_doc big
 #: Words that lower-casing leaves to the same ids, and the part of one that ends before its last signs.
 _PLAIN = re.compile("[!-;=-~¡-įı-ɏ]*")
 _STEM = re.compile("(.*[a-z0-9à-öø-ÿ])([.,;:!?]+)")
+#: Words that no rule changes or cuts, so that the vocabulary's model alone encodes them.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level vocabularies write a byte as a visible sign: itself, or the next one from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SIGNS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - _SEEN))}
+_AS_BYTES = {c: "".join(_SIGNS[b] for b in chr(c).encode()) for c in range(128, 256)}
 _tables: dict[str, tuple] = {}
 
 
@@ -81,8 +87,9 @@ def _padded(x: bytes) -> bytes:
 
 
 def _chunks(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    size = -(-width // 8)
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+    return np.packbits(np.unpackbits(low, axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes()
 
 
 def pack(doc_ids: list[int | None], texts: list[np.ndarray]) -> bytes:
@@ -147,10 +154,11 @@ class Segment:
         value = np.zeros(0, np.uint64)
         for n, width, chunks, bitmap, _ in reversed(self.levels):
             bits = np.unpackbits(chunks, count=n * width, bitorder="little").reshape(n, width)
-            low = (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if n else np.zeros(0, np.uint64)
-            higher = np.zeros(n, np.uint64)
-            higher[np.unpackbits(bitmap, count=n, bitorder="little").astype(bool)] = value
-            value = low | higher << np.uint64(width)
+            low = np.zeros((n, 8), np.uint8)
+            low[:, : -(-width // 8)] = np.packbits(bits, axis=1, bitorder="little")
+            ids = low.view("<u8").ravel()
+            ids[np.flatnonzero(np.unpackbits(bitmap, count=n, bitorder="little"))] |= value << np.uint64(width)
+            value = ids
         return value.astype("<u4")
 
 
@@ -162,10 +170,22 @@ def _open(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tables[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        probe = ["Été", "it's", "naïve.", "x<|y", "12,", "ÿ"]
+        whole = tokenizer.encode(" \n".join(probe), add_special_tokens=False).ids
+        model = tokenizer.model
+        if whole != [i for w in probe for part in _parts(w) for i in _ids(tokenizer, model, part)]:
+            raise ValueError("word tables need a vocabulary that drops white space, lower-cases and cuts words between letters and signs")
+        _tables[path] = tokenizer, model, {}
     return _tables[path]
 
 
+def _ids(tokenizer, model, part: str) -> list[int]:
+    if _LETTERS.fullmatch(part):
+        return [t.id for t in model.tokenize(part if part.isascii() else part.translate(_AS_BYTES))]
+    return tokenizer.encode(part, add_special_tokens=False).ids
+
+
 def _parts(word: str) -> tuple[str, ...]:
     """Pieces of a word whose ids, one after the other, are the word's."""
     if not _PLAIN.fullmatch(word):
@@ -182,19 +202,16 @@ def encode_texts(texts: pa.Array, path: str, last: Sequence[int] = ()) -> tuple[
     line feeds is encoded once, by the library, and kept in a table.  They also put words in lower case and
     cut them between letters or digits and other signs, so plain words share the entries of their parts.
     """
-    tokenizer, table = _open(path)
+    tokenizer, model, table = _open(path)
     if len(table) > TABLE_ENTRIES:
         table.clear()
     lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     parts = {w: _parts(w) for w in words if w not in table}
-    new = list({p for ps in parts.values() for p in ps if p not in table})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            ids = e.ids
-            table[p] = struct.pack(f"<{len(ids)}I", *ids)
+    for p in {p for ps in parts.values() for p in ps if p not in table}:
+        ids = _ids(tokenizer, model, p)
+        table[p] = struct.pack(f"<{len(ids)}I", *ids)
     for w, ps in parts.items():
         table[w] = table[ps[0]] if len(ps) == 1 else b"".join(map(table.__getitem__, ps))
     found = list(map(table.__getitem__, words))
@@ -237,7 +254,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()), strict=True)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
         for batch in batches:
-            for i, j, _, _ in slices(batch.column("text"), 4 << 20):
+            for i, j, _, _ in slices(batch.column("text"), 16 << 20):
                 ids, ends = encode_texts(batch.column("text").slice(i, j - i), path, last)
                 for doc_id, a, b in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), ends, ends[1:], strict=False):
                     doc_ids.append(doc_id)
