@@ -157,11 +157,11 @@ def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "pos") ->
 
     at, part, shift = (fresh(df, c) for c in ("at", "part", "shift"))
     laid = stored(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn(at, F.monotonically_increasing_id()))
-    laid = laid.withColumn(part, F.shiftrightunsigned(at, 33))
+    path, laid = laid._stored_at, laid.withColumn(part, F.shiftrightunsigned(at, 33))
     runs = laid.groupBy(*by, part).agg(F.count("*").alias("n"), F.min(at).alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*by, part])], (before - F.col("first")).alias(shift))
     same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*by, part])]
     out = laid.join(runs, same).withColumn(name, F.col(at) + F.col(shift)).select(*df.columns, name)
-    out._stored_at = laid._stored_at
+    out._stored_at = path
     return out
