@@ -210,7 +210,7 @@ ORACLE = f"""WITH RECURSIVE {CRC_TABLE},
 leaves AS (SELECT doc_id, source, sha256({' || '.join(_FIELDS_SQL)}) AS leaf, CASE WHEN coalesce({crc_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0, false) THEN sha256({' || '.join([*_FIELDS_SQL[:4], _sql_field(_LOWER_SQL)])}) END AS tampered FROM documents, crc_table),
 placed AS (SELECT *, coalesce('s' || source, 'n') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM leaves),
 low(tree, lvl, idx, node, size) AS (SELECT tree, 0, pos, leaf, size FROM placed UNION ALL SELECT tree, lvl + 1, idx // 16, sha256(string_agg(node, '' ORDER BY idx)), CAST(ceil(any_value(size) / 16) AS BIGINT) FROM low WHERE size > 1 GROUP BY tree, lvl, idx // 16),
-subroots AS (SELECT tree, lvl AS height, node, row_number() OVER (ORDER BY CAST(tree AS BLOB)) - 1 AS idx, count(*) OVER () AS size FROM low WHERE size = 1),
+subroots AS (SELECT tree, lvl AS height, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS size FROM low WHERE size = 1),
 high(lvl, idx, node, size) AS (SELECT 0, idx, node, size FROM subroots UNION ALL SELECT lvl + 1, idx // 16, sha256(string_agg(node, '' ORDER BY idx)), CAST(ceil(any_value(size) / 16) AS BIGINT) FROM high WHERE size > 1 GROUP BY lvl, idx // 16),
 top AS (SELECT lvl AS height, node AS root FROM high WHERE size = 1),
 steps AS (SELECT 'l' || tree AS part, lvl, idx, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM low WHERE size > 1 WINDOW w AS (PARTITION BY tree, lvl, idx // 16 ORDER BY idx)

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from longpanel.llm.registry import ORACLES, QUERIES
 
@@ -36,16 +37,19 @@ def test_query_matches_sql(spark, sf_dir, duck, same_rows, name):
 def awkward(spark, tmp_path_factory):
     """Rows that break things, with extra columns named as the operators' own."""
     folder = tmp_path_factory.mktemp("awkward")
-    docs = spark.createDataFrame([(i, t, "x", None, 0, "h", 1) for i, t in AWKWARD], "doc_id long, text string, key string, ids string, at int, windows string, n_words int")
+    docs = spark.createDataFrame([(i, t, "x", None, 0, "h", 1) for i, t in AWKWARD], "doc_id long, text string, key string, ids string, at int, windows string, n_words int").withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string"), "n_chars": F.lit(3)})
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(*x, 0) for x in ITEMS], "item_id string, text string, len int").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    turns = [(1, 0, "user", "Hello."), (1, 1, "user", "Hello."), (1, None, None, None), (None, 3, "tool", "x"), (2, 0, "system", ""), (3, 5, "assistant", "Who? "), (3, 5, "assistant", "Who? ")]
+    spark.createDataFrame([(*t, "x", 1) for t in turns], "conv_id long, turn long, role string, text string, codes string, pos int").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    spark.createDataFrame([], "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame([], "item_id string, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
