@@ -254,7 +254,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()), strict=True)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
         for batch in batches:
-            for i, j, _, _ in slices(batch.column("text"), 16 << 20):
+            for i, j, _, _ in slices(batch.column("text"), 8 << 20):
                 ids, ends = encode_texts(batch.column("text").slice(i, j - i), path, last)
                 for doc_id, a, b in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), ends, ends[1:], strict=False):
                     doc_ids.append(doc_id)
