@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +70,12 @@ def lcg(*parts: Column) -> Column:
         h = F.pmod(h * 1103515 + F.pmod(p.cast("long"), prime) * 12345 + 1013904, prime)
         h = F.pmod(h * h + 12345, prime)
     return F.pmod(h * 48271, prime)
+
+
+def lcg_array(*parts) -> np.ndarray:
+    """lcg of integers and integer arrays, which are broadcast against each other."""
+    prime, h = 2147483647, np.int64(17)
+    for p in parts:
+        h = (h * np.int64(1103515) + np.asarray(p, np.int64) % prime * 12345 + 1013904) % prime
+        h = (h * h + 12345) % prime
+    return h * 48271 % prime

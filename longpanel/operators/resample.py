@@ -7,18 +7,23 @@ Draw tables are small: draws times entities, on per-entity aggregates.  Sequenti
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.stats import lcg
+from ..functions.stats import lcg, lcg_array
 
 SEED = 31415926
 #: Values of simulated series held at once.
 PATH_VALUES = 4_000_000
+#: Persons of a bootstrap whose weights are made at once, and tasks that a few blocks' draws are shared out to.
+BLOCK_PEOPLE = 1 << 16
+DRAW_PARTS = 16
 
 
 def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -32,13 +37,6 @@ def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFr
     return ranked.select(key, (F.pmod(F.col("_before") + F.col("_r") - 1, k) + 1).cast("int").alias("fold"))
 
 
-def bootstrap_weights(people: DataFrame, index: str, n: int, draws: int, seed: int = SEED) -> DataFrame:
-    """draw, index (0..n-1 of a person), weight: how often a draw of n persons picks each."""
-    slots = people.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod("id", F.lit(max(n, 1))).alias("slot"))
-    picked = slots.select("draw", F.pmod(lcg(F.lit(seed), F.col("draw"), F.col("slot")), F.lit(n)).alias(index))
-    return picked.groupBy("draw", index).agg(F.count("*").alias("weight"))
-
-
 def number(key: Column, kind: str) -> Column:
     """A key of any type as an integer, by its hash if it is none."""
     return key.cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.pmod(F.xxhash64(key), F.lit(1 << 31))
@@ -55,10 +53,71 @@ def indexed(people: DataFrame, key: str, index: str = "idx") -> DataFrame:
     return met.withColumn(index, (F.col("_before") + rank - 1).cast("long")).drop("_h", "_p", "_before")
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition again, cut only where a run begins: starts gives the places of the first rows of runs."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        at = starts(table)
+        cut = int(at[-1]) if len(at) else 0  # the last run may go on
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def block_counts(n: int, block: int, draws: int, seed: int = SEED) -> np.ndarray:
+    """How many of each draw's n picks fall on a block of persons: a multinomial share, found by halving the range of blocks.
+
+    Each half's share is binomial, from a generator of its own, so every block finds the same shares by itself.
+    """
+    low, high, counts = 0, -(-n // BLOCK_PEOPLE), np.full(draws, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (mid - low) * BLOCK_PEOPLE / (min(high * BLOCK_PEOPLE, n) - low * BLOCK_PEOPLE)
+        left = np.random.default_rng([seed, low, high]).binomial(counts, share)
+        low, high, counts = (low, mid, left) if block < mid else (mid, high, counts - left)
+    return counts
+
+
 def bootstrap(people: DataFrame, key: str, draws: int, seed: int = SEED, **statistics: Column) -> DataFrame:
-    """A row for each draw of as many persons as there are: statistics, aggregates in which weight says how often a person is drawn."""
-    numbered = indexed(people, key)
-    return bootstrap_weights(numbered, "idx", people.count(), draws, seed).join(numbered, "idx").groupBy("draw").agg(*[v.alias(k) for k, v in statistics.items()])
+    """A row for each draw of as many persons as there are: statistics, aggregates in which weight says how often a person is drawn.
+
+    Weights are made beside the persons, block by block, and summed there: what is shuffled is a row for each draw and
+    task.  Up to BLOCK_PEOPLE persons are one block, whose picks SQL can repeat.
+    """
+    numbered = indexed(people, key).drop(key)
+    n = numbered.count()
+    blocks = max(1, -(-n // BLOCK_PEOPLE))
+    parts = min(draws, max(1, -(-DRAW_PARTS // blocks)))  # few blocks share their draws out
+    spread = numbered.withColumn("_block", F.expr(f"idx div {BLOCK_PEOPLE}")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = spread.repartition(blocks * parts if blocks * parts < 64 else blocks, "_block", "_part").sortWithinPartitions("_block", "_part", "idx")
+    kept = [c for c in numbered.columns if c != "idx"]
+
+    def run(batches):
+        for table in whole_runs(batches, lambda t: np.flatnonzero(t.column("idx").to_numpy() % BLOCK_PEOPLE == 0)):
+            firsts = np.flatnonzero(table.column("idx").to_numpy() % BLOCK_PEOPLE == 0)
+            for a, b in zip(firsts, [*firsts[1:], table.num_rows], strict=True):
+                block, part = table.column("_block")[int(a)].as_py(), table.column("_part")[int(a)].as_py()
+                rows, size = table.slice(a, b - a).combine_chunks(), int(b - a)
+                counts = block_counts(n, block, draws, seed)
+                last = (part + 1) * draws // parts
+                step = max(1, BLOCK_PEOPLE // size)
+                for first in range(part * draws // parts, last, step):
+                    some = np.arange(first, min(first + step, last))
+                    of = np.repeat(np.arange(len(some)), counts[some])
+                    slot = np.arange(len(of)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
+                    place = (some[of],) if blocks == 1 else (some[of], block)
+                    weight = np.bincount(of * size + lcg_array(seed, *place, slot) % size, minlength=len(some) * size)
+                    picked = np.flatnonzero(weight)
+                    found = rows.take(picked % size)
+                    columns = [pa.array(some[picked // size]), pa.array(weight[picked]), *[found.column(c).combine_chunks() for c in kept]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["draw", "weight", *kept])
+
+    schema = StructType([StructField("draw", LongType()), StructField("weight", LongType()), *[numbered.schema[c] for c in kept]])
+    return dealt.mapInArrow(run, schema).groupBy("draw").agg(*[v.alias(k) for k, v in statistics.items()])
 
 
 def weighted_correlation(x: str, y: str, w: str = "weight") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, relative_change, spearman_brown, weighted_mean
-from ..operators import balance, models, quality, resample
+from ..operators import balance, models, quality, redraw, resample
 from ..operators import series as ops
 from .base import ENTITY, S, T, out, r, reports, rows_after_eight, table
 
@@ -573,11 +573,8 @@ def _null_sql(rearranged: str, draws: int) -> str:
     return f"{S}, e AS (SELECT s.*, draw FROM s, (SELECT unnest(range(0, {draws})) AS draw)), {rearranged}, f AS (SELECT draw, user_id, rn, y, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY draw, user_id) AS b, avg(y) OVER (PARTITION BY draw, user_id ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l FROM v), u AS (SELECT draw, user_id, avg(abs(y - b) - abs(y - l)) AS g FROM f WHERE rn > 8 GROUP BY ALL), q AS (SELECT draw, avg(g) AS benefit FROM u GROUP BY draw)"
 
 
-def _null_benefit(rows):
-    h = ops.History(["draw", "user_id"], y="y_new")
-    t = rows.select("draw", "user_id", "rn", "y_new", h.frozen_mean(8).alias("b"), h.rolling_mean(8).alias("l")).where("rn > 8")
-    g = F.abs(F.col("y_new") - F.col("b")) - F.abs(F.col("y_new") - F.col("l"))
-    return t.groupBy("draw", "user_id").agg(F.avg(g).alias("g")).groupBy("draw").agg(F.avg("g").alias("benefit"))
+def _null_benefit(spark, d, kind):
+    return redraw.null_benefit(reports(spark, d), ENTITY, "user_id", _REARRANGED, kind)
 
 
 _PERM = _null_sql(f"v AS (SELECT draw, user_id, y, row_number() OVER (PARTITION BY draw, user_id ORDER BY {_lcg_sql('31415926', 'draw', 'user_id', 'rn')}, rn) AS rn FROM e)", _REARRANGED)
@@ -586,19 +583,19 @@ _SHIFT = _null_sql(f"v AS (SELECT draw, user_id, y, (rn - 1 + 1 + {_lcg_sql('314
 
 @query(f"WITH {_PERM} SELECT CAST(draw AS INTEGER) AS draw, {r('benefit')} AS benefit FROM q")
 def permutation_null_portable(spark, d):
-    return out(_null_benefit(resample.permuted(reports(spark, d), ENTITY, "user_id", _REARRANGED)), "draw", benefit="benefit")
+    return out(_null_benefit(spark, d, "permuted"), "draw", benefit="benefit")
 
 
 @query(f"WITH {_SHIFT} SELECT CAST(draw AS INTEGER) AS draw, {r('benefit')} AS benefit FROM q")
 def circular_shift_portable(spark, d):
-    return out(_null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", _REARRANGED)), "draw", benefit="benefit")
+    return out(_null_benefit(spark, d, "shifted"), "draw", benefit="benefit")
 
 
 _NULL = f"{_SHIFT}, o AS (SELECT avg(g) AS observed FROM (SELECT avg(g) AS g FROM (SELECT user_id, abs(y - b) - abs(y - l) AS g FROM (SELECT *, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY user_id) AS b, avg(y) OVER ({_W} 8 PRECEDING AND 1 PRECEDING) AS l FROM s) WHERE rn > 8) GROUP BY user_id))"
 
 
 def _null(spark, d):
-    null = _null_benefit(resample.shifted(reports(spark, d), ENTITY, "user_id", _REARRANGED))
+    null = _null_benefit(spark, d, "shifted")
     seen = rows_after_eight(spark, d).groupBy("user_id").agg(F.avg("benefit").alias("g")).agg(F.avg("g").alias("observed"))
     return resample.null_summary(null.crossJoin(F.broadcast(seen)), "benefit", F.col("observed"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, days_between, relative_change, spearman_brown, weighted_mean
-from ..operators import balance, models, quality, resample, stress, verdicts
+from ..operators import balance, models, quality, redraw, resample, stress, verdicts
 from ..operators import series as ops
 from .base import ENTITY, S, T, out, r, reports, rows_after_eight, table
 from .queries import _DRAWS, _EL, _FO, _NULL, _PEOPLE, _W, _X, _balanced, _bootstrap, _early_late, _folded, _lcg_sql, _null, _people, _prompts, _scaled, _shrunk, query
@@ -217,13 +217,8 @@ u AS (SELECT k.draw, user_id, avg(abs(y - b)) AS mb, avg(abs(y - (b + w * (l - b
 @query(f"WITH {_REFIT_SQL} SELECT CAST(draw AS INTEGER) AS draw, {r('100 * (avg(ml) / avg(mb) - 1)')} AS percent FROM u GROUP BY draw")
 def permutation_null_refit(spark, d):
     """Values permuted within persons; folds are dealt and weights fitted anew in every draw."""
-    h = ops.History(["draw", "user_id"], y="y_new")
-    v = resample.permuted(reports(spark, d), ENTITY, "user_id", _REFITS)
-    k = v.select("draw", "user_id", "rn", F.col("y_new").alias("y"), h.frozen_mean(8).alias("b"), h.rolling_mean(8).alias("l")).where("rn > 8")
-    k = k.withColumn("fold", resample.drawn_fold(F.col("draw"), F.col("user_id"), 5))
-    met = models.crossfit(k, models.recency_weight(k, "user_id", "b", "l", 5, by=["draw"]), "b", "l", by=["draw"])
-    u = met.groupBy("draw", "user_id").agg(F.avg(F.abs(F.col("y") - F.col("b"))).alias("mb"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("ml"))
-    return out(u.groupBy("draw").agg(relative_change(F.avg("ml"), F.avg("mb")).alias("p")), "draw", percent="p")
+    g = redraw.null_refit(reports(spark, d), ENTITY, "user_id", _REFITS)
+    return out(g, "draw", percent=relative_change(F.col("mae_l"), F.col("mae_b")))
 
 
 def _gain_features(spark, d):
