@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, lcg, logit
 from .balance import cumulative
-from .resample import SEED, indexed
+from .resample import SEED, bootstrap, indexed, inner_folds
 
 
 def held_out_folds(rows: DataFrame, k: int) -> DataFrame:
@@ -114,14 +114,6 @@ def gram(rows: DataFrame, features: Sequence[str], y: str, weight: Column | None
     return a, b[:, 0]
 
 
-def fold_grams(rows: DataFrame, features: Sequence[str], ys: Sequence[str], k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """X'X, X'Y and the sums of squares of every y for each fold, from one pass over the rows."""
-    p = len(features) + 1
-    zero = np.zeros((p, p)), np.zeros((p, len(ys))), np.zeros(len(ys))
-    found = {r[0]: _unpacked(r[1:], p, len(ys)) for r in rows.groupBy("fold").agg(*_gram_columns(features, ys, None)).collect()}  # k rows
-    return {f: found.get(f, zero) for f in range(1, k + 1)}
-
-
 def ridge(rows: DataFrame, features: Sequence[str], y: str, alpha: float, weight: Column | None = None) -> np.ndarray:
     """Intercept and coefficients; the intercept is not penalised."""
     a, b = gram(rows, features, y, weight)
@@ -261,12 +253,87 @@ def crossfit_logistic(rows: DataFrame, features: Sequence[str], y: str, k: int,
     return rows.join(F.broadcast(table), "fold").withColumn("probability", prob()).drop("_coef")
 
 
+def _centres(rows: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Means of columns: sums of squares around them lose no digits to their size."""
+    return [v or 0.0 for v in rows.agg(*[F.avg(c) for c in columns]).first()]
+
+
+def _complete(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+
+
+def standardised_ridge(a: np.ndarray, b: np.ndarray, alpha: float) -> np.ndarray:
+    """Intercept and raw coefficients of a ridge on columns centred and scaled (population SD) by the training rows, from their sums.
+
+    a is X'X and b X'y with an intercept in front.  A column without spread is left as it is, so its coefficient is 0.
+    """
+    n = max(a[0, 0], 1.0)
+    mean, y = a[0, 1:] / n, b[0] / n
+    spread = a[1:, 1:] / n - np.outer(mean, mean)
+    var = np.diag(spread)
+    sd = np.sqrt(np.where(var > 1e-14 * (1 + mean * mean), var, np.inf))
+    z = n * spread / np.outer(sd, sd)
+    c = np.linalg.solve(z + alpha * np.eye(len(z)), (b[1:] - mean * b[0]) / sd) / sd
+    return np.r_[y - mean @ c, c]
+
+
+def nested_choice(parts: dict, alphas: Sequence[float]) -> float:
+    """The penalty with least root mean squared error over the inner folds 1..k of one training set, the largest of those as good."""
+    inner, losses = [i for i in parts if i > 0], []
+    whole = [sum(parts[i][j] for i in inner) for j in range(2)]
+    for alpha in alphas:
+        loss = n = 0.0
+        for i in inner:
+            a, b, yy = parts[i]
+            c = standardised_ridge(whole[0] - a, whole[1] - b, alpha)
+            loss, n = loss + yy - 2 * c @ b + c @ a @ c, n + a[0, 0]
+        losses.append(np.sqrt(max(loss, 0.0) / max(n, 1.0)))
+    return float(max(a for a, x in zip(alphas, losses, strict=True) if np.isclose(x, min(losses), rtol=1e-9, atol=1e-12)))
+
+
+def nested_fit(parts: dict, alphas: Sequence[float]) -> tuple[float, np.ndarray]:
+    alpha, inner = nested_choice(parts, alphas), [i for i in parts if i > 0]
+    return alpha, standardised_ridge(sum(parts[i][0] for i in inner), sum(parts[i][1] for i in inner), alpha)
+
+
+def nested_statistics(cells: dict, alphas: Sequence[float]) -> tuple[float, float]:
+    """Correlation of out-of-fold predictions, and percent by which their error differs from the mean's, from sums of (test fold, inner fold)."""
+    n = sy = syy = sp = spp = spy = base = 0.0
+    for test in {t for t, _ in cells}:
+        parts = {i: v for (t, i), v in cells.items() if t == test}
+        if 0 not in parts or len(parts) < 3:
+            continue
+        (a, b, yy), c = parts[0], nested_fit(parts, alphas)[1]
+        mean = sum(parts[i][1][0] for i in parts if i) / max(sum(parts[i][0][0, 0] for i in parts if i), 1.0)
+        n, sy, syy = n + a[0, 0], sy + b[0], syy + yy
+        sp, spp, spy = sp + c @ a[0], spp + c @ a @ c, spy + c @ b
+        base += yy - 2 * mean * b[0] + mean * mean * a[0, 0]
+    spread = max(spp - sp * sp / n, 0.0) * max(syy - sy * sy / n, 0.0) if n else 0.0
+    r = float((spy - sp * sy / n) / np.sqrt(spread)) if spread > 1e-18 * max(spp * syy, 1e-300) else float("nan")
+    return r, float(100 * (np.sqrt(max(syy - 2 * spy + spp, 0.0) / base) - 1)) if base > 0 else float("nan")
+
+
+def nested_cells(people: DataFrame, key: str, features: Sequence[str], y: str, k: int, seed: int = SEED) -> tuple[dict, list[float]]:
+    """X'X, X'y, y'y of each (test fold, inner fold or 0 for the test fold), around the columns' means, which come along; k (k + 1) rows reach the driver."""
+    people = _complete(people, [*features, y])
+    centres = _centres(people, [*features, y])
+    moved = inner_folds(people.select(key, "fold", *[(F.col(c) - m).alias(c) for c, m in zip([*features, y], centres, strict=True)]), key, k, seed)
+    p, cells = len(features) + 1, {}
+    for row in moved.groupBy("test_fold", "inner").agg(*_gram_columns(features, [y], None)).collect():
+        a, b, yy = _unpacked(row[2:], p, 1)
+        cells[row[0], row[1]] = a, b[:, 0], float(yy[0])
+    return cells, centres
+
+
 def label_permutation(people: DataFrame, key: str, features: Sequence[str], y: str, alphas: Sequence[float], k: int, draws: int, seed: int = SEED) -> DataFrame:
     """draw, r, rmse_percent of out-of-fold predictions by the nested ridge, with y permuted over people; draw -1 has the real order.
 
-    Permuted labels meet their persons by rank; every draw's folds are sums, and its models are solved from those alone.
+    Permuted labels meet their persons by rank.  Folds and sums of the features are those of the real order; each draw adds its
+    sums with the labels, and its models are solved from these alone.
     """
-    numbered = indexed(people.where(" AND ".join(f"{c} IS NOT NULL" for c in [*features, y])), key)
+    whole = _complete(people, [*features, y])
+    cells, centres = nested_cells(whole, key, features, y, k, seed)
+    numbered = indexed(whole.select(key, "fold", *[(F.col(c) - m).alias(c) for c, m in zip([*features, y], centres, strict=True)]), key)
     spread = numbered.select("idx", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
     parts, h = F.shiftright("_h", 21), lcg(F.lit(seed), F.col("draw"), F.col("idx"))
     # ranks by ranges of the hash within the draw
@@ -277,52 +344,21 @@ def label_permutation(people: DataFrame, key: str, features: Sequence[str], y: s
     rank = F.col("_b") + F.row_number().over(Window.partitionBy("draw", "_p").orderBy("_h", "idx")) - 1
     source = ranked.select("draw", "idx", F.when(F.col("draw") < 0, F.col("idx")).otherwise(rank).alias("_from"))
     labels = numbered.select(F.col("idx").alias("_from"), F.col(y).alias("_y"))
-    rows = source.join(labels, "_from").join(numbered.select("idx", "fold", *features), "idx")
-    p = len(features) + 1
-    sums = rows.groupBy("draw", "fold").agg(*[c.alias(f"s{i}") for i, c in enumerate(_gram_columns(features, ["_y"], None))])
-    names = [f"s{i}" for i in range(p * (p + 1) // 2 + p + 1)]
+    inner = inner_folds(numbered.select(key, "fold", "idx", *features), key, k, seed).groupBy("idx", *features).agg(F.collect_list(F.struct("test_fold", "inner")).alias("_cells"))
+    rows = source.join(labels, "_from").join(inner, "idx").withColumn("_cell", F.explode("_cells"))
+    x = [F.lit(1.0), *map(F.col, features)]
+    names = [*(f"s{i}" for i in range(len(x))), "yy"]
+    sums = rows.groupBy("draw", "_cell.test_fold", "_cell.inner").agg(*[F.sum(c * F.col("_y")).alias(n) for c, n in zip(x, names, strict=False)], F.sum(F.col("_y") * F.col("_y")).alias("yy"))
 
     def solve(pdf):
-        folds = {int(r["fold"]): _unpacked([r[n] for n in names], p, 1) for _, r in pdf.iterrows()}
-        r, rmse = nested_statistics({f: (a, b[:, 0], float(c[0])) for f, (a, b, c) in folds.items()}, alphas)
+        b, yy = pdf[names[:-1]].to_numpy(float), pdf["yy"].to_numpy(float)
+        held = {(int(t), int(i)): (cells[t, i][0], b[j], yy[j]) for j, (t, i) in enumerate(zip(pdf["test_fold"], pdf["inner"], strict=True))}
+        r, rmse = nested_statistics(held, alphas)
         return pd.DataFrame({"draw": [pdf["draw"].iloc[0]], "r": [r], "rmse_percent": [rmse]})
 
     return sums.groupBy("draw").applyInPandas(solve, "draw int, r double, rmse_percent double")
 
 
-def _solved(parts: dict, used: Sequence[int], alpha: float) -> np.ndarray:
-    a = sum(parts[f][0] for f in used)
-    return np.linalg.solve(a + np.diag([0.0] + [alpha] * (len(a) - 1)) + 1e-12 * np.eye(len(a)), sum(parts[f][1] for f in used))
-
-
-def nested_choice(parts: dict, test: int, alphas: Sequence[float]) -> float:
-    """The penalty with least inner cross-validated error among the folds other than test, the larger on ties."""
-    outer = [f for f in parts if f != test]
-    losses = []
-    for alpha in alphas:
-        loss = 0.0
-        for inner in outer:
-            b = _solved(parts, [f for f in outer if f != inner], alpha)
-            loss += parts[inner][2] - 2 * b @ parts[inner][1] + b @ parts[inner][0] @ b
-        losses.append((round(loss, 9), -alpha))
-    return -min(losses)[1]
-
-
-def nested_statistics(parts: dict, alphas: Sequence[float]) -> tuple[float, float]:
-    """Correlation of out-of-fold predictions, and percent by which their error differs from the mean's, from sums of the folds."""
-    n = sy = syy = sp = spp = spy = base = 0.0
-    for test, (a, b, yy) in parts.items():
-        outer = [f for f in parts if f != test]
-        c = _solved(parts, outer, nested_choice(parts, test, alphas))
-        mean = sum(parts[f][1][0] for f in outer) / max(sum(parts[f][0][0, 0] for f in outer), 1.0)
-        n, sy, syy = n + a[0, 0], sy + b[0], syy + yy
-        sp, spp, spy = sp + c @ a[0], spp + c @ a @ c, spy + c @ b
-        base += yy - 2 * mean * b[0] + mean * mean * a[0, 0]
-    spread = max(spp - sp * sp / n, 0.0) * max(syy - sy * sy / n, 0.0)
-    r = float((spy - sp * sy / n) / np.sqrt(spread)) if spread > 0 else float("nan")
-    return r, float(100 * (np.sqrt(max(syy - 2 * spy + spp, 0.0) / base) - 1)) if base > 0 else float("nan")
-
-
 def loading_stability(rows: DataFrame, group: str, columns: Sequence[str], least: int) -> DataFrame:
     """Per group of at least `least` rows: rows, loadings of the first component, and their congruence with those of all rows."""
     whole = first_component(rows, columns)
@@ -345,8 +381,12 @@ def component_scores(rows: DataFrame, columns: Sequence[str], by: str = "score")
     return raw.crossJoin(F.broadcast(sd)).withColumn(by, F.try_divide(by, F.col("_sd"))).drop("_sd")
 
 
-def benchmark(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validations: dict[str, str], k: int, alpha: float = 1.0) -> DataFrame:
-    """validation, model and pooled out-of-fold metrics of ridge models on standardised columns.
+#: Levels that a text column of a model may have.
+LEVELS_MOST = 256
+
+
+def benchmark_predictions(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validations: dict[str, str], k: int, alpha: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """validation, model, kept columns, actual and prediction: out-of-fold predictions of ridge models on standardised columns.
 
     Missing numbers get the training folds' median and an indicator; text columns become an indicator for each
     level that the training folds have, so unknown levels are zeros.  One aggregate a validation gives the sums of
@@ -356,7 +396,9 @@ def benchmark(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validatio
     columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
     texts = [c for c in columns if types[c] == "string"]
     numbers = [c for c in columns if c not in texts]
-    levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().collect()) for c in texts}  # categories are few
+    levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().limit(LEVELS_MOST + 1).collect()) for c in texts}
+    if over := [c for c, v in levels.items() if len(v) > LEVELS_MOST]:
+        raise ValueError(f"more than {LEVELS_MOST} levels: {over}")
     design = {c: [f"{c}", f"{c}_missing"] for c in numbers} | {c: [f"{c}_{i}" for i in range(len(v))] for c, v in levels.items()}
     every = [x for c in columns for x in design[c]]
     out = None
@@ -368,7 +410,7 @@ def benchmark(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validatio
             met = df.join(F.broadcast(medians), "test_fold")
             made = [(F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}"), F.lit(0.0)).alias(c), F.col(c).isNull().cast("double").alias(f"{c}_missing")) for c in numbers]
             hot = [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{i}") for c, vs in levels.items() for i, v in enumerate(vs)]
-            return met.select("test_fold", F.col(y).alias("_y"), *[x for pair in made for x in pair], *hot)
+            return met.select("test_fold", *keep, F.col(y).alias("_y"), *[x for pair in made for x in pair], *hot)
 
         train = designed(held_out_folds(folded, k))
         p = len(every) + 1
@@ -386,24 +428,48 @@ def benchmark(rows: DataFrame, y: str, sets: dict[str, Sequence[str]], validatio
         table = spark.createDataFrame(fitted, "test_fold int, model string, _coef array<double>")
         test = designed(folded.withColumn("test_fold", F.col("fold"))).join(F.broadcast(table), "test_fold")  # a row a fold and model
         prediction = sum((F.col("_coef")[i + 1] * F.col(x) for i, x in enumerate(every)), F.col("_coef")[0])
-        scored = test.select("model", F.col("_y"), prediction.alias("_p"))
-        e = F.col("_y") - F.col("_p")
-        g = scored.groupBy("model").agg(
-            F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop("_y"))).alias("r2"), correlation(F.col("_p"), F.col("_y")).alias("r"),
-        ).select(F.lit(name).alias("validation"), "*")
+        g = test.select(F.lit(name).alias("validation"), "model", *keep, F.col("_y").alias("actual"), prediction.alias("prediction"))
         out = g if out is None else out.unionByName(g)
     return out
 
 
-def nested_ridge(rows: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float], k: int) -> DataFrame:
-    """test_fold, alpha, coefficients: the penalty with least inner cross-validated error, the larger on ties.
+def benchmark_metrics(predictions: DataFrame) -> DataFrame:
+    """rows, rmse, mae, r2 and r of each validation and model, over all folds' predictions."""
+    e = F.col("actual") - F.col("prediction")
+    return predictions.groupBy("validation", "model").agg(
+        F.count("*").alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop("actual"))).alias("r2"), correlation(F.col("prediction"), F.col("actual")).alias("r"),
+    )
+
 
-    Every inner training set's sums are sums of fold sums, so the rows are read once: the sums of the
-    k folds (k small matrices) are all that is solved from.
+def benchmark_differences(predictions: DataFrame, entity: str, reference: str, challengers: Sequence[str], draws: int) -> DataFrame:
+    """validation, challenger, people, delta_rmse against the reference model, and its interval over bootstraps of persons.
+
+    Each person's mean squared errors under all models are one row, so a draw compares all models on the same persons.
+    """
+    e = F.pow(F.col("actual") - F.col("prediction"), 2)
+    names = [r[0] for r in predictions.select("validation").distinct().collect()]  # a row a validation
+    mse = lambda v, m: F.avg(F.when((F.col("validation") == v) & (F.col("model") == m), e)).alias(f"{v}:{m}")
+    people = predictions.groupBy(entity).agg(*[mse(v, m) for v in names for m in [reference, *challengers]])
+    over = lambda mean, v, m: F.sqrt(mean(f"`{v}:{m}`")) - F.sqrt(mean(f"`{v}:{reference}`"))
+    drawn = lambda c: F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("weight"))))
+    found = bootstrap(people, entity, draws, **{f"{v}:{m}": over(drawn, v, m) for v in names for m in challengers})
+    cells = F.array(*[F.struct(F.lit(v).alias("validation"), F.lit(m).alias("challenger"), F.col(f"`{v}:{m}`").alias("delta")) for v in names for m in challengers])
+    ends = found.select(F.explode(cells).alias("c")).select("c.*").groupBy("validation", "challenger").agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+    whole = people.agg(F.count("*").alias("people"), *[over(F.avg, v, m).alias(f"{v}:{m}") for v in names for m in challengers])
+    seen = whole.select("people", F.explode(cells).alias("c")).select("people", "c.*").withColumnRenamed("delta", "delta_rmse")
+    return seen.join(F.broadcast(ends), ["validation", "challenger"])  # a row a model
+
+
+def nested_ridge(people: DataFrame, key: str, features: Sequence[str], y: str, alphas: Sequence[float], k: int, seed: int = SEED) -> DataFrame:
+    """test_fold, alpha, coefficients (intercept first, of the raw columns): ridges on columns standardised by the training rows.
+
+    The penalty has the least error over k inner folds, dealt anew for each test fold, the largest on ties.  Centring and scaling are done on
+    sums, so the rows are read once however many folds and penalties there are.
     """
-    parts = {f: (a, b[:, 0], float(c[0])) for f, (a, b, c) in fold_grams(rows, features, [y], k).items()}
+    cells, centres = nested_cells(people, key, features, y, k, seed)
     out = []
-    for test in parts:
-        alpha = nested_choice(parts, test, alphas)
-        out.append((test, float(alpha), [float(v) for v in _solved(parts, [f for f in parts if f != test], alpha)]))
-    return rows.sparkSession.createDataFrame(out, "test_fold int, alpha double, coefficients array<double>")
+    for test in sorted({t for t, _ in cells}):
+        alpha, c = nested_fit({i: v for (t, i), v in cells.items() if t == test}, alphas)
+        c = np.r_[c[0] + centres[-1] - c[1:] @ np.array(centres[:-1]), c[1:]]
+        out.append((test, alpha, [float(v) for v in c]))
+    return people.sparkSession.createDataFrame(out, "test_fold int, alpha double, coefficients array<double>")

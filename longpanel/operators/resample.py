@@ -26,33 +26,82 @@ BLOCK_PEOPLE = 1 << 16
 DRAW_PARTS = 16
 
 
-def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
-    """fold 1..k by an order of hashes: balanced, and independent of row order."""
-    ids = entities.select(key).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
-    # a rank over all ids, by parts: ranks within ranges of the hash, plus the sizes of earlier ranges
-    ids = ids.withColumn("_p", F.shiftright("_h", 54))
-    sizes = ids.groupBy("_p").agg(F.count("*").alias("_c"))  # 1024 rows at most
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))).join(F.broadcast(sizes), "_p")
-    return ranked.select(key, (F.pmod(F.col("_before") + F.col("_r") - 1, k) + 1).cast("int").alias("fold"))
-
-
 def number(key: Column, kind: str) -> Column:
     """A key of any type as an integer, by its hash if it is none."""
     return key.cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.pmod(F.xxhash64(key), F.lit(1 << 31))
 
 
-def indexed(people: DataFrame, key: str, index: str = "idx") -> DataFrame:
-    """people with a dense 0-based index, in an order of hashes of key that ranges of the hash share out."""
-    h = lcg(number(F.col(key), dict(people.dtypes)[key]))
+def indexed(people: DataFrame, key: str, index: str = "idx", by: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+    """people with a dense 0-based index (in groups ``by``, which are few), in an order of hashes of key that ranges of the hash share out."""
+    h = lcg(number(F.col(key), dict(people.dtypes)[key])) if order is None else order
     at = people.withColumn("_h", h).withColumn("_p", F.shiftright("_h", 21))
-    sizes = at.groupBy("_p").agg(F.count("*").alias("_c"))  # 1024 rows at most
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy().orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = at.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    sizes = at.groupBy(*by, "_p").agg(F.count("*").alias("_c"))  # 1024 rows a group at most
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = at.join(F.broadcast(sizes.select(*by, "_p", before.alias("_before"))), [*by, "_p"])
+    rank = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key))
     return met.withColumn(index, (F.col("_before") + rank - 1).cast("long")).drop("_h", "_p", "_before")
 
 
+def folds(entities: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """key, fold 1..k: shuffled and balanced, ids of any type, whatever the order of the rows; SQL can repeat it for integers."""
+    ids = entities.select(key).where(F.col(key).isNotNull()).distinct()
+    dealt = indexed(ids, key, "_i", order=lcg(F.lit(seed), number(F.col(key), dict(ids.dtypes)[key])))
+    return dealt.select(key, (F.pmod("_i", F.lit(k)) + 1).cast("int").alias("fold"))
+
+
+def inner_folds(people: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """people once for each test_fold, with inner: 0 in the test fold itself, else 1..k, shuffled and balanced anew among those that train."""
+    spread = people.withColumn("test_fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_test", F.col("fold") == F.col("test_fold"))
+    order = lcg(F.lit(seed), F.col("test_fold"), number(F.col(key), dict(people.dtypes)[key]))
+    dealt = indexed(spread, key, "_i", by=["test_fold", "_test"], order=order)
+    return dealt.withColumn("inner", F.when(F.col("_test"), 0).otherwise(F.pmod("_i", F.lit(k)) + 1).cast("int")).drop("_i", "_test")
+
+
+def greedy_shares(loads: Sequence[int], size: int, groups: int) -> list[int]:
+    """How many of ``groups`` groups of one size each fold gets if every group goes to the lightest fold, the first on ties.
+
+    Fold f takes its j-th group at the load loads[f] + j * size, so those taken are the ``groups`` least such loads; a
+    search for the load that is not passed finds them without a step for each group.
+    """
+    below = lambda level: [max(0, -(-(level - x) // size)) for x in loads]  # noqa: E731  taken at loads under level
+    low, high = min(loads), max(loads) + size * (groups + 1)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= groups else (low, mid)
+    taken = below(low)
+    for f, x in enumerate(loads):  # the rest are taken at the load low itself, in order of folds
+        if sum(taken) < groups and low >= x and (low - x) % size == 0:
+            taken[f] += 1
+    return taken
+
+
+def group_folds(rows: DataFrame, key: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """key, fold 1..k, so that no group is in two folds and folds have like numbers of rows: the largest groups first, each to the lightest fold.
+
+    Only the number of groups of each size reaches the driver; groups of one size are dealt out in an order of hashes.
+    """
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_size"))
+    histogram = sizes.groupBy("_size").agg(F.count("*").alias("m")).orderBy(F.desc("_size")).collect()  # a row a size
+    loads, cuts = [0] * k, []
+    for row in histogram:
+        shares = greedy_shares(loads, row["_size"], row["m"])
+        loads = [x + c * row["_size"] for x, c in zip(loads, shares, strict=True)]
+        cuts.append((row["_size"], [int(x) for x in np.cumsum(shares)]))
+    table = rows.sparkSession.createDataFrame(cuts, "_size long, _cuts array<long>")
+    order = lcg(F.lit(seed), number(F.col(key), dict(rows.dtypes)[key]))
+    dealt = sizes.withColumn("_h", order).withColumn("_i", F.row_number().over(Window.partitionBy("_size", F.shiftright("_h", 21)).orderBy("_h", key)))
+    parts = sizes.select("_size", F.shiftright(order, 21).alias("_p")).groupBy("_size", "_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_size").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = dealt.withColumn("_p", F.shiftright("_h", 21)).join(parts.select("_size", "_p", before.alias("_before")), ["_size", "_p"]).join(table, "_size")
+    return met.select(key, (F.size(F.filter("_cuts", lambda c: c < F.col("_before") + F.col("_i"))) + 1).cast("int").alias("fold"))
+
+
+def row_folds(rows: DataFrame, ids: Sequence[str], k: int = 5, seed: int = SEED) -> Column:
+    """fold 1..k of each row by a hash of its ids: shuffled, and even but for chance."""
+    kinds = dict(rows.dtypes)
+    return (F.pmod(lcg(F.lit(seed), *[number(F.col(c), kinds[c]) for c in ids]), F.lit(k)) + 1).cast("int")
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.Table]:
     """The rows of a sorted partition again, cut only where a run begins: starts gives the places of the first rows of runs."""
     held = None

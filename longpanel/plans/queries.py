@@ -508,11 +508,23 @@ def accuracy_retention_tradeoff(spark, d):
 
 # -- cross-fitting ---------------------------------------------------------------------------------
 
-_FO = T + ", k AS (SELECT *, CAST(user_id % 5 + 1 AS INTEGER) AS fold FROM t), f5 AS (SELECT unnest(range(1, 6)) AS tf)"
+def _lcg_sql(*parts: str) -> str:
+    h = "17"
+    for p in parts:
+        h = f"list_transform([({h} * 1103515 + CAST({p} AS BIGINT) % 2147483647 * 12345 + 1013904) % 2147483647], lambda v: (v * v + 12345) % 2147483647)[1]"
+    return f"(({h} * 48271) % 2147483647)"
+
+
+_FM = f"fm AS (SELECT user_id, CAST((row_number() OVER (ORDER BY {_lcg_sql('31415926', 'user_id')}, user_id) - 1) % 5 + 1 AS INTEGER) AS fold FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL))"
+_FO = f"{T}, {_FM}, k AS (SELECT t.*, fold FROM t JOIN fm USING (user_id)), f5 AS (SELECT unnest(range(1, 6)) AS tf)"
+
+
+def _folds(spark, d):
+    return resample.folds(table(spark, d, "events").select("user_id"), "user_id")
 
 
 def _folded(spark, d):
-    return rows_after_eight(spark, d).withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    return rows_after_eight(spark, d).join(_folds(spark, d), "user_id")
 
 
 @query(f"WITH {_FO}, z AS (SELECT tf, avg(bk) AS m, stddev_pop(bk) AS s FROM k, f5 WHERE fold <> tf GROUP BY tf) SELECT user_id, rn, {r('(bk - m) / CASE WHEN s > 0 THEN s ELSE 1 END')} AS z_b8 FROM k JOIN z ON fold = tf")
@@ -542,13 +554,6 @@ def crossfit_predictions(spark, d):
 # -- resampling ------------------------------------------------------------------------------------
 
 
-def _lcg_sql(*parts: str) -> str:
-    h = "17"
-    for p in parts:
-        h = f"list_transform([({h} * 1103515 + CAST({p} AS BIGINT) % 2147483647 * 12345 + 1013904) % 2147483647], lambda v: (v * v + 12345) % 2147483647)[1]"
-    return f"(({h} * 48271) % 2147483647)"
-
-
 # the reference's numbers of draws
 _DRAWS = 2000
 _REARRANGED = 500  # permutations and shifts
@@ -617,23 +622,28 @@ def block_null(spark, d):
     return reduce(DataFrame.unionByName, null)
 
 
-@query()
+@query(f"WITH {_FM} SELECT user_id, fold FROM fm")
 def fold_map(spark, d):
-    return resample.folds(table(spark, d, "events").select("user_id"), "user_id")
+    return _folds(spark, d)
 
 
 # -- models ----------------------------------------------------------------------------------------
 
 
+#: Penalties of the nested ridge.
+_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+_FEATURES = ["mean", "sd", "step", "trend"]
+
+
 def _first_features_and_gain(spark, d):
     f = ops.first_features(reports(spark, d), ENTITY)
     gain = rows_after_eight(spark, d).groupBy("user_id").agg(F.avg("benefit").alias("gain"))
-    return f.join(gain, "user_id").withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    return f.join(gain, "user_id").join(_folds(spark, d), "user_id")
 
 
 @query()
 def nested_ridge(spark, d):
-    return models.nested_ridge(_first_features_and_gain(spark, d), ["mean", "sd", "step", "trend"], "gain", [0.1, 1.0, 10.0, 100.0], 5)
+    return models.nested_ridge(_first_features_and_gain(spark, d), "user_id", _FEATURES, "gain", _ALPHAS, 5)
 
 
 @query()

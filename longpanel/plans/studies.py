@@ -9,7 +9,7 @@ from ..functions.stats import clip, correlation, days_between, relative_change,
 from ..operators import balance, models, quality, redraw, resample, stress, verdicts
 from ..operators import series as ops
 from .base import ENTITY, S, T, out, r, reports, rows_after_eight, table
-from .queries import _DRAWS, _EL, _FO, _NULL, _PEOPLE, _W, _X, _balanced, _bootstrap, _early_late, _folded, _lcg_sql, _null, _people, _prompts, _scaled, _shrunk, query
+from .queries import _ALPHAS, _DRAWS, _EL, _FEATURES, _FM, _FO, _NULL, _PEOPLE, _W, _X, _balanced, _bootstrap, _early_late, _first_features_and_gain, _folded, _folds, _lcg_sql, _null, _people, _prompts, _scaled, _shrunk, query
 
 # -- semi-synthetic change -------------------------------------------------------------------------
 
@@ -49,8 +49,8 @@ def alarm_metrics(spark, d):
 # -- cross-fitted budgets, nine rules ----------------------------------------------------------------
 
 _BUDGETS = (2, 4, 6, 8)
-_BUDGET_SQL = f"""{S}, h AS (SELECT *, CAST(user_id % 5 + 1 AS INTEGER) AS fold, {', '.join(f'avg(CASE WHEN rn <= {k} THEN y END) OVER (PARTITION BY user_id) AS m{k}, max(CASE WHEN rn = {k} THEN y END) OVER (PARTITION BY user_id) AS l{k}' for k in _BUDGETS)},
-  avg(y) OVER ({_W} UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0, lag(y) OVER (PARTITION BY user_id ORDER BY rn) AS l0 FROM s),
+_BUDGET_SQL = f"""{S}, {_FM}, h AS (SELECT s.*, fold, {', '.join(f'avg(CASE WHEN rn <= {k} THEN y END) OVER (PARTITION BY user_id) AS m{k}, max(CASE WHEN rn = {k} THEN y END) OVER (PARTITION BY user_id) AS l{k}' for k in _BUDGETS)},
+  avg(y) OVER ({_W} UNBOUNDED PRECEDING AND 1 PRECEDING) AS m0, lag(y) OVER (PARTITION BY user_id ORDER BY rn) AS l0 FROM s JOIN fm USING (user_id)),
 x AS (SELECT user_id, fold, rn, y, budget, m, l FROM h, LATERAL (VALUES (0, m0, l0), {', '.join(f'({k}, m{k}, l{k})' for k in _BUDGETS)}) v(budget, m, l) WHERE rn > 8),
 g AS (SELECT unnest(range(0, 41)) / 40e0 AS w), p AS (SELECT budget, fold, user_id, w, avg(abs(y - m - w * (l - m))) AS loss FROM x, g GROUP BY ALL),
 q AS (SELECT budget, tf, w, round(avg(loss), 12) AS loss FROM p, (SELECT unnest(range(1, 6)) AS tf) WHERE fold <> tf GROUP BY budget, tf, w QUALIFY row_number() OVER (PARTITION BY budget, tf ORDER BY round(avg(loss), 12), w) = 1),
@@ -60,7 +60,7 @@ e AS (SELECT budget, user_id, avg(abs(y - (m + w * (l - m)))) AS mae FROM x JOIN
 def _budget_people(spark, d):
     """budget (0: online), user_id, mae: weights tuned a budget and fold on the other folds' people."""
     h = ops.History(ENTITY)
-    rows = reports(spark, d).withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    rows = reports(spark, d).join(_folds(spark, d), "user_id")
     pairs = [F.struct(F.lit(0).alias("budget"), h.running_mean().alias("m"), h.previous().alias("l")), *[F.struct(F.lit(k).alias("budget"), h.frozen_mean(k).alias("m"), h.frozen_last(k).alias("l")) for k in _BUDGETS]]
     x = rows.withColumn("_b", F.array(*pairs)).where("rn > 8").select("user_id", "fold", "y", F.explode("_b").alias("_b")).select("user_id", "fold", "y", "_b.*")
     return models.budget_errors(x, "user_id", "m", "l", 5)
@@ -160,7 +160,7 @@ def skip_missing_bootstrap(spark, d):
     return _intervals(resample.bootstrap(people, "user_id", _DRAWS, v=_mean("v")), "v")
 
 
-_OOF = """pg AS (SELECT user_id, avg(benefit) AS gain, CAST(user_id % 5 + 1 AS INTEGER) AS fold FROM t GROUP BY user_id),
+_OOF = f"""{_FM}, pg AS (SELECT user_id, avg(benefit) AS gain, any_value(fold) AS fold FROM t JOIN fm USING (user_id) GROUP BY user_id),
 pf AS (SELECT user_id, avg(y) AS m FROM s WHERE rn <= 8 GROUP BY user_id), pj AS (SELECT * FROM pg JOIN pf USING (user_id)),
 co AS (SELECT tf, regr_slope(gain, m) AS slope, regr_intercept(gain, m) AS cut, avg(gain) AS mean FROM pj, (SELECT unnest(range(1, 6)) AS tf) WHERE fold <> tf GROUP BY tf),
 b AS (SELECT user_id, fold, gain, cut + slope * m AS prediction, mean AS dummy FROM pj JOIN co ON fold = tf)"""
@@ -170,7 +170,7 @@ def _oof(spark, d):
     """gain of each person, predicted from the first mean by a line, and by the mean, that other folds gave."""
     gain = rows_after_eight(spark, d).groupBy("user_id").agg(F.avg("benefit").alias("gain"))
     first = reports(spark, d).where("rn <= 8").groupBy("user_id").agg(F.avg("y").alias("m"))
-    p = gain.join(first, "user_id").withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    p = gain.join(first, "user_id").join(_folds(spark, d), "user_id")
     line = models.held_out_folds(p, 5).groupBy("test_fold").agg(F.regr_slope("gain", "m").alias("slope"), F.regr_intercept("gain", "m").alias("cut"), F.avg("gain").alias("dummy"))
     met = p.join(F.broadcast(line.withColumnRenamed("test_fold", "fold")), "fold")
     return met.select("user_id", "fold", "gain", (F.col("cut") + F.col("slope") * F.col("m")).alias("prediction"), "dummy")
@@ -221,16 +221,10 @@ def permutation_null_refit(spark, d):
     return out(g, "draw", percent=relative_change(F.col("mae_l"), F.col("mae_b")))
 
 
-def _gain_features(spark, d):
-    gain = rows_after_eight(spark, d).groupBy("user_id").agg(F.avg("benefit").alias("gain"))
-    f = ops.first_features(reports(spark, d), ENTITY).join(gain, "user_id")
-    return f.withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
-
-
 @query()
 def label_permutation_null(spark, d):
     """Out-of-fold correlation of the nested ridge for 500 permutations of the gains over persons; draw -1 is the real order."""
-    return models.label_permutation(_gain_features(spark, d), "user_id", ["mean", "sd", "step", "trend"], "gain", [0.1, 1.0, 10.0, 100.0], 5, 500)
+    return models.label_permutation(_first_features_and_gain(spark, d), "user_id", _FEATURES, "gain", _ALPHAS, 5, 500)
 
 
 # -- marginal distributions --------------------------------------------------------------------------
@@ -329,7 +323,7 @@ def response_metrics(spark, d):
 def _response_rows(spark, d):
     o = ops.opportunities(_prompts(spark, d), ENTITY, "counter", F.col("done"))
     o = o.select("user_id", "counter", "ts", "value", "done", F.col("done").cast("double").alias("y"), "completion_rate", F.log1p("streak").alias("streak"))
-    return o.withColumn("fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int")).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("user_id")))
+    return o.join(_folds(spark, d), "user_id").withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("user_id")))
 
 
 def _response_folds(spark, d):
@@ -365,15 +359,28 @@ def ipw_confirmation(spark, d):
 # -- model benchmark -----------------------------------------------------------------------------------
 
 
-@query()
-def model_benchmark(spark, d):
-    """Six ridge models of the next value under two validations, out-of-fold: validation, model, rows, rmse, mae, r2, r."""
+_SETS = {"intercept": [], "time": ["gap"], "history": ["last", "mean"], "recent": ["last", "mean", "recent"], "history_time": ["last", "mean", "gap"], "identity": ["last", "mean", "gap", "event_type"]}
+
+
+def _benchmark(spark, d):
+    """Predictions of the next value: persons held out (balanced by their reports), and reports held out at random."""
     h = ops.History(ENTITY)
     gap = days_between(F.col("ts"), F.lag("ts").over(h.order))
     rows = reports(spark, d).select("user_id", "event_type", "ts", "rn", "n", "y", h.previous().alias("last"), h.running_mean().alias("mean"), h.rolling_mean(8).alias("recent"), F.when(gap < 14, gap).alias("gap")).where("rn > 8")
-    rows = rows.withColumn("person_fold", (F.pmod("user_id", F.lit(5)) + 1).cast("int")).withColumn("row_fold", (F.pmod("rn", F.lit(5)) + 1).cast("int"))
-    sets = {"intercept": [], "time": ["gap"], "history": ["last", "mean"], "recent": ["last", "mean", "recent"], "history_time": ["last", "mean", "gap"], "identity": ["last", "mean", "gap", "event_type"]}
-    return models.benchmark(rows, "y", sets, {"people": "person_fold", "reports": "row_fold"}, 5, alpha=1.0)
+    rows = rows.join(resample.group_folds(rows, "user_id").withColumnRenamed("fold", "person_fold"), "user_id").withColumn("row_fold", resample.row_folds(rows, ["user_id", "rn"]))
+    return models.benchmark_predictions(rows, "y", _SETS, {"people": "person_fold", "reports": "row_fold"}, 5, alpha=1.0, keep=["user_id"])
+
+
+@query()
+def model_benchmark(spark, d):
+    """Six ridge models of the next value under two validations, out-of-fold: validation, model, rows, rmse, mae, r2, r."""
+    return models.benchmark_metrics(_benchmark(spark, d))
+
+
+@query()
+def benchmark_bootstrap(spark, d):
+    """What the models with recent values, gaps and kinds of report differ by in RMSE from the history model, with intervals over persons."""
+    return models.benchmark_differences(_benchmark(spark, d), "user_id", "history", ["recent", "history_time", "identity"], _DRAWS)
 
 
 @query(f"WITH {S}, w AS (SELECT event_type, user_id, avg(y) AS a, stddev_pop(y) AS b, max(y) AS c FROM s GROUP BY ALL) SELECT event_type, count(*) AS people, {r('corr(a, b)')} AS r_ab, {r('corr(a, c)')} AS r_ac, {r('corr(b, c)')} AS r_bc FROM w GROUP BY event_type HAVING count(*) >= 5")
@@ -393,7 +400,7 @@ def loading_stability(spark, d):
 # -- joins, sets and guards ----------------------------------------------------------------------------
 
 
-@query(f"WITH {T}, a AS (SELECT user_id, rn, CAST(user_id % 5 + 1 AS INTEGER) AS fold, y, bk FROM t), b AS (SELECT user_id, rn, CAST(user_id % 5 + 1 AS INTEGER) AS fold, lk FROM t), p AS (SELECT user_id, avg((y - bk) ** 2) AS r, avg((y - lk) ** 2) AS c FROM a JOIN b USING (user_id, rn, fold) GROUP BY user_id) SELECT count(*) AS people, {r('sqrt(avg(c)) - sqrt(avg(r))')} AS delta_rmse FROM p")
+@query(f"WITH {T}, {_FM}, a AS (SELECT user_id, rn, fold, y, bk FROM t JOIN fm USING (user_id)), b AS (SELECT user_id, rn, fold, lk FROM t JOIN fm USING (user_id)), p AS (SELECT user_id, avg((y - bk) ** 2) AS r, avg((y - lk) ** 2) AS c FROM a JOIN b USING (user_id, rn, fold) GROUP BY user_id) SELECT count(*) AS people, {r('sqrt(avg(c)) - sqrt(avg(r))')} AS delta_rmse FROM p")
 def paired_predictions(spark, d):
     t = _folded(spark, d)
     key = ["user_id", "rn", "fold"]
@@ -503,10 +510,10 @@ def shift_keeps_neighbours(spark, d):
     return a.agg(F.count("*").alias("pairs")).crossJoin(a.exceptAll(b).agg(F.count("*").alias("lost")))
 
 
-@query("WITH k AS (SELECT user_id, event_id, CAST(user_id % 5 + 1 AS INTEGER) AS fold FROM events) SELECT a.fold, count(DISTINCT a.user_id) AS test_people, count(*) AS test_rows, (SELECT count(DISTINCT b.user_id) FROM k b WHERE b.fold <> a.fold) AS train_people, CAST(0 AS BIGINT) AS shared_people FROM k a GROUP BY a.fold")
+@query(f"WITH {_FM}, k AS (SELECT user_id, event_id, fold FROM events JOIN fm USING (user_id)) SELECT a.fold, count(DISTINCT a.user_id) AS test_people, count(*) AS test_rows, (SELECT count(DISTINCT b.user_id) FROM k b WHERE b.fold <> a.fold) AS train_people, CAST(0 AS BIGINT) AS shared_people FROM k a GROUP BY a.fold")
 def fold_leakage_guard(spark, d):
     """Persons and rows of each fold, and persons on both of its sides."""
-    k = table(spark, d, "events").select("user_id", (F.pmod("user_id", F.lit(5)) + 1).cast("int").alias("fold"))
+    k = table(spark, d, "events").select("user_id").join(_folds(spark, d), "user_id")
     return models.fold_audit(k, "user_id", 5)
 
 

@@ -33,34 +33,100 @@ def table(spark, people):
     return spark.createDataFrame(people, "id string, a double, b double, y double, fold int")
 
 
-def plain_nested(people, alphas, labels=None):
-    """Nested ridge row by row: out-of-fold correlation and error against the mean's."""
-    x = np.array([[1.0, p[1], p[2]] for p in people])
+def plain_ridge(x, y, alpha):
+    """Ridge on columns centred and scaled by these rows: intercept and raw coefficients."""
+    mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = (x - mean) / sd
+    c = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean())) / sd
+    return y.mean() - mean @ c, c
+
+
+def plain_nested(people, alphas, inner, labels=None):
+    """Nested ridge row by row: penalties, coefficients, out-of-fold correlation and error against the mean's.  inner: (id, test fold) -> fold."""
+    x = np.array([[p[1], p[2]] for p in people])
     y = np.array([p[3] for p in people] if labels is None else labels)
     fold = np.array([p[4] for p in people])
-    ridge = lambda rows, a: np.linalg.solve(x[rows].T @ x[rows] + np.diag([0, a, a]), x[rows].T @ y[rows])
-    prediction, mean, chosen = np.zeros(len(y)), np.zeros(len(y)), []
+    prediction, mean, fits = np.zeros(len(y)), np.zeros(len(y)), []
     for f in (1, 2, 3):
-        losses = []
+        own, losses = np.array([inner[p[0], f] for p in people]), []
         for a in alphas:
-            e = [((y[fold == g] - x[fold == g] @ ridge((fold != f) & (fold != g), a)) ** 2).sum() for g in (1, 2, 3) if g != f]
-            losses.append((round(sum(e), 9), -a))
-        chosen.append(-min(losses)[1])
-        prediction[fold == f] = x[fold == f] @ ridge(fold != f, chosen[-1])
+            e = []
+            for g in (1, 2, 3):
+                b, c = plain_ridge(x[(own > 0) & (own != g)], y[(own > 0) & (own != g)], a)
+                e.append((y[own == g] - b - x[own == g] @ c) ** 2)
+            losses.append(np.sqrt(np.concatenate(e).mean()))
+        best = max(a for a, v in zip(alphas, losses, strict=True) if np.isclose(v, min(losses), rtol=1e-12))
+        b, c = plain_ridge(x[fold != f], y[fold != f], best)
+        fits.append((best, [b, *c]))
+        prediction[fold == f] = b + x[fold == f] @ c
         mean[fold == f] = y[fold != f].mean()
-    return chosen, np.corrcoef(prediction, y)[0, 1], 100 * (np.sqrt(((y - prediction) ** 2).sum() / ((y - mean) ** 2).sum()) - 1)
+    return fits, np.corrcoef(prediction, y)[0, 1], 100 * (np.sqrt(((y - prediction) ** 2).sum() / ((y - mean) ** 2).sum()) - 1)
 
 
-def test_nested_ridge_and_label_permutation(table, people):
-    alphas = [0.1, 1.0, 10.0, 100.0]
-    chosen, r, percent = plain_nested(people, alphas)
-    assert [row["alpha"] for row in models.nested_ridge(table, ["a", "b"], "y", alphas, 3).orderBy("test_fold").collect()] == chosen
-    found = {row["draw"]: row for row in models.label_permutation(table, "id", ["a", "b"], "y", alphas, 3, 40).collect()}
-    assert sorted(found) == list(range(-1, 40))
-    assert (found[-1]["r"], found[-1]["rmse_percent"]) == pytest.approx((r, percent))
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-4, 3e5)])
+def test_nested_ridge_and_label_permutation(spark, people, scale, shift):
+    """Equal to numpy, also for columns far from 0 with little spread: results do not depend on units."""
+    alphas = [0.01, 0.1, 1.0, 10.0, 100.0]
+    people = [(i, a * scale + shift, b, y, f) for i, a, b, y, f in people]
+    table = spark.createDataFrame(people, "id string, a double, b double, y double, fold int")
+    dealt = resample.inner_folds(table, "id", 3).collect()
+    inner = {(r["id"], r["test_fold"]): r["inner"] for r in dealt}
+    for f in (1, 2, 3):
+        sizes = [sum(r["test_fold"] == f and r["inner"] == i for r in dealt) for i in range(4)]
+        assert sizes[0] == sum(p[4] == f for p in people) and max(sizes[1:]) - min(sizes[1:]) <= 1
+        assert all((inner[p[0], f] == 0) == (p[4] == f) for p in people)
+    fits, r, percent = plain_nested(people, alphas, inner)
+    found = models.nested_ridge(table, "id", ["a", "b"], "y", alphas, 3).orderBy("test_fold").collect()
+    assert [row["alpha"] for row in found] == [f[0] for f in fits]
+    for row, (_, c) in zip(found, fits, strict=True):
+        assert row["coefficients"] == pytest.approx(c, rel=1e-9 if scale == 1 else 1e-5)
+    null = {row["draw"]: row for row in models.label_permutation(table, "id", ["a", "b"], "y", alphas, 3, 40).collect()}
+    assert sorted(null) == list(range(-1, 40))
+    assert (null[-1]["r"], null[-1]["rmse_percent"]) == pytest.approx((r, percent), rel=1e-9 if scale == 1 else 1e-6)
     # permuted labels predict nothing, and draws differ
-    assert np.mean([found[i]["r"] for i in range(40)]) < 0.2 < r
-    assert len({round(found[i]["r"], 9) for i in range(40)}) > 30
+    assert np.mean([null[i]["r"] for i in range(40)]) < 0.2 < r
+    assert len({round(null[i]["r"], 9) for i in range(40)}) > 30
+
+
+def test_column_without_spread_has_no_coefficient():
+    x = np.c_[np.ones(20), np.arange(20.0), np.full(20, 7.0)]
+    y = 3 + 2 * x[:, 1]
+    assert models.standardised_ridge(x.T @ x, x.T @ y, 1e-9) == pytest.approx([3, 2, 0], abs=1e-6)
+
+
+def test_folds_are_balanced_shuffled_and_of_any_id(spark):
+    ids = [f"person {i}" for i in range(503)]
+    one = {r["who"]: r["fold"] for r in resample.folds(spark.createDataFrame([(i,) for i in ids * 2 + [None]], "who string"), "who").collect()}
+    two = {r["who"]: r["fold"] for r in resample.folds(spark.createDataFrame([(i,) for i in ids[::-1]], "who string"), "who").collect()}
+    assert one == two and sorted(one) == sorted(ids)
+    sizes = np.bincount(list(one.values()))[1:]
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 1
+    assert [one[i] for i in ids] != [i % 5 + 1 for i in range(503)]
+
+
+@pytest.mark.parametrize("loads, size, groups", [([0, 0, 0], 4, 7), ([9, 2, 2], 3, 5), ([100, 0, 1], 1, 1000), ([5, 5, 4], 10, 1), ([0, 0], 1, 0)])
+def test_greedy_shares_are_those_of_one_group_at_a_time(loads, size, groups):
+    held, wanted = list(loads), [0] * len(loads)
+    for _ in range(groups):
+        f = held.index(min(held))
+        held[f] += size
+        wanted[f] += 1
+    assert resample.greedy_shares(loads, size, groups) == wanted
+
+
+def test_group_folds_balance_rows(spark):
+    rng = np.random.default_rng(8)
+    sizes = [900, 400, 300, *rng.integers(1, 12, 300).tolist()]
+    df = spark.createDataFrame([(f"g{i}",) for i, s in enumerate(sizes) for _ in range(s)], "g string")
+    found = {r["g"]: r["fold"] for r in resample.group_folds(df, "g").collect()}
+    assert len(found) == len(sizes)
+    loads = [0] * 5
+    for s in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += s
+    assert [sum(sizes[int(g[1:])] for g, f in found.items() if f == k) for k in range(1, 6)] == loads
+    rows = df.withColumn("i", F.monotonically_increasing_id())
+    shares = [r["count"] for r in rows.groupBy(resample.row_folds(rows, ["g", "i"]).alias("f")).count().collect()]
+    assert len(shares) == 5 and max(shares) < 1.25 * min(shares)
 
 
 def test_crossfit_logistic(spark, people):
@@ -100,7 +166,7 @@ def test_benchmark(spark, people):
     rows = [(i, None if i % 7 == 0 else p[1], rng.choice(["u", "v"]) if i % 3 else "rare", p[3], p[4], i % 3 + 1) for i, p in enumerate(people)]
     rows = [(i, a, str(c), y, f, g) for i, a, c, y, f, g in rows]
     df = spark.createDataFrame(rows, "id int, a double, c string, y double, fold int, other int")
-    found = {(r["validation"], r["model"]): r for r in models.benchmark(df, "y", {"none": [], "number": ["a"], "both": ["a", "c"]}, {"x": "fold", "z": "other"}, 3).collect()}
+    found = {(r["validation"], r["model"]): r for r in models.benchmark_metrics(models.benchmark_predictions(df, "y", {"none": [], "number": ["a"], "both": ["a", "c"]}, {"x": "fold", "z": "other"}, 3)).collect()}
     levels = sorted({r[2] for r in rows})
     for name, at in (("x", 4), ("z", 5)):
         fold, y = np.array([r[at] for r in rows]), np.array([r[3] for r in rows])
@@ -117,6 +183,25 @@ def test_benchmark(spark, people):
             assert r["r2"] == pytest.approx(1 - ((y - prediction) ** 2).mean() / y.var())
 
 
+def test_benchmark_differences(spark):
+    """Against the definition; the interval holds the difference, and a model that is worse for everybody is worse in every draw."""
+    rng = np.random.default_rng(4)
+    rows = [("v", m, f"p{p}", 0.0, float(rng.normal(0, s) + (m == "bad") * 9)) for p in range(40) for _ in range(p % 3 + 1) for m, s in (("base", 1), ("like", 1), ("bad", 1))]
+    df = spark.createDataFrame(rows, "validation string, model string, who string, actual double, prediction double")
+    found = {r["challenger"]: r for r in models.benchmark_differences(df, "who", "base", ["like", "bad"], 200).collect()}
+    mse = {m: np.mean([np.mean([r[4] ** 2 for r in rows if r[1] == m and r[2] == f"p{p}"]) for p in range(40)]) for m in ("base", "like", "bad")}
+    for m, r in found.items():
+        assert r["people"] == 40 and r["delta_rmse"] == pytest.approx(np.sqrt(mse[m]) - np.sqrt(mse["base"]))
+        assert r["low"] < r["delta_rmse"] < r["high"]
+    assert found["bad"]["low"] > max(0, found["like"]["high"])
+
+
+def test_benchmark_bounds_levels(spark):
+    rows = [(float(i), f"level {i}", i % 3 + 1) for i in range(models.LEVELS_MOST + 1)]
+    with pytest.raises(ValueError, match="levels"):
+        models.benchmark_predictions(spark.createDataFrame(rows, "y double, c string, fold int"), "y", {"m": ["c"]}, {"x": "fold"}, 3)
+
+
 def test_components(table, people):
     x = np.array([p[1:4] for p in people])
     values, vectors = np.linalg.eigh(np.corrcoef(x.T))
