@@ -31,13 +31,20 @@ def offset(position: Column, onset: Column, ramp: Column, magnitude: Column) ->
     return F.when(position < onset, 0.0).otherwise(magnitude * F.least(step, F.lit(1.0)))
 
 
+def adaptation(position: Column, onset: Column, ramp: Column, magnitude: Column, k: int = 8) -> Column:
+    """Mean of the change added at the k positions before this one (none before the first): a difference of the ramp's prefix sums."""
+
+    def total(t: Column) -> Column:  # of min((i + 1) / ramp, 1) over i < t
+        return F.when(t <= 0, 0.0).when(t <= ramp, t * (t + 1) / (2 * ramp)).otherwise((ramp + 1) / 2 + (t - ramp))
+
+    return magnitude * (total(position - onset) - total(position - k - onset)) / k
+
+
 def injected(rows: DataFrame, entity: Sequence[str], k: int = 8) -> DataFrame:
     """off (added change), adapt (how much of it the last-k baseline took in) and phase, in SD."""
-    pos, ramp_end = F.col("pos"), F.col("onset") + F.col("ramp")
-    out = rows.withColumn("off", offset(pos, F.col("onset"), F.col("ramp"), F.col("magnitude")))
-    w = Window.partitionBy(*entity, *SCENARIO).orderBy("pos").rowsBetween(-k, -1)
-    out = out.withColumn("adapt", F.coalesce(F.sum("off").over(w), F.lit(0.0)) / k)
-    phase = F.when(pos < F.col("onset"), "pre").when(pos < ramp_end, "ramp").when(pos < ramp_end + k, "plateau").otherwise("after")
+    pos, onset, ramp, magnitude = F.col("pos"), F.col("onset"), F.col("ramp"), F.col("magnitude")
+    out = rows.withColumn("off", offset(pos, onset, ramp, magnitude)).withColumn("adapt", adaptation(pos, onset, ramp, magnitude, k))
+    phase = F.when(pos < onset, "pre").when(pos < onset + ramp, "ramp").when(pos < onset + ramp + k, "plateau").otherwise("after")
     return out.withColumn("phase", phase)
 
 
@@ -59,15 +66,56 @@ def thresholds(rows: DataFrame, entity: str, q: float = 0.95) -> DataFrame:
     return weighted_quantile(own.withColumn("weight", weight), "score", "weight", q, [*SCENARIO, "method"])
 
 
+def _measured(met: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group: retention on the plateau, and alarms of original and injected scores in the rows, which run from the onset to its end."""
+    before, after = F.col("score") > F.col("threshold"), F.col("injected_score") > F.col("threshold")
+    g = met.groupBy(*by).agg(
+        F.count("*").alias("targets"), (F.avg(F.when(F.col("phase") == "plateau", F.col("increment"))) / F.first("magnitude")).alias("retention"),
+        F.avg(before.cast("double")).alias("false_alarm"), F.avg(after.cast("double")).alias("detection"), F.min(F.when(after, F.col("pos") - F.col("onset"))).alias("first"),
+    )
+    return g.select("*", (F.col("detection") - F.col("false_alarm")).alias("excess"), F.col("first").isNotNull().cast("double").alias("detected"), F.coalesce("first", "targets").cast("double").alias("delay"))
+
+
 def responses(rows: DataFrame, entity: str) -> DataFrame:
     """Per entity, scenario and method: retention on the plateau, and alarms of original and injected scores from the onset to its end.
 
     The delay is the place of the first alarm of the injected scores in that window, censored at its length.
     """
     met = rows.where("phase IN ('ramp', 'plateau')").join(F.broadcast(thresholds(rows, entity)), [*SCENARIO, "method"])  # a row for each scenario and method
-    before, after = F.col("score") > F.col("threshold"), F.col("injected_score") > F.col("threshold")
-    g = met.groupBy(entity, *SCENARIO, "method").agg(
-        F.count("*").alias("targets"), (F.avg(F.when(F.col("phase") == "plateau", F.col("increment"))) / F.first("magnitude")).alias("retention"),
-        F.avg(before.cast("double")).alias("false_alarm"), F.avg(after.cast("double")).alias("detection"), F.min(F.when(after, F.col("pos") - F.col("onset"))).alias("first"),
-    )
-    return g.select("*", (F.col("detection") - F.col("false_alarm")).alias("excess"), F.col("first").isNotNull().cast("double").alias("detected"), F.coalesce("first", "targets").cast("double").alias("delay"))
+    return _measured(met, [entity, *SCENARIO, "method"])
+
+
+#: The grid of changes: where they begin, over how many targets they rise, and how far, in SD.
+FRACTIONS, RAMPS, MAGNITUDES = (0.4, 0.5, 0.6), (4, 8, 16), (0.5, 1.0)
+
+
+def grid_responses(rows: DataFrame, entity: str, sd: Column, directions: Sequence[float] = (1.0, -1.0), fractions: Sequence[float] = FRACTIONS, ramps: Sequence[int] = RAMPS, magnitudes: Sequence[float] = MAGNITUDES, k: int = 8, q: float = 0.95) -> DataFrame:
+    """responses of all scenarios and directions (1: higher is worse), without a copy of the rows for each scenario.
+
+    An original score knows no scenario.  So thresholds come from one aggregate over the scores, with a column of weights
+    for each onset and ramp, and one quantile of all groups; they are the same for all magnitudes.  Changes are
+    added in closed form to the rows between onset and end of the plateau, the only ones that a scenario copies.
+    """
+    kinds = F.array(*[F.struct(F.lit(float(d)).alias("direction"), F.lit(n).alias("method"), F.lit(s).alias("share")) for d in directions for n, s in METHODS.items()])
+
+    def with_scores(df):
+        df = df.withColumn("_m", F.explode(kinds)).select("*", "_m.*").drop("_m")
+        raw = F.col("direction") * (F.col("y") - ((1 - F.col("share")) * F.col("bk") + F.col("share") * F.col("lk"))) / sd
+        return df.withColumn("_raw", raw).withColumn("score", F.round("_raw", 6))
+
+    onset = lambda f: F.greatest(F.lit(2 * k), F.floor(F.col("m") * F.lit(float(f)))).cast("long")
+    pairs = [(f, r) for f in fractions for r in ramps]
+    # an entity has as many rows before the onset as the onset says
+    weight = lambda f, r: F.when((F.col("pos") < onset(f)) & (onset(f) + r + k <= F.col("m")), 1.0 / onset(f))
+    sums = with_scores(rows).groupBy("direction", "method", "score").agg(*[F.sum(weight(f, r)).alias(f"w{i}") for i, (f, r) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.col(f"w{i}").alias("weight")) for i, (f, r) in enumerate(pairs)])
+    steps = sums.select("direction", "method", "score", F.explode(cells).alias("c")).select("direction", "method", "score", "c.*").where("weight IS NOT NULL")
+    key = ["direction", "method", "fraction", "ramp"]
+    limits = weighted_quantile(steps, "score", "weight", q, key)
+    grid = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.lit(float(x)).alias("magnitude"), onset(f).alias("onset")) for f, r in pairs for x in magnitudes])
+    inside = lambda g: (F.col("pos") >= g["onset"]) & (F.col("pos") < g["onset"] + g["ramp"] + k) & (g["onset"] + g["ramp"] + k <= F.col("m"))
+    held = rows.withColumn("_g", F.explode(F.filter(grid, inside))).select("*", "_g.*").drop("_g")
+    at = with_scores(injected(held, [entity], k))
+    gained = F.col("off") - F.col("share") * F.col("adapt")
+    met = at.withColumn("increment", gained).withColumn("injected_score", F.round(F.col("_raw") + gained, 6)).join(F.broadcast(limits), key)  # a row for each of the key
+    return _measured(met, [entity, "direction", *SCENARIO, "method"])

@@ -13,12 +13,12 @@ from .queries import _ALPHAS, _DRAWS, _EL, _FEATURES, _FM, _FO, _NULL, _PEOPLE,
 
 # -- semi-synthetic change -------------------------------------------------------------------------
 
-_SCENARIO = "fraction, ramp, magnitude"
+_SCENARIO = "direction, fraction, ramp, magnitude"
 _CHANGED = f"""{T}, k AS (SELECT user_id, rn - 9 AS pos, n - 8 AS m, y, bk, lk FROM t), sd AS (SELECT sqrt(avg(v)) AS sd FROM (SELECT var_samp(y) AS v FROM k GROUP BY user_id)),
-c AS (SELECT k.*, fraction, ramp, magnitude, greatest(16, CAST(floor(m * fraction) AS BIGINT)) AS onset FROM k, (SELECT unnest([4, 8]) AS ramp), (SELECT unnest([0.5e0, 1e0]) AS magnitude), (SELECT unnest([0.33e0, 0.5e0]) AS fraction)),
+c AS (SELECT k.*, direction, fraction, ramp, magnitude, greatest(16, CAST(floor(m * fraction) AS BIGINT)) AS onset FROM k, (SELECT unnest([4, 8, 16]) AS ramp), (SELECT unnest([0.5e0, 1e0]) AS magnitude), (SELECT unnest([0.4e0, 0.5e0, 0.6e0]) AS fraction), (SELECT unnest([1e0, -1e0]) AS direction)),
 e AS (SELECT *, CASE WHEN pos < onset THEN 0e0 ELSE magnitude * least((pos - onset + 1) / CAST(ramp AS DOUBLE), 1e0) END AS off FROM c WHERE onset + ramp + 8 <= m),
 i AS (SELECT *, coalesce(sum(off) OVER (PARTITION BY user_id, {_SCENARIO} ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) / 8 AS adapt FROM e),
-z AS (SELECT i.*, method, off - share * adapt AS increment, round((y - ((1 - share) * bk + share * lk)) / sd, 6) AS score, round((y - ((1 - share) * bk + share * lk)) / sd + (off - share * adapt), 6) AS injected FROM i, sd, (VALUES ('B8', 0e0), ('A50', 0.5e0), ('L8', 1e0)) v(method, share)),
+z AS (SELECT i.*, method, off - share * adapt AS increment, round(direction * (y - ((1 - share) * bk + share * lk)) / sd, 6) AS score, round(direction * (y - ((1 - share) * bk + share * lk)) / sd + (off - share * adapt), 6) AS injected FROM i, sd, (VALUES ('B8', 0e0), ('A50', 0.5e0), ('L8', 1e0)) v(method, share)),
 w AS (SELECT {_SCENARIO}, method, score, sum(w) AS w FROM (SELECT *, 1e0 / count(*) OVER (PARTITION BY {_SCENARIO}, method, user_id) AS w FROM z WHERE pos < onset) GROUP BY ALL),
 q AS (SELECT *, sum(w) OVER (PARTITION BY {_SCENARIO}, method ORDER BY score) / sum(w) OVER (PARTITION BY {_SCENARIO}, method) AS c FROM w),
 h AS (SELECT {_SCENARIO}, method, min(score) AS threshold FROM q WHERE c >= 0.95 - 1e-12 GROUP BY ALL),
@@ -26,24 +26,27 @@ u AS (SELECT user_id, {_SCENARIO}, method, count(*) AS targets, avg(increment) F
   FROM z JOIN h USING ({_SCENARIO}, method) WHERE pos >= onset AND pos < onset + ramp + 8 GROUP BY ALL)"""
 
 
+_CHANGE = ["direction", *stress.SCENARIO, "method"]
+
+
 def _responses(spark, d):
+    """18 scenarios in both directions."""
     t = rows_after_eight(spark, d).select("user_id", (F.col("rn") - 9).alias("pos"), (F.col("n") - 8).alias("m"), "y", "bk", "lk")
     sd = t.groupBy("user_id").agg(F.var_samp("y").alias("v")).agg(F.sqrt(F.avg("v")).alias("sd"))
-    changed = stress.injected(stress.scenarios(t, (0.33, 0.5), (4, 8), (0.5, 1.0)), ENTITY)
-    return stress.responses(stress.scored(changed.crossJoin(F.broadcast(sd)), F.lit(1.0), F.col("sd")), "user_id")
+    return stress.grid_responses(t.crossJoin(F.broadcast(sd)), "user_id", F.col("sd"))
 
 
 @query(f"WITH {_CHANGED} SELECT {_SCENARIO}, method, count(*) AS people, {r('avg(retention)')} AS retention FROM u GROUP BY ALL")
 def deterioration_retention(spark, d):
-    g = _responses(spark, d).groupBy("fraction", "ramp", "magnitude", "method").agg(F.count("*").alias("people"), F.avg("retention").alias("r"))
-    return out(g, "fraction", "ramp", "magnitude", "method", "people", retention="r")
+    g = _responses(spark, d).groupBy(*_CHANGE).agg(F.count("*").alias("people"), F.avg("retention").alias("r"))
+    return out(g, *_CHANGE, "people", retention="r")
 
 
 @query(f"WITH {_CHANGED} SELECT {_SCENARIO}, method, CAST(sum(targets) AS BIGINT) AS targets, {r('avg(fa)')} AS false_alarm, {r('avg(de)')} AS detection, {r('avg(de - fa)')} AS excess, {r('avg(CASE WHEN first IS NULL THEN 0e0 ELSE 1e0 END)')} AS detected, {r('avg(coalesce(first, targets))')} AS delay FROM u GROUP BY ALL")
 def alarm_metrics(spark, d):
     names = ("false_alarm", "detection", "excess", "detected", "delay")
-    g = _responses(spark, d).groupBy("fraction", "ramp", "magnitude", "method").agg(F.sum("targets").alias("targets"), *[F.avg(c).alias(c) for c in names])
-    return out(g, "fraction", "ramp", "magnitude", "method", "targets", **{c: c for c in names})
+    g = _responses(spark, d).groupBy(*_CHANGE).agg(F.sum("targets").alias("targets"), *[F.avg(c).alias(c) for c in names])
+    return out(g, *_CHANGE, "targets", **{c: c for c in names})
 
 
 # -- cross-fitted budgets, nine rules ----------------------------------------------------------------

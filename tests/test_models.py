@@ -274,6 +274,29 @@ def test_retention_on_the_plateau(spark):
     assert all(r["targets"] == 22 and 0 <= r["delay"] <= 22 for r in got.values())
 
 
+def test_grid_of_changes_is_that_of_copied_rows(spark):
+    """All scenarios and both directions at once against one direction and a copy of the rows for each scenario; short series drop out."""
+    rng = np.random.default_rng(6)
+    rows = [(f"p{p}", i, m, float(rng.normal(3, 1)), float(rng.normal(3, 0.2)), float(rng.normal(3, 0.5))) for p, m in enumerate((20, 29, 45, 60, 80, 44)) for i in range(m)]
+    t = spark.createDataFrame(rows, "user_id string, pos long, m long, y double, bk double, lk double")
+    names = ["user_id", "fraction", "ramp", "magnitude", "method", "targets", "retention", "false_alarm", "detection", "excess", "detected", "delay"]
+    grid = stress.grid_responses(t, "user_id", F.lit(0.7)).collect()
+    for direction in (1.0, -1.0):
+        copied = stress.scored(stress.injected(stress.scenarios(t, stress.FRACTIONS, stress.RAMPS, stress.MAGNITUDES), ["user_id"]), F.lit(direction), F.lit(0.7))
+        wanted = sorted(tuple(r[n] for n in names) for r in stress.responses(copied, "user_id").collect())
+        found = sorted(tuple(r[n] for n in names) for r in grid if r["direction"] == direction)
+        assert [x[:6] for x in found] == [x[:6] for x in wanted] and np.array([x[6:] for x in found]) == pytest.approx(np.array([x[6:] for x in wanted]))
+    assert len({tuple(r[n] for n in names[1:4]) for r in grid}) == 18 and "p0" not in {r["user_id"] for r in grid}
+
+
+def test_retention_of_the_grid(spark):
+    """Structural constants: what each baseline keeps of a plateau depends on the ramp alone."""
+    t = spark.createDataFrame([("p", i, 80, float(i % 3), 1.0, 1.0) for i in range(80)], "user_id string, pos long, m long, y double, bk double, lk double")
+    kept = {(r["method"], r["ramp"]): r["retention"] for r in stress.grid_responses(t, "user_id", F.lit(1.0)).collect()}
+    wanted = {4: (1.0, 0.64453125, 0.2890625), 8: (1.0, 0.58203125, 0.1640625), 16: (1.0, 0.541015625, 0.08203125)}
+    assert kept == pytest.approx({(m, r): v for r, vs in wanted.items() for m, v in zip(("B8", "A50", "L8"), vs, strict=True)})
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, 0, 3), (1, 0, 3), (2, 1, 4), (3, 1, 1), (3, 2, 1)], "k int, a int, b int")
     assert [tuple(r) for r in quality.scale_total(df, ["k"], ["a", "b"], 0, 3, 6).collect()] == [(1, 0, 3, 3)]
