@@ -6,11 +6,9 @@ Draw tables are small: draws times entities, on per-entity aggregates.  Sequenti
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,10 +215,10 @@ def null_summary(draws: DataFrame, statistic: str, observed: Column) -> DataFram
     )
 
 
-# -- sequential simulations, one entity at a time -------------------------------------------------
+# -- simulated series of one entity ------------------------------------------------------------------
 
 
-def _benefit_slope(y: np.ndarray, k: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def benefit_slope(y: np.ndarray, k: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Mean benefit and slope on log age (in reports) of each row of a draws x time array."""
     c = np.cumsum(np.pad(y, ((0, 0), (1, 0))), axis=1)
     frozen = c[:, k : k + 1] / k
@@ -263,36 +261,6 @@ def cyclic_pairs(rows: DataFrame, entity: Sequence[str]) -> DataFrame:
     return rows.select(*entity, F.coalesce(F.lead("y").over(w), first).alias("z"), "y")
 
 
-def _generator(seed: int, entity) -> np.random.Generator:
-    """An entity's own generator, so that draws do not depend on how entities are dealt out; ids of any type."""
-    return np.random.default_rng([seed, *hashlib.md5(str(entity).encode()).digest()])
-
-
-def simulated_null(rows: DataFrame, entity: str, draws: int, kind: str = "ar1", seed: int = SEED, mean_length: float = 16.0, bounds: tuple[float, float] | None = None, own_sd: bool = False, k: int = 8) -> DataFrame:
-    """Per draw: mean over entities of benefit and slope.  rows has y, rn, for ar1 phi, and sd if own_sd."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        y = pdf["y"].to_numpy(float)
-        rng = _generator(seed, pdf[entity].iloc[0])
-        parts = []
-        # a long series takes its draws some at a time
-        step = max(1, PATH_VALUES // len(y))
-        for first in range(0, draws, step):
-            some = min(step, draws - first)
-            if kind == "ar1":
-                paths = ar1_paths(y, float(pdf["phi"].iloc[0]), some, rng, bounds, float(pdf["sd"].iloc[0]) if own_sd else None)
-            else:
-                paths = block_paths(y, mean_length, some, rng)
-            parts.append(_benefit_slope(paths, k))
-        benefit, slope = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pd.DataFrame({"draw": np.arange(draws), "benefit": benefit, "slope": slope})
-
-    columns = [entity, "rn", "y"] + ["phi"] * (kind == "ar1") + ["sd"] * own_sd
-    per = rows.where(F.col("n") >= k + 5).select(*columns).groupBy(entity).applyInPandas(run, "draw long, benefit double, slope double")
-    return per.groupBy("draw").agg(F.avg("benefit").alias("benefit"), F.avg("slope").alias("slope"))
-
-
 def path_marginals(paths: np.ndarray, low: float, high: float) -> np.ndarray:
     """mean, sd, floor, ceiling, lag1, outside and grid of each row of a draws x time array; lag1 is missing for constant rows."""
     x, y = (z - z.mean(axis=1, keepdims=True) for z in (paths[:, :-1], paths[:, 1:]))
@@ -305,18 +273,3 @@ def path_marginals(paths: np.ndarray, low: float, high: float) -> np.ndarray:
 
 
 MARGINALS = ("mean", "sd", "floor", "ceiling", "lag1", "outside", "grid")
-
-
-def simulated_marginals(rows: DataFrame, entity: str, draws: int, low: float, high: float, bounds: tuple[float, float] | None = None, seed: int = SEED) -> DataFrame:
-    """Means over entities of the diagnostics' means over each entity's simulated series.  rows has y, rn, phi."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        paths = ar1_paths(pdf["y"].to_numpy(float), float(pdf["phi"].iloc[0]), draws, _generator(seed, pdf[entity].iloc[0]), bounds)
-        m = path_marginals(paths, low, high)
-        known = ~np.isnan(m)
-        means = np.where(known, m, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
-        return pd.DataFrame([[None if not k else v for v, k in zip(means, known.any(axis=0), strict=True)]], columns=MARGINALS, dtype=float)
-
-    per = rows.where("n >= 2").select(entity, "rn", "y", "phi").groupBy(entity).applyInPandas(run, ", ".join(f"{m} double" for m in MARGINALS))
-    return per.agg(F.count("*").alias("people"), *[F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in MARGINALS])

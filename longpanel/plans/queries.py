@@ -558,6 +558,7 @@ def crossfit_predictions(spark, d):
 _DRAWS = 2000
 _REARRANGED = 500  # permutations and shifts
 _AR1_DRAWS = 5000
+_SCALE = (0.0, 500.0)
 _BLOCK_DRAWS = 1000
 _BLOCKS = (8, 16, 32)
 
@@ -613,12 +614,12 @@ def null_summary(spark, d):
 @query()
 def ar1_null(spark, d):
     rows = reports(spark, d).join(_shrunk(spark, d), "user_id")
-    return resample.simulated_null(rows, "user_id", _AR1_DRAWS)
+    return redraw.simulated_null(rows, "user_id", _AR1_DRAWS, bounds=_SCALE)
 
 
 @query()
 def block_null(spark, d):
-    null = [resample.simulated_null(reports(spark, d), "user_id", _BLOCK_DRAWS, kind="block", mean_length=k).select(F.lit(k).alias("block"), "*") for k in _BLOCKS]
+    null = [redraw.simulated_null(reports(spark, d), "user_id", _BLOCK_DRAWS, kind="block", mean_length=k).select(F.lit(k).alias("block"), "*") for k in _BLOCKS]
     return reduce(DataFrame.unionByName, null)
 
 

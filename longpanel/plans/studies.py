@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import clip, correlation, days_between, relative_change, spearman_brown, weighted_mean
 from ..operators import balance, models, quality, redraw, resample, stress, verdicts
 from ..operators import series as ops
+from ..sources import cohorts
 from .base import ENTITY, S, T, out, r, reports, rows_after_eight, table
-from .queries import _ALPHAS, _DRAWS, _EL, _FEATURES, _FM, _FO, _NULL, _PEOPLE, _W, _X, _balanced, _bootstrap, _early_late, _first_features_and_gain, _folded, _folds, _lcg_sql, _null, _people, _prompts, _scaled, _shrunk, query
+from .queries import _ALPHAS, _DRAWS, _EL, _FEATURES, _FM, _FO, _NULL, _PEOPLE, _REARRANGED, _W, _X, _balanced, _bootstrap, _early_late, _first_features_and_gain, _folded, _folds, _lcg_sql, _null, _people, _prompts, _scaled, _shrunk, query
 
 # -- semi-synthetic change -------------------------------------------------------------------------
 
@@ -246,8 +247,8 @@ def marginal_diagnostics(spark, d):
 def ar1_marginals(spark, d):
     """The same diagnostics of 200 autoregressive series a person, within the scale and free."""
     rows = reports(spark, d).join(_shrunk(spark, d), "user_id")
-    free = resample.simulated_marginals(rows, "user_id", 200, 5.0, 200.0)
-    bound = resample.simulated_marginals(rows, "user_id", 200, 5.0, 200.0, bounds=(5.0, 200.0))
+    free = redraw.simulated_marginals(rows, "user_id", 200, 5.0, 200.0)
+    bound = redraw.simulated_marginals(rows, "user_id", 200, 5.0, 200.0, bounds=(5.0, 200.0))
     return free.withColumn("generator", F.lit("free")).unionByName(bound.withColumn("generator", F.lit("bounded")))
 
 
@@ -279,7 +280,7 @@ def extension_phi(spark, d):
 def extension_null(spark, d):
     """Unbounded autoregressive series with the extension's phi and sample SD, age in reports."""
     rows = reports(spark, d).join(balance.correlation_phi(reports(spark, d), ENTITY).select("user_id", "phi", "sd"), "user_id")
-    return resample.simulated_null(rows, "user_id", 5000, own_sd=True)
+    return redraw.simulated_null(rows, "user_id", 5000, own_sd=True)
 
 
 _GAP = 300.0
@@ -525,23 +526,43 @@ def fold_leakage_guard(spark, d):
 _COHORTS = "co AS (SELECT 'events' AS dataset, event_type AS outcome, CAST(user_id AS VARCHAR) AS participant, ts AS moment, event_id AS tie, value AS y FROM events WHERE value IS NOT NULL UNION ALL SELECT 'orders', 'price', CAST(o_custkey AS VARCHAR), o_orderdate, o_orderkey, o_totalprice FROM orders UNION ALL SELECT 'orders', 'items', CAST(o_custkey AS VARCHAR), o_orderdate, o_orderkey, CAST(c AS DOUBLE) FROM orders JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey), sr AS (SELECT *, row_number() OVER (PARTITION BY dataset, outcome, participant ORDER BY moment, tie) AS rn, count(*) OVER (PARTITION BY dataset, outcome, participant) AS n FROM co)"
 
 
-def _cohorts(spark, d):
-    """All registered cohorts as one long table: dataset, outcome, participant, y, rn, n."""
-    e = table(spark, d, "events").select(F.lit("events").alias("dataset"), F.col("event_type").alias("outcome"), F.col("user_id").cast("string").alias("participant"), F.col("ts").alias("moment"), F.col("event_id").alias("tie"), F.col("value").alias("y"))
+def _orders_with_items(spark, d):
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("items"))
-    o = table(spark, d, "orders").join(items, "o_orderkey", "left").select(F.lit("orders").alias("dataset"), F.col("o_custkey").cast("string").alias("participant"), F.col("o_orderdate").alias("moment"), F.col("o_orderkey").alias("tie"), F.col("o_totalprice").alias("price"), "items")
-    o = ops.unpivoted(o, ["dataset", "participant", "moment", "tie"], ["price", "items"]).withColumnRenamed("value", "y")
-    return ops.series(e.unionByName(o), ["dataset", "outcome", "participant"], ["moment", "tie"], "y")
+    return table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice").join(items, "o_orderkey", "left")
+
+
+_EVENT_SCALE = cohorts.Scale(0.0, 500.0)
+cohorts.register("events", cohorts.Cohort("events", "user_id", ["ts", "event_id"], {o: _EVENT_SCALE for o in ("click", "error", "purchase", "signup", "view")} | {"purchase": cohorts.Scale(0.0, 500.0, -1.0)}, kind="event_type", value="value"))
+cohorts.register("orders", cohorts.Cohort("orders", "o_custkey", ["o_orderdate", "o_orderkey"], {"items": cohorts.Scale(0.0, 20.0), "price": cohorts.Scale(0.0, 600_000.0)}, values={"items": "items", "price": "o_totalprice"}, load=_orders_with_items))
+_COHORT_KEY = ["dataset", "outcome", "participant"]
 
 
 @query(f"WITH {_COHORTS}, f AS (SELECT *, avg(CASE WHEN rn <= 8 THEN y END) OVER (PARTITION BY dataset, outcome, participant) AS b, avg(y) OVER (PARTITION BY dataset, outcome, participant ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l FROM sr), p AS (SELECT dataset, outcome, participant, avg(abs(y - b)) AS b, avg(abs(y - l)) AS l, count(*) AS t FROM f WHERE rn > 8 GROUP BY ALL) SELECT dataset, outcome, count(*) AS people, CAST(sum(t) AS BIGINT) AS targets, min(t) AS least, {r('median(t)')} AS median, max(t) AS most, {r('avg(b)')} AS mae_b8, {r('avg(l)')} AS mae_l8 FROM p GROUP BY ALL")
 def cohort_summary(spark, d):
-    key = ["dataset", "outcome", "participant"]
-    p = balance.person_errors(ops.targets(_cohorts(spark, d), key, "tie"), key, {"b": "bk", "l": "lk"})
+    p = balance.person_errors(ops.targets(cohorts.panel(spark, d), _COHORT_KEY, "rn"), _COHORT_KEY, {"b": "bk", "l": "lk"})
     g = p.groupBy("dataset", "outcome").agg(F.count("*").alias("people"), F.sum("targets").alias("t"), F.min("targets").alias("least"), F.percentile("targets", 0.5).alias("median"), F.max("targets").alias("most"), F.avg("mae_b").alias("b"), F.avg("mae_l").alias("l"))
     return out(g.withColumn("targets", F.col("t")), "dataset", "outcome", "people", "targets", "least", "most", median="median", mae_b8="b", mae_l8="l")
 
 
+_COHORT_NULL = f"""{_COHORTS}, lo AS (SELECT *, CAST(participant AS BIGINT) AS id FROM sr WHERE n > 8), dr AS (SELECT unnest(range(0, {_REARRANGED})) AS draw),
+v AS (SELECT draw, dataset, outcome, id, y, (rn - 1 + 1 + {_lcg_sql('31415926', 'draw', 'id')} % (n - 1)) % n + 1 AS rn FROM lo, dr UNION ALL SELECT -1, dataset, outcome, id, y, rn FROM lo),
+f AS (SELECT draw, dataset, outcome, id, rn, y, avg(CASE WHEN rn <= 8 THEN y END) OVER w AS b, avg(y) OVER (w ORDER BY rn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l FROM v WINDOW w AS (PARTITION BY draw, dataset, outcome, id)),
+u AS (SELECT draw, dataset, outcome, id, avg(abs(y - b) - abs(y - l)) AS g FROM f WHERE rn > 8 GROUP BY ALL), q AS (SELECT draw, dataset, outcome, avg(g) AS benefit FROM u GROUP BY ALL),
+o AS (SELECT dataset, outcome, benefit AS observed FROM q WHERE draw = -1)"""
+
+
+@query(f"WITH {_COHORT_NULL} SELECT dataset, outcome, count(*) AS draws, {r('any_value(observed)')} AS observed, {r('avg(benefit)')} AS null_mean, {r('stddev_samp(benefit)')} AS null_sd, {r('(1 + count(*) FILTER (round(benefit, 9) >= round(observed, 9))) / (count(*) + 1e0)')} AS p FROM q JOIN o USING (dataset, outcome) WHERE draw >= 0 GROUP BY ALL")
+def cohort_null(spark, d):
+    """The shift null of every registered outcome, from one pass over all their series."""
+    rows = cohorts.panel(spark, d)
+    null = redraw.null_benefit(rows, _COHORT_KEY, "id", _REARRANGED, "shifted", cell="cell")
+    gain = ops.targets(rows, _COHORT_KEY, "rn").groupBy(*_COHORT_KEY, "cell").agg(F.avg("benefit").alias("g")).groupBy("dataset", "outcome", "cell").agg(F.avg("g").alias("observed"))
+    met = null.join(F.broadcast(gain), "cell")  # a row an outcome
+    above = F.count_if(F.round("benefit", 9) >= F.round("observed", 9))
+    g = met.groupBy("dataset", "outcome").agg(F.count("*").alias("draws"), F.first("observed").alias("o"), F.avg("benefit").alias("m"), F.stddev_samp("benefit").alias("s"), ((1 + above) / (F.count("*") + 1)).alias("p"))
+    return out(g, "dataset", "outcome", "draws", observed="o", null_mean="m", null_sd="s", p="p")
+
+
 @query("WITH w AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) FILTER (event_type = 'click') AS v_click, avg(value) FILTER (event_type = 'view') AS v_view, avg(value) FILTER (event_type = 'purchase') AS v_purchase FROM events GROUP BY ALL), z AS (SELECT *, lag(v_view) OVER (PARTITION BY user_id ORDER BY day) AS view_lag, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap FROM w) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, " + ", ".join(f"{r(c)} AS {c}" for c in ("v_click", "v_view", "v_purchase", "view_lag")) + " FROM z WHERE gap BETWEEN 1 AND 14")
 def wide_panel(spark, d):
     """A day's means side by side, with the value and the distance of the last day; rows whose last day is within 14 days."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from longpanel.operators import balance, models, quality, resample, stress, verdicts
+from longpanel.operators import balance, models, quality, redraw, resample, stress, verdicts
 
 
 def newton(x, y, c, w, steps=50):
@@ -256,9 +256,9 @@ def test_simulations_are_seeded_and_bounded(spark):
     m = resample.path_marginals(np.array([[0.0, 1.0, 2.5, 100.0, 101.0], [3.0] * 5]), 0.0, 100.0)
     assert m[0, [0, 2, 3, 5, 6]] == pytest.approx([40.9, 0.2, 0.2, 0.2, 0.8]) and np.isnan(m[1, 4])
     rows = spark.createDataFrame([(f"p{i % 3}", i // 3 + 1, 40, float(v), 0.3) for i, v in enumerate(np.tile(y, 3))], "id string, rn int, n int, y double, phi double")
-    one, two = (sorted(map(tuple, resample.simulated_null(df, "id", 20).collect())) for df in (rows, rows.repartition(7)))
+    one, two = (sorted(map(tuple, redraw.simulated_null(df, "id", 20).collect())) for df in (rows, rows.repartition(7)))
     assert one == two and len(one) == 20
-    free, held = (resample.simulated_marginals(rows, "id", 50, 0.0, 100.0, bounds=b).first() for b in (None, (0.0, 100.0)))
+    free, held = (redraw.simulated_marginals(rows, "id", 50, 0.0, 100.0, bounds=b).first() for b in (None, (0.0, 100.0)))
     assert free["outside"] > 0 == held["outside"]
 
 

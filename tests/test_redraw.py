@@ -52,7 +52,7 @@ def test_long_series_take_other_ways_to_the_same_null(panel, monkeypatch, kind,
 
 def test_a_series_is_shuffled_once(panel):
     """No row leaves an entity's task: behind the one exchange of the series there are sums for each draw."""
-    plan = redraw.draw_sums(panel, ["who"], "who", 500, "shifted", lambda p, k, d: (np.zeros(len(p), int), p[:, :1]), ["v"])
+    plan = redraw.draw_sums(panel, ["who"], "who", 500, redraw._moved("shifted", 1), lambda p, k, d, e: (np.zeros(len(p), int), p[:, :1]), ["v"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
     assert plan.count() <= 500 * plan.rdd.getNumPartitions()
@@ -78,3 +78,38 @@ def test_bootstrap_of_many_blocks_draws_everyone_alike(spark):
     assert len({r["mean"] for r in draws}) == 12 and max(r["most"] for r in draws) < 20
     again = resample.bootstrap(people.repartition(9), "who", 12, **stats).collect()
     assert sorted((r["draw"], r["different"]) for r in draws) == sorted((r["draw"], r["different"]) for r in again)
+
+
+def test_cells_have_nulls_of_their_own(panel, monkeypatch):
+    """One pass over all groups gives what a pass over each gives, for held and for long series."""
+    split = panel.withColumn("group", (F.xxhash64("who") % 2 == 0).cast("int"))
+    for most in (redraw.SERIES_MOST, 30):
+        monkeypatch.setattr(redraw, "SERIES_MOST", most)
+        both = {(r["cell"], r["draw"]): r["benefit"] for r in redraw.null_benefit(split, ["who"], "who", 8, "shifted", cell="group").collect()}
+        for g in (0, 1):
+            alone = redraw.null_benefit(split.where(F.col("group") == g), ["who"], "who", 8, "shifted").collect()
+            assert {r["draw"]: r["benefit"] for r in alone} == pytest.approx({d: v for (c, d), v in both.items() if c == g})
+
+
+def test_simulated_series_do_not_depend_on_the_split(spark):
+    """Blocks of draws follow from the length of a series; bounded series stay inside, with the extremes that clipping makes."""
+    rng = np.random.default_rng(2)
+    n, y = 400, np.clip(rng.normal(50, 30, 400), 0, 100)
+    paths = redraw.simulated("ar1", (0.0, 100.0))(y, 1, "p", 0, np.arange(900), {"phi": 0.5})
+    assert paths.min() == 0 and paths.max() == 100
+    free = redraw.simulated("ar1")(y, 1, "p", 0, np.arange(900), {"phi": 0.5})
+    assert (np.clip(free, 0, 100) == paths).all()
+    assert free.mean() == pytest.approx(y.mean(), abs=0.7) and free.std() == pytest.approx(y.std(), rel=0.02)
+    assert (paths == 0).mean() == pytest.approx((free <= 0).mean()) and (paths == 100).mean() > 0.02
+    assert np.corrcoef(free[:, :-1].ravel(), free[:, 1:].ravel())[0, 1] == pytest.approx(0.5, abs=0.01)
+    rows = spark.createDataFrame([(f"p{p}", i + 1, n, float(v), 0.5) for p in range(4) for i, v in enumerate(y)], "who string, rn int, n int, y double, phi double")
+    one, two = (_sorted(redraw.simulated_null(df, "who", 30, bounds=(0.0, 100.0))) for df in (rows, rows.repartition(9)))
+    assert np.array(one) == pytest.approx(np.array(two)) and len(one) == 30
+
+
+def test_long_series_split_their_draws(spark, monkeypatch):
+    """Ten draws of a series fit in an array; the 40 draws are four groups with generators of their own."""
+    rows = spark.createDataFrame([("p", i + 1, 50, float(i % 7), 0.3) for i in range(50)], "who string, rn int, n int, y double, phi double")
+    monkeypatch.setattr(redraw, "PATH_VALUES", 500)
+    dealt = redraw._dealt(rows, ["who"], "who", 40, ["phi"])
+    assert {r["_block"]: r["count"] for r in dealt.groupBy("_block").count().collect()} == {b: 50 for b in range(4)}

@@ -66,3 +66,33 @@ def test_stream_gives_the_batch_features(spark, tmp_path):
     for y in seen[8:]:
         m = 7 / 9 * m + 2 / 9 * y
     assert rows[10]["ewm"] == pytest.approx(m)
+
+
+def test_cohort_specifications(spark, tmp_path):
+    """A long and a wide source with participants of any type, filters and missing values, as one panel."""
+    from longpanel.sources import cohorts, tables
+
+    spark.createDataFrame([("ann", 2, "mood", 3.0), ("ann", 1, "mood", 1.0), ("bob", 1, "mood", None), ("ann", 3, "other", 9.0), ("ann", 4, "mood", 7.0)], "who string, at int, what string, v double").write.parquet(f"{tmp_path}/diary.parquet")
+    spark.createDataFrame([(7, 1, 2, 3.5), (7, 2, None, 1.5), (8, 1, 5, None)], "pid int, wave int, a int, b double").write.parquet(f"{tmp_path}/waves.parquet")
+    before = dict(cohorts.SPECS)
+    try:
+        cohorts.register("diary", cohorts.Cohort("diary", "who", ["at"], {"mood": cohorts.Scale(0, 10, -1.0)}, kind="what", value="v", where="at < 4"))
+        cohorts.register("waves", cohorts.Cohort("waves", "pid", ["wave"], {"a": cohorts.Scale(0, 5), "total": cohorts.Scale(0, 9)}, values={"a": "a", "total": "a + b"}))
+        rows = cohorts.panel(spark, str(tmp_path), ["diary", "waves"]).collect()
+        assert sorted((r["dataset"], r["outcome"], r["participant"], r["y"], r["rn"], r["n"], r["direction"]) for r in rows) == [
+            ("diary", "mood", "ann", 1.0, 1, 2, -1.0), ("diary", "mood", "ann", 3.0, 2, 2, -1.0),
+            ("waves", "a", "7", 2.0, 1, 1, 1.0), ("waves", "a", "8", 5.0, 1, 1, 1.0), ("waves", "total", "7", 5.5, 1, 1, 1.0),
+        ]
+        assert len({r["cell"] for r in rows}) == 3 and {r["id"] for r in rows if r["dataset"] == "waves"} == {7, 8}
+        assert tables.cohort(spark, str(tmp_path), "diary").count() == 3
+        plan = cohorts.reports(spark, str(tmp_path), "waves").select("outcome", "y")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "wave" not in plan.split("ReadSchema")[1]
+    finally:
+        cohorts.SPECS.clear()
+        cohorts.SPECS.update(before)
+    scale = cohorts.Scale(0, 1)
+    for bad in (cohorts.Cohort("t", "p", ["o"], {"x": scale}), cohorts.Cohort("t", "p", ["o"], {"x": scale}, values={"y": "y"}), cohorts.Cohort("t", "p", ["o"], {"x": cohorts.Scale(1, 1)}, values={"x": "x"})):
+        with pytest.raises(ValueError):
+            cohorts.register("bad", bad)
+    with pytest.raises(KeyError, match="no cohort"):
+        cohorts.reports(spark, "", "none")
