@@ -164,11 +164,6 @@ def _component(p: int, correlations: Sequence) -> np.ndarray:
     return v if v.sum() >= 0 else -v
 
 
-def congruence(a: np.ndarray, b: np.ndarray) -> float:
-    """Cosine of two loading vectors, without sign."""
-    return float(abs(a @ b) / np.sqrt((a @ a) * (b @ b)))
-
-
 def _steps(rows: DataFrame, score: str, label: str, weight: str | None) -> DataFrame:
     """Sums of label 1 and 0 for each distinct score, and of both up to and with it."""
     w = F.col(weight) if weight else F.lit(1.0)
@@ -359,16 +354,37 @@ def label_permutation(people: DataFrame, key: str, features: Sequence[str], y: s
     return sums.groupBy("draw").applyInPandas(solve, "draw int, r double, rmse_percent double")
 
 
+def loading_table(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], least: int = 200) -> DataFrame:
+    """grouping, level, rows, loadings, congruence: the first component of standardised columns in each group of at least ``least`` rows.
+
+    All groupings are grouping sets of one aggregate, the empty one being all rows, with which loadings are
+    compared.  Components are found where the groups are, from their correlations.
+    """
+    p = len(columns)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    together = [F.count("*").alias("rows"), F.array(*[F.coalesce(F.corr(columns[i], columns[j]), F.lit(0.0)) for i, j in pairs]).alias("_r"), F.grouping_id().alias("_g")]
+    whole_id = 2 ** len(groups) - 1
+
+    @F.pandas_udf("array<double>")
+    def component(r: pd.Series) -> pd.Series:
+        return r.map(lambda x: _component(p, x).tolist())
+
+    sets = [[F.col(g)] for g in groups] + [[]]
+    sums = _complete(rows.select(*groups, *columns), columns).groupingSets(sets, *[F.col(g) for g in groups]).agg(*together).where(F.col("rows") >= F.when(F.col("_g") == whole_id, 1).otherwise(least))
+    found = sums.withColumn("loadings", component("_r"))
+    whole = found.where(F.col("_g") == whole_id).select(F.col("loadings").alias("_w"))  # one row
+    named = [(whole_id - (1 << (len(groups) - 1 - i)), g) for i, g in enumerate(groups)]  # a grouping set lacks all columns but its own
+    name = F.coalesce(*[F.when(F.col("_g") == i, F.lit(g)) for i, g in named])
+    level = F.coalesce(*[F.when(F.col("_g") == i, F.col(g).cast("string")) for i, g in named])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+    cosine = F.abs(dot("loadings", "_w")) / F.sqrt(dot("loadings", "loadings") * dot("_w", "_w"))
+    return found.where(F.col("_g") != whole_id).crossJoin(F.broadcast(whole)).select(name.alias("grouping"), level.alias("level"), "rows", "loadings", cosine.alias("congruence"))
+
+
 def loading_stability(rows: DataFrame, group: str, columns: Sequence[str], least: int) -> DataFrame:
-    """Per group of at least `least` rows: rows, loadings of the first component, and their congruence with those of all rows."""
-    whole = first_component(rows, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    found = rows.groupBy(group).agg(F.count("*").alias("n"), *[F.corr(columns[i], columns[j]) for i, j in pairs]).where(F.col("n") >= least).collect()  # a row a group
-    out = []
-    for row in found:
-        v = _component(len(columns), row[2:])
-        out.append((row[0], row[1], [float(x) for x in v], congruence(v, whole)))
-    return rows.sparkSession.createDataFrame(out, f"{group} {dict(rows.dtypes)[group]}, rows long, loadings array<double>, congruence double")
+    """loading_table of one grouping, its level under its own name."""
+    found = loading_table(rows, [group], columns, least)
+    return found.select(F.col("level").cast(dict(rows.dtypes)[group]).alias(group), "rows", "loadings", "congruence")
 
 
 def component_scores(rows: DataFrame, columns: Sequence[str], by: str = "score") -> DataFrame:

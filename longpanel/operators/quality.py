@@ -120,3 +120,29 @@ def private_columns(df: DataFrame) -> list[str]:
 def private_paths(text: str) -> list[str]:
     """Absolute home or drive paths in a text."""
     return re.findall(r"(?:/home/|/Users/|[A-Z]:\\)[^\s\"']+", text)
+
+
+def flow(rows: DataFrame, person: str, steps: dict[str, Column]) -> DataFrame:
+    """step, name, rows, people, lost_rows, lost_people: what is left after each condition and all before it, in one pass.
+
+    Rows are counted within persons first, so persons are counted without a copy of the rows for each step.
+    """
+    left, counts = F.lit(True), []
+    for i, condition in enumerate(steps.values()):
+        left = left & F.coalesce(condition, F.lit(False))
+        counts.append(F.count_if(left).alias(f"_{i}"))
+    n = len(counts)
+    per = rows.groupBy(person).agg(*counts)
+    whole = per.agg(*[F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"r{i}") for i in range(n)], *[F.count_if((F.col(f"_{i}") > 0) & F.col(person).isNotNull()).alias(f"p{i}") for i in range(n)])
+    lost = lambda k, i: (F.col(f"{k}{i - 1}") - F.col(f"{k}{i}")) if i else F.lit(0).cast("long")
+    cells = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(f"r{i}").alias("rows"), F.col(f"p{i}").alias("people"), lost("r", i).alias("lost_rows"), lost("p", i).alias("lost_people")) for i, name in enumerate(steps)]
+    return whole.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def require_flow(ledger: DataFrame, expected: DataFrame) -> DataFrame:
+    """The ledger; reading it raises if a step of expected (name, rows, people) is missing from it or has other counts."""
+    wanted = expected.select("name", F.col("rows").alias("_rows"), F.col("people").alias("_people"))
+    met = ledger.join(F.broadcast(wanted), "name", "full")  # a row a step
+    bad = F.col("step").isNull() | (F.col("_rows").isNotNull() & ((F.col("_rows") != F.col("rows")) | (F.col("_people") != F.col("people"))))
+    said = F.concat(F.lit("flow differs at "), F.col("name"), F.lit(": "), F.coalesce(F.col("rows").cast("string"), F.lit("no")), F.lit(" rows for "), F.col("_rows").cast("string"))
+    return met.withColumn("step", F.when(bad, F.raise_error(said).cast("int")).otherwise(F.col("step"))).select(*ledger.columns)

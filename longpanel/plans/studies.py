@@ -396,9 +396,15 @@ def loading_inputs(spark, d):
 
 @query()
 def loading_stability(spark, d):
-    """Loadings of the first component by group of enough rows, and their congruence with those of all."""
-    w = reports(spark, d).groupBy("event_type", "user_id").agg(F.avg("y").alias("a"), F.stddev_pop("y").alias("b"), F.max("y").alias("c"))
-    return models.loading_stability(w, "event_type", ["a", "b", "c"], 5)
+    """Loadings of the first component by year and by return flag, in groups of at least 200 rows, and their congruence with those of all."""
+    w = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("flag"), *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "extendedprice", "discount")])
+    return models.loading_table(w, ["year", "flag"], ["quantity", "extendedprice", "discount"], 200)
+
+
+@query()
+def component_scores(spark, d):
+    """Each person's score on the first component of their first reports."""
+    return models.component_scores(_first_features_and_gain(spark, d), ["mean", "sd", "step"]).select("user_id", "score")
 
 
 # -- joins, sets and guards ----------------------------------------------------------------------------
@@ -521,6 +527,20 @@ def fold_leakage_guard(spark, d):
     return models.fold_audit(k, "user_id", 5)
 
 
+_FLOW = "e AS (SELECT user_id, value, count(value) OVER (PARTITION BY user_id) AS n, CASE WHEN value IS NOT NULL THEN count(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS rn FROM events), st AS (SELECT step, name, user_id FROM e, LATERAL (VALUES (0, 'events', true), (1, 'with value', value IS NOT NULL), (2, 'enough reports', value IS NOT NULL AND n > 8), (3, 'targets', value IS NOT NULL AND n > 8 AND rn > 8), (4, 'high targets', value IS NOT NULL AND n > 8 AND rn > 8 AND value > 300)) v(step, name, ok) WHERE ok)"
+
+
+@query(f"WITH {_FLOW}, g AS (SELECT step, name, count(*) AS rows, count(DISTINCT user_id) AS people FROM st GROUP BY ALL) SELECT step, name, rows, people, coalesce(lag(rows) OVER (ORDER BY step) - rows, 0) AS lost_rows, coalesce(lag(people) OVER (ORDER BY step) - people, 0) AS lost_people FROM g")
+def sample_flow(spark, d):
+    """Rows and persons that each filter of the main analysis leaves, and that the targets are those that it works on."""
+    w = Window.partitionBy("user_id")
+    e = table(spark, d, "events").select("user_id", "value", F.count("value").over(w).alias("n"), F.when(F.col("value").isNotNull(), F.count("value").over(w.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))).alias("rn"))
+    steps = {"events": F.lit(True), "with value": F.col("value").isNotNull(), "enough reports": F.col("n") > 8, "targets": F.col("rn") > 8, "high targets": F.col("value") > 300}
+    ledger = quality.flow(e, "user_id", steps)
+    seen = rows_after_eight(spark, d).agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("people"))
+    return quality.require_flow(ledger, seen.select(F.lit("targets").alias("name"), "rows", "people"))
+
+
 # -- registered panels ---------------------------------------------------------------------------------
 
 _COHORTS = "co AS (SELECT 'events' AS dataset, event_type AS outcome, CAST(user_id AS VARCHAR) AS participant, ts AS moment, event_id AS tie, value AS y FROM events WHERE value IS NOT NULL UNION ALL SELECT 'orders', 'price', CAST(o_custkey AS VARCHAR), o_orderdate, o_orderkey, o_totalprice FROM orders UNION ALL SELECT 'orders', 'items', CAST(o_custkey AS VARCHAR), o_orderdate, o_orderkey, CAST(c AS DOUBLE) FROM orders JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey), sr AS (SELECT *, row_number() OVER (PARTITION BY dataset, outcome, participant ORDER BY moment, tie) AS rn, count(*) OVER (PARTITION BY dataset, outcome, participant) AS n FROM co)"

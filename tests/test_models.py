@@ -297,6 +297,39 @@ def test_retention_of_the_grid(spark):
     assert kept == pytest.approx({(m, r): v for r, vs in wanted.items() for m, v in zip(("B8", "A50", "L8"), vs, strict=True)})
 
 
+def test_loadings_by_several_groupings(spark):
+    """Against numpy, with a grouping that has a null level, and groups under the bound left out."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3)) + rng.normal(size=(300, 1))
+    rows = [(2020 + i % 2, None if i % 3 == 0 else "ios" if i % 3 == 1 or i < 200 else "rare", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "year int, platform string, a double, b double, c double")
+    found = {(r["grouping"], r["level"]): r for r in models.loading_table(df, ["year", "platform"], ["a", "b", "c"], 50).collect()}
+    first = lambda v: np.linalg.eigh(np.corrcoef(v.T))[1][:, -1]
+    for i, name in ((0, "year"), (1, "platform")):
+        for level in {r[i] for r in rows}:
+            part = x[[r[i] == level for r in rows]]
+            r = found.pop((name, None if level is None else str(level)), None)
+            assert (r is None) == (len(part) < 50)
+            if r:
+                v = first(part) * np.sign(first(part).sum())
+                assert r["rows"] == len(part) and r["loadings"] == pytest.approx(v.tolist()) and r["congruence"] == pytest.approx(abs(v @ first(x)))
+    assert not found
+
+
+def test_flow_and_its_guard(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", None), ("c", 9), (None, 7)], "who string, v int")
+    ledger = quality.flow(df, "who", {"all": F.lit(True), "known": F.col("v").isNotNull(), "large": F.col("v") > 4})
+    assert [tuple(r) for r in ledger.orderBy("step").collect()] == [(0, "all", 5, 3, 0, 0), (1, "known", 4, 2, 1, 1), (2, "large", 3, 2, 1, 0)]
+    same = spark.createDataFrame([("large", 3, 2)], "name string, rows long, people long")
+    assert quality.require_flow(ledger, same).count() == 3
+    assert [tuple(r) for r in quality.require_flow(ledger, same).orderBy("step").collect()] == [tuple(r) for r in ledger.orderBy("step").collect()]
+    for wrong in (("large", 2, 2), ("large", 3, 1), ("other", 1, 1)):
+        with pytest.raises(Exception, match="flow differs"):
+            quality.require_flow(ledger, spark.createDataFrame([wrong], "name string, rows long, people long")).collect()
+    empty = quality.flow(df.where("v > 99"), "who", {"all": F.lit(True)})
+    assert [tuple(r) for r in empty.collect()] == [(0, "all", 0, 0, 0, 0)]
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, 0, 3), (1, 0, 3), (2, 1, 4), (3, 1, 1), (3, 2, 1)], "k int, a int, b int")
     assert [tuple(r) for r in quality.scale_total(df, ["k"], ["a", "b"], 0, 3, 6).collect()] == [(1, 0, 3, 3)]
