@@ -621,13 +621,23 @@ def reliability_verdict(spark, d):
     return out(g.withColumn("verdict", verdicts.reliability(F.col("sb"), F.col("low"))), "verdict", spearman_brown="sb", low="low")
 
 
+def _nested_oof(spark, d):
+    """gain of each person, predicted by the nested ridge and by the mean that the other folds gave."""
+    p = _first_features_and_gain(spark, d).dropna(subset=[*_FEATURES, "gain"])
+    fitted = models.nested_ridge(p, "user_id", _FEATURES, "gain", _ALPHAS, 5)
+    means = models.held_out_folds(p, 5).groupBy("test_fold").agg(F.avg("gain").alias("dummy"))
+    met = p.join(F.broadcast(fitted.join(means, "test_fold").withColumnRenamed("test_fold", "fold")), "fold")  # a row a fold
+    prediction = sum((F.col("coefficients")[i + 1] * F.col(c) for i, c in enumerate(_FEATURES)), F.col("coefficients")[0])
+    return met.select("user_id", "fold", "gain", prediction.alias("prediction"), "dummy")
+
+
 @query()
 def future_gain_verdict(spark, d):
     """Whether the nested ridge predicts who gains: by its error against the mean's, its correlation and the permutation's p."""
     null = label_permutation_null(spark, d)
     seen = null.where("draw = -1").select(F.col("r").alias("seen"), F.col("rmse_percent").alias("gain"))
     g = null.where("draw >= 0").crossJoin(F.broadcast(seen)).agg(F.first("seen").alias("r"), F.first("gain").alias("rmse_percent"), ((1 + F.count_if(F.col("r") >= F.col("seen"))) / (F.count("*") + 1)).alias("p"))
-    o = _oof(spark, d).select("user_id", F.pow(F.col("gain") - F.col("prediction"), 2).alias("e"), F.pow(F.col("gain") - F.col("dummy"), 2).alias("z"))
+    o = _nested_oof(spark, d).select("user_id", F.pow(F.col("gain") - F.col("prediction"), 2).alias("e"), F.pow(F.col("gain") - F.col("dummy"), 2).alias("z"))
     high = resample.bootstrap(o, "user_id", _DRAWS, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))).agg(F.percentile("delta", 0.975).alias("high"))
     g = g.crossJoin(high)
     return g.withColumn("verdict", verdicts.future_gain(-F.col("rmse_percent"), F.col("high"), F.col("r"), F.col("p")))
