@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,26 +205,56 @@ def calibration(rows: DataFrame, score: str, label: str, weight: str | None = No
     return logistic(rows.withColumn("_z", logit(F.col(score))), ["_z"], label, c=1e6, weight=F.col(weight) if weight else None)
 
 
+#: Rows that one step of a Newton pass holds beside all fits.
+FIT_ROWS = 8192
+
+
+def fold_sums(rows: DataFrame, features: Sequence[str], y: str, fits: Sequence[tuple[int, int]], coefficients: np.ndarray, weight: str | None = None) -> DataFrame:
+    """fit, hessian (upper triangle by rows), gradient: sums of each fit's logistic loss over the rows of neither of its left-out folds.
+
+    A row is read once for all fits: a batch meets the matrix of all coefficients, and which fits a row belongs to is a table of
+    (fold, fit) bits.  A task sends on one row a fit.  Rows with a null take no part.
+    """
+    p, names = len(features) + 1, [*features, y, *([weight] if weight else [])]
+    upper = np.triu_indices(p)
+    left_out = np.array(fits, np.int64).reshape(-1, 2)
+
+    def run(batches):
+        h, gradient = np.zeros((len(fits), len(upper[0]))), np.zeros((len(fits), p))
+        for batch in batches:
+            for at in range(0, batch.num_rows, FIT_ROWS):
+                part = batch.slice(at, FIT_ROWS)
+                fold, *columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+                x = np.column_stack([np.ones(len(fold)), *columns[: p - 1]])
+                w = columns[p] if weight else np.ones(len(fold))
+                folds, own = np.unique(fold, return_inverse=True)
+                trains = (left_out[:, 0] != folds[:, None]) & (left_out[:, 1] != folds[:, None])
+                share = w[:, None] * trains[own]
+                q = 1 / (1 + np.exp(-np.clip(x @ coefficients.T, -700, 700)))
+                h += (share * q * (1 - q)).T @ (x[:, upper[0]] * x[:, upper[1]])
+                gradient += (share * (columns[p - 1][:, None] - q)).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(fits), dtype=np.int32)), pa.array(list(h), pa.list_(pa.float64())), pa.array(list(gradient), pa.list_(pa.float64()))], names=["fit", "h", "g"])
+
+    whole = rows.select(F.col("fold").cast("long").alias("fold"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    sums = whole.mapInArrow(run, "fit int, h array<double>, g array<double>")
+    total = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
+    return sums.groupBy("fit").agg(total("h", len(upper[0])).alias("hessian"), total("g", p).alias("gradient"))
+
+
 def logistic_family(rows: DataFrame, features: Sequence[str], y: str, fits: Sequence[tuple[int, int, float]], weight: str | None = None, steps: int = 25, tolerance: float = 1e-8) -> dict:
     """Coefficients of L2 logistic regressions (left-out fold, another left-out fold or 0, C), all of them a Newton step a job."""
-    spark, p = rows.sparkSession, len(features) + 1
-    x = [F.lit(1.0), *map(F.col, features)]
-    w = F.col(weight) if weight else F.lit(1.0)
+    p = len(features) + 1
+    upper = np.triu_indices(p)
     b = {fit: np.zeros(p) for fit in fits}
     still = list(fits)
     for _ in range(steps):
-        table = spark.createDataFrame([(i, f, g, b[f, g, c].tolist()) for i, (f, g, c) in enumerate(still)], "model int, f int, g int, _coef array<double>")
-        at = rows.crossJoin(F.broadcast(table)).where("fold <> f AND fold <> g")  # one row a fit
-        z = sum((F.col("_coef")[i] * x[i] for i in range(1, p)), F.col("_coef")[0])
-        at = at.withColumn("_q", 1 / (1 + F.exp(-z)))
-        s = w * F.col("_q") * (1 - F.col("_q"))
-        sums = at.groupBy("model").agg(*[F.sum(s * x[i] * x[j]) for i in range(p) for j in range(i, p)], *[F.sum(w * x[i] * (F.col(y) - F.col("_q"))) for i in range(p)]).collect()
         moved = []
-        for row in sums:
-            fit = still[row[0]]
-            h, gradient, _ = _unpacked([*row[1:], 0.0], p, 1)
+        for fit, h, gradient in fold_sums(rows, features, y, [fit[:2] for fit in still], np.array([b[fit] for fit in still]), weight).collect():  # a row a fit
+            fit, whole = still[fit], np.zeros((p, p))
+            whole[upper] = h
+            whole = whole + np.triu(whole, 1).T
             penalty = np.diag([0.0] + [1 / fit[2]] * (p - 1))
-            step = np.linalg.solve(h + penalty + 1e-12 * np.eye(p), gradient[:, 0] - penalty @ b[fit])
+            step = np.linalg.solve(whole + penalty + 1e-12 * np.eye(p), np.array(gradient) - penalty @ b[fit])
             b[fit] = b[fit] + step
             if np.abs(step).max() >= tolerance:
                 moved.append(fit)
@@ -236,14 +268,17 @@ def crossfit_logistic(rows: DataFrame, features: Sequence[str], y: str, k: int,
     """probability of each row by a model of the other folds, whose C has the least inner log-loss, the smaller on ties."""
     w = F.col(weight) if weight else F.lit(1.0)
     spark, folds = rows.sparkSession, range(1, k + 1)
-    inner = logistic_family(rows, features, y, [(f, g, c) for f in folds for g in folds if g != f for c in cs], weight)
+    # the steps' input is computed once; a lost executor's part of it is computed again
+    kept = rows.select("fold", *features, y, *([weight] if weight else [])).persist(StorageLevel.DISK_ONLY)
+    inner = logistic_family(kept, features, y, [(f, g, c) for f in folds for g in folds if g != f for c in cs], weight)
     table = spark.createDataFrame([(f, g, float(c), v.tolist()) for (f, g, c), v in inner.items()], "f int, g int, c double, _coef array<double>")
     prob = lambda: 1 / (1 + F.exp(-sum((F.col("_coef")[i + 1] * F.col(n) for i, n in enumerate(features)), F.col("_coef")[0])))
-    at = rows.join(F.broadcast(table), F.col("fold") == F.col("g")).withColumn("_q", clip(prob(), 1e-12, 1 - 1e-12))
+    at = kept.join(F.broadcast(table), F.col("fold") == F.col("g")).withColumn("_q", clip(prob(), 1e-12, 1 - 1e-12))
     loss = -(F.col(y) * F.ln("_q") + (1 - F.col(y)) * F.ln(1 - F.col("_q")))
     found = at.groupBy("f", "c").agg((F.sum(w * loss) / F.sum(w)).alias("loss")).collect()  # k times the grid
     best = {f: min((round(r["loss"], 12), r["c"]) for r in found if r["f"] == f)[1] for f in {r["f"] for r in found}}
-    outer = logistic_family(rows, features, y, [(f, 0, c) for f, c in best.items()], weight)
+    outer = logistic_family(kept, features, y, [(f, 0, c) for f, c in best.items()], weight)
+    kept.unpersist()
     table = spark.createDataFrame([(f, float(c), v.tolist()) for (f, _, c), v in outer.items()], "fold int, c double, _coef array<double>")
     return rows.join(F.broadcast(table), "fold").withColumn("probability", prob()).drop("_coef")
 

@@ -161,6 +161,27 @@ def test_crossfit_logistic(spark, people):
     assert models.pr_auc(got, "probability", "y").first()["pr_auc"] == pytest.approx((precision * y[order]).sum() / y.sum())
 
 
+def test_logistic_sums_of_all_fits_in_one_pass(spark, monkeypatch):
+    """Sums of many fits against numpy, over several batches, with a null, a fold that no fit leaves out and a fit without rows."""
+    monkeypatch.setattr(models, "FIT_ROWS", 7)
+    rng = np.random.default_rng(4)
+    x, y, fold, w = rng.normal(size=(200, 2)), rng.integers(0, 2, 200).astype(float), rng.integers(1, 5, 200), rng.uniform(0.5, 2, 200)
+    rows = [(*map(float, x[i]), float(y[i]), int(fold[i]), float(w[i])) for i in range(200)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1, 1.0)], "a double, b double, y double, fold int, w double")
+    fits, b = [(f, g) for f in (1, 2, 3) for g in (0, 1, 2, 3) if f != g], rng.normal(size=(9, 3))
+    got = {r["fit"]: r for r in models.fold_sums(df, ["a", "b"], "y", fits, b, "w").collect()}
+    assert sorted(got) == list(range(9))
+    full = np.c_[np.ones(200), x]
+    for i, (f, g) in enumerate(fits):
+        m = (fold != f) & (fold != g)
+        q = 1 / (1 + np.exp(-full[m] @ b[i]))
+        assert got[i]["hessian"] == pytest.approx(((full[m].T * (w[m] * q * (1 - q))) @ full[m])[np.triu_indices(3)].tolist(), rel=1e-9)
+        assert got[i]["gradient"] == pytest.approx((full[m].T @ (w[m] * (y[m] - q))).tolist(), rel=1e-9, abs=1e-9)
+    assert all(v == 0 for r in models.fold_sums(df.where("fold = 1"), ["a", "b"], "y", [(1, 0)], b[:1]).collect() for v in r["hessian"])
+    plan = models.fold_sums(df, ["a", "b"], "y", fits, b, "w")._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Generate" not in plan
+
+
 def test_benchmark(spark, people):
     rng = np.random.default_rng(9)
     rows = [(i, None if i % 7 == 0 else p[1], rng.choice(["u", "v"]) if i % 3 else "rare", p[3], p[4], i % 3 + 1) for i, p in enumerate(people)]
