@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -108,18 +108,82 @@ def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.select(F.lit("left").alias("side"), "*").unionByName(right.select(F.lit("right").alias("side"), "*"))
 
 
-#: Column names that must not leave with a release, and endings that show identifiers.
-FORBIDDEN = ("participant", "participant_id", "uid", "user_id", "id", "email", "phone", "name", "date_of_birth", "device_id", "deviceid", "imei", "advertising_id", "latitude", "longitude", "lat", "lon", "gps", "address", "ip_address", "timestamp", "collected_at", "assessment_date", "birthdate")
+# Fixed values of the release rules: names of columns, endings of files, and folders and endings that a release leaves out.
+FORBIDDEN = ("participant", "participant_id", "pid", "study_id", "uid", "user_id", "id", "email", "phone", "name", "date_of_birth", "device_id", "deviceid", "imei", "advertising_id", "latitude", "longitude", "lat", "lon", "gps", "address", "ip_address", "timestamp", "date", "time", "collected_at", "assessment_date", "birthdate")
 FORBIDDEN_ENDINGS = ("_uid", "_userid", "_email", "_device_id", "_lat", "_lon", "_timestamp")
+FORBIDDEN_FILES = (".parquet", ".feather", ".db", ".sqlite", ".xlsx", ".xls", ".pkl", ".joblib", ".zip", ".7z", ".rar")
+TEXT_FILES = (".py", ".md", ".tex", ".json", ".txt", ".csv", ".cff")
+LEFT_OUT_FOLDERS = (".git", "__pycache__", ".pytest_cache", ".venv")
+LEFT_OUT_FILES = (".aux", ".bbl", ".blg", ".log", ".out")
+#: Home folders of a user, and drives of a machine.
+PRIVATE_PATH = r"(?:/home/|/Users/|[A-Za-z]:[\\/](?i:users)[\\/]|[A-Z]:\\)[^\s\"']+"
+
+
+def _private(name: str) -> bool:
+    name = name.strip().lower()
+    return name in FORBIDDEN or name.endswith(FORBIDDEN_ENDINGS)
 
 
 def private_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.strip().lower() in FORBIDDEN or c.strip().lower().endswith(FORBIDDEN_ENDINGS)]
+    return [c for c in df.columns if _private(c)]
 
 
 def private_paths(text: str) -> list[str]:
     """Absolute home or drive paths in a text."""
-    return re.findall(r"(?:/home/|/Users/|[A-Z]:\\)[^\s\"']+", text)
+    return re.findall(PRIVATE_PATH, text)
+
+
+def audit_table(df: DataFrame, name: str) -> DataFrame:
+    """table, column, finding, n: columns whose names are private (n: rows that hold a value) and text columns that hold private paths (n: such rows).
+
+    One pass over the columns concerned; the others are not read.
+    """
+    quoted = {c: F.col(f"`{c}`") for c in df.columns}
+    wanted = [(c, "private column", F.count(quoted[c])) for c in private_columns(df)]
+    wanted += [(c, "private path", F.count_if(quoted[c].rlike(PRIVATE_PATH))) for c, kind in df.dtypes if kind == "string"]
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "table string, column string, finding string, n bigint")
+    sums = df.agg(*[count.alias(f"_{i}") for i, (_, _, count) in enumerate(wanted)])
+    cells = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(finding).alias("finding"), F.col(f"_{i}").alias("n")) for i, (c, finding, _) in enumerate(wanted)]
+    found = sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return found.where("n > 0 OR finding = 'private column'")
+
+
+def _ends(path: Column, endings: Sequence[str]) -> Column:
+    return F.lower(path).rlike("(?:" + "|".join(re.escape(e) for e in endings) + ")$")
+
+
+def audit_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, finding, detail: what must not leave with the files under a folder, a row a finding.
+
+    'file type' by the file's ending, 'private path' for each different one in a text file, 'private column' for names in the first
+    line of a .csv file.  Names of files come from their listing alone; text files are read line by line and in splits, so a large
+    one is many tasks' work, and no file is ever whole in memory.  Folders and files that a release leaves out are left out.
+    An empty file has no header; a header that goes on over a quoted line end counts up to there.
+    """
+    out = lambda path: ~path.rlike("(?:^|/)(?:" + "|".join(re.escape(f) for f in LEFT_OUT_FOLDERS) + ")/") & ~_ends(path, LEFT_OUT_FILES)
+    deep = spark.read.option("recursiveFileLookup", "true")
+    root = F.lit(re.sub("^file:/+", "/", folder).rstrip("/") + "/")
+    inside = lambda path: F.element_at(F.split(F.regexp_replace(path, "^file:/+", "/"), F.concat(F.lit(r"\Q"), root, F.lit(r"\E")), 2), -1)
+    names = deep.format("binaryFile").load(folder).select(inside(F.col("path")).alias("path"))  # only the listing
+    types = names.where(out(F.col("path")) & _ends(F.col("path"), FORBIDDEN_FILES)).select("path", F.lit("file type").alias("finding"), F.regexp_extract(F.lower("path"), r"\.[^./]*$", 0).alias("detail"))
+    # files are chosen by their paths before any is opened
+    lines = deep.text(folder).where(_ends(F.col("_metadata.file_path"), TEXT_FILES))
+    lines = lines.select(inside(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"), "value", F.col("_metadata.file_block_start").alias("start")).where(out(F.col("path")))
+    paths = lines.select("path", F.explode(F.regexp_extract_all("value", F.lit(PRIVATE_PATH), 0)).alias("detail")).distinct()
+    # the first line of the first split; lines of a split are numbered in order
+    first = lines.where(_ends(F.col("path"), (".csv",)) & (F.col("start") == 0)).withColumn("line", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "line").alias("value"))
+    header = F.split(F.regexp_replace("value", "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    columns = first.select("path", F.explode(F.array_distinct(F.transform(header, lambda c: F.trim(F.regexp_replace(F.trim(c), r'^"|"$', ""))))).alias("detail"))
+    low = F.lower("detail")
+    columns = columns.where(low.isin(*FORBIDDEN) | _ends(low, FORBIDDEN_ENDINGS))
+    return types.unionByName(paths.select("path", F.lit("private path").alias("finding"), "detail")).unionByName(columns.select("path", F.lit("private column").alias("finding"), "detail"))
+
+
+def require_clean(findings: DataFrame) -> DataFrame:
+    """The findings of audit_files; reading a row of them raises."""
+    said = F.concat("finding", F.lit(" in "), "path", F.lit(": "), "detail")
+    return findings.withColumn("finding", F.when(F.lit(True), F.raise_error(said).cast("string")))
 
 
 def flow(rows: DataFrame, person: str, steps: dict[str, Column]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, days_between, relative_change, spearman_brown, weighted_mean
@@ -641,3 +643,21 @@ def future_gain_verdict(spark, d):
     high = resample.bootstrap(o, "user_id", _DRAWS, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))).agg(F.percentile("delta", 0.975).alias("high"))
     g = g.crossJoin(high)
     return g.withColumn("verdict", verdicts.future_gain(-F.col("rmse_percent"), F.col("high"), F.col("r"), F.col("p")))
+
+
+_AUDITED = {"events": ["event_type", "props"], "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"]}
+_PATHS = [f"SELECT '{t}' AS tab, '{c}' AS col, 'private path' AS finding, count(*) AS n FROM {t} WHERE regexp_matches({c}, '{quality.PRIVATE_PATH.replace(chr(39), 2 * chr(39))}') HAVING count(*) > 0" for t, columns in _AUDITED.items() for c in columns]
+
+
+@query("SELECT 'events' AS tab, 'user_id' AS col, 'private column' AS finding, count(user_id) AS n FROM events UNION ALL " + " UNION ALL ".join(_PATHS))
+def release_audit(spark, d):
+    """What a release of the tables would give away: private columns and texts with private paths, over whole columns."""
+    found = [quality.audit_table(table(spark, d, name), name) for name in _AUDITED]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.withColumnsRenamed({"table": "tab", "column": "col"})
+
+
+@query()
+def release_files(spark, d):
+    """The same for the files of the folder: endings that no release may have, private paths and columns in text files."""
+    return quality.audit_files(spark, d)
