@@ -4,10 +4,15 @@ Vectors are scaled to unit length (for unequal lengths an extra coordinate keeps
 products) and hashed by two pseudo-random rotations (three rounds of random signs and a fast Hadamard
 transform each): the nearest signed axis of the first, and of the second's first ``FINE`` coordinates.  Each
 of ``TABLES`` tables deals all vectors into such buckets.  A query probes the buckets of all tables in the
-order of what its coordinates fall short of the nearest axes, until they hold ``REACH * N ** POWER`` of the N
-vectors, counted once a table: one rule for all sizes, by the buckets' real sizes, so a query
-between clusters looks as far as any other.  Candidates are ranked by the exact inner product of the original
-vectors, in double precision and one order of summing.
+order of what its coordinates fall short of the nearest axes, until they hold ``reach`` vectors, counted once a
+table.  Candidates are ranked by the exact inner product of the original vectors, in double precision and one order of
+summing.
+
+``reach`` is measured, not set: the exact neighbours of ``SAMPLE`` queries, found in one pass over all vectors, tell how far
+each query would have had to look for each of them, and the reach is what finds the share ``TARGET`` of them.  So recall does not
+depend on the number of vectors, their dimension or their lengths; what such tables change is the share of rows compared.  Queries
+in buckets of more than ``CROWD`` times the mean size are measured apart from the others, so that a few outliers beside a
+dense cluster look as far as they need.
 
 Bucket sizes are at most ``TABLES * 4 * d * FINE`` numbers, whatever N is.  By them, neighbouring buckets are packed
 into blocks of about ``BLOCK`` vectors and larger ones are cut; a vector goes to its block in each table,
@@ -34,7 +39,11 @@ from .common import release, stored
 NEAREST = 20
 TABLES = 4
 FINE = 64
-REACH, POWER = 7.0, 0.72
+#: Queries of each kind, crowded and not, whose exact neighbours set the reach, and the share of those that it has to find.
+SAMPLE, TARGET = 256, 0.95
+CROWD = 4.0
+#: Vectors of each table that a query looks at in any case, since a share of very few neighbours says little.
+LEAST = 64
 BLOCK = 2048
 ROUNDS = 3
 FIRST, GROWTH = 4, 8
@@ -70,16 +79,39 @@ def codes(x: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def probes(x: np.ndarray, sizes: np.ndarray, reach: float) -> list[np.ndarray]:
-    """The buckets that each row probes: the nearest ones that hold reach vectors, or all."""
+def _short(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """What each row falls short of each of the buckets held."""
     short = []
     for t in range(TABLES):
         gaps = [(z.max(axis=1, keepdims=True) - z) ** 2 for z in nearness(x, t)]
         short.append((gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(len(x), -1))
+    return np.hstack(short)[:, held]
+
+
+def needs(x: np.ndarray, sizes: np.ndarray, wanted: list[np.ndarray]) -> list[np.ndarray]:
+    """For each row and each line of its wanted codes (one a table) the vectors probed before the first of those buckets."""
+    held = np.flatnonzero(sizes)
+    out = []
+    for at in range(0, len(x), 8):
+        for row, codes_wanted in zip(_short(x[at : at + 8], held), wanted[at : at + 8], strict=True):
+            order = np.lexsort([held, row])
+            before = np.empty(len(held), np.int64)
+            before[order] = np.cumsum(sizes[held][order]) - sizes[held][order]
+            out.append(before[np.searchsorted(held, codes_wanted)].min(axis=1))
+    return out
+
+
+def crowded(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the own buckets of each row hold more than CROWD times the mean of a bucket."""
+    return sizes[codes(x)].mean(axis=1) > CROWD * sizes.sum() / max(1, np.count_nonzero(sizes))
+
+
+def probes(x: np.ndarray, sizes: np.ndarray, reaches: np.ndarray) -> list[np.ndarray]:
+    """The buckets that each row probes: the nearest ones that hold as many vectors as its reach, or all."""
     held = np.flatnonzero(sizes)
-    short, filled = np.hstack(short)[:, held], sizes[held]
+    short, filled = _short(x, held), sizes[held]
     out = []
-    for row in short:
+    for row, reach in zip(short, reaches, strict=True):
         # sorting a part is enough if it holds as many; the part grows until it does
         k = min(len(held), int(2 * reach * len(held) / filled.sum()) + 64)
         while True:
@@ -168,6 +200,66 @@ def bucket_sizes(base: DataFrame, longest: float) -> np.ndarray:
     return sizes
 
 
+def measured(queries: DataFrame, base: DataFrame, held: DataFrame, sizes: np.ndarray, longest: float, nearest: int) -> np.ndarray:
+    """The reach of queries that are not crowded and of those that are, from exact neighbours of SAMPLE queries of each.
+
+    The sample's vectors are broadcast.  A task returns the best of its own rows for each of them, the driver gets two numbers.
+    """
+    plan = base.sparkSession.sparkContext.broadcast(sizes)
+    vector = dict(base.dtypes)["embedding"]
+
+    def kinds(batches):
+        for batch in batches:
+            if batch.num_rows:
+                dense = crowded(_vectors(batch, longest, True), plan.value)
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("embedding"), pa.array(dense)], names=["query", "embedding", "dense"])
+
+    turn = Window.partitionBy("dense").orderBy(F.xxhash64("query"), "query")
+    kinds_of = queries.select("query", "embedding").mapInArrow(kinds, f"query bigint, embedding {vector}, dense boolean")
+    sample = stored(kinds_of.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= SAMPLE).drop("r"))
+    rows = sample.select("query", "embedding").collect()  # 2 SAMPLE rows at most
+    least = TABLES * max(nearest + 1, LEAST)  # every table holds all, so this many entries hold nearest + 1 different ones
+    if not rows:
+        return np.array([least, least])
+    asked = base.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
+
+    def best_of(batches):
+        own, q = asked.value
+        score, entry = np.full((len(own), nearest), -np.inf), np.full((len(own), nearest), -1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                ids = np.asarray(batch.column("entry"))
+                found = q @ np.asarray(batch.column("embedding").flatten(), float).reshape(len(ids), -1).T
+                found[own[:, None] == ids] = -np.inf
+                for i in np.flatnonzero((found > score[:, -1:]).any(axis=1)):
+                    s, e = np.r_[score[i], found[i]], np.r_[entry[i], ids]
+                    top = np.argsort(-s, kind="stable")[:nearest]
+                    score[i], entry[i] = s[top], e[top]
+        i, j = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(entry[i, j]), pa.array(score[i, j])], names=["query", "entry", "score"])
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    near = base.select("entry", "embedding").mapInArrow(best_of, "query bigint, entry bigint, score double")
+    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest).select("query", "entry")
+    # nearest entries of TABLES codes each a query
+    places = held.select("entry", "code").join(F.broadcast(near), "entry").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("entry", "code"))).alias("c"))
+
+    def look(batches):
+        for batch in batches:
+            if batch.num_rows:
+                wanted = [np.array(w, np.int64).reshape(-1, TABLES) for w in batch.column("codes").to_pylist()]
+                far = needs(_vectors(batch, longest, True), plan.value, wanted)
+                dense = np.repeat(np.asarray(batch.column("dense").to_numpy(zero_copy_only=False), bool), [len(f) for f in far])
+                yield pa.RecordBatch.from_arrays([pa.array(dense), pa.array(np.concatenate(far))], names=["dense", "far"])
+
+    far = sample.join(places.select("query", F.col("c.code").alias("codes")), "query").select("embedding", "codes", "dense").mapInArrow(look, "dense boolean, far bigint")
+    found = {r[0]: r[1] for r in far.groupBy("dense").agg(F.percentile("far", TARGET)).collect()}
+    release(sample)
+    # a bucket is probed while those before it hold less than the reach; a kind without a sample has no queries
+    return np.array([max(least, int(np.ceil(found.get(kind, 0))) + 1) for kind in (False, True)])
+
+
 def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row that is_query (a condition on vec_id) picks."""
     x = stored(valid(vectors))
@@ -179,9 +271,6 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
     asked = x.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     queries = base.join(asked.select("embedding").distinct(), "embedding", "left_semi").withColumnRenamed("entry", "query")
     sizes = bucket_sizes(base, longest)
-    n = int(sizes.sum()) // TABLES
-    # every table holds all, so this many entries hold nearest + 1 different ones
-    reach = max(REACH * n**POWER, TABLES * (nearest + 1))
     first, cuts = packed(sizes)
     ends = wave_ends(int((first + cuts).max()))
     plan = base.sparkSession.sparkContext.broadcast((sizes, first, cuts))
@@ -201,7 +290,8 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
             for at in range(0, whole.num_rows, 32):
                 batch = whole.slice(at, 32)
                 rows, blocks, waves, wanted = [], [], [], []
-                for i, code in enumerate(probes(_vectors(batch, longest, True), sizes, reach)):
+                x = _vectors(batch, longest, True)
+                for i, code in enumerate(probes(x, sizes, reaches[crowded(x, sizes).astype(int)])):
                     each = np.repeat(code, cuts[code])
                     block = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(cuts[code]) - cuts[code], cuts[code])
                     found, opens = np.unique(block, return_index=True)
@@ -220,6 +310,7 @@ def search(vectors: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
 
     held = base.select("entry", "embedding").mapInArrow(deal, f"block bigint, entry bigint, embedding {vector}, code bigint")
     held = stored(held)
+    reaches = measured(queries, base, held, sizes, longest, nearest)
     probed = queries.select("query", "embedding").mapInArrow(ask, f"block bigint, query bigint, embedding {vector}, codes array<bigint>, wave int")
     probed = stored(probed, "wave")
 
