@@ -16,7 +16,9 @@ footers, sidebars, adverts, notices, forms, scripts, styles and reader comments
 role or by whole words of class and id; where a page marks its articles, those are the text, in page
 order, constant lines of theirs included (an article is not template because three pages carry it).
 On a page that marks none, list entries that are nothing but a link are a menu.  Class words never
-hide a heading, nor anything in preformatted text, nor the only articles of a page.
+hide a heading, nor anything in preformatted text, nor the only articles of a page, nor all prose of a page
+without any; a form around a whole page does not hide it either.  Character references are decoded in each text node
+by itself.
 
 Edge cases: null or empty html gives an empty text.  A null url is a host of its own without name.
 Repeated pages count once for a template and keep a result row each.  Unclosed and misnested tags are
@@ -52,6 +54,9 @@ OUT_ROLES = set("navigation banner contentinfo complementary search form dialog
 # Words of class and id values that name something other than the article, and words that only place it.
 OUT_WORDS = set("ad ads advert advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies respond disqus pagination pager toolbar widget".split())
 PLACE_WORDS = set("site page main top bottom left right global primary secondary list container wrapper wrap inner outer box bar section area block slot banner unit panel item link links sticky fixed thread form".split())
+# The head of a compound that names reader comments, and first parts that only say whether there are any.
+COMMENTS = re.compile(r"(?:comments?|repl(?:y|ies)|responses)(?:list|area|section|thread|box|wrap|wrapper|container|block|feed)?")
+STATE_WORDS = set("no not has have with without hide show open closed allow enable disable count".split())
 # Words that tell a comment or an advert made as an article from an article.
 ARTICLE_OUT = set("ad ads advert advertisement advertising sponsor sponsored promo related recommended comment comments reply replies respond".split())
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title head".split())
@@ -91,8 +96,14 @@ class Block:
 
 
 def _names_other(word: str) -> bool:
-    """Whether a class or id word names something other than main text: all its parts do, or only place it."""
+    """Whether a class or id word names something other than main text: all its parts do, or only place it.
+
+    Of reader comments the last part that does more than place is enough, whatever stands before it: user-comments, post-comments-list.
+    """
     parts = [p for p in re.split(r"[-_]+", word) if p]
+    named = [p for p in parts if p not in PLACE_WORDS and not p.isdigit()]
+    if named and COMMENTS.fullmatch(named[-1]) and not STATE_WORDS.intersection(parts):
+        return True
     return any(p in OUT_WORDS for p in parts) and all(p in OUT_WORDS or p in PLACE_WORDS or p.isdigit() for p in parts)
 
 
@@ -120,15 +131,15 @@ def _named(attrs: str) -> tuple[str, bool, bool, str]:
     return _named_cache[attrs]
 
 
-def clean(raw: str) -> str:
-    return _GAPS.sub(" ", html_lib.unescape(raw)).strip(SPACE) if raw else ""
+def clean(text: str) -> str:
+    return _GAPS.sub(" ", text).strip(SPACE)
 
 
 def parse(page: str) -> Block:
     """The tree of a page's blocks.  Every step is paid for by a tag or an element that it closes."""
     root = Block("#root", 0, False, False, "", False)
     stack, count = [root], {}
-    line: list[str] = []  # raw text of the current line
+    line: list[str] = []  # text of the current line, a node each
     linked, links, hidden = True, 0, 0  # whether the line is all link; open links and hiding inline elements
 
     def flush():
@@ -143,7 +154,7 @@ def parse(page: str) -> Block:
     def add(raw):
         nonlocal linked
         if not hidden:
-            line.append(raw)
+            line.append(html_lib.unescape(raw))  # a reference does not go on over a tag or a comment
             if not links and not raw.isspace():
                 linked = False
 
@@ -232,8 +243,11 @@ def parse(page: str) -> Block:
     return root
 
 
-def _walk(root: Block, without: set = frozenset()) -> Iterator[tuple[Block, tuple]]:
-    """(block, line) in page order outside what is left out and the blocks whose id() is in without."""
+def _walk(root: Block, without: set = frozenset(), soft: bool = True, forms: bool = False) -> Iterator[tuple[Block, tuple]]:
+    """(block, line) in page order outside what is left out and the blocks whose id() is in without.
+
+    Blocks that only class words hide are left out if soft, forms unless forms.
+    """
     todo = [(root, iter(root.items))]
     while todo:
         block, items = todo[-1]
@@ -242,7 +256,7 @@ def _walk(root: Block, without: set = frozenset()) -> Iterator[tuple[Block, tupl
             todo.pop()
         elif isinstance(item, tuple):
             yield block, item
-        elif not item.out and not item.soft and id(item) not in without:
+        elif (not item.out or (forms and item.tag == "form")) and not (soft and item.soft) and id(item) not in without:
             todo.append((item, iter(item.items)))
 
 
@@ -282,12 +296,34 @@ def _digest(*parts) -> bytes:
     return hashlib.blake2b("\x1f".join(map(str, parts)).encode(errors="surrogatepass"), digest_size=16).digest()
 
 
+def _bare(root: Block) -> set[int]:
+    """id() of the blocks hidden by class words that hold no paragraph, heading or preformatted text; each block is met once."""
+    order, above = [root], [0]
+    for i, block in enumerate(order):
+        inner = [k for k in block.items if isinstance(k, Block) and not k.out]
+        order += inner
+        above += [i] * len(inner)
+    prose = [(k.tag == "p" or k.tag in HEADING or k.code) and any(isinstance(x, tuple) for x in k.items) for k in order]
+    for i in range(len(order) - 1, 0, -1):
+        prose[above[i]] |= prose[i]
+    return {id(k) for k, found in zip(order, prose, strict=True) if k.soft and not found}
+
+
 def _slots(root: Block, template: frozenset = frozenset()) -> Iterator[tuple[Block, str]]:
-    """(block, text) of the lines of a page without marked articles, in page order."""
-    for top in mains(root) or [root]:
-        for block, line in _walk(top):
-            if not (line[1] and block.tag == "li") and not (template and _digest(block.path, line[0]) in template):
-                yield block, line[0]
+    """(block, text) of the lines of a page without marked articles, in page order.
+
+    A page that is nothing but blocks hidden by class words gives those of them that hold prose, and one that is nothing but a
+    form, as some servers make it, gives that form without its controls: layout words and a form around it all hide no page.
+    """
+    tops = mains(root) or [root]
+    for soft, forms in ((True, False), (False, False), (False, True)):
+        without = frozenset() if soft else _bare(root)
+        lines = [(block, line) for top in tops for block, line in _walk(top, without, soft, forms) if not (line[1] and block.tag == "li")]
+        if lines:
+            break
+    for block, line in lines:
+        if not (template and _digest(block.path, line[0]) in template):
+            yield block, line[0]
 
 
 def _text(root: Block, marked: list[Block], template: frozenset = frozenset()) -> str:

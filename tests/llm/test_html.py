@@ -34,6 +34,14 @@ def page(body, title="t"):
         ("<ul><li><a href=/>menu</a></li><li>an <a href=/>entry</a></li></ul><p>body</p>", "an entry body"),
         ("<form><article>in a form</article></form>", "in a form"),
         ("<div itemprop='articleBody'>body</div><div>rest</div>", "body"),
+        ("<article>R&<b>amp;D</b> a&am<!-- -->p;b &amp;amp; &<i>#65;</i>&#66;</article>", "R&amp;D a&amp;b &amp; &#65;B"),
+        ("<div class='layout right-sidebar'><p>text</p><div class='ad'>buy</div></div>", "text"),
+        ("<div class='layout right-sidebar'><p>hidden beside other text</p></div><p>text</p>", "text"),
+        ("<div class='menu'><ul><li>no prose</li></ul></div><div class='ad'>buy</div>", ""),
+        ("<form id=f><nav>menu</nav><div>text<select><option>no</select><input></div></form>", "text"),
+        ("<div>text</div><form><div>a form beside it</div></form>", "text"),
+        *[(f"<article><p>text</p><div class='{c}'><p>reader says</p></div></article>", "text") for c in ("reader-comments", "user-comments", "post_comments", "commentlist", "x-comment-list", "blog-replies-area")],
+        *[(f"<article><div class='{c}'>text</div></article>", "text") for c in ("no-comments", "has-comments", "comment-free-prose", "commentary")],
         ("<article><p hidden>no</p><p aria-hidden=true>no</p><svg/><svg><text>no</text></svg>yes</article>", "yes"),
     ],
 )
@@ -47,7 +55,7 @@ def test_empty_and_broken_pages():
     assert op10_html.extract("<head><title>x</title><p>body without end of head") == "body without end of head"
 
 
-@pytest.mark.parametrize("html", ["<div>" * 20_000 + "deep", "<p>" + "<b>" * 20_000 + "deep" + "</i></b>" * 20_000, "<ul><li>" * 10_000 + "deep" + "<li>" * 10_000, "<div>" * 10_000 + "deep" + "<li></li></p>" * 10_000, "<a x=" + "='" * 20_000 + ">deep", "<p>deep" + "<" * 20_000, "<p>deep" + "</" * 20_000])
+@pytest.mark.parametrize("html", ["<div>" * 20_000 + "deep", "<p>" + "<b>" * 20_000 + "deep" + "</i></b>" * 20_000, "<ul><li>" * 10_000 + "deep" + "<li>" * 10_000, "<div>" * 10_000 + "deep" + "<li></li></p>" * 10_000, "<a x=" + "='" * 20_000 + ">deep", "<p>deep" + "<" * 20_000, "<p>deep" + "</" * 20_000, "<div class=ad>" * 20_000 + "<p>deep" + "<div class=ad>" * 20_000, "<form>" * 20_000 + "deep"])
 def test_long_and_deep_pages_take_linear_time(html):
     began = time.time()
     assert op10_html.extract(html).startswith("deep")
