@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  The benchmark's
 windows of 10 words (a shorter item is one window) form a hash set that is broadcast when it has at
-most ``BROADCAST_WINDOWS`` rows, and otherwise joined by shuffle.  Every window of every document is
+most ``BROADCAST_BYTES`` bytes, words and item ids counted, and otherwise joined by shuffle.  Every window of every document is
 probed; a probe that hits is verified word by word; the hits are merged into covered spans.
 
 Edge cases: null texts and texts without words have no windows and are clean.  Repeated rows give
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: The largest hash set that is broadcast: about 100 MB; a larger one goes through a shuffle join.
-BROADCAST_WINDOWS = 500_000
+#: The largest hash set that is broadcast, as rows in memory; a larger one goes through a shuffle join.
+BROADCAST_BYTES = 100 << 20
 #: Everything that is not part of a word, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_CHARS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))))
@@ -53,9 +53,11 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> DataFrame:
     generated code, so no window is built as an array unless its key is in the hash set.
     """
     test = windows(bench, n)
-    lengths = [(r["len"], r["c"]) for r in test.groupBy("len").agg(F.count("*").alias("c")).orderBy("len").collect()]  # n rows at most
+    # a row, its hash entry and two arrays, their elements with 8 bytes for offset or id, and the bytes of words and of ids as text
+    size = 96 + 8 * (F.size("w") + F.size("items")) + F.octet_length(F.array_join("w", "")) + F.octet_length(F.array_join(F.col("items").cast("array<string>"), ""))
+    lengths = [(r["len"], r["c"]) for r in test.groupBy("len").agg(F.sum(size).alias("c")).orderBy("len").collect()]  # n rows at most
     test = test.select("len", _key(F.col("w"), F.lit(0), n, F.col("len")).alias("key"), F.col("w").alias("test_w"), "items")
-    small = sum(c for _, c in lengths) <= BROADCAST_WINDOWS
+    small = sum(c for _, c in lengths) <= BROADCAST_BYTES
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_append(words(F.col("text")), F.lit(None).cast("string")).alias("ws"))
     # outer: for an inner one the optimizer would put a filter below that cuts the text once more
     at = rows.select("*", F.posexplode_outer("ws").alias("at", "word")).withColumn("n_words", F.size("ws") - 1)

@@ -174,7 +174,7 @@ def test_decontaminate_and_remove_spans(spark):
 
 def test_large_benchmarks_join_by_shuffle(spark, sf_dir, monkeypatch):
     wanted = op9_decontamination.op9_decontamination(spark, sf_dir).collect()
-    monkeypatch.setattr(op9_decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(op9_decontamination, "BROADCAST_BYTES", 0)
     assert sorted(op9_decontamination.op9_decontamination(spark, sf_dir).collect()) == sorted(wanted)
 
 
@@ -211,3 +211,13 @@ def test_substrings_against_brute_force(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in found}
     assert got == removed(rows)
     assert len(found) == len(rows)
+
+
+def test_the_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    """One window that many items hold, or of very long words, is large; so is one of many short ones."""
+    plan = lambda bench: op9_decontamination.scan(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(op9_decontamination, "BROADCAST_BYTES", 20_000)
+    hot = [(i, "one window of ten words that all the items share") for i in range(3000)]
+    assert "strategy=broadcast" not in plan(spark.createDataFrame(hot, "item_id long, text string"))
+    assert "strategy=broadcast" in plan(spark.createDataFrame(hot[:100], "item_id long, text string"))
+    assert "strategy=broadcast" not in plan(spark.createDataFrame([("b", "x" * 30_000)], "item_id string, text string"))
