@@ -6,6 +6,7 @@ Only sums of fixed size (a few coefficients wide) reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -87,7 +88,8 @@ def fold_audit(rows: DataFrame, entity: str, k: int) -> DataFrame:
 def blocked_split(rows: DataFrame, entity: Sequence[str], time: str, share: float = 0.7, purge_days: float = 14.0) -> DataFrame:
     """part: train or test by order within the entity; training rows near the first test row are purged."""
     part = Window.partitionBy(*entity)
-    cut = F.floor(F.col("n") * share)
+    # exact, since 90 * 0.7 in doubles is less than 63
+    cut = F.floor(F.col("n") * F.lit(Decimal(str(share)))).cast("long")
     out = rows.withColumn("_cut", cut)
     out = out.withColumn("_first", F.min(F.when(F.col("rn") > F.col("_cut"), F.col(time))).over(part)).where(F.col("n") - F.col("_cut") >= 2)
     keep = (F.col("rn") > F.col("_cut")) | (F.col(time) <= F.col("_first") - F.make_dt_interval(days=F.lit(int(purge_days))))

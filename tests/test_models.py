@@ -393,3 +393,11 @@ def test_cohorts_and_protocols(spark, tmp_path):
     tables.require_files(spark, str(tmp_path / "protocol.txt"))
     with pytest.raises(FileNotFoundError):
         tables.require_files(spark, str(tmp_path / "absent.txt"))
+
+
+def test_blocked_split_cuts_at_the_exact_share(spark):
+    """0.7 of 90 reports are 63, and of 70 are 49, though doubles make them less."""
+    rows = [(n, i + 1, n, f"2024-01-{1 if i < n * 7 // 10 else 28:02d}") for n in (70, 90, 10) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, rn int, n int, day string").withColumn("ts", F.to_timestamp("day"))
+    found = {(r["id"], r["part"]): r["count"] for r in models.blocked_split(df, ["id"], "ts").groupBy("id", "part").count().collect()}
+    assert found == {(n, p): c for n in (70, 90, 10) for p, c in (("train", n * 7 // 10), ("test", n - n * 7 // 10))}
