@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, correlation, lcg, logit
+from ..functions.stats import clip, correlation, lcg_array, logit
 from .balance import cumulative
 from .resample import SEED, bootstrap, indexed, inner_folds
 
@@ -357,38 +357,101 @@ def nested_cells(people: DataFrame, key: str, features: Sequence[str], y: str, k
     return cells, centres
 
 
+#: Persons that a range of the hash holds on average, and draws whose ranges are one group.
+RANGE_PEOPLE = 1 << 16
+PART_DRAWS = 16
+
+
+def _permuted_sums(numbered: DataFrame, inner: DataFrame, features: Sequence[str], y: str, k: int, draws: int, n: int, seed: int) -> DataFrame:
+    """draw, test_fold, inner, sums of the intercept and the features with the permuted labels, and of the labels' squares.
+
+    A person gets the label at the rank of their hash in the draw.  Ranges of the hash share the persons out, in arrays of a draw and
+    range each; a range's ranks follow on those of the ranges below it, so it meets a run of the labels.
+    """
+    ranges, width = max(1, -(-n // RANGE_PEOPLE)), len(features)
+    names = [*(f"s{i}" for i in range(width + 1)), "yy"]
+
+    def hashed(idx):  # by parts of the draws
+        for first in range(0, draws, PART_DRAWS):
+            some = np.arange(first, min(first + PART_DRAWS, draws))
+            h = lcg_array(seed, some[:, None], idx)
+            yield some, h, h * ranges // ((1 << 31) - 1)
+
+    def sized(batches):
+        for batch in batches:
+            for some, _, at in hashed(batch.column(0).to_numpy()):
+                counts = np.bincount((at + ranges * np.arange(len(some))[:, None]).ravel(), minlength=ranges * len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, ranges).astype(np.int32)), pa.array(np.tile(np.arange(ranges, dtype=np.int32), len(some))), pa.array(counts)], names=["draw", "range", "c"])
+
+    def dealt(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            idx, *x = (c.to_numpy() for c in batch.columns[:-1])
+            x, places = np.column_stack(x), np.array(batch.column(width + 1).flatten().to_numpy().reshape(len(idx), k), np.uint8)
+            for some, h, at in hashed(idx):
+                rows = [(d, r, (h[j, i] << 32 | idx[i]).tobytes(), x[i].tobytes(), places[i].tobytes()) for j, d in enumerate(some.tolist()) for r in range(ranges) if len(i := np.flatnonzero(at[j] == r))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["draw", "range", "keys", "x", "places"])
+
+    def met(key, pieces, labels):
+        out = []
+        if pieces.num_rows and labels.num_rows:
+            place, label = labels.column("idx").to_numpy(), labels.column("y").to_numpy()
+            label, low = label[np.argsort(place)], place.min()
+            draw, before = pieces.column("draw").to_numpy(), pieces.column("before").to_numpy()
+            for d in np.unique(draw):
+                of = np.flatnonzero(draw == d)
+                keys, x, places = (np.frombuffer(b"".join(pieces.column(c).take(of).to_pylist()), t) for c, t in (("keys", np.int64), ("x", float), ("places", np.uint8)))
+                got = np.empty(len(keys))
+                first = before[of[0]] - low
+                got[np.argsort(keys)] = label[first : first + len(keys)]
+                together = [got, *(x.reshape(-1, width) * got[:, None]).T, got * got]
+                for t, inside in enumerate(places.reshape(-1, k).T):
+                    sums = [np.bincount(inside, w, k + 1) for w in together]
+                    out += [(d, t + 1, i, *values) for i, values in enumerate(zip(*sums, strict=True))]
+        columns = list(zip(*out, strict=True)) or [[]] * (3 + len(names))
+        return pa.table({c: pa.array(v, pa.int32() if j < 3 else pa.float64()) for j, (c, v) in enumerate(zip(["draw", "test_fold", "inner", *names], columns, strict=True))})
+
+    part = F.expr(f"draw div {PART_DRAWS}").alias("part")
+    sizes = numbered.select("idx").mapInArrow(sized, "draw int, range int, c bigint").groupBy("draw", "range").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("draw").orderBy("range"))
+    sizes = sizes.withColumn("before", upto - F.col("c"))  # a row a draw and range
+    places = inner.groupBy("idx", *features).agg(F.transform(F.array_sort(F.collect_list(F.struct("test_fold", "inner"))), lambda c: c["inner"]).alias("places"))
+    pieces = places.select("idx", *features, "places").mapInArrow(dealt, "draw int, range int, keys binary, x binary, places binary")
+    pieces = pieces.join(F.broadcast(sizes.drop("c")), ["draw", "range"]).withColumn("part", part)
+    cell = lambda c: F.expr(f"{c} div {RANGE_PEOPLE}")
+    spans = sizes.groupBy("range", part).agg(F.min("before").alias("low"), F.max(F.col("before") + F.col("c")).alias("high")).where("high > low")
+    spans = spans.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
+    labels = numbered.select("idx", F.col(y).alias("y"), cell("idx").alias("cell")).join(spans, "cell").where("idx >= low AND idx < high").select("range", "part", "idx", "y")
+    sums = pieces.groupBy("range", "part").cogroup(labels.groupBy("range", "part")).applyInArrow(met, f"draw int, test_fold int, inner int, {', '.join(f'{c} double' for c in names)}")
+    return sums.groupBy("draw", "test_fold", "inner").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def label_permutation(people: DataFrame, key: str, features: Sequence[str], y: str, alphas: Sequence[float], k: int, draws: int, seed: int = SEED) -> DataFrame:
     """draw, r, rmse_percent of out-of-fold predictions by the nested ridge, with y permuted over people; draw -1 has the real order.
 
     Permuted labels meet their persons by rank.  Folds and sums of the features are those of the real order; each draw adds its
     sums with the labels, and its models are solved from these alone.
     """
-    whole = _complete(people, [*features, y])
+    # a row a person, read for centres, folds, ranks and labels
+    whole = _complete(people, [*features, y]).select(key, "fold", *features, y).persist(StorageLevel.DISK_ONLY)
     cells, centres = nested_cells(whole, key, features, y, k, seed)
-    numbered = indexed(whole.select(key, "fold", *[(F.col(c) - m).alias(c) for c, m in zip([*features, y], centres, strict=True)]), key)
-    spread = numbered.select("idx", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("draw"))
-    parts, h = F.shiftright("_h", 21), lcg(F.lit(seed), F.col("draw"), F.col("idx"))
-    # ranks by ranges of the hash within the draw
-    at = spread.withColumn("_h", h).withColumn("_p", parts)
-    sizes = at.groupBy("draw", "_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("draw").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = at.join(sizes.select("draw", "_p", before.alias("_b")), ["draw", "_p"])
-    rank = F.col("_b") + F.row_number().over(Window.partitionBy("draw", "_p").orderBy("_h", "idx")) - 1
-    source = ranked.select("draw", "idx", F.when(F.col("draw") < 0, F.col("idx")).otherwise(rank).alias("_from"))
-    labels = numbered.select(F.col("idx").alias("_from"), F.col(y).alias("_y"))
-    inner = inner_folds(numbered.select(key, "fold", "idx", *features), key, k, seed).groupBy("idx", *features).agg(F.collect_list(F.struct("test_fold", "inner")).alias("_cells"))
-    rows = source.join(labels, "_from").join(inner, "idx").withColumn("_cell", F.explode("_cells"))
-    x = [F.lit(1.0), *map(F.col, features)]
-    names = [*(f"s{i}" for i in range(len(x))), "yy"]
-    sums = rows.groupBy("draw", "_cell.test_fold", "_cell.inner").agg(*[F.sum(c * F.col("_y")).alias(n) for c, n in zip(x, names, strict=False)], F.sum(F.col("_y") * F.col("_y")).alias("yy"))
+    numbered = indexed(whole.select(key, "fold", *[(F.col(c).cast("double") - m).alias(c) for c, m in zip([*features, y], centres, strict=True)]), key).persist(StorageLevel.DISK_ONLY)
+    n = int(sum(a[0, 0] for (t, _), (a, _, _) in cells.items() if t == 1))
+    inner = inner_folds(numbered.select(key, "fold", "idx", *features), key, k, seed)
+    sums = _permuted_sums(numbered, inner, features, y, k, draws, n, seed)
+    names = [f"s{i}" for i in range(len(features) + 1)]
 
     def solve(pdf):
-        b, yy = pdf[names[:-1]].to_numpy(float), pdf["yy"].to_numpy(float)
-        held = {(int(t), int(i)): (cells[t, i][0], b[j], yy[j]) for j, (t, i) in enumerate(zip(pdf["test_fold"], pdf["inner"], strict=True))}
+        b, yy = pdf[names].to_numpy(float), pdf["yy"].to_numpy(float)
+        at = [(int(t), int(i)) for t, i in zip(pdf["test_fold"], pdf["inner"], strict=True)]
+        held = {c: (cells[c][0], b[j], yy[j]) for j, c in enumerate(at) if c in cells}
         r, rmse = nested_statistics(held, alphas)
         return pd.DataFrame({"draw": [pdf["draw"].iloc[0]], "r": [r], "rmse_percent": [rmse]})
 
-    return sums.groupBy("draw").applyInPandas(solve, "draw int, r double, rmse_percent double")
+    schema = "draw int, r double, rmse_percent double"
+    known = [None if np.isnan(v) else v for v in nested_statistics(cells, alphas)]
+    return sums.groupBy("draw").applyInPandas(solve, schema).unionByName(people.sparkSession.createDataFrame([(-1, *known)], schema))
 
 
 def loading_table(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], least: int = 200) -> DataFrame:

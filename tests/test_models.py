@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from longpanel.functions.stats import lcg_array
 from longpanel.operators import balance, models, quality, redraw, resample, stress, verdicts
 
 
@@ -401,3 +402,29 @@ def test_blocked_split_cuts_at_the_exact_share(spark):
     df = spark.createDataFrame(rows, "id int, rn int, n int, day string").withColumn("ts", F.to_timestamp("day"))
     found = {(r["id"], r["part"]): r["count"] for r in models.blocked_split(df, ["id"], "ts").groupBy("id", "part").count().collect()}
     assert found == {(n, p): c for n in (70, 90, 10) for p, c in (("train", n * 7 // 10), ("test", n - n * 7 // 10))}
+
+
+def test_permuted_labels_meet_their_persons_by_rank_in_any_number_of_ranges(spark, people, monkeypatch):
+    """Against sums over whole permutations, with persons of a draw dealt out over many ranges of the hash, and no row for each person and draw."""
+    table = spark.createDataFrame(people, "id string, a double, b double, y double, fold int")
+    whole = {r["draw"]: (r["r"], r["rmse_percent"]) for r in models.label_permutation(table, "id", ["a", "b"], "y", [0.1, 10.0], 3, 40).collect()}
+    monkeypatch.setattr(models, "RANGE_PEOPLE", 7)
+    monkeypatch.setattr(models, "PART_DRAWS", 3)
+    null = models.label_permutation(table, "id", ["a", "b"], "y", [0.1, 10.0], 3, 40)
+    dealt = {r["draw"]: (r["r"], r["rmse_percent"]) for r in null.collect()}
+    assert sorted(dealt) == list(range(-1, 40)) == sorted(whole)
+    assert all(dealt[i] == pytest.approx(whole[i]) for i in whole)
+    order = resample.indexed(table, "id").orderBy("idx").collect()
+    inner = {(r["id"], r["test_fold"]): r["inner"] for r in resample.inner_folds(table, "id", 3).collect()}
+    x, y = np.array([[1.0, r["a"], r["b"]] for r in order]), np.array([r["y"] for r in order])
+    x[:, 1:], y = x[:, 1:] - x[:, 1:].mean(axis=0), y - y.mean()
+    for draw in (0, 39):
+        at = np.empty(len(y), int)
+        at[np.argsort(lcg_array(resample.SEED, draw, np.arange(len(y))), kind="stable")] = np.arange(len(y))
+        cells = {}
+        for t in (1, 2, 3):
+            for i in range(4):
+                m = np.array([inner[r["id"], t] == i for r in order])
+                cells[t, i] = x[m].T @ x[m], x[m].T @ y[at][m], float(y[at][m] @ y[at][m])
+        assert dealt[draw] == pytest.approx(models.nested_statistics(cells, [0.1, 10.0]), rel=1e-6)
+    assert "Generate explode(sequence(-1" not in null._jdf.queryExecution().toString()
