@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -129,21 +130,16 @@ def block_counts(n: int, block: int, draws: int, seed: int = SEED) -> np.ndarray
     return counts
 
 
-def bootstrap(people: DataFrame, key: str, draws: int, seed: int = SEED, **statistics: Column) -> DataFrame:
-    """A row for each draw of as many persons as there are: statistics, aggregates in which weight says how often a person is drawn.
-
-    Weights are made beside the persons, block by block, and summed there: what is shuffled is a row for each draw and
-    task.  Up to BLOCK_PEOPLE persons are one block, whose picks SQL can repeat.
-    """
-    numbered = indexed(people, key).drop(key)
+def _bootstrapped(people: DataFrame, key: str, draws: int, seed: int) -> tuple[DataFrame, list[str], Callable]:
+    """The persons by blocks and parts of the draws, their columns, and what gives the weights there: a block's rows, some draws, and a weight for each of both."""
+    numbered = indexed(people.persist(StorageLevel.DISK_ONLY), key).drop(key)  # a row a person, read for ranges, numbers and their count
     n = numbered.count()
     blocks = max(1, -(-n // BLOCK_PEOPLE))
     parts = min(draws, max(1, -(-DRAW_PARTS // blocks)))  # few blocks share their draws out
     spread = numbered.withColumn("_block", F.expr(f"idx div {BLOCK_PEOPLE}")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = spread.repartition(blocks * parts if blocks * parts < 64 else blocks, "_block", "_part").sortWithinPartitions("_block", "_part", "idx")
-    kept = [c for c in numbered.columns if c != "idx"]
 
-    def run(batches):
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
         for table in whole_runs(batches, lambda t: np.flatnonzero(t.column("idx").to_numpy() % BLOCK_PEOPLE == 0)):
             firsts = np.flatnonzero(table.column("idx").to_numpy() % BLOCK_PEOPLE == 0)
             for a, b in zip(firsts, [*firsts[1:], table.num_rows], strict=True):
@@ -157,16 +153,55 @@ def bootstrap(people: DataFrame, key: str, draws: int, seed: int = SEED, **stati
                     of = np.repeat(np.arange(len(some)), counts[some])
                     slot = np.arange(len(of)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
                     place = (some[of],) if blocks == 1 else (some[of], block)
-                    weight = np.bincount(of * size + lcg_array(seed, *place, slot) % size, minlength=len(some) * size)
-                    picked = np.flatnonzero(weight)
-                    found = rows.take(picked % size)
-                    columns = [pa.array(some[picked // size]), pa.array(weight[picked]), *[found.column(c).combine_chunks() for c in kept]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["draw", "weight", *kept])
+                    yield rows, some, np.bincount(of * size + lcg_array(seed, *place, slot) % size, minlength=len(some) * size).reshape(len(some), size)
+
+    return dealt, [c for c in numbered.columns if c != "idx"], weights
+
+
+def bootstrap(people: DataFrame, key: str, draws: int, seed: int = SEED, **statistics: Column) -> DataFrame:
+    """A row for each draw of as many persons as there are: statistics, aggregates in which weight says how often a person is drawn.
 
-    schema = StructType([StructField("draw", LongType()), StructField("weight", LongType()), *[numbered.schema[c] for c in kept]])
+    Weights are made beside the persons, block by block; a row for each draw and person drawn goes into the aggregates, so
+    what means can say is left to ``bootstrap_means``.  Up to BLOCK_PEOPLE persons are one block, whose picks SQL can repeat.
+    """
+    dealt, kept, weights = _bootstrapped(people, key, draws, seed)
+
+    def run(batches):
+        for rows, some, weight in weights(batches):
+            draw, picked = np.nonzero(weight)
+            found = rows.take(picked)
+            columns = [pa.array(some[draw]), pa.array(weight[draw, picked]), *[found.column(c).combine_chunks() for c in kept]]
+            yield pa.RecordBatch.from_arrays(columns, names=["draw", "weight", *kept])
+
+    schema = StructType([StructField("draw", LongType()), StructField("weight", LongType()), *[dealt.schema[c] for c in kept]])
     return dealt.mapInArrow(run, schema).groupBy("draw").agg(*[v.alias(k) for k, v in statistics.items()])
 
 
+def bootstrap_means(people: DataFrame, key: str, draws: int, columns: Sequence[str], seed: int = SEED) -> DataFrame:
+    """draw and the mean of each column over the persons drawn that have a value, with the weights of ``bootstrap``.
+
+    Weights meet the columns as matrices, so a row for each draw and block of persons leaves a task.
+    """
+    kept = people.select(key, *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    dealt, names, weights = _bootstrapped(kept, key, draws, seed)
+    sums = [f"{s}{i}" for s in "sn" for i in range(len(names))]
+
+    def run(batches):
+        held = x = finite = None
+        for rows, some, weight in weights(batches):
+            if rows is not held:
+                held, x = rows, np.column_stack([rows.column(c).to_numpy() for c in names])
+                null = np.column_stack([rows.column(c).is_null().to_numpy() for c in names])
+                x = np.hstack([np.where(null, 0.0, x), ~null])
+                finite = np.isfinite(x).all()
+            # whom a draw leaves out has no part in it, whatever the value
+            total = weight.astype(float) @ x if finite else np.stack([w[w > 0] @ x[w > 0] for w in weight])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, total.T.copy())], names=["draw", *sums])
+
+    g = dealt.mapInArrow(run, f"draw bigint, {', '.join(f'{c} double' for c in sums)}").groupBy("draw")
+    return g.agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 def weighted_correlation(x: str, y: str, w: str = "weight") -> Column:
     """Pearson correlation of weighted rows; null where a side does not vary."""
     def mean(c):

@@ -564,8 +564,8 @@ _BLOCKS = (8, 16, 32)
 
 
 def _bootstrap(spark, d, draws=_DRAWS):
-    mean = lambda c: weighted_mean(F.col(c), F.col("weight"))
-    return resample.bootstrap(_people(spark, d), "user_id", draws, percent=relative_change(mean("mae_l"), mean("mae_b")))
+    means = resample.bootstrap_means(_people(spark, d), "user_id", draws, ["mae_b", "mae_l"])
+    return means.select("draw", relative_change(F.col("mae_l"), F.col("mae_b")).alias("percent"))
 
 
 @query(

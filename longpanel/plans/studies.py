@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,8 +123,14 @@ def _intervals(draws, *names):
     return out(g, "draws", *[f"{c}_valid" for c in names], **{f"{c}_{e}": f"{c}_{e}" for c in names for e in ("low", "high")})
 
 
+def _bootstrap_means(people, **statistics):
+    """Statistics of the means of each bootstrap's persons, which _mean names."""
+    used = [c for c in people.columns if c != "user_id"]
+    return resample.bootstrap_means(people, "user_id", _DRAWS, used).select("draw", *[v.alias(k) for k, v in statistics.items()])
+
+
 def _mean(c):
-    return weighted_mean(F.col(c), F.col("weight"))
+    return F.col(c)
 
 
 _SLOPES = f"{_X}, b AS (SELECT user_id, regr_slope(benefit, x) AS slope FROM x GROUP BY user_id HAVING count(*) >= 5 AND count(DISTINCT x) >= 2)"
@@ -132,13 +139,13 @@ _SLOPES = f"{_X}, b AS (SELECT user_id, regr_slope(benefit, x) AS slope FROM x G
 @query(f"WITH {_drawn(_SLOPES, 'avg(slope) AS slope, avg(CASE WHEN slope > 0 THEN 1e0 ELSE 0 END) AS positive')} SELECT count(*) AS draws, count(slope) AS slope_valid, count(positive) AS positive_valid, {_interval_sql('slope', 'slope')}, {_interval_sql('positive', 'positive')} FROM q")
 def slope_bootstrap(spark, d):
     people = balance.slopes(_scaled(spark, d), ENTITY, "benefit", "x").withColumn("up", (F.col("slope") > 0).cast("double"))
-    return _intervals(resample.bootstrap(people, "user_id", _DRAWS, slope=_mean("slope"), positive=_mean("up")), "slope", "positive")
+    return _intervals(_bootstrap_means(people, slope=_mean("slope"), positive=_mean("up")), "slope", "positive")
 
 
 @query(f"WITH {_drawn(_PEOPLE.replace(', p AS (', ', b AS ('), 'sqrt(avg(mse_l)) - sqrt(avg(mse_b)) AS delta')} SELECT count(*) AS draws, count(delta) AS delta_valid, {_interval_sql('delta', 'delta')} FROM q")
 def paired_rmse_bootstrap(spark, d):
     delta = F.sqrt(_mean("mse_l")) - F.sqrt(_mean("mse_b"))
-    return _intervals(resample.bootstrap(_people(spark, d), "user_id", _DRAWS, delta=delta), "delta")
+    return _intervals(_bootstrap_means(_people(spark, d), delta=delta), "delta")
 
 
 _HALF = f"{_EL}, b AS (SELECT * FROM sa)"
@@ -163,7 +170,7 @@ _SPARSE = f"{_PEOPLE}, b AS (SELECT user_id, CASE WHEN mae_l < mae_b THEN mae_l
 def skip_missing_bootstrap(spark, d):
     """Missing values are skipped in each draw, and draws without values in the interval."""
     people = _people(spark, d).select("user_id", F.when(F.col("mae_l") < F.col("mae_b"), F.col("mae_l")).alias("v"))
-    return _intervals(resample.bootstrap(people, "user_id", _DRAWS, v=_mean("v")), "v")
+    return _intervals(_bootstrap_means(people, v=_mean("v")), "v")
 
 
 _OOF = f"""{_FM}, pg AS (SELECT user_id, avg(benefit) AS gain, any_value(fold) AS fold FROM t JOIN fm USING (user_id) GROUP BY user_id),
@@ -185,7 +192,7 @@ def _oof(spark, d):
 @query(f"WITH {_drawn(f'{T}, {_OOF}', 'sqrt(avg((gain - prediction) ** 2)) - sqrt(avg((gain - dummy) ** 2)) AS delta')} SELECT count(*) AS draws, count(delta) AS delta_valid, {_interval_sql('delta', 'delta')} FROM q")
 def model_rmse_bootstrap(spark, d):
     people = _oof(spark, d).select("user_id", F.pow(F.col("gain") - F.col("prediction"), 2).alias("e"), F.pow(F.col("gain") - F.col("dummy"), 2).alias("z"))
-    return _intervals(resample.bootstrap(people, "user_id", _DRAWS, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))), "delta")
+    return _intervals(_bootstrap_means(people, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))), "delta")
 
 
 @query(f"WITH {T}, {_OOF} SELECT count(*) AS rows, {r('sqrt(avg((gain - prediction) ** 2))')} AS rmse, {r('avg(abs(gain - prediction))')} AS mae, {r('1 - avg((gain - prediction) ** 2) / var_pop(gain)')} AS r2, {r('corr(prediction, gain)')} AS r, {r('sqrt(avg((gain - dummy) ** 2))')} AS dummy_rmse FROM b")
@@ -230,7 +237,7 @@ def permutation_null_refit(spark, d):
 @query()
 def label_permutation_null(spark, d):
     """Out-of-fold correlation of the nested ridge for 500 permutations of the gains over persons; draw -1 is the real order."""
-    return models.label_permutation(_first_features_and_gain(spark, d), "user_id", _FEATURES, "gain", _ALPHAS, 5, 500)
+    return models.label_permutation(_first_features_and_gain(spark, d), "user_id", _FEATURES, "gain", _ALPHAS, 5, _REFITS)
 
 
 # -- marginal distributions --------------------------------------------------------------------------
@@ -356,7 +363,7 @@ def ipw_confirmation(spark, d):
     w = 1 / F.col("p")
     people = t.groupBy("user_id").agg(weighted_mean(F.col("ae_b"), w).alias("b"), weighted_mean(F.col("ae_l"), w).alias("l"))
     change = relative_change(_mean("l"), _mean("b"))
-    ci = resample.bootstrap(people, "user_id", _DRAWS, percent=change).agg(F.percentile("percent", 0.025).alias("low"), F.percentile("percent", 0.975).alias("high"))
+    ci = _bootstrap_means(people, percent=change).agg(F.percentile("percent", 0.025).alias("low"), F.percentile("percent", 0.975).alias("high"))
     g = people.agg(F.count("*").alias("people"), F.avg("b").alias("ipw_b8"), F.avg("l").alias("ipw_l8")).crossJoin(ci)
     g = g.withColumn("percent", relative_change(F.col("ipw_l8"), F.col("ipw_b8")))
     return g.withColumn("verdict", verdicts.improvement(F.col("percent"), F.col("high")))
@@ -623,9 +630,9 @@ def reliability_verdict(spark, d):
     return out(g.withColumn("verdict", verdicts.reliability(F.col("sb"), F.col("low"))), "verdict", spearman_brown="sb", low="low")
 
 
-def _nested_oof(spark, d):
+def _nested_oof(spark, d, people=None):
     """gain of each person, predicted by the nested ridge and by the mean that the other folds gave."""
-    p = _first_features_and_gain(spark, d).dropna(subset=[*_FEATURES, "gain"])
+    p = (_first_features_and_gain(spark, d) if people is None else people).dropna(subset=[*_FEATURES, "gain"])
     fitted = models.nested_ridge(p, "user_id", _FEATURES, "gain", _ALPHAS, 5)
     means = models.held_out_folds(p, 5).groupBy("test_fold").agg(F.avg("gain").alias("dummy"))
     met = p.join(F.broadcast(fitted.join(means, "test_fold").withColumnRenamed("test_fold", "fold")), "fold")  # a row a fold
@@ -636,11 +643,13 @@ def _nested_oof(spark, d):
 @query()
 def future_gain_verdict(spark, d):
     """Whether the nested ridge predicts who gains: by its error against the mean's, its correlation and the permutation's p."""
-    null = label_permutation_null(spark, d)
-    seen = null.where("draw = -1").select(F.col("r").alias("seen"), F.col("rmse_percent").alias("gain"))
-    g = null.where("draw >= 0").crossJoin(F.broadcast(seen)).agg(F.first("seen").alias("r"), F.first("gain").alias("rmse_percent"), ((1 + F.count_if(F.col("r") >= F.col("seen"))) / (F.count("*") + 1)).alias("p"))
-    o = _nested_oof(spark, d).select("user_id", F.pow(F.col("gain") - F.col("prediction"), 2).alias("e"), F.pow(F.col("gain") - F.col("dummy"), 2).alias("z"))
-    high = resample.bootstrap(o, "user_id", _DRAWS, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))).agg(F.percentile("delta", 0.975).alias("high"))
+    people = _first_features_and_gain(spark, d).persist(StorageLevel.DISK_ONLY)  # a row a person, for the null and the predictions
+    null = models.label_permutation(people, "user_id", _FEATURES, "gain", _ALPHAS, 5, _REFITS)
+    real = F.col("draw") < 0
+    g = null.agg(F.max(F.when(real, F.col("r"))).alias("r"), F.max(F.when(real, F.col("rmse_percent"))).alias("rmse_percent"), F.collect_list(F.when(~real, F.col("r"))).alias("_all"), F.count_if(~real).alias("_n"))  # a number a draw
+    g = g.select("r", "rmse_percent", ((1 + F.size(F.filter("_all", lambda x: x >= F.col("r")))) / (F.col("_n") + 1)).alias("p"))
+    o = _nested_oof(spark, d, people).select("user_id", F.pow(F.col("gain") - F.col("prediction"), 2).alias("e"), F.pow(F.col("gain") - F.col("dummy"), 2).alias("z"))
+    high = _bootstrap_means(o, delta=F.sqrt(_mean("e")) - F.sqrt(_mean("z"))).agg(F.percentile("delta", 0.975).alias("high"))
     g = g.crossJoin(high)
     return g.withColumn("verdict", verdicts.future_gain(-F.col("rmse_percent"), F.col("high"), F.col("r"), F.col("p")))
 

@@ -113,3 +113,17 @@ def test_long_series_split_their_draws(spark, monkeypatch):
     monkeypatch.setattr(redraw, "PATH_VALUES", 500)
     dealt = redraw._dealt(rows, ["who"], "who", 40, ["phi"])
     assert {r["_block"]: r["count"] for r in dealt.groupBy("_block").count().collect()} == {b: 50 for b in range(4)}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 30])
+def test_bootstrap_means_have_the_weights_of_the_bootstrap(spark, monkeypatch, block):
+    """Nulls are skipped, values without bound count in the draws that have them alone, and no row is made for a person drawn."""
+    monkeypatch.setattr(resample, "BLOCK_PEOPLE", block)
+    people = spark.range(100).select(F.concat(F.lit("p"), "id").alias("who"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3 == 0, F.col("id") * 2.0).alias("y z"), F.when(F.col("id") == 7, F.lit(float("inf"))).otherwise(F.col("id") * 1.0).alias("far"))
+    mean = lambda c: F.sum(F.col("weight") * F.col(f"`{c}`")) / F.sum(F.when(F.col(f"`{c}`").isNotNull(), F.col("weight")))
+    rows = {r["draw"]: tuple(r)[1:] for r in resample.bootstrap(people, "who", 50, a=mean("x"), b=mean("y z"), c=mean("far")).collect()}
+    found = resample.bootstrap_means(people, "who", 50, ["x", "y z", "far"])
+    means = {r["draw"]: tuple(r)[1:] for r in found.collect()}
+    assert sorted(means) == sorted(rows) == list(range(50))
+    assert all(means[i] == pytest.approx(rows[i]) for i in rows)
+    assert block < 100 or 0 < sum(np.isinf(v[2]) for v in means.values()) < 50
