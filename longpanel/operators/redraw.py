@@ -33,8 +33,17 @@ def rearranged(y: np.ndarray, key: int, draws: np.ndarray, kind: str, seed: int
     n, d = len(y), draws[:, None]
     if kind == "permuted":
         return y[np.argsort(lcg_array(seed, d, key, np.arange(1, n + 1)), axis=1, kind="stable")]
-    shift = 1 + lcg_array(seed, draws, key) % (n - 1)
-    return y[(np.arange(n) - shift[:, None]) % n]
+    return turned(y)[_turns(n, key, draws, seed)]
+
+
+def turned(y: np.ndarray) -> np.ndarray:
+    """The series turned by 1..n-1 places, a row each, without a copy."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([y, y]), len(y))[len(y) - 1 : 0 : -1]
+
+
+def _turns(n: int, key: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Row of turned in each draw."""
+    return lcg_array(seed, draws, key) % (n - 1)
 
 
 def baselines(paths: np.ndarray, k: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +63,10 @@ def _dealt(rows: DataFrame, entity: Sequence[str], key: str, draws: int, extra:
     blocks = F.ceil(F.lit(draws) / step).cast("int")
     ids = number(F.col(key), dict(rows.dtypes)[key])
     spread = rows.select(*entity, ids.alias("_key"), F.concat_ws("\x1f", *entity).alias("_id"), "rn", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(extra)])
-    return spread.repartition(*entity, "_block").sortWithinPartitions(*entity, "_block", "rn").select("rn", "y", "_key", "_id", "_block", *[f"_x{i}" for i in range(len(extra))])
+    # a number of its own, for Spark joins small partitions by their bytes, and few bytes of reports are much work
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return spread.repartition(tasks, *entity, "_block").sortWithinPartitions(*entity, "_block", "rn").select("rn", "y", "_key", "_id", "_block", *[f"_x{i}" for i in range(len(extra))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], draws: int, extra: Sequence[str]) -> Iterator[tuple]:
@@ -72,7 +84,7 @@ def draw_sums(rows: DataFrame, entity: Sequence[str], key: str, draws: int, path
     """draw, cell, people and the sums over entities of a statistic of each draw's series.
 
     rows: entity, rn (1..n), n, y and columns that are constant in an entity (extra).  paths(y, key, id, block, draws, extra) gives the
-    series of a block of draws, statistic(paths, key, draws, extra) a cell (int) and the values of ``names`` for each.
+    series of a block of draws, statistic(paths, key, draws, extra) a cell (int), or one for each, and the values of ``names`` for each.
     """
     width = len(names)
 
@@ -80,6 +92,13 @@ def draw_sums(rows: DataFrame, entity: Sequence[str], key: str, draws: int, path
         sums: dict[int, np.ndarray] = {}  # cell -> draws x (people, values)
         for y, number_, name, block, some, values_of in _blocks(batches, draws, extra):
             cells, values = statistic(paths(y, number_, name, block, some, values_of), number_, some, values_of)
+            if isinstance(cells, int):
+                if cells not in sums:
+                    sums[cells] = np.zeros((draws, 1 + width))
+                total = sums[cells][some[0] : some[-1] + 1]
+                total[:, 0] += 1
+                total[:, 1:] += values
+                continue
             for cell in np.unique(cells):
                 at = cells == cell
                 total = sums.setdefault(int(cell), np.zeros((draws, 1 + width)))
@@ -116,14 +135,24 @@ def null_benefit(rows: DataFrame, entity: Sequence[str], key: str, draws: int, k
     With cell, an int column that is constant in an entity, there is a row for each draw and cell.
     """
 
-    def statistic(paths, key, draws, extra):
+    def gains(paths):
         y, b, last = baselines(paths, k)
-        return np.full(len(paths), int(extra.get("cell", 0))), (np.abs(y - b) - np.abs(y - last)).mean(axis=1, keepdims=True)
+        return (np.abs(y - b) - np.abs(y - last)).mean(axis=1, keepdims=True)
+
+    def statistic(paths, key, draws, extra):
+        return int(extra.get("cell", 0)), gains(paths)
+
+    def of_turns(y, key, draws, extra):
+        """A series has n - 1 turns, however many draws there are."""
+        at = _turns(len(y), key, draws, seed)
+        return int(extra.get("cell", 0)), gains(turned(y))[at] if len(y) <= len(draws) else gains(turned(y)[at])
 
+    moved = _moved(kind, seed)
+    way = (lambda y, *_: y, of_turns) if kind == "shifted" else (moved, statistic)
     if cell is not None:
         rows = rows.withColumn("cell", F.col(cell).cast("int"))
     by = ["cell"] if cell is not None else []
-    short = draw_sums(_held(rows, k), entity, key, draws, _moved(kind, seed), statistic, ["benefit"], by)
+    short = draw_sums(_held(rows, k), entity, key, draws, *way, ["benefit"], by)
     far = _by_windows(rows, entity, key, draws, kind, seed, k)
     if cell is not None:
         far = far.join(rows.where(F.col("n") > SERIES_MOST).select(*entity, "cell").distinct(), list(entity))
@@ -166,7 +195,7 @@ def null_refit(rows: DataFrame, entity: Sequence[str], key: str, draws: int, kin
     def errors(paths, key, draws, extra):
         y, b, last = baselines(paths, k)
         w = weight[draws, drawn_folds(draws, key, folds, seed)][:, None]
-        return np.zeros(len(paths), int), np.stack([np.abs(y - b).mean(axis=1), np.abs(y - b - w * (last - b)).mean(axis=1)], axis=1)
+        return 0, np.stack([np.abs(y - b).mean(axis=1), np.abs(y - b - w * (last - b)).mean(axis=1)], axis=1)
 
     table = spark.createDataFrame([(i, f, float(weight[i, f])) for i in range(draws) for f in range(1, folds + 1)], "draw int, cell int, weight double")
     met = far.join(F.broadcast(table), ["draw", "cell"])  # draws x folds rows
@@ -201,7 +230,7 @@ def simulated_null(rows: DataFrame, entity: str, draws: int, kind: str = "ar1",
     """Per draw: mean over entities of benefit and slope on log age.  rows has y, rn, n, for ar1 phi, and sd if own_sd; phi counts for bounded series as for free ones."""
 
     def statistic(paths, key, draws, extra):
-        return np.zeros(len(paths), int), np.stack(resample.benefit_slope(paths, k), axis=1)
+        return 0, np.stack(resample.benefit_slope(paths, k), axis=1)
 
     extra = ["phi"] * (kind == "ar1") + ["sd"] * own_sd
     sums = draw_sums(rows.where(F.col("n") >= k + 5), [entity], entity, draws, simulated(kind, bounds, mean_length, own_sd, seed), statistic, ["benefit", "slope"], extra)

@@ -20,6 +20,8 @@ from ..functions.stats import lcg, lcg_array
 SEED = 31415926
 #: Values of simulated series held at once.
 PATH_VALUES = 4_000_000
+#: Simulated series whose gains are found at once.
+PATHS_HELD = 512
 #: Persons of a bootstrap whose weights are made at once, and tasks that a few blocks' draws are shared out to.
 BLOCK_PEOPLE = 1 << 16
 DRAW_PARTS = 16
@@ -255,33 +257,48 @@ def null_summary(draws: DataFrame, statistic: str, observed: Column) -> DataFram
 
 def benefit_slope(y: np.ndarray, k: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Mean benefit and slope on log age (in reports) of each row of a draws x time array."""
-    c = np.cumsum(np.pad(y, ((0, 0), (1, 0))), axis=1)
-    frozen = c[:, k : k + 1] / k
-    recent = (c[:, k:-1] - c[:, :-1 - k]) / k
-    benefit = np.abs(y[:, k:] - frozen) - np.abs(y[:, k:] - recent)
-    x = np.log1p(np.arange(1, y.shape[1] - k + 1))
+    draws, n = y.shape
+    x = np.log1p(np.arange(1, n - k + 1))
     x = x - x.mean()
-    return benefit.mean(axis=1), benefit @ x / max(float(x @ x), 1e-300)
+    benefit, slope = np.empty(draws), np.empty(draws)
+    for a in range(0, draws, PATHS_HELD):  # time by draws, few enough for a core's own memory
+        part = np.ascontiguousarray(y[a : a + PATHS_HELD].T)
+        c = np.zeros((n + 1, part.shape[1]))
+        for t in range(n):
+            np.add(c[t], part[t], out=c[t + 1])
+        recent = c[k:-1] - c[: -1 - k]
+        recent /= k
+        np.abs(np.subtract(part[k:], recent, out=recent), out=recent)
+        gain = part[k:] - c[k] / k
+        np.abs(gain, out=gain)
+        gain -= recent
+        benefit[a : a + PATHS_HELD], slope[a : a + PATHS_HELD] = gain.mean(axis=0), x @ gain
+    return benefit, slope / max(float(x @ x), 1e-300)
 
 
 def ar1_paths(y: np.ndarray, phi: float, draws: int, rng: np.random.Generator, bounds: tuple[float, float] | None = None, sd: float | None = None) -> np.ndarray:
     """Stationary Gaussian AR(1) series with the mean, SD (or the one given) and length of y."""
-    sd, out = y.std() if sd is None else sd, np.empty((draws, len(y)))
-    out[:, 0] = rng.normal(0, sd, draws)
+    sd = y.std() if sd is None else sd
+    out = rng.standard_normal((len(y), draws))  # time by draws: a step works on neighbours in memory
+    out[0] *= sd
+    out[1:] *= sd * np.sqrt(1 - phi * phi)
+    step = np.empty(draws)
     for t in range(1, len(y)):
-        out[:, t] = phi * out[:, t - 1] + rng.normal(0, sd * np.sqrt(1 - phi * phi), draws)
+        out[t] += np.multiply(out[t - 1], phi, out=step)
     out += y.mean()
-    return np.clip(out, *bounds) if bounds else out
+    return (np.clip(out, *bounds, out=out) if bounds else out).T
 
 
 def block_paths(y: np.ndarray, mean_length: float, draws: int, rng: np.random.Generator) -> np.ndarray:
     """Stationary bootstrap: blocks of geometric length, wrapped around the end."""
     n = len(y)
-    at = np.empty((draws, n), np.int64)
-    at[:, 0] = rng.integers(0, n, draws)
+    at = np.empty((n, draws), np.int64)  # time by draws
+    at[0] = rng.integers(0, n, draws)
     for t in range(1, n):
-        at[:, t] = np.where(rng.random(draws) < 1 / mean_length, rng.integers(0, n, draws), (at[:, t - 1] + 1) % n)
-    return y[at]
+        np.add(at[t - 1], 1, out=at[t])
+        begins = rng.random(draws) < 1 / mean_length
+        np.copyto(at[t], rng.integers(0, n, draws), where=begins)
+    return np.concatenate([y, y])[at].T  # a block goes on for less than n places
 
 
 def drawn_fold(draw: Column, key: Column, k: int, seed: int = SEED) -> Column:

@@ -127,3 +127,26 @@ def test_bootstrap_means_have_the_weights_of_the_bootstrap(spark, monkeypatch, b
     assert sorted(means) == sorted(rows) == list(range(50))
     assert all(means[i] == pytest.approx(rows[i]) for i in rows)
     assert block < 100 or 0 < sum(np.isinf(v[2]) for v in means.values()) < 50
+
+
+def test_series_are_dealt_out_by_work_and_not_by_bytes(panel):
+    """Adaptive execution would leave a task or a few of a small panel whose simulation takes long."""
+    tasks = redraw._dealt(panel, ["who"], "who", 40, []).rdd.getNumPartitions()
+    assert tasks >= 4 * panel.sparkSession.sparkContext.defaultParallelism
+
+
+def test_turns_are_found_once_a_series(monkeypatch):
+    """As many gains as a series has turns, not as there are draws."""
+    y = np.arange(9.0) ** 2
+    assert redraw.turned(y).tolist() == [np.roll(y, s).tolist() for s in range(1, 9)]
+    draws = np.arange(700)
+    assert (redraw.rearranged(y, 5, draws, "shifted") == redraw.turned(y)[redraw._turns(9, 5, draws, resample.SEED)]).all()
+
+
+def test_block_paths_are_wrapped_blocks():
+    y = np.arange(7.0)
+    paths = resample.block_paths(y, 4.0, 3000, np.random.default_rng(5))
+    goes_on = paths[:, 1:] == (paths[:, :-1] + 1) % 7
+    assert paths.shape == (3000, 7) and goes_on.mean() == pytest.approx(0.75 + 0.25 / 7, abs=0.01)
+    gain, slope = resample.benefit_slope(np.tile(np.arange(20.0), (1100, 1)))
+    assert gain == pytest.approx(np.full(1100, np.mean([t - 3.5 - 4.5 for t in range(8, 20)]))) and len(slope) == 1100
