@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clip, correlation, lcg_array, logit
 from .balance import cumulative
-from .resample import SEED, bootstrap, indexed, inner_folds
+from .resample import SEED, bootstrap_means, indexed, inner_folds
 
 
 def held_out_folds(rows: DataFrame, k: int) -> DataFrame:
@@ -512,43 +512,85 @@ def benchmark_predictions(rows: DataFrame, y: str, sets: dict[str, Sequence[str]
     columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
     texts = [c for c in columns if types[c] == "string"]
     numbers = [c for c in columns if c not in texts]
+    # read for levels, medians, sums and predictions
+    rows = rows.select(*dict.fromkeys([*keep, y, *columns, *validations.values()])).persist(StorageLevel.DISK_ONLY)
     levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(c).distinct().limit(LEVELS_MOST + 1).collect()) for c in texts}
     if over := [c for c, v in levels.items() if len(v) > LEVELS_MOST]:
         raise ValueError(f"more than {LEVELS_MOST} levels: {over}")
     design = {c: [f"{c}", f"{c}_missing"] for c in numbers} | {c: [f"{c}_{i}" for i in range(len(v))] for c, v in levels.items()}
     every = [x for c in columns for x in design[c]]
+    p = len(every) + 1
+    own = design_sums(rows, columns, levels, y, list(validations.values()))
     out = None
     for name, fold in validations.items():
+        parts = {f: v for (v_, f), v in own.items() if v_ == fold}
+        with_missing = [c for c in numbers if any(a[0, 1 + every.index(f"{c}_missing")] > 0 for a, _ in parts.values())]
         folded = rows.withColumn("fold", F.col(fold))
-        medians = held_out_folds(folded, k).groupBy("test_fold").agg(*[F.percentile(c, 0.5).alias(f"_med_{c}") for c in numbers])
-
-        def designed(df, medians=medians):
-            met = df.join(F.broadcast(medians), "test_fold")
-            made = [(F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}"), F.lit(0.0)).alias(c), F.col(c).isNull().cast("double").alias(f"{c}_missing")) for c in numbers]
-            hot = [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{i}") for c, vs in levels.items() for i, v in enumerate(vs)]
-            return met.select("test_fold", *keep, F.col(y).alias("_y"), *[x for pair in made for x in pair], *hot)
-
-        train = designed(held_out_folds(folded, k))
-        p = len(every) + 1
-        sums = {r[0]: _unpacked(r[1:], p, 1) for r in train.groupBy("test_fold").agg(*_gram_columns(every, ["_y"], None)).collect()}  # k rows
+        medians = {f: dict.fromkeys(numbers, 0.0) for f in range(1, k + 1)}
+        if with_missing:
+            for r in held_out_folds(folded.select("fold", *with_missing), k).groupBy("test_fold").agg(*[F.percentile(c, 0.5).alias(c) for c in with_missing]).collect():  # k rows
+                medians[r["test_fold"]] |= {c: r[c] or 0.0 for c in with_missing}
         fitted = []
-        for f, (a, b, _) in sums.items():
+        for f in medians:
+            train = [v for g, v in parts.items() if g != f]
+            if not train:
+                continue
+            # the sums have 0 for missing numbers; the median comes in by the column that says so
+            change = np.eye(p)
+            for c in numbers:
+                change[1 + every.index(f"{c}_missing"), 1 + every.index(c)] = medians[f][c]
+            a, b = change.T @ sum(v[0] for v in train) @ change, change.T @ sum(v[1] for v in train)
             for model, cs in sets.items():
                 used = [0, *[every.index(x) + 1 for c in cs for x in design[c]]]
                 sub = a[np.ix_(used, used)]
                 # penalising standardised columns: the penalty of a raw one grows with its variance
                 variance = np.diag(sub) / sub[0, 0] - (sub[0] / sub[0, 0]) ** 2
                 c = np.zeros(p)
-                c[used] = np.linalg.solve(sub + alpha * np.diag([0.0, *variance[1:]]) + 1e-9 * np.eye(len(used)), b[used, 0])
-                fitted.append((f, model, c.tolist()))
-        table = spark.createDataFrame(fitted, "test_fold int, model string, _coef array<double>")
-        test = designed(folded.withColumn("test_fold", F.col("fold"))).join(F.broadcast(table), "test_fold")  # a row a fold and model
-        prediction = sum((F.col("_coef")[i + 1] * F.col(x) for i, x in enumerate(every)), F.col("_coef")[0])
+                c[used] = np.linalg.solve(sub + alpha * np.diag([0.0, *variance[1:]]) + 1e-9 * np.eye(len(used)), b[used])
+                fitted.append((f, model, (change @ c).tolist()))
+        table = spark.createDataFrame(fitted, "fold int, model string, _coef array<double>")
+        values = [v for c in columns for v in _design_columns(c, levels.get(c))]
+        test = folded.select(*keep, "fold", F.col(y).alias("_y"), F.array(*values).alias("_x")).join(F.broadcast(table), "fold")  # a row a fold and model
+        prediction = sum((F.col("_coef")[i + 1] * F.col("_x")[i] for i in range(len(every))), F.col("_coef")[0])
         g = test.select(F.lit(name).alias("validation"), "model", *keep, F.col("_y").alias("actual"), prediction.alias("prediction"))
         out = g if out is None else out.unionByName(g)
     return out
 
 
+def _design_columns(c: str, levels: Sequence[str] | None) -> list[Column]:
+    """A number (0 where missing) and whether it is missing, or an indicator for each level."""
+    if levels is None:
+        return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.col(c).isNull().cast("double")]
+    return [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in levels]
+
+
+def design_sums(rows: DataFrame, columns: Sequence[str], levels: dict[str, Sequence[str]], y: str, folds: Sequence[str]) -> dict:
+    """X'X and X'y of each (fold column, fold), with an intercept in front and 0 for missing numbers: a row is read once for all, and a task sends on a row for each fold."""
+    p = 1 + sum(2 if c not in levels else len(levels[c]) for c in columns)
+
+    def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([np.ones(batch.num_rows), batch.column(1).flatten().to_numpy().reshape(-1, p - 1), batch.column(0).to_numpy()])
+            for i in range(len(folds)):
+                fold = batch.column(2 + i).to_numpy()
+                for f in np.unique(fold):
+                    part = x[fold == f]
+                    sums[i, int(f)] = sums.get((i, int(f)), 0) + part[:, :-1].T @ part
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].ravel().tolist() for k in keys], pa.list_(pa.float64()))], names=["v", "fold", "s"])
+
+    made = rows.where(F.col(y).isNotNull()).select(F.col(y).cast("double").alias("_y"), F.array(*[v for c in columns for v in _design_columns(c, levels.get(c))]).alias("_x"), *[F.col(f).cast("int").alias(f"_f{i}") for i, f in enumerate(folds)])
+    total = made.where(" AND ".join(f"_f{i} IS NOT NULL" for i in range(len(folds)))).mapInArrow(run, "v int, fold int, s array<double>").groupBy("v", "fold").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(p * (p + 1))]).alias("s")).collect()  # a row a fold
+    found = {}
+    for r in total:
+        s = np.array(r["s"]).reshape(p, p + 1)
+        found[folds[r["v"]], r["fold"]] = s[:, :p], s[:, p]
+    return found
+
+
 def benchmark_metrics(predictions: DataFrame) -> DataFrame:
     """rows, rmse, mae, r2 and r of each validation and model, over all folds' predictions."""
     e = F.col("actual") - F.col("prediction")
@@ -563,12 +605,14 @@ def benchmark_differences(predictions: DataFrame, entity: str, reference: str, c
     Each person's mean squared errors under all models are one row, so a draw compares all models on the same persons.
     """
     e = F.pow(F.col("actual") - F.col("prediction"), 2)
-    names = [r[0] for r in predictions.select("validation").distinct().collect()]  # a row a validation
-    mse = lambda v, m: F.avg(F.when((F.col("validation") == v) & (F.col("model") == m), e)).alias(f"{v}:{m}")
-    people = predictions.groupBy(entity).agg(*[mse(v, m) for v in names for m in [reference, *challengers]])
+    # a row for each person, validation and model
+    errors = predictions.groupBy(entity, "validation", "model").agg(F.avg(e).alias("_e")).persist(StorageLevel.DISK_ONLY)
+    names = [r[0] for r in errors.select("validation").distinct().collect()]  # a row a validation
+    mse = lambda v, m: F.max(F.when((F.col("validation") == v) & (F.col("model") == m), F.col("_e"))).alias(f"{v}:{m}")
+    people = errors.groupBy(entity).agg(*[mse(v, m) for v in names for m in [reference, *challengers]])
     over = lambda mean, v, m: F.sqrt(mean(f"`{v}:{m}`")) - F.sqrt(mean(f"`{v}:{reference}`"))
-    drawn = lambda c: F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("weight"))))
-    found = bootstrap(people, entity, draws, **{f"{v}:{m}": over(drawn, v, m) for v in names for m in challengers})
+    means = bootstrap_means(people, entity, draws, [c for c in people.columns if c != entity])
+    found = means.select("draw", *[over(F.col, v, m).alias(f"{v}:{m}") for v in names for m in challengers])
     cells = F.array(*[F.struct(F.lit(v).alias("validation"), F.lit(m).alias("challenger"), F.col(f"`{v}:{m}`").alias("delta")) for v in names for m in challengers])
     ends = found.select(F.explode(cells).alias("c")).select("c.*").groupBy("validation", "challenger").agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
     whole = people.agg(F.count("*").alias("people"), *[over(F.avg, v, m).alias(f"{v}:{m}") for v in names for m in challengers])

@@ -428,3 +428,18 @@ def test_permuted_labels_meet_their_persons_by_rank_in_any_number_of_ranges(spar
                 cells[t, i] = x[m].T @ x[m], x[m].T @ y[at][m], float(y[at][m] @ y[at][m])
         assert dealt[draw] == pytest.approx(models.nested_statistics(cells, [0.1, 10.0]), rel=1e-6)
     assert "Generate explode(sequence(-1" not in null._jdf.queryExecution().toString()
+
+
+def test_design_sums_read_a_row_once_for_all_folds(spark, people):
+    """Against numpy for two validations; the predictions copy no row for a training set."""
+    rows = [(None if i % 7 == 0 else p[1], "uv"[i % 2], p[3], p[4], i % 2 + 1) for i, p in enumerate(people)]
+    df = spark.createDataFrame(rows, "a double, c string, y double, fold int, other int").repartition(3)
+    found = models.design_sums(df, ["a", "c"], {"c": ["u", "v"]}, "y", ["fold", "other"])
+    x = np.array([[1.0, r[0] or 0.0, r[0] is None, r[1] == "u", r[1] == "v"] for r in rows], float)
+    y = np.array([r[2] for r in rows])
+    assert sorted(found) == sorted({("fold", r[3]) for r in rows} | {("other", r[4]) for r in rows})
+    for (name, f), (a, b) in found.items():
+        m = np.array([r[3 if name == "fold" else 4] == f for r in rows])
+        assert a == pytest.approx(x[m].T @ x[m]) and b == pytest.approx(x[m].T @ y[m])
+    plan = models.benchmark_predictions(df, "y", {"both": ["a", "c"]}, {"x": "fold", "z": "other"}, 3)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
