@@ -76,7 +76,9 @@ def cumulative(steps: DataFrame, order: str, value: str, by: Sequence[str] = (),
     cuts = F.percentile_approx(F.col(order), [i / parts for i in range(1, parts)]).alias("_cuts")
     bounds = steps.groupBy(*by).agg(cuts)  # parts - 1 numbers a group
     at = steps.join(F.broadcast(bounds), list(by)) if by else steps.crossJoin(F.broadcast(bounds))
-    at = at.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range((parts - 1).bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda n, h: n + F.when(F.get("_cuts", n + h - 1) < F.col(order), h).otherwise(0))  # cuts below the row, found by halving
+    at = at.withColumn("_part", below).drop("_cuts")
     sums = at.groupBy(*by, "_part").agg(F.sum(value).alias("_s"))
     w = Window.partitionBy(*by)
     ranges = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_s").over(w).alias("_all"))
@@ -127,6 +129,29 @@ def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, by: Se
     return hit.groupBy(*by).agg(F.min(value).alias("threshold")) if by else hit.agg(F.min(value).alias("threshold"))
 
 
+def weighted_quantiles(rows: DataFrame, value: str, weights: Sequence[str], q: float, by: Sequence[str], width: float, digits: int) -> DataFrame:
+    """weighted_quantile of the value, rounded to digits, for each group and each column of weights, whose place is `at`.
+
+    A histogram in steps of width finds the step in which a share reaches q; the rows of that step alone are then
+    ordered.  So no shuffle carries a row for each row and column, and what a task orders is either the steps of a group
+    or the values of digits within one step.
+    """
+    key = [*by, "at"]
+    order = lambda c: F.sum("_w").over(Window.partitionBy(*key).orderBy(c))
+    binned = rows.withColumn("_bin", F.rint(F.col(value) / width))
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(w).alias("_w")) for i, w in enumerate(weights)])
+    bins = binned.groupBy(*by, "_bin").agg(*[F.sum(w).alias(w) for w in weights])
+    steps = bins.select(*by, "_bin", F.explode(cells).alias("_c")).select(*by, "_bin", "_c.*").where("_w IS NOT NULL")
+    steps = steps.withColumn("_upto", order("_bin")).withColumn("_all", F.sum("_w").over(Window.partitionBy(*key)))
+    reach = steps.where(F.col("_upto") / F.col("_all") >= q - 1e-12).groupBy(*key).agg(F.min(F.struct("_bin", (F.col("_upto") - F.col("_w")).alias("_below"), "_all")).alias("_s"))
+    inside = binned.join(F.broadcast(reach.select(*key, "_s.*")), [*by, "_bin"])  # a row for each of the key
+    inside = inside.withColumn("_w", F.get(F.array(*weights), F.col("at"))).where("_w IS NOT NULL").withColumn("_v", F.round(value, digits))
+    last = inside.groupBy(*key, "_below", "_all", "_v").agg(F.sum("_w").alias("_w")).withColumn("_upto", F.col("_below") + order("_v"))
+    # the step's last value reaches q by its sum, whatever the order of additions did to it
+    hit = F.when(F.col("_upto") / F.col("_all") >= q - 1e-12, F.col("_v"))
+    return last.groupBy(*key).agg(F.coalesce(F.min(hit), F.max("_v")).alias("threshold"))
+
+
 def score_distribution(rows: DataFrame, by: Sequence[str], low: float, high: float) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("sd"), F.min("y").alias("min"), F.max("y").alias("max"),

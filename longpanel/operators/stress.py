@@ -10,18 +10,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .balance import weighted_quantile
+from .balance import weighted_quantile, weighted_quantiles
 
 SCENARIO = ["fraction", "ramp", "magnitude"]
 #: How much of the last-k baseline each method holds; the rest is the frozen one.
 METHODS = {"B8": 0.0, "A50": 0.5, "L8": 1.0}
 
 
+def onset_at(fraction: Column, k: int = 8) -> Column:
+    """0-based place of the first changed target."""
+    return F.greatest(F.lit(2 * k), F.floor(F.col("m") * fraction)).cast("long")
+
+
 def scenarios(rows: DataFrame, fractions: Sequence[float], ramps: Sequence[int], magnitudes: Sequence[float], k: int = 8) -> DataFrame:
     """Each row in each scenario in which its series is long enough: fraction, ramp, magnitude (in SD), onset (0-based)."""
     grid = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.lit(float(m)).alias("magnitude")) for f in fractions for r in ramps for m in magnitudes])
     out = rows.withColumn("_g", F.explode(grid)).select("*", "_g.*").drop("_g")
-    out = out.withColumn("onset", F.greatest(F.lit(2 * k), F.floor(F.col("m") * F.col("fraction"))).cast("long"))
+    out = out.withColumn("onset", onset_at(F.col("fraction"), k))
     return out.where(F.col("onset") + F.col("ramp") + k <= F.col("m"))
 
 
@@ -73,6 +78,10 @@ def _measured(met: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count("*").alias("targets"), (F.avg(F.when(F.col("phase") == "plateau", F.col("increment"))) / F.first("magnitude")).alias("retention"),
         F.avg(before.cast("double")).alias("false_alarm"), F.avg(after.cast("double")).alias("detection"), F.min(F.when(after, F.col("pos") - F.col("onset"))).alias("first"),
     )
+    return _delayed(g)
+
+
+def _delayed(g: DataFrame) -> DataFrame:
     return g.select("*", (F.col("detection") - F.col("false_alarm")).alias("excess"), F.col("first").isNotNull().cast("double").alias("detected"), F.coalesce("first", "targets").cast("double").alias("delay"))
 
 
@@ -89,33 +98,68 @@ def responses(rows: DataFrame, entity: str) -> DataFrame:
 FRACTIONS, RAMPS, MAGNITUDES = (0.4, 0.5, 0.6), (4, 8, 16), (0.5, 1.0)
 
 
+#: Steps of the histogram of scores, in SD.
+WIDTH = 1 / 256
+
+
+def _held(rows: DataFrame, fractions: Sequence[float], ramps: Sequence[int], k: int) -> DataFrame:
+    """A row for each onset and ramp for which it lies between the onset and the end of the plateau, in series that are long enough."""
+    pairs = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp")) for f in fractions for r in ramps])
+    out = rows.where(F.col("pos") >= 2 * k).withColumn("_g", F.explode(pairs)).select("*", "_g.*").drop("_g").withColumn("onset", onset_at(F.col("fraction"), k))
+    end = F.col("onset") + F.col("ramp") + k
+    return out.where((F.col("pos") >= F.col("onset")) & (F.col("pos") < end) & (end <= F.col("m")))
+
+
+def _left(share: Column | float, magnitude: float = 1.0, k: int = 8) -> Column:
+    """The added change less what the baseline took in of it."""
+    change = (F.col("pos"), F.col("onset"), F.col("ramp"), F.lit(float(magnitude)))
+    return offset(*change) - share * adaptation(*change, k)
+
+
+def _kept(share: Column | float, k: int) -> Column:
+    """Retention: a plateau's share that is left, on average of its targets; the same for all magnitudes, as both parts are in proportion to it."""
+    return F.avg(F.when(F.col("pos") >= F.col("onset") + F.col("ramp"), _left(share, k=k)))
+
+
+def grid_retention(rows: DataFrame, entity: str, directions: Sequence[float] = (1.0, -1.0), fractions: Sequence[float] = FRACTIONS, ramps: Sequence[int] = RAMPS, magnitudes: Sequence[float] = MAGNITUDES, k: int = 8) -> DataFrame:
+    """retention alone of grid_responses: it knows neither scores nor thresholds, so it needs places in series and no values."""
+    g = _held(rows.select(entity, "pos", "m"), fractions, ramps, k).groupBy(entity, "fraction", "ramp").agg(*[_kept(s, k).alias(n) for n, s in METHODS.items()])
+    cells = [F.struct(F.lit(float(d)).alias("direction"), F.lit(float(x)).alias("magnitude"), F.lit(n).alias("method"), F.col(n).alias("retention")) for d in directions for x in magnitudes for n in METHODS]
+    return g.select(entity, "fraction", "ramp", F.explode(F.array(*cells)).alias("_c")).select(entity, "fraction", "ramp", "_c.*")
+
+
 def grid_responses(rows: DataFrame, entity: str, sd: Column, directions: Sequence[float] = (1.0, -1.0), fractions: Sequence[float] = FRACTIONS, ramps: Sequence[int] = RAMPS, magnitudes: Sequence[float] = MAGNITUDES, k: int = 8, q: float = 0.95) -> DataFrame:
     """responses of all scenarios and directions (1: higher is worse), without a copy of the rows for each scenario.
 
-    An original score knows no scenario.  So thresholds come from one aggregate over the scores, with a column of weights
-    for each onset and ramp, and one quantile of all groups; they are the same for all magnitudes.  Changes are
-    added in closed form to the rows between onset and end of the plateau, the only ones that a scenario copies.
+    An original score knows no scenario.  So thresholds come from one histogram of the scores, with a column of weights
+    for each onset and ramp; they are the same for all magnitudes.  Changes are added in closed form to the rows between
+    onset and end of the plateau, the only ones that are copied: for each onset, ramp, direction and method, with columns
+    for the magnitudes.
     """
     kinds = F.array(*[F.struct(F.lit(float(d)).alias("direction"), F.lit(n).alias("method"), F.lit(s).alias("share")) for d in directions for n, s in METHODS.items()])
 
     def with_scores(df):
         df = df.withColumn("_m", F.explode(kinds)).select("*", "_m.*").drop("_m")
-        raw = F.col("direction") * (F.col("y") - ((1 - F.col("share")) * F.col("bk") + F.col("share") * F.col("lk"))) / sd
-        return df.withColumn("_raw", raw).withColumn("score", F.round("_raw", 6))
+        return df.withColumn("_raw", F.col("direction") * (F.col("y") - ((1 - F.col("share")) * F.col("bk") + F.col("share") * F.col("lk"))) / sd)
 
-    onset = lambda f: F.greatest(F.lit(2 * k), F.floor(F.col("m") * F.lit(float(f)))).cast("long")
     pairs = [(f, r) for f in fractions for r in ramps]
+    names = [f"_w{i}" for i in range(len(pairs))]
     # an entity has as many rows before the onset as the onset says
-    weight = lambda f, r: F.when((F.col("pos") < onset(f)) & (onset(f) + r + k <= F.col("m")), 1.0 / onset(f))
-    sums = with_scores(rows).groupBy("direction", "method", "score").agg(*[F.sum(weight(f, r)).alias(f"w{i}") for i, (f, r) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.col(f"w{i}").alias("weight")) for i, (f, r) in enumerate(pairs)])
-    steps = sums.select("direction", "method", "score", F.explode(cells).alias("c")).select("direction", "method", "score", "c.*").where("weight IS NOT NULL")
+    weight = lambda f, r: F.when((F.col("pos") < onset_at(F.lit(float(f)), k)) & (onset_at(F.lit(float(f)), k) + r + k <= F.col("m")), 1.0 / onset_at(F.lit(float(f)), k))
+    weighed = rows.select("*", *[weight(f, r).alias(n) for n, (f, r) in zip(names, pairs, strict=True)]).where(F.coalesce(*names).isNotNull())
+    places = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp")) for f, r in pairs])
+    limits = weighted_quantiles(with_scores(weighed), "_raw", names, q, ["direction", "method"], WIDTH, 6)
+    limits = limits.withColumn("_p", F.get(places, F.col("at"))).select("direction", "method", "_p.*", "threshold")
+
+    def above(x: Column) -> Column:  # of the score to six digits, which matter next to the threshold alone
+        return F.when(F.abs(x - F.col("threshold")) > 1e-6, x > F.col("threshold")).otherwise(F.round(x, 6) > F.col("threshold"))
+
     key = ["direction", "method", "fraction", "ramp"]
-    limits = weighted_quantile(steps, "score", "weight", q, key)
-    grid = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(r)).alias("ramp"), F.lit(float(x)).alias("magnitude"), onset(f).alias("onset")) for f, r in pairs for x in magnitudes])
-    inside = lambda g: (F.col("pos") >= g["onset"]) & (F.col("pos") < g["onset"] + g["ramp"] + k) & (g["onset"] + g["ramp"] + k <= F.col("m"))
-    held = rows.withColumn("_g", F.explode(F.filter(grid, inside))).select("*", "_g.*").drop("_g")
-    at = with_scores(injected(held, [entity], k))
-    gained = F.col("off") - F.col("share") * F.col("adapt")
-    met = at.withColumn("increment", gained).withColumn("injected_score", F.round(F.col("_raw") + gained, 6)).join(F.broadcast(limits), key)  # a row for each of the key
-    return _measured(met, [entity, "direction", *SCENARIO, "method"])
+    met = with_scores(_held(rows, fractions, ramps, k)).join(F.broadcast(limits), key)  # a row for each of the key
+    aggs = [F.count("*").alias("targets"), _kept(F.col("share"), k).alias("retention"), F.count_if(above(F.col("_raw"))).alias("_false")]
+    for i, x in enumerate(magnitudes):
+        after = above(F.col("_raw") + _left(F.col("share"), x, k))
+        aggs += [F.count_if(after).alias(f"_met{i}"), F.min(F.when(after, F.col("pos") - F.col("onset"))).alias(f"_first{i}")]
+    cells = [F.struct(F.lit(float(x)).alias("magnitude"), (F.col(f"_met{i}") / F.col("targets")).alias("detection"), F.col(f"_first{i}").alias("first")) for i, x in enumerate(magnitudes)]
+    g = met.groupBy(entity, *key).agg(*aggs)
+    return _delayed(g.select(entity, *key, "targets", "retention", (F.col("_false") / F.col("targets")).alias("false_alarm"), F.explode(F.array(*cells)).alias("_c")).select("*", "_c.*").drop("_c"))

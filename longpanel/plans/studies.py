@@ -33,23 +33,24 @@ u AS (SELECT user_id, {_SCENARIO}, method, count(*) AS targets, avg(increment) F
 _CHANGE = ["direction", *stress.SCENARIO, "method"]
 
 
-def _responses(spark, d):
-    """18 scenarios in both directions."""
-    t = rows_after_eight(spark, d).select("user_id", (F.col("rn") - 9).alias("pos"), (F.col("n") - 8).alias("m"), "y", "bk", "lk")
-    sd = t.groupBy("user_id").agg(F.var_samp("y").alias("v")).agg(F.sqrt(F.avg("v")).alias("sd"))
-    return stress.grid_responses(t.crossJoin(F.broadcast(sd)), "user_id", F.col("sd"))
+def _panel(spark, d):
+    return rows_after_eight(spark, d).select("user_id", (F.col("rn") - 9).alias("pos"), (F.col("n") - 8).alias("m"), "y", "bk", "lk")
 
 
 @query(f"WITH {_CHANGED} SELECT {_SCENARIO}, method, count(*) AS people, {r('avg(retention)')} AS retention FROM u GROUP BY ALL")
 def deterioration_retention(spark, d):
-    g = _responses(spark, d).groupBy(*_CHANGE).agg(F.count("*").alias("people"), F.avg("retention").alias("r"))
+    """18 scenarios in both directions."""
+    g = stress.grid_retention(_panel(spark, d), "user_id").groupBy(*_CHANGE).agg(F.count("*").alias("people"), F.avg("retention").alias("r"))
     return out(g, *_CHANGE, "people", retention="r")
 
 
 @query(f"WITH {_CHANGED} SELECT {_SCENARIO}, method, CAST(sum(targets) AS BIGINT) AS targets, {r('avg(fa)')} AS false_alarm, {r('avg(de)')} AS detection, {r('avg(de - fa)')} AS excess, {r('avg(CASE WHEN first IS NULL THEN 0e0 ELSE 1e0 END)')} AS detected, {r('avg(coalesce(first, targets))')} AS delay FROM u GROUP BY ALL")
 def alarm_metrics(spark, d):
+    """18 scenarios in both directions."""
     names = ("false_alarm", "detection", "excess", "detected", "delay")
-    g = _responses(spark, d).groupBy(*_CHANGE).agg(F.sum("targets").alias("targets"), *[F.avg(c).alias(c) for c in names])
+    t = _panel(spark, d)
+    sd = t.groupBy("user_id").agg(F.var_samp("y").alias("v")).agg(F.sqrt(F.avg("v")).alias("sd"))
+    g = stress.grid_responses(t.crossJoin(F.broadcast(sd)), "user_id", F.col("sd")).groupBy(*_CHANGE).agg(F.sum("targets").alias("targets"), *[F.avg(c).alias(c) for c in names])
     return out(g, *_CHANGE, "targets", **{c: c for c in names})
 
 

@@ -3,12 +3,14 @@
 import json
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from longpanel.functions.stats import lcg_array
 from longpanel.operators import balance, models, quality, redraw, resample, stress, verdicts
+from longpanel.plans.queries import ORACLES, QUERIES
 
 
 def newton(x, y, c, w, steps=50):
@@ -319,6 +321,48 @@ def test_retention_of_the_grid(spark):
     assert kept == pytest.approx({(m, r): v for r, vs in wanted.items() for m, v in zip(("B8", "A50", "L8"), vs, strict=True)})
 
 
+@pytest.mark.parametrize("spread", [3.0, 1e-3])
+def test_weighted_quantiles_of_many_weights(spark, spread):
+    """Against sorted sums: ties, values on the edges of steps, absent weights, and all values within one step."""
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v), *(float(w) if w < 2 else None for w in ws)) for g, v, ws in zip(rng.integers(0, 3, 600), spread * np.round(rng.normal(size=600), 1), rng.uniform(0, 3, (600, 2)), strict=True)]
+    df = spark.createDataFrame(rows, "g int, v double, a double, b double")
+    found = {(r["g"], r["at"]): r["threshold"] for r in balance.weighted_quantiles(df, "v", ["a", "b"], 0.9, ["g"], 1 / 256, 6).collect()}
+    for g in range(3):
+        for at in range(2):
+            own = sorted((round(r[1], 6), r[2 + at]) for r in rows if r[0] == g and r[2 + at] is not None)
+            share = np.cumsum([w for _, w in own]) / sum(w for _, w in own)
+            assert found.pop((g, at)) == pytest.approx(own[int(np.argmax(share >= 0.9 - 1e-12))][0])
+    assert not found
+
+
+def test_thresholds_of_the_grid_order_no_copies_of_the_rows(spark, monkeypatch):
+    """6,000 different scores: no more rows than these are put in order, not a row for each score, onset and ramp."""
+    rng = np.random.default_rng(10)
+    rows = [(p, i, 60, *map(float, rng.normal(3, 1, 3))) for p in range(100) for i in range(60)]
+    t = spark.createDataFrame(rows, "user_id int, pos long, m long, y double, bk double, lk double")
+    ordered, plain = [], balance.cumulative
+    monkeypatch.setattr(balance, "cumulative", lambda steps, *a, **k: ordered.append(steps.count()) or plain(steps, *a, **k))
+    assert stress.grid_responses(t, "user_id", F.lit(1.0)).count() == 100 * 9 * 12
+    assert sum(ordered) <= len(rows)
+
+
+def test_retention_needs_no_values(spark, tmp_path, same_rows):
+    """A panel without any spread has no scores, but its retention is that of any other."""
+    spark.sql("SELECT id % 2 AS user_id, id AS event_id, timestamp_seconds(id) AS ts, 'a' AS event_type, 3.0D AS value FROM range(120)").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same_rows(QUERIES["deterioration_retention"](spark, str(tmp_path)), con, ORACLES["deterioration_retention"])
+
+
+@pytest.mark.parametrize("parts", [2, 7, 100])
+def test_ranges_of_cumulative_sums(spark, parts):
+    """Any number of ranges gives the same sums."""
+    rows = [(float(v), 1.0) for v in np.random.default_rng(11).integers(0, 60, 300)]
+    got = balance.cumulative(spark.createDataFrame(rows, "v double, w double"), "v", "w", parts=parts).collect()
+    assert len(got) == 300 and all(r["_upto"] == sum(v <= r["v"] for v, _ in rows) for r in got)
+
+
 def test_loadings_by_several_groupings(spark):
     """Against numpy, with a grouping that has a null level, and groups under the bound left out."""
     rng = np.random.default_rng(12)
